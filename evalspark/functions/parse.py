@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,16 +117,53 @@ def json_slice(raw: str | Column) -> Column:
     return F.when(has_both, F.substring(raw, start, end - start + 1)).otherwise(F.lit(""))
 
 
-def parse_json_label(raw: str | Column, fields: Iterable[str], value_type: str = "string") -> Column:
-    """Strict JSON object between the first '{' and the last '}'; each requested field as
-    ``value_type``; any failure (or an absent field) gives NULL."""
-    fields = list(fields)
+def _json_fields_udf(fields: tuple[str, ...]):
+    import json
+
+    ddl = ", ".join(f"`{f}` string" for f in fields)
+
+    def value(v):
+        if v is None:
+            return None
+        if isinstance(v, str):
+            return v
+        return json.dumps(v, separators=(",", ":"))
+
+    @F.pandas_udf(ddl)
+    def extract(s: pd.Series) -> pd.DataFrame:
+        out = {f: [] for f in fields}
+        for text in s:
+            obj = None
+            if isinstance(text, str) and text:
+                try:
+                    obj = json.loads(text)
+                except ValueError:
+                    obj = None
+            if not isinstance(obj, dict):
+                obj = {}
+            for f in fields:
+                out[f].append(value(obj.get(f)))
+        return pd.DataFrame(out, columns=list(fields))
+
+    return extract
+
+
+def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = True) -> Column:
+    """Strict JSON object between the first '{' and the last '}'; each requested field as a string
+    (non-string values in compact JSON form); any failure or an absent field gives NULL.
+
+    ``strict=True`` parses with Python's ``json`` in an Arrow-batched pandas UDF: Spark's JSON readers
+    accept trailing text after the first object (``{"k": 1} and {...}``) which strict JSON rejects.
+    ``strict=False`` stays JVM-side (``try_parse_json``) and inherits that leniency.
+    """
+    fields = tuple(fields)
     if not fields:
         raise ValueError("fields must not be empty")
-    v = F.try_parse_json(json_slice(raw))
-    cols = []
     for f in fields:
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", f):
             raise ValueError(f"unsupported field name {f!r}")
-        cols.append(F.try_variant_get(v, f"$.{f}", value_type).alias(f))
-    return F.struct(*cols)
+    sliced = json_slice(raw)
+    if strict:
+        return _json_fields_udf(fields)(sliced)
+    v = F.try_parse_json(sliced)
+    return F.struct(*[F.try_variant_get(v, f"$.{f}", "string").alias(f) for f in fields])

@@ -128,3 +128,201 @@ ORACLE["crop_fraction"] = (
     f"SELECT doc_id, cropped, {word_count_sql('cropped')} AS n_words "
     f"FROM (SELECT doc_id, {crop_sql('text', 0.2, 0.2)} AS cropped FROM documents)"
 )
+
+
+# ------------------------------------------------------------------ parsers
+
+def cot_response_sql() -> str:
+    from evalspark.plans.queries import COT_MARKER as M
+
+    resp = stub_response_sql("doc_id")
+    lead = "substring(text, 1, 60)"
+    return (
+        f"CASE doc_id % 4 WHEN 0 THEN {lead} || {q(' ' + M + ' ')} || {resp} "
+        f"WHEN 1 THEN {q(f'first {M} negative, but then {M} ')} || {resp} "
+        f"WHEN 2 THEN {lead} || {q(' ' + M)} ELSE {lead} END"
+    )
+
+
+def parse_cot_sql(raw: str, marker: str) -> str:
+    import re as _re
+
+    tail = f"{q(marker[-1])} || regexp_extract({raw}, {q('(?s).*' + _re.escape(marker) + '(.*)$')}, 1)"
+    inner = parse_sql("_tail")
+    return (
+        f"SELECT * EXCLUDE (_tail, label, is_hallucination, is_wrong_format), "
+        f"CASE WHEN _has THEN label ELSE -1 END AS label, "
+        f"CASE WHEN _has THEN is_hallucination ELSE false END AS is_hallucination, "
+        f"CASE WHEN _has THEN is_wrong_format ELSE true END AS is_wrong_format "
+        f"FROM (SELECT *, {inner} FROM (SELECT *, {tail} AS _tail FROM src))"
+    )
+
+
+ORACLE["parse_basic"] = (
+    f"SELECT doc_id, output_string, {parse_sql('output_string')} "
+    f"FROM (SELECT doc_id, {stub_response_sql('doc_id')} AS output_string FROM documents)"
+)
+
+ORACLE["parse_cot"] = (
+    "WITH src AS (SELECT doc_id, output_string, output_string IS NOT NULL AND strpos(output_string, "
+    "'my classification is:') > 0 AS _has FROM (SELECT doc_id, " + cot_response_sql() + " AS output_string "
+    "FROM documents)) SELECT doc_id, output_string, label, is_hallucination, is_wrong_format FROM ("
+    + parse_cot_sql("output_string", "my classification is:") + ")"
+)
+
+_JSON_RESP = (
+    "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'The answer is ' || props || ' as requested.' "
+    "WHEN 2 THEN replace(props, '\"', '''') ELSE props || ' and {\"k\": \"late\"}' END"
+)
+_JSON_SLICE = (
+    "CASE WHEN strpos(output_string, '{') > 0 AND strpos(output_string, '}') > 0 "
+    "AND length(output_string) - strpos(reverse(output_string), '}') + 1 >= strpos(output_string, '{') "
+    "THEN substring(output_string, strpos(output_string, '{'), length(output_string) - strpos(reverse(output_string), '}') "
+    "+ 1 - strpos(output_string, '{') + 1) ELSE '' END"
+)
+ORACLE["parse_json"] = (
+    f"SELECT event_id, output_string, CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' "
+    f"THEN json_extract_string(s, '$.k') END AS k "
+    f"FROM (SELECT *, {_JSON_SLICE} AS s FROM (SELECT event_id, {_JSON_RESP} AS output_string FROM events))"
+)
+
+
+# ------------------------------------------------------------------ prompts and chat
+
+def _few_shot_sql(seed: int = 7, per_class: int = 1) -> str:
+    """The rendered few-shot prompt (examples inlined verbatim) as a SQL expression over ``text``."""
+    ex = (
+        f"(SELECT string_agg('- ' || upper(name) || ' (' || name || '): \"' || t || '\"', chr(10) "
+        f"ORDER BY rn, true_label DESC) FROM (SELECT true_label, "
+        f"CASE WHEN true_label = 1 THEN 'negative' ELSE 'positive' END AS name, {crop_sql('review', 20, 20)} AS t, "
+        f"row_number() OVER (PARTITION BY true_label ORDER BY md5('{seed}:' || CAST(example_id AS VARCHAR)), example_id) AS rn "
+        f"FROM corpus) WHERE rn <= {per_class})"
+    )
+    head = "Here is a review: "
+    mid = "\n----\nDecide whether its overall sentiment is positive or negative. Examples:\n"
+    tail = "\n----\nAnswer with exactly one word: positive or negative."
+    return f"{q(head)} || {crop_sql('text', 30, 30)} || {q(mid)} || {ex} || {q(tail)}"
+
+
+ORACLE["prompt_render"] = (
+    f"WITH {CORPUS_CTE}, p AS (SELECT doc_id, {_few_shot_sql()} AS prompt FROM documents) "
+    f"SELECT doc_id, length(prompt) AS prompt_chars, {word_count_sql('prompt')} AS prompt_words, "
+    f"md5(prompt) AS prompt_md5 FROM p"
+)
+
+
+def _system_prompt() -> str:
+    from evalspark.operators.infer import DEFAULT_SYSTEM_PROMPT
+
+    return DEFAULT_SYSTEM_PROMPT
+
+
+ORACLE["chat_messages"] = (
+    f"SELECT conv_id, turn, 2 AS n_messages, 'system: ' || {q(_system_prompt())} || chr(10) || 'user: ' || text AS chat "
+    f"FROM conversations WHERE role = 'user'"
+)
+
+
+# ------------------------------------------------------------------ statistics
+
+ORACLE["label_counts"] = f"WITH {CORPUS_CTE} SELECT true_label, count(*) AS count FROM corpus GROUP BY true_label"
+ORACLE["label_crosstab"] = (
+    f"WITH {CORPUS_CTE} SELECT lang, "
+    "CASE WHEN count(*) FILTER (WHERE true_label = 0) > 0 THEN count(*) FILTER (WHERE true_label = 0) END AS label_0, "
+    "CASE WHEN count(*) FILTER (WHERE true_label = 1) > 0 THEN count(*) FILTER (WHERE true_label = 1) END AS label_1 "
+    "FROM corpus GROUP BY lang"
+)
+ORACLE["errors"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()} SELECT label, count(*) AS count FROM preds "
+    "WHERE label IS DISTINCT FROM true_label GROUP BY label"
+)
+ORACLE["error_rows"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()} SELECT example_id, true_label, label, output_string FROM preds "
+    "WHERE label IS DISTINCT FROM true_label"
+)
+ORACLE["failures"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()} SELECT example_id, output_string, is_hallucination, is_wrong_format "
+    "FROM preds WHERE is_hallucination OR is_wrong_format"
+)
+
+WORDS_CTE = f"wc AS (SELECT doc_id, lang, {word_count_sql('text')} AS n_words FROM documents)"
+
+
+def hist_ctes(src: str = "wc", x: str = "n_words", bins: int = 100, by: str = "", rng_src: str | None = None) -> str:
+    """numpy-exact equal-width binning; defines rng(lo, hi, step), binned(*, bin), hist(by.., bin, bin_lo, bin_hi, count)."""
+    rng_src = rng_src or src
+    by_sel = f"{by}, " if by else ""
+    frame = f"(SELECT DISTINCT {by} FROM {src}) g, " if by else ""
+    join_on = " AND ".join([f"f.{c} = c.{c}" for c in by.split(", ")] + ["f.bin = c.bin"]) if by else "f.bin = c.bin"
+    by_f = ", ".join(f"f.{c}" for c in by.split(", ")) + ", " if by else ""
+    edge = "CASE WHEN {i} >= %d THEN hi ELSE CAST({i} AS DOUBLE) * step + lo END" % bins
+    return (
+        f"rng0 AS (SELECT CAST(min({x}) AS DOUBLE) AS mn, CAST(max({x}) AS DOUBLE) AS mx FROM {rng_src}), "
+        f"rng AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi, "
+        f"(CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END - CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END) / {bins}.0 AS step FROM rng0), "
+        f"b0 AS (SELECT s.*, rng.*, CAST(floor(((CAST({x} AS DOUBLE) - lo) / (hi - lo)) * {bins}) AS INTEGER) AS i0 "
+        f"FROM {src} s, rng WHERE {x} >= lo AND {x} <= hi), "
+        f"b1 AS (SELECT *, CASE WHEN i0 = {bins} THEN {bins - 1} ELSE i0 END AS i1 FROM b0), "
+        f"b2 AS (SELECT *, CASE WHEN {x} < {edge.format(i='i1')} THEN i1 - 1 ELSE i1 END AS i2 FROM b1), "
+        f"binned AS (SELECT * EXCLUDE (i0, i1, i2, lo, hi, step), CASE WHEN {x} >= {edge.format(i='(i2 + 1)')} AND i2 <> {bins - 1} "
+        f"THEN i2 + 1 ELSE i2 END AS bin FROM b2), "
+        f"hcnt AS (SELECT {by_sel}bin, count(*) AS count FROM binned GROUP BY ALL), "
+        f"hist AS (SELECT {by_f}CAST(f.bin AS INTEGER) AS bin, CAST(f.bin AS DOUBLE) * step + lo AS bin_lo, "
+        f"CASE WHEN f.bin = {bins - 1} THEN hi ELSE CAST(f.bin + 1 AS DOUBLE) * step + lo END AS bin_hi, "
+        f"coalesce(c.count, 0) AS count FROM (SELECT {by_sel}range AS bin FROM {frame}range(0, {bins})) f "
+        f"CROSS JOIN rng LEFT JOIN hcnt c ON {join_on})"
+    )
+
+
+ORACLE["length_histogram"] = f"WITH {WORDS_CTE}, {hist_ctes()} SELECT * FROM hist"
+ORACLE["length_histogram_by_class"] = (
+    f"WITH {WORDS_CTE}, {CORPUS_CTE}, cw AS (SELECT true_label, {word_count_sql('review')} AS n_words FROM corpus), "
+    f"{hist_ctes(src='cw', by='true_label', rng_src='wc')} SELECT * FROM hist"
+)
+
+SIZE_GROUP_CTES = (
+    f"{WORDS_CTE}, {hist_ctes()}, "
+    "edges AS (SELECT bin_hi AS e FROM hist WHERE count > 100 UNION ALL SELECT hi FROM rng), "
+    "sg AS (SELECT doc_id, n_words, CAST((SELECT count(*) FROM edges WHERE e < CAST(wc.n_words AS DOUBLE)) AS INTEGER) "
+    "AS size_group FROM wc)"
+)
+ORACLE["size_groups"] = f"WITH {SIZE_GROUP_CTES} SELECT doc_id, n_words, size_group FROM sg"
+
+ORACLE["length_quantiles"] = (
+    f"WITH {WORDS_CTE} SELECT lang, count(n_words) AS n_words, CAST(min(n_words) AS DOUBLE) AS min_words, "
+    "quantile_cont(CAST(n_words AS DOUBLE), 0.25) AS q1_words, quantile_cont(CAST(n_words AS DOUBLE), 0.5) AS median_words, "
+    "quantile_cont(CAST(n_words AS DOUBLE), 0.75) AS q3_words, CAST(max(n_words) AS DOUBLE) AS max_words FROM wc GROUP BY lang"
+)
+
+
+# ------------------------------------------------------------------ sampling
+
+def sample_sql(n_expr: str, within: bool, seed: int = 42) -> str:
+    """CTEs base/q/ranked for the exact proportional sample (largest remainder, ties by stratum key)."""
+    part = "PARTITION BY true_label " if within else ""
+    return (
+        f"{CORPUS_CTE}, {SIZE_GROUP_CTES}, "
+        "base AS (SELECT c.example_id, c.review, c.true_label, sg.size_group FROM corpus c JOIN sg ON sg.doc_id = c.example_id), "
+        "cnt AS (SELECT true_label, size_group, count(*) AS size FROM base GROUP BY ALL), "
+        f"tot AS (SELECT *, sum(size) OVER ({part}) AS total FROM cnt), "
+        f"q0 AS (SELECT *, {n_expr} AS n FROM tot), "
+        "q1 AS (SELECT *, (n * size) // total AS fl, (n * size) % total AS rem FROM q0), "
+        f"q AS (SELECT true_label, size_group, fl + CASE WHEN row_number() OVER ({part}ORDER BY rem DESC, true_label, size_group) "
+        f"<= n - sum(fl) OVER ({part}) THEN 1 ELSE 0 END AS quota FROM q1), "
+        "ranked AS (SELECT base.*, row_number() OVER (PARTITION BY true_label, size_group "
+        f"ORDER BY md5('{seed}:' || CAST(example_id AS VARCHAR)), example_id) AS rn FROM base)"
+    )
+
+
+ORACLE["stratified_sample"] = (
+    f"WITH {sample_sql('CAST(ceil(0.25 * total) AS BIGINT)', False)} "
+    "SELECT example_id, true_label, size_group FROM ranked JOIN q USING (true_label, size_group) WHERE rn <= quota"
+)
+ORACLE["sample_complement"] = (
+    f"WITH {sample_sql('CAST(ceil(0.25 * total) AS BIGINT)', False)} "
+    "SELECT example_id, true_label, size_group FROM ranked JOIN q USING (true_label, size_group) WHERE rn > quota"
+)
+ORACLE["balanced_sample"] = (
+    f"WITH {sample_sql('25', True)} "
+    "SELECT example_id, review, true_label FROM ranked JOIN q USING (true_label, size_group) WHERE rn <= quota"
+)

@@ -73,3 +73,263 @@ def crop_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = crop_middle("text", 0.2, 0.2)
     return table(spark, sf_dir, "documents").select("doc_id", c.alias("cropped"), word_count(c).alias("n_words"))
+
+
+# ------------------------------------------------------------------ parsers over stub responses
+
+COT_MARKER = "my classification is:"
+JSON_FIELDS = ("k",)
+
+
+def cot_response(doc_id: str = "doc_id", text: str = "text"):
+    """Chain-of-thought style answers: marker + answer, two markers, marker last, no marker."""
+    from evalspark.functions.stub import stub_response
+
+    resp = stub_response(doc_id)
+    lead = F.substring(F.col(text), 1, 60)
+    m = F.col(doc_id) % 4
+    return (
+        F.when(m == 0, F.concat(lead, F.lit(f" {COT_MARKER} "), resp))
+        .when(m == 1, F.concat(F.lit(f"first {COT_MARKER} negative, but then {COT_MARKER} "), resp))
+        .when(m == 2, F.concat(lead, F.lit(f" {COT_MARKER}")))
+        .otherwise(lead)
+    )
+
+
+def json_response(event_id: str = "event_id", props: str = "props"):
+    """JSON answers: bare, wrapped in prose, single-quoted (invalid), two objects (invalid)."""
+    m = F.col(event_id) % 4
+    p = F.col(props)
+    return (
+        F.when(m == 0, p)
+        .when(m == 1, F.concat(F.lit("The answer is "), p, F.lit(" as requested.")))
+        .when(m == 2, F.regexp_replace(p, '"', "'"))
+        .otherwise(F.concat(p, F.lit(' and {"k": "late"}')))
+    )
+
+
+@register("parse_basic")
+def parse_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.functions.parse import parse_label
+    from evalspark.functions.stub import stub_response
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", stub_response("doc_id").alias("output_string"))
+    return docs.withColumn("_p", parse_label("output_string")).select("doc_id", "output_string", "_p.*")
+
+
+@register("parse_cot")
+def parse_cot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.functions.parse import parse_cot_label
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", cot_response().alias("output_string"))
+    return docs.withColumn("_p", parse_cot_label("output_string", COT_MARKER)).select("doc_id", "output_string", "_p.*")
+
+
+@register("parse_json")
+def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.functions.parse import parse_json_label
+    from evalspark.sources.tables import table
+
+    ev = table(spark, sf_dir, "events").select("event_id", json_response().alias("output_string"))
+    return ev.withColumn("_j", parse_json_label("output_string", JSON_FIELDS)).select("event_id", "output_string", "_j.*")
+
+
+# ------------------------------------------------------------------ prompts and chat requests
+
+FEW_SHOT_SEED = 7
+
+
+def few_shot_examples(spark: SparkSession, sf_dir: str, per_class: int = 1):
+    """(name, cropped text) of ``per_class`` examples of each class, chosen by seeded hash order.
+
+    Only ``2 * per_class`` rows reach the driver (a bounded take of the smallest keys per class).
+    """
+    from evalspark.functions.parse import label_name
+    from evalspark.operators.sampling import order_key
+
+    corpus = labelled_corpus(spark, sf_dir, extra=())
+    rows = []
+    for cls in (1, 0):
+        part = (
+            corpus.filter(F.col("true_label") == cls)
+            .select(label_name("true_label").alias("name"), crop_middle("review", 20, 20).alias("text"),
+                    order_key("example_id", FEW_SHOT_SEED).alias("_k"), "example_id")
+            .orderBy("_k", "example_id")
+            .limit(per_class)
+            .collect()
+        )
+        rows.append(part)
+    # interleave: NEGATIVE, POSITIVE, NEGATIVE, ...
+    out = []
+    for i in range(per_class):
+        for part in rows:
+            if i < len(part):
+                out.append((part[i]["name"], part[i]["text"]))
+    return out
+
+
+def few_shot_template(examples) -> str:
+    from evalspark.functions.text import few_shot_block
+
+    return (
+        "Here is a review: {review}\n----\n"
+        "Decide whether its overall sentiment is positive or negative. Examples:\n"
+        + few_shot_block(examples)
+        + "\n----\nAnswer with exactly one word: positive or negative."
+    )
+
+
+@register("prompt_render")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.functions.text import render_prompt, validate_prompt_fields
+    from evalspark.sources.tables import table
+
+    template = few_shot_template(few_shot_examples(spark, sf_dir))
+    validate_prompt_fields(template, ["review"])
+    prompt = render_prompt(template, {"review": crop_middle("text", 30, 30)})
+    docs = table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
+    return docs.select(
+        "doc_id",
+        F.length("prompt").cast("bigint").alias("prompt_chars"),
+        word_count("prompt").alias("prompt_words"),
+        F.md5("prompt").alias("prompt_md5"),
+    )
+
+
+@register("chat_messages")
+def chat_messages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.functions.text import chat_messages, render_chat
+    from evalspark.sources.tables import table
+
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    req = chat_messages(infer.DEFAULT_SYSTEM_PROMPT, F.col("text"))
+    return conv.select("conv_id", "turn", F.size(req).alias("n_messages"), render_chat(req).alias("chat"))
+
+
+# ------------------------------------------------------------------ corpus statistics
+
+
+@register("label_counts")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import value_counts
+
+    return value_counts(labelled_corpus(spark, sf_dir, extra=()), "true_label")
+
+
+@register("label_crosstab")
+def label_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import crosstab
+
+    return crosstab(labelled_corpus(spark, sf_dir, extra=("lang",)), "lang", "true_label", [0, 1], prefix="label_")
+
+
+@register("errors")
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.metrics import error_slice
+    from evalspark.operators.stats import value_counts
+
+    return value_counts(error_slice(stub_predictions(spark, sf_dir)), "label")
+
+
+@register("error_rows")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.metrics import error_slice
+
+    return error_slice(stub_predictions(spark, sf_dir)).select("example_id", "true_label", "label", "output_string")
+
+
+@register("failures")
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.metrics import failure_slice
+
+    return failure_slice(stub_predictions(spark, sf_dir)).select(
+        "example_id", "output_string", "is_hallucination", "is_wrong_format"
+    )
+
+
+def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.sources.tables import table
+
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", word_count("text").alias("n_words"))
+
+
+@register("length_histogram")
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import histogram
+
+    return histogram(_doc_words(spark, sf_dir), "n_words", bins=100)
+
+
+@register("length_histogram_by_class")
+def length_histogram_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class counts over the edges of the whole corpus (the side-by-side class histogram)."""
+    from evalspark.operators.stats import histogram, histogram_range
+
+    words = _doc_words(spark, sf_dir)
+    rng = histogram_range(words, "n_words")
+    corpus = labelled_corpus(spark, sf_dir, extra=()).select("true_label", word_count("review").alias("n_words"))
+    return histogram(corpus, "n_words", bins=100, by=["true_label"], value_range=rng)
+
+
+SIZE_BINS = 100
+SIZE_MIN_COUNT = 100  # populous bin = more than 100 rows (the reference's threshold)
+
+
+def with_size_groups(spark: SparkSession, sf_dir: str, df: DataFrame, words_col: str) -> DataFrame:
+    from evalspark.operators.stats import size_groups
+
+    col, _ = size_groups(_doc_words(spark, sf_dir), "n_words", SIZE_BINS, SIZE_MIN_COUNT)
+    # ``col`` digitizes the named column ``n_words`` against the corpus edges.
+    return df.withColumn("n_words", F.col(words_col)).withColumn("size_group", col)
+
+
+@register("size_groups")
+def size_groups_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _doc_words(spark, sf_dir)
+    return with_size_groups(spark, sf_dir, words, "n_words").select("doc_id", "n_words", "size_group")
+
+
+@register("length_quantiles")
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import quantile_summary
+
+    return quantile_summary(_doc_words(spark, sf_dir), "n_words", by=["lang"], name="words")
+
+
+# ------------------------------------------------------------------ sampling
+
+SAMPLE_SEED = 42
+SAMPLE_FRACTION = 0.25  # the reference drew 10,000 of 40,000 rows
+PER_CLASS = 25  # rows per class in the balanced sample (the smallest class of sf0.01 holds 58)
+
+
+def _sample_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = labelled_corpus(spark, sf_dir, extra=()).withColumn("_w", word_count("review"))
+    return with_size_groups(spark, sf_dir, corpus, "_w").drop("_w", "n_words")
+
+
+@register("stratified_sample")
+def stratified_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.sampling import stratified_sample
+
+    base = _sample_base(spark, sf_dir).select("example_id", "true_label", "size_group")
+    return stratified_sample(base, ["true_label", "size_group"], SAMPLE_FRACTION, seed=SAMPLE_SEED)
+
+
+@register("sample_complement")
+def sample_complement_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.sampling import sample_complement
+
+    base = _sample_base(spark, sf_dir).select("example_id", "true_label", "size_group")
+    return sample_complement(base, ["true_label", "size_group"], SAMPLE_FRACTION, seed=SAMPLE_SEED)
+
+
+@register("balanced_sample")
+def balanced_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.sampling import balanced_sample
+
+    base = _sample_base(spark, sf_dir)
+    return balanced_sample(base, "true_label", PER_CLASS, ["size_group"], seed=SAMPLE_SEED,
+                           columns=["example_id", "review", "true_label"])
