@@ -326,3 +326,103 @@ ORACLE["balanced_sample"] = (
     f"WITH {sample_sql('25', True)} "
     "SELECT example_id, review, true_label FROM ranked JOIN q USING (true_label, size_group) WHERE rn <= quota"
 )
+
+
+# ------------------------------------------------------------------ run log
+
+def _runs_sql() -> str:
+    from evalspark.operators.metrics import METRIC_NAMES
+    from evalspark.plans.runs import T0
+
+    mcols = []
+    for m in METRIC_NAMES:
+        null_for = "(11, 12)" if m == "precision" else "(12)"
+        mcols.append(f'CASE WHEN _n IN {null_for} THEN NULL ELSE {m} END AS "metrics.{m}"')
+    return (
+        f"{CORPUS_CTE}, {preds_cte()}, "
+        f"ev AS (SELECT source, {metrics_sql()} FROM preds GROUP BY source), "
+        "evn AS (SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS _n, md5('run:' || source) AS run_id FROM ev), "
+        "named AS (SELECT *, CASE WHEN _n < 16 THEN 'prompt-' || CAST(_n // 2 AS VARCHAR) "
+        "WHEN _n < 18 THEN 'grid-t0.' || CAST(_n - 11 AS VARCHAR) || '-k40' WHEN _n = 18 THEN 'prompt-0 FULL_DATA' "
+        "ELSE 'prompt-deleted' END AS run_name FROM evn), "
+        f"wide AS (SELECT run_id, '1' AS experiment_id, run_name, 'active' AS lifecycle_stage, 3 AS status, "
+        f"CAST({T0} AS BIGINT) AS start_time, {', '.join(mcols)}, "
+        "CASE WHEN _n % 2 = 0 THEN 'model-a' ELSE 'model-b' END AS \"params.model_name\", "
+        "CASE WHEN _n IN (14, 15) THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS \"params.temperature\", "
+        "CAST(40 AS DOUBLE) AS \"params.top_k\", CAST(0.95 AS DOUBLE) AS \"params.top_p\", "
+        "run_name AS \"tags.mlflow.runName\", 'derived from ' || source AS \"tags.justification\" "
+        "FROM named WHERE _n <> 19), "
+        "comp AS (SELECT * FROM wide WHERE NOT regexp_matches(\"tags.mlflow.runName\", 't\\d') "
+        "AND NOT contains(\"tags.mlflow.runName\", 'FULL_DATA') AND \"params.temperature\" = CAST(0.2 AS DOUBLE) "
+        "AND \"params.top_p\" = CAST(0.95 AS DOUBLE) AND \"params.top_k\" = CAST(40 AS DOUBLE))"
+    )
+
+
+RUNS_SQL = _runs_sql()
+ORACLE["run_search"] = f"WITH {RUNS_SQL} SELECT * FROM wide"
+ORACLE["orphan_runs"] = "SELECT '1' AS experiment_id, md5('run:orphan') AS run_id"
+ORACLE["comparable_runs"] = (
+    f'WITH {RUNS_SQL} SELECT run_id, "tags.mlflow.runName", "params.model_name", "metrics.accuracy_score" FROM comp'
+)
+ORACLE["run_completeness"] = (
+    f'WITH {RUNS_SQL} SELECT "tags.mlflow.runName", "params.model_name", count(*) AS count FROM comp '
+    'WHERE "tags.mlflow.runName" IS NOT NULL AND "params.model_name" IS NOT NULL GROUP BY ALL'
+)
+ORACLE["run_models"] = (
+    f'WITH {RUNS_SQL} SELECT "params.model_name", count(*) AS n_runs, count(DISTINCT "tags.mlflow.runName") '
+    "AS n_run_names FROM wide GROUP BY ALL"
+)
+ORACLE["best_worst"] = (
+    f"WITH {RUNS_SQL}, cr AS (SELECT run_id, \"params.model_name\" AS model, \"tags.mlflow.runName\" AS run_name, "
+    "\"metrics.accuracy_score\" AS accuracy, \"metrics.median_processing_time\" AS median_processing_time FROM comp "
+    "WHERE \"metrics.accuracy_score\" IS NOT NULL), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, run_id) AS rb, "
+    "row_number() OVER (PARTITION BY model ORDER BY accuracy ASC, run_id) AS rw FROM cr) "
+    "SELECT model, max(CASE WHEN rb = 1 THEN accuracy END) AS best_accuracy, max(CASE WHEN rb = 1 THEN run_name END) AS best_run_name, "
+    "max(CASE WHEN rb = 1 THEN median_processing_time END) AS best_median_processing_time, "
+    "max(CASE WHEN rw = 1 THEN accuracy END) AS worst_accuracy, max(CASE WHEN rw = 1 THEN run_name END) AS worst_run_name, "
+    "max(CASE WHEN rw = 1 THEN median_processing_time END) AS worst_median_processing_time, "
+    "quantile_cont(accuracy, 0.5) AS median_accuracy FROM b GROUP BY model"
+)
+ORACLE["boxplot"] = (
+    f"WITH {RUNS_SQL}, x AS (SELECT \"params.model_name\" AS model, \"metrics.accuracy_score\" AS v FROM comp), "
+    "qq AS (SELECT model, count(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, "
+    "quantile_cont(v, 0.75) AS q3 FROM x GROUP BY model), "
+    "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM qq) "
+    "SELECT f.model, n, q1, median, q3, min(CASE WHEN v >= lo AND v <= hi THEN v END) AS whisker_lo, "
+    "max(CASE WHEN v >= lo AND v <= hi THEN v END) AS whisker_hi, count(*) FILTER (WHERE NOT (v >= lo AND v <= hi)) AS n_fliers "
+    "FROM f JOIN x ON f.model = x.model GROUP BY f.model, n, q1, median, q3"
+)
+
+
+def _pairs_sql() -> str:
+    from evalspark.plans.runs import PAIR_COLS
+
+    parts = [
+        f'SELECT "params.model_name", run_id, "metrics.accuracy_score" AS x, {q(m)} AS metric, "{m}" AS y FROM comp'
+        for m in PAIR_COLS
+    ]
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["metric_pairs"] = f"WITH {RUNS_SQL} {_pairs_sql()}"
+ORACLE["metric_correlations"] = (
+    f'WITH {RUNS_SQL}, p AS ({_pairs_sql()}) SELECT "params.model_name", metric, count(y) AS n, '
+    "round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 10) AS corr FROM p GROUP BY ALL"
+)
+
+
+def _long_sql(criterion: str, label: str) -> str:
+    from evalspark.plans.runs import LINE_COLS
+
+    lines = ", ".join(f'"{c}"' for c in LINE_COLS)
+    return (
+        f"WITH {RUNS_SQL}, g AS (SELECT *, CAST(row_number() OVER (PARTITION BY \"{criterion}\" "
+        "ORDER BY start_time DESC, run_id) - 1 AS INTEGER) AS group_id FROM comp) "
+        f"SELECT \"{criterion}\", group_id, \"{label}\", {lines}, 'metrics.accuracy_score' AS metric, "
+        "\"metrics.accuracy_score\" AS value FROM g"
+    )
+
+
+ORACLE["long_runs_aabb"] = _long_sql("params.model_name", "tags.mlflow.runName")
+ORACLE["long_runs_abab"] = _long_sql("tags.mlflow.runName", "params.model_name")

@@ -333,3 +333,110 @@ def balanced_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _sample_base(spark, sf_dir)
     return balanced_sample(base, "true_label", PER_CLASS, ["size_group"], seed=SAMPLE_SEED,
                            columns=["example_id", "review", "true_label"])
+
+
+# ------------------------------------------------------------------ run log (derived from documents)
+
+
+@register("run_search")
+def run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.plans.runs import wide_runs
+
+    return wide_runs(spark, sf_dir)
+
+
+@register("orphan_runs")
+def orphan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.plans.runs import derived_run_tables
+    from evalspark.sources.runlog import find_orphan_runs
+
+    return find_orphan_runs(derived_run_tables(spark, sf_dir))
+
+
+@register("comparable_runs")
+def comparable_runs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.plans.runs import comparable
+    from evalspark.sources.runlog import c
+
+    return comparable(spark, sf_dir).select(
+        "run_id", c("tags.mlflow.runName"), c("params.model_name"), c("metrics.accuracy_score")
+    )
+
+
+@register("run_completeness")
+def run_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.plans.runs import comparable
+    from evalspark.sources.runlog import group_sizes
+
+    return group_sizes(comparable(spark, sf_dir))
+
+
+@register("run_models")
+def run_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.plans.runs import wide_runs
+    from evalspark.sources.runlog import MODEL, RUN_NAME, c
+
+    return wide_runs(spark, sf_dir).groupBy(c(MODEL)).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.countDistinct(c(RUN_NAME)).alias("n_run_names")
+    )
+
+
+@register("best_worst")
+def best_worst_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import best_worst
+    from evalspark.plans.runs import comparable
+
+    runs = comparable(spark, sf_dir).select(
+        "run_id",
+        F.col("`params.model_name`").alias("model"),
+        F.col("`tags.mlflow.runName`").alias("run_name"),
+        F.col("`metrics.accuracy_score`").alias("accuracy"),
+        F.col("`metrics.median_processing_time`").alias("median_processing_time"),
+    )
+    return best_worst(runs, "model", "accuracy", ["run_name", "median_processing_time"], tiebreak="run_id")
+
+
+@register("boxplot")
+def boxplot_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import boxplot_table
+    from evalspark.plans.runs import comparable
+
+    runs = comparable(spark, sf_dir).select(
+        F.col("`params.model_name`").alias("model"), F.col("`metrics.accuracy_score`").alias("accuracy")
+    )
+    return boxplot_table(runs, "model", "accuracy")
+
+
+@register("metric_pairs")
+def metric_pairs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.frames import metric_pairs
+    from evalspark.plans.runs import PAIR_COLS, comparable
+
+    return metric_pairs(comparable(spark, sf_dir), "params.model_name", "metrics.accuracy_score", PAIR_COLS)
+
+
+@register("metric_correlations")
+def metric_correlations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.frames import metric_correlations, metric_pairs
+    from evalspark.plans.runs import PAIR_COLS, comparable
+
+    pairs = metric_pairs(comparable(spark, sf_dir), "params.model_name", "metrics.accuracy_score", PAIR_COLS)
+    out = metric_correlations(pairs, "params.model_name")
+    return out.withColumn("corr", F.round("corr", 10))
+
+
+def _long(spark: SparkSession, sf_dir: str, order: str) -> DataFrame:
+    from evalspark.operators.frames import long_runs
+    from evalspark.plans.runs import BAR_COLS, LINE_COLS, comparable
+
+    return long_runs(comparable(spark, sf_dir), "params.model_name", "tags.mlflow.runName", LINE_COLS, BAR_COLS, order)
+
+
+@register("long_runs_aabb")
+def long_runs_aabb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir, "aabb")
+
+
+@register("long_runs_abab")
+def long_runs_abab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(spark, sf_dir, "abab")
