@@ -426,3 +426,68 @@ def _long_sql(criterion: str, label: str) -> str:
 
 ORACLE["long_runs_aabb"] = _long_sql("params.model_name", "tags.mlflow.runName")
 ORACLE["long_runs_abab"] = _long_sql("tags.mlflow.runName", "params.model_name")
+
+
+# ------------------------------------------------------------------ comparing runs
+
+def _multi_preds_sql() -> str:
+    from evalspark.plans.queries import PAIR_SHIFTS
+
+    runs = " UNION ALL ".join(f"SELECT 'stub-shift{s}' AS run_id, {s} AS shift" for s in PAIR_SHIFTS)
+    return (
+        f"{CORPUS_CTE}, grid AS ({runs}), cg AS (SELECT corpus.*, grid.* FROM corpus, grid), "
+        f"{preds_cte(shift='shift', source='cg')}, "
+        "c AS (SELECT run_id, example_id, CAST(coalesce(label = true_label, false) AS INTEGER) AS ok FROM preds), "
+        "pairs AS (SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS n, "
+        "count(*) FILTER (WHERE a.ok = 1 AND b.ok = 0) AS ab, count(*) FILTER (WHERE a.ok = 0 AND b.ok = 1) AS ba "
+        "FROM c a JOIN c b ON a.example_id = b.example_id AND a.run_id < b.run_id GROUP BY 1, 2), "
+        "pc AS (SELECT run_a, run_b, n, CAST(ab AS DOUBLE) / nullif(n, 0) AS p_a_not_b, CAST(ba AS DOUBLE) / nullif(n, 0) "
+        "AS p_b_not_a, CAST(ab - ba AS DOUBLE) / nullif(n, 0) AS accuracy_diff FROM pairs)"
+    )
+
+
+ORACLE["paired_comparison"] = (
+    f"WITH {_multi_preds_sql()} SELECT *, p_a_not_b + p_b_not_a AS variance FROM pc"
+)
+
+
+def _required_n_sql() -> str:
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(1 - 0.05 / 2) + NormalDist().inv_cdf(0.9)
+    k = z * z / (0.03 * 0.03)
+    return (
+        f"WITH {_multi_preds_sql()} SELECT run_a, run_b, p_a_not_b + p_b_not_a AS variance, "
+        f"CAST(ceil(CAST({k!r} AS DOUBLE) * (p_a_not_b + p_b_not_a)) AS BIGINT) AS required_n FROM pc"
+    )
+
+
+ORACLE["required_n"] = _required_n_sql()
+
+
+def _grid_sql() -> str:
+    from evalspark.plans.queries import GRID
+
+    rows = " UNION ALL ".join(
+        f"SELECT {q(p['run_id'])} AS run_id, CAST({p['temperature']!r} AS DOUBLE) AS temperature, "
+        f"{int(p['top_k'])} AS top_k, CAST({p['top_p']!r} AS DOUBLE) AS top_p"
+        for p in GRID
+    )
+    shift = "(top_k + CAST(round(temperature * 10) AS INTEGER) + CAST(round(top_p * 100) AS INTEGER))"
+    return (
+        f"WITH {CORPUS_CTE}, grid AS ({rows}), cg AS (SELECT corpus.*, grid.* FROM corpus, grid), "
+        f"{preds_cte(shift=shift, source='cg')} "
+        f"SELECT run_id, temperature, top_k, top_p, {metrics_sql()} FROM preds GROUP BY ALL"
+    )
+
+
+ORACLE["grid_eval"] = _grid_sql()
+
+
+# ------------------------------------------------------------------ topic exploration
+
+ORACLE["token_normalize"] = (
+    "SELECT doc_id, array_to_string(list_transform(list_filter(list_transform("
+    f"{words_sql('text')}, x -> regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
+    "x -> regexp_full_match(x, '\\p{L}+')), x -> lower(x)), ' ') AS tokens FROM documents"
+)

@@ -440,3 +440,136 @@ def long_runs_aabb(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("long_runs_abab")
 def long_runs_abab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, "abab")
+
+
+# ------------------------------------------------------------------ comparing runs
+
+PAIR_SHIFTS = (0, 1, 3)  # three stub "models" over the same labelled examples
+
+
+def _multi_run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled corpus scored by several stub runs in ONE pass: the run list is exploded in place
+    (no join), key ``(run_id, example_id)``."""
+    corpus = labelled_corpus(spark, sf_dir)
+    runs = infer.explode_grid(corpus, [{"run_id": f"stub-shift{s}", "shift": s} for s in PAIR_SHIFTS])
+    return infer.score_stub(runs, fields={"review": F.col("review")}, shift=F.col("shift"), keep=("run_id", "true_label"))
+
+
+@register("paired_comparison")
+def paired_comparison_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.compare import correctness, paired_comparison
+
+    scored = correctness(_multi_run_predictions(spark, sf_dir))
+    return paired_comparison(scored, [f"stub-shift{s}" for s in PAIR_SHIFTS])
+
+
+@register("required_n")
+def required_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.compare import correctness, paired_comparison, with_required_n
+
+    scored = correctness(_multi_run_predictions(spark, sf_dir))
+    pairs = paired_comparison(scored, [f"stub-shift{s}" for s in PAIR_SHIFTS])
+    return with_required_n(pairs, mu=0.03, alpha=0.05, power=0.9).select("run_a", "run_b", "variance", "required_n")
+
+
+GRID = infer.parameter_grid(temperature=[0.2, 0.5, 0.8], top_k=[20, 40, 80], top_p=[0.9, 0.95, 1.0])
+
+
+def grid_shift():
+    """The stub's answer depends on the sampling parameters (they reach the predictor, unlike Q4)."""
+    return F.col("top_k") + F.round(F.col("temperature") * 10).cast("int") + F.round(F.col("top_p") * 100).cast("int")
+
+
+@register("grid_eval")
+def grid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-3 + INF-5: every labelled example under each of 27 parameter points, evaluated per run in
+    one aggregate (``by=[run_id, ...]``)."""
+    corpus = labelled_corpus(spark, sf_dir)
+    runs = infer.explode_grid(corpus, GRID)
+    scored = infer.score_stub(
+        runs, fields={"review": F.col("review")}, shift=grid_shift(),
+        keep=("run_id", "temperature", "top_k", "top_p", "true_label"),
+    )
+    return evaluate(scored, by=["run_id", "temperature", "top_k", "top_p"])
+
+
+# ------------------------------------------------------------------ topic exploration (MLlib)
+
+K_VALUES = list(range(5, 201, 5))  # the reference's sweep
+
+
+@register("token_normalize")
+def token_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.topics import normalize_tokens
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(normalize_tokens("text"), " ").alias("tokens"))
+
+
+def _bow(spark: SparkSession, sf_dir: str):
+    from evalspark.operators.topics import bag_of_words, normalize_tokens
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", normalize_tokens("text").alias("tokens"))
+    return bag_of_words(docs, "tokens", min_df=5, max_df=0.98)
+
+
+@register("bag_of_words")
+def bag_of_words_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    bow, model = _bow(spark, sf_dir)
+    arr = vector_to_array("counts")
+    return bow.select(
+        "doc_id",
+        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).cast("bigint").alias("n_terms"),
+        F.size(F.filter(arr, lambda x: x > 0)).alias("n_distinct_terms"),
+        F.lit(len(model.vocabulary)).alias("vocabulary_size"),
+    )
+
+
+@register("topics")
+def topics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    from evalspark.operators.topics import topics
+
+    bow, _ = _bow(spark, sf_dir)
+    out, _ = topics(bow, "counts", k=50, seed=42)
+    arr = vector_to_array("topic_vec")
+    return out.select(
+        "doc_id",
+        F.array_position(arr, F.array_max(arr)).cast("int").alias("top_topic"),
+        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).alias("topic_mass"),
+    )
+
+
+def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    from evalspark.sources.tables import table
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector("embedding").alias("features"))
+
+
+@register("k_sweep")
+def k_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.topics import k_sweep
+
+    vecs = _embedding_vectors(spark, sf_dir)
+    n = vecs.count()
+    return k_sweep(vecs, "features", [k for k in K_VALUES if k < n])
+
+
+@register("cluster_crosstab")
+def cluster_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best k of the sweep, refit, then counts by (cluster, label) unstacked on label."""
+    from evalspark.operators.stats import crosstab
+    from evalspark.operators.topics import assign_clusters, best_k
+
+    scores = k_sweep_q(spark, sf_dir)
+    k = best_k(scores).first()["best_k"]
+    vecs = _embedding_vectors(spark, sf_dir)
+    labels = [r[0] for r in vecs.select("label").distinct().orderBy("label").collect()]  # few classes
+    return crosstab(assign_clusters(vecs, "features", k), "cluster", "label", labels, prefix="label_")
