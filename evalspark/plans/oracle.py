@@ -488,6 +488,6 @@ ORACLE["grid_eval"] = _grid_sql()
 
 ORACLE["token_normalize"] = (
     "SELECT doc_id, array_to_string(list_transform(list_filter(list_transform("
-    f"{words_sql('text')}, x -> regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
-    "x -> regexp_full_match(x, '\\p{L}+')), x -> lower(x)), ' ') AS tokens FROM documents"
+    f"{words_sql('text')}, lambda x: regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
+    "lambda x: regexp_full_match(x, '\\p{L}+')), lambda x: lower(x)), ' ') AS tokens FROM documents"
 )
