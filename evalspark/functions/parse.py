@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import PY_WHITESPACE, WORD_PATTERN
+from evalspark.functions.text import SPARK_WHITESPACE, SPARK_WORD
 
 # The answer words of the sentiment task and the default pruning pattern.
 DEFAULT_MAPPING: dict[str, int] = {"negative": 1, "positive": 0}
@@ -62,8 +62,8 @@ def _parse_pruned(raw: Column, mapping: Mapping[str, int], prune: str, ignore_ca
         stripped = F.trim(pruned)
         multi = F.instr(stripped, " ") > 0
     else:
-        stripped = F.regexp_replace(pruned, F.lit(f"^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$"), F.lit(""))
-        multi = F.regexp_count(stripped, F.lit(WORD_PATTERN)) > 1
+        stripped = F.regexp_replace(pruned, F.lit(f"^[{SPARK_WHITESPACE}]+|[{SPARK_WHITESPACE}]+$"), F.lit(""))
+        multi = F.regexp_count(stripped, F.lit(SPARK_WORD)) > 1
     key = F.lower(stripped) if ignore_case else stripped
     table = {(k.lower() if ignore_case else k): v for k, v in mapping.items()}
     mapped = map_values(key, table, "int")

@@ -33,12 +33,16 @@ def stub_response(key: str | Column, shift: int | Column = 0) -> Column:
     return F.element_at(F.array(*[F.lit(r) for r in STUB_RESPONSES]), idx)
 
 
-def stub_outputs(prompt: Column, key: str | Column, n_chars: Column, shift: int | Column = 0) -> list[Column]:
-    """The predictor output columns: response, input/output token counts and elapsed seconds."""
+def stub_outputs(prompt: Column | None, key: str | Column, n_chars: Column, shift: int | Column = 0,
+                 input_tokens: Column | None = None) -> list[Column]:
+    """The predictor output columns: response, input/output token counts and elapsed seconds.
+
+    ``input_tokens`` passes a prompt word count computed upstream (once per example, before a grid of
+    runs multiplies the rows)."""
     response = stub_response(key, shift)
     return [
         response.alias("output_string"),
-        word_count(prompt).alias("input_token_count"),
+        (input_tokens if input_tokens is not None else word_count(prompt)).alias("input_token_count"),
         word_count(response).alias("output_token_count"),
         (n_chars / F.lit(1000.0)).alias("elapsed_time"),
     ]

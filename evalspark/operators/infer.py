@@ -55,12 +55,17 @@ def score_stub(
     shift: int | Column = 0,
     keep: Sequence[str] = ("true_label",),
     parser: Column | None = None,
+    input_tokens: Column | None = None,
 ) -> DataFrame:
-    """INF-1 with the SQL-expressible stub predictor (tests, oracle queries, benchmark)."""
+    """INF-1 with the SQL-expressible stub predictor (tests, oracle queries, benchmark).
+
+    ``input_tokens`` replaces the prompt word count with a column computed upstream."""
     fields = dict(fields or {})
-    validate_prompt_fields(template, [f for f in fields] or [c for c in df.columns if c in ("review",)])
-    prompt = render_prompt(template, fields)
-    out = df.select(key, *keep, *stub_outputs(prompt, key, F.col("n_chars"), shift))
+    prompt = None
+    if input_tokens is None:
+        validate_prompt_fields(template, [f for f in fields] or [c for c in df.columns if c in ("review",)])
+        prompt = render_prompt(template, fields)
+    out = df.select(key, *keep, *stub_outputs(prompt, key, F.col("n_chars"), shift, input_tokens))
     return with_parsed(out, parser)
 
 
@@ -126,6 +131,16 @@ def score(
     return with_parsed(scored, parser)
 
 
+def prompt_tokens(df: DataFrame, template: str = DEFAULT_TEMPLATE, fields: Mapping[str, str | Column] | None = None,
+                  out: str = "input_token_count") -> DataFrame:
+    """Word count of the rendered prompt, once per example (the prompt does not depend on run params)."""
+    from evalspark.functions.text import word_count
+
+    fields = dict(fields or {})
+    validate_prompt_fields(template, list(fields) or ["review"])
+    return df.withColumn(out, word_count(render_prompt(template, fields)))
+
+
 def parameter_grid(**axes: Iterable) -> list[dict]:
     """``itertools.product`` of named parameter lists, each point with a stable ``run_id``."""
     import itertools

@@ -138,6 +138,7 @@ def stratified_split(
     seed: int = 42,
     within: Sequence[str] | None = None,
     min_stratum: int = 2,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Mark every row with ``_in_sample``: exact proportional quotas per stratum.
 
@@ -145,7 +146,14 @@ def stratified_split(
     balanced per-class sample). Strata columns must not hold NULL (checked).
     """
     strata = list(strata)
-    sizes = stratum_sizes(df, strata)
+    # The threshold search scans its input several times; it only needs (strata, id), so that narrow
+    # projection is derived once and cut from its lineage (reliable checkpoint in the shared folder).
+    keyed = df.select(*strata, F.col(id_col).alias("_id"))
+    if checkpoint:
+        from evalspark.session import materialize
+
+        keyed = materialize(keyed)
+    sizes = stratum_sizes(keyed, strata)
     if within:
         within = list(within)
         idx = [strata.index(c) for c in within]
@@ -156,8 +164,11 @@ def stratified_split(
             quotas.update(largest_remainder(sub, _n_for(n, sum(sub.values())), min_stratum))
     else:
         quotas = largest_remainder(sizes, _n_for(n, sum(sizes.values())), min_stratum)
-    thresholds = sample_thresholds(df, strata, id_col, seed, quotas)
-    return _membership(df, strata, id_col, seed, thresholds)
+    thresholds = sample_thresholds(keyed, strata, "_id", seed, quotas)
+    # at most one row per stratum (stratum count checked above): bring it back once instead of
+    # re-deriving it inside the broadcast of the final pass
+    small = df.sparkSession.createDataFrame(thresholds.collect(), thresholds.schema)
+    return _membership(df, strata, id_col, seed, small)
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | float, id_col: str = "example_id",

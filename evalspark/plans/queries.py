@@ -255,11 +255,20 @@ def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", word_count("text").alias("n_words"))
 
 
+def _words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, n_words)`` derived once (one regex pass over the text) and checkpointed: the
+    histogram needs two passes (range, counts) and the sample design several; they read this narrow
+    table instead of re-splitting every document."""
+    from evalspark.session import materialize
+
+    return materialize(_doc_words(spark, sf_dir))
+
+
 @register("length_histogram")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.stats import histogram
 
-    return histogram(_doc_words(spark, sf_dir), "n_words", bins=100)
+    return histogram(_words_table(spark, sf_dir), "n_words", bins=100)
 
 
 @register("length_histogram_by_class")
@@ -277,18 +286,20 @@ SIZE_BINS = 100
 SIZE_MIN_COUNT = 100  # populous bin = more than 100 rows (the reference's threshold)
 
 
-def with_size_groups(spark: SparkSession, sf_dir: str, df: DataFrame, words_col: str) -> DataFrame:
+def with_size_groups(spark: SparkSession, sf_dir: str, df: DataFrame, words_col: str,
+                     words_table: DataFrame | None = None) -> DataFrame:
     from evalspark.operators.stats import size_groups
 
-    col, _ = size_groups(_doc_words(spark, sf_dir), "n_words", SIZE_BINS, SIZE_MIN_COUNT)
+    words = words_table if words_table is not None else _words_table(spark, sf_dir)
+    col, _ = size_groups(words, "n_words", SIZE_BINS, SIZE_MIN_COUNT)
     # ``col`` digitizes the named column ``n_words`` against the corpus edges.
     return df.withColumn("n_words", F.col(words_col)).withColumn("size_group", col)
 
 
 @register("size_groups")
 def size_groups_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _doc_words(spark, sf_dir)
-    return with_size_groups(spark, sf_dir, words, "n_words").select("doc_id", "n_words", "size_group")
+    words = _words_table(spark, sf_dir)
+    return with_size_groups(spark, sf_dir, words, "n_words", words).select("doc_id", "n_words", "size_group")
 
 
 @register("length_quantiles")
@@ -305,9 +316,20 @@ SAMPLE_FRACTION = 0.25  # the reference drew 10,000 of 40,000 rows
 PER_CLASS = 25  # rows per class in the balanced sample (the smallest class of sf0.01 holds 58)
 
 
-def _sample_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = labelled_corpus(spark, sf_dir, extra=()).withColumn("_w", word_count("review"))
-    return with_size_groups(spark, sf_dir, corpus, "_w").drop("_w", "n_words")
+def _sample_base(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """Labelled examples with their size group. Word counts come from the checkpointed narrow table
+    (no second pass over the text); the text is joined back only when the output needs it."""
+    from evalspark.sources.tables import table
+
+    words = _words_table(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("true_label"))
+    base = labels.join(words.select(F.col("doc_id").alias("example_id"), F.col("n_words").alias("_w")), "example_id")
+    base = with_size_groups(spark, sf_dir, base, "_w", words).drop("_w", "n_words")
+    if with_text:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("review"))
+        base = base.join(docs, "example_id")
+    return base
 
 
 @register("stratified_sample")
@@ -330,7 +352,7 @@ def sample_complement_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.sampling import balanced_sample
 
-    base = _sample_base(spark, sf_dir)
+    base = _sample_base(spark, sf_dir, with_text=True)
     return balanced_sample(base, "true_label", PER_CLASS, ["size_group"], seed=SAMPLE_SEED,
                            columns=["example_id", "review", "true_label"])
 
@@ -450,9 +472,11 @@ PAIR_SHIFTS = (0, 1, 3)  # three stub "models" over the same labelled examples
 def _multi_run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled corpus scored by several stub runs in ONE pass: the run list is exploded in place
     (no join), key ``(run_id, example_id)``."""
-    corpus = labelled_corpus(spark, sf_dir)
-    runs = infer.explode_grid(corpus, [{"run_id": f"stub-shift{s}", "shift": s} for s in PAIR_SHIFTS])
-    return infer.score_stub(runs, fields={"review": F.col("review")}, shift=F.col("shift"), keep=("run_id", "true_label"))
+    corpus = infer.prompt_tokens(labelled_corpus(spark, sf_dir), fields={"review": F.col("review")})
+    per_example = corpus.select("example_id", "true_label", "n_chars", "input_token_count")
+    runs = infer.explode_grid(per_example, [{"run_id": f"stub-shift{s}", "shift": s} for s in PAIR_SHIFTS])
+    return infer.score_stub(runs, shift=F.col("shift"), keep=("run_id", "true_label"),
+                            input_tokens=F.col("input_token_count"))
 
 
 @register("paired_comparison")
@@ -484,11 +508,12 @@ def grid_shift():
 def grid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-3 + INF-5: every labelled example under each of 27 parameter points, evaluated per run in
     one aggregate (``by=[run_id, ...]``)."""
-    corpus = labelled_corpus(spark, sf_dir)
-    runs = infer.explode_grid(corpus, GRID)
+    corpus = infer.prompt_tokens(labelled_corpus(spark, sf_dir), fields={"review": F.col("review")})
+    per_example = corpus.select("example_id", "true_label", "n_chars", "input_token_count")
+    runs = infer.explode_grid(per_example, GRID)
     scored = infer.score_stub(
-        runs, fields={"review": F.col("review")}, shift=grid_shift(),
-        keep=("run_id", "temperature", "top_k", "top_p", "true_label"),
+        runs, shift=grid_shift(), keep=("run_id", "temperature", "top_k", "top_p", "true_label"),
+        input_tokens=F.col("input_token_count"),
     )
     return evaluate(scored, by=["run_id", "temperature", "top_k", "top_p"])
 
