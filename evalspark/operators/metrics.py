@@ -29,6 +29,9 @@ class MetricInputs:
     elapsed: str = "elapsed_time"
     exact: bool = True
     accuracy: int = 10000  # percentile_approx accuracy when exact=False
+    # "map": Spark's exact median (value -> count map per group; right for token counts);
+    # "distributed": exact with bounded memory per task (continuous values of huge runs), extra passes.
+    median_mode: str = "map"
 
     @property
     def y(self) -> Column:
@@ -47,10 +50,15 @@ class MetricInputs:
 
 @dataclass(frozen=True)
 class Metric:
-    """A named aggregate: ``build(MetricInputs) -> Column``."""
+    """A named aggregate: ``build(MetricInputs) -> Column``; medians also name their input expression."""
 
     name: str
     build: Callable[[MetricInputs], Column]
+    median_of: Callable[[MetricInputs], Column] | None = None
+
+
+def _median_metric(name: str, expr: Callable[[MetricInputs], Column]) -> Metric:
+    return Metric(name, lambda m: m.median(expr(m)), expr)
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -69,17 +77,17 @@ false_positive_rate = Metric(
 precision = Metric("precision", lambda m: _ratio(F.count_if((m.p == 0) & (m.y == 0)), F.count_if(m.p == 0)))
 recall = Metric("recall", _recall)
 false_negative_rate = Metric("false_negative_rate", lambda m: F.lit(1.0) - _recall(m))
-median_query_token_count = Metric("median_query_token_count", lambda m: m.median(F.col(m.input_tokens)))
-median_response_token_count = Metric("median_response_token_count", lambda m: m.median(F.col(m.output_tokens)))
-median_processing_time = Metric("median_processing_time", lambda m: m.median(F.col(m.elapsed)))
+median_query_token_count = _median_metric("median_query_token_count", lambda m: F.col(m.input_tokens))
+median_response_token_count = _median_metric("median_response_token_count", lambda m: F.col(m.output_tokens))
+median_processing_time = _median_metric("median_processing_time", lambda m: F.col(m.elapsed))
 # Reference quirk kept under its name: output tokens are counted twice and input tokens not at all.
-median_tokens_per_second = Metric(
+median_tokens_per_second = _median_metric(
     "median_tokens_per_second",
-    lambda m: m.median((F.col(m.output_tokens) + F.col(m.output_tokens)) / (F.col(m.elapsed) + F.lit(1e-9))),
+    lambda m: (F.col(m.output_tokens) + F.col(m.output_tokens)) / (F.col(m.elapsed) + F.lit(1e-9)),
 )
-median_total_tokens_per_second = Metric(
+median_total_tokens_per_second = _median_metric(
     "median_total_tokens_per_second",
-    lambda m: m.median((F.col(m.input_tokens) + F.col(m.output_tokens)) / (F.col(m.elapsed) + F.lit(1e-9))),
+    lambda m: (F.col(m.input_tokens) + F.col(m.output_tokens)) / (F.col(m.elapsed) + F.lit(1e-9)),
 )
 hallucination_rate = Metric(
     "hallucination_rate", lambda m: _ratio(F.count_if(F.col(m.is_hallucination)), F.count(F.lit(1)))
@@ -136,12 +144,32 @@ def evaluate(
     """All metrics in one aggregate; one row per ``by`` group (one row overall when ``by`` is empty).
 
     ``n`` (rows evaluated) is kept so runs over different sample sizes are never compared silently.
+    With ``MetricInputs(median_mode="distributed")`` the medians come from ``distributed_median``
+    (bounded memory per task, a few extra passes) and are joined to the one-pass aggregate on ``by``.
     """
-    cols = metric_columns(metrics, inputs)
+    inputs = inputs or MetricInputs()
+    chosen = resolve(metrics)
+    names = [m.name for m in chosen]
+    split = inputs.median_mode == "distributed" and inputs.exact
+    one_pass = [m for m in chosen if not (split and m.median_of is not None)]
+    cols = [m.build(inputs).alias(m.name) for m in one_pass]
     if with_count:
         cols.append(F.count(F.lit(1)).alias("n"))
     grouped = joined.groupBy(*by) if by else joined.groupBy()
-    return grouped.agg(*cols)
+    out = grouped.agg(*cols) if cols else joined.select(*by).distinct()
+    if split:
+        from evalspark.operators.quantiles import distributed_median
+
+        for m in chosen:
+            if m.median_of is None:
+                continue
+            med = distributed_median(joined, m.median_of(inputs), by, out=m.name)
+            if by:
+                out = out.join(med, list(by), "left")
+            else:  # one row: attach the value as a literal (a bounded round trip, no cross join)
+                out = out.withColumn(m.name, F.lit(med.first()[m.name]).cast("double"))
+        out = out.select(*by, *names, *(["n"] if with_count else []))
+    return out
 
 
 def attach_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = ("example_id",)) -> DataFrame:
