@@ -29,9 +29,11 @@ class MetricInputs:
     elapsed: str = "elapsed_time"
     exact: bool = True
     accuracy: int = 10000  # percentile_approx accuracy when exact=False
-    # "map": Spark's exact median (value -> count map per group; right for token counts);
-    # "distributed": exact with bounded memory per task (continuous values of huge runs), extra passes.
-    median_mode: str = "map"
+    # "map": Spark's exact median (a value -> count map per group, merged in one task: bounded only when
+    #        the input has few distinct values, e.g. token counts);
+    # "distributed": exact with bounded memory per task (continuous values of huge runs), extra passes;
+    # "auto": "map" for integral inputs, "distributed" for fractional ones.
+    median_mode: str = "auto"
 
     @property
     def y(self) -> Column:
@@ -150,28 +152,52 @@ def evaluate(
     inputs = inputs or MetricInputs()
     chosen = resolve(metrics)
     names = [m.name for m in chosen]
-    split = inputs.median_mode == "distributed" and inputs.exact
-    one_pass = [m for m in chosen if not (split and m.median_of is not None)]
+    separate = [m for m in chosen if m.median_of is not None and _distributed(joined, m, inputs)]
+    source = joined
+    if separate:
+        # several passes follow (aggregate + median levels): derive the narrow metric inputs once
+        from evalspark.session import materialize
+
+        wanted = [*by, inputs.truth, inputs.label, inputs.is_hallucination, inputs.is_wrong_format,
+                  inputs.input_tokens, inputs.output_tokens, inputs.elapsed]
+        source = materialize(joined.select(*[c for c in dict.fromkeys(wanted) if c in joined.columns]))
+    one_pass = [m for m in chosen if m not in separate]
     cols = [m.build(inputs).alias(m.name) for m in one_pass]
     if with_count:
         cols.append(F.count(F.lit(1)).alias("n"))
-    grouped = joined.groupBy(*by) if by else joined.groupBy()
-    out = grouped.agg(*cols) if cols else joined.select(*by).distinct()
-    if split:
+    grouped = source.groupBy(*by) if by else source.groupBy()
+    out = grouped.agg(*cols) if cols else source.select(*by).distinct()
+    if separate:
         from evalspark.operators.quantiles import distributed_median
 
-        for m in chosen:
-            if m.median_of is None:
-                continue
-            med = distributed_median(joined, m.median_of(inputs), by, out=m.name)
-            if by:
-                out = out.join(med, list(by), "left")
-            else:  # one row: attach the value as a literal (a bounded round trip, no cross join)
-                out = out.withColumn(m.name, F.lit(med.first()[m.name]).cast("double"))
+        # all continuous medians in one refinement: the metric name is one more group key
+        sep = [m.name for m in separate]
+        wide = source.select(*by, *[m.median_of(inputs).cast("double").alias(m.name) for m in separate])
+        long = wide.unpivot(list(by), sep, "_metric", "_v")
+        med = distributed_median(long, "_v", [*by, "_metric"], out="_med", checkpoint=False,
+                                 keep_empty_groups=False)
+        if by:
+            med = med.groupBy(*by).pivot("_metric", sep).agg(F.first("_med"))
+            out = out.join(med, list(by), "left")
+        else:  # one row per metric: attach the values as literals (bounded round trip, no cross join)
+            vals = {r["_metric"]: r["_med"] for r in med.collect()}
+            for name in sep:
+                out = out.withColumn(name, F.lit(vals.get(name)).cast("double"))
         out = out.select(*by, *names, *(["n"] if with_count else []))
     return out
 
 
+def _distributed(df: DataFrame, m: Metric, inputs: MetricInputs) -> bool:
+    if not inputs.exact or inputs.median_mode == "map":
+        return False
+    if inputs.median_mode == "distributed":
+        return True
+    from pyspark.sql.types import IntegralType
+
+    dtype = df.select(m.median_of(inputs).alias("_m")).schema["_m"].dataType
+    return not isinstance(dtype, IntegralType)
+
+
 def attach_truth(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = ("example_id",)) -> DataFrame:
     """JOIN-1: truth x prediction on the explicit example key (replaces pandas' positional alignment).
 

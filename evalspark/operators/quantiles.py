@@ -33,8 +33,10 @@ def distributed_median(
     cell_limit: int = 100_000,
     max_levels: int = 12,
     checkpoint: bool = True,
+    keep_empty_groups: bool = True,
 ) -> DataFrame:
-    """One row per group: ``by..., out`` (NULL for a group without values). NaN counts as missing."""
+    """One row per group: ``by..., out`` (NULL for a group without values, unless
+    ``keep_empty_groups=False`` drops such groups and saves a pass). NaN counts as missing."""
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
     whole = not by
@@ -81,8 +83,7 @@ def distributed_median(
         F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count(F.lit(1)).alias("_k"))
     res = med.select(*by, F.when(F.col("_k") == 1, F.col("_a")).otherwise(
         F.lit(0.5) * F.col("_a") + F.lit(0.5) * F.col("_b")).alias(out))
-    groups = df.select(*by).distinct()
-    result = groups.join(res, by, "left")
+    result = df.select(*by).distinct().join(res, by, "left") if keep_empty_groups or whole else res
     if whole:
         result = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(result, ["_all"], "left").drop("_all")
     return result

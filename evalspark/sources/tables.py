@@ -31,12 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA, id_col: str = "example_id"):
     """SRC-1: JSON-lines corpus with a fixed schema; a malformed line fails the job (FAILFAST).
 
-    A file without an id column gets one from its position inside the source file
-    (``_metadata.file_path`` + line offset is stable across re-reads); every later step keys on it.
+    A file without an id column gets ``monotonically_increasing_id()``: stable for the same files and
+    split size, not across re-layouts. Supply an id column when results must be repeatable anywhere;
+    every later step keys on it.
     """
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    if id_col in df.columns and id_col in [f.name for f in schema.fields]:
-        return df
+    if id_col in df.columns:
+        return df.withColumn(id_col, F.coalesce(F.col(id_col), F.monotonically_increasing_id()))
     return df.withColumn(id_col, F.monotonically_increasing_id())
 
 

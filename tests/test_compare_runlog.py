@@ -86,3 +86,15 @@ def test_parquet_run_log_roundtrip(spark, tmpdir_path):
     comp = runlog.comparable_runs(runlog.cast_run_columns(wide))
     assert comp.count() == 14
     runlog.assert_complete_grid(comp)
+
+
+def test_strip_prefix_and_write_sample(spark, tmpdir_path):
+    from evalspark.sources.sinks import write_sample
+
+    df = spark.createDataFrame([("metrics.recall",), ("params.top_k",)], "name string")
+    assert [r.s for r in df.select(runlog.strip_prefix("name").alias("s")).collect()] == ["recall", "params.top_k"]
+    rows = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(30)], "example_id long, review string, label int")
+    out = os.path.join(tmpdir_path, "sample")
+    write_sample(rows, out, seed=5)
+    back = spark.read.json(out)
+    assert back.count() == 30 and set(back.columns) == {"review", "label"}

@@ -86,3 +86,25 @@ def test_stream_equals_batch(spark, tmpdir_path):
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*[F.col(c).cast("long") if c == "true_label" else c for c in cols]).collect())
     assert a == b and len(a) == 45
+
+
+def test_read_reviews_without_ids(spark, tmpdir_path):
+    from evalspark.sources.tables import read_prompt, read_reviews, validate_binary_label
+
+    path = os.path.join(tmpdir_path, "noid.json")
+    with open(path, "w") as f:
+        for i in range(5):
+            f.write(json.dumps({"review": f"r{i}", "label": i % 2}) + "\n")
+    df = read_reviews(spark, path)
+    ids = [r.example_id for r in df.collect()]
+    assert None not in ids and len(set(ids)) == 5
+    validate_binary_label(df)
+    bad = spark.createDataFrame([(1,), (2,)], "label int")
+    import pytest
+
+    with pytest.raises(ValueError):
+        validate_binary_label(bad)
+    p = os.path.join(tmpdir_path, "p.txt")
+    with open(p, "w") as f:
+        f.write("line one {review}\nline two\n")
+    assert read_prompt(spark, p) == "line one {review}\nline two\n"
