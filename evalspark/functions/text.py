@@ -31,7 +31,6 @@ def _col(c: str | Column) -> Column:
 
 
 WS_RUN = f"[{SPARK_WHITESPACE}]+"
-_ONE_WS = f"^[{SPARK_WHITESPACE}]$"
 
 
 def words(text: str | Column) -> Column:
@@ -44,12 +43,9 @@ def words(text: str | Column) -> Column:
 
 
 def word_count(text: str | Column) -> Column:
-    """``len(text.split())`` as bigint: pieces between whitespace runs, minus the empty edge pieces."""
-    t = _col(text)
-    pieces = F.size(F.split(t, WS_RUN))
-    lead = F.substring(t, 1, 1).rlike(_ONE_WS).cast("int")
-    trail = F.substring(t, -1, 1).rlike(_ONE_WS).cast("int")
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(pieces - lead - trail).cast("bigint")
+    """``len(text.split())`` as bigint. One reference to ``text``: when ``text`` is itself an expensive
+    expression outside codegen (a crop), it is evaluated once."""
+    return F.regexp_count(_col(text), F.lit(SPARK_WORD)).cast("bigint")
 
 
 def _part(size: int | float, n: Column, name: str) -> Column:

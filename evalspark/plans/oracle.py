@@ -136,7 +136,7 @@ def cot_response_sql() -> str:
     from evalspark.plans.queries import COT_MARKER as M
 
     resp = stub_response_sql("doc_id")
-    lead = "substring(text, 1, 60)"
+    lead = "text"
     return (
         f"CASE doc_id % 4 WHEN 0 THEN {lead} || {q(' ' + M + ' ')} || {resp} "
         f"WHEN 1 THEN {q(f'first {M} negative, but then {M} ')} || {resp} "

@@ -82,11 +82,12 @@ JSON_FIELDS = ("k",)
 
 
 def cot_response(doc_id: str = "doc_id", text: str = "text"):
-    """Chain-of-thought style answers: marker + answer, two markers, marker last, no marker."""
+    """Chain-of-thought style answers over the whole document as reasoning: marker + answer, two
+    markers, marker last, no marker."""
     from evalspark.functions.stub import stub_response
 
     resp = stub_response(doc_id)
-    lead = F.substring(F.col(text), 1, 60)
+    lead = F.col(text)
     m = F.col(doc_id) % 4
     return (
         F.when(m == 0, F.concat(lead, F.lit(f" {COT_MARKER} "), resp))
