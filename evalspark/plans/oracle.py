@@ -491,3 +491,25 @@ ORACLE["token_normalize"] = (
     f"{words_sql('text')}, lambda x: regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
     "lambda x: regexp_full_match(x, '\\p{L}+')), lambda x: lower(x)), ' ') AS tokens FROM documents"
 )
+
+
+# ------------------------------------------------------------------ scoring paths
+
+def _score_python_sql() -> str:
+    cues = ("bad", "worst", "terrible", "boring", "awful")
+    prompt = render_sql(DEFAULT_TEMPLATE, {"review": "review"})
+    cond = " OR ".join(f"contains(lower(prompt), {q(c)})" for c in cues)
+    return (
+        f"WITH {CORPUS_CTE}, p AS (SELECT example_id, true_label, {prompt} AS prompt FROM corpus), "
+        f"r AS (SELECT example_id, true_label, CASE WHEN {cond} THEN 'negative' ELSE 'positive' END AS output_string, "
+        f"{word_count_sql('prompt')} AS input_token_count FROM p) "
+        f"SELECT example_id, true_label, output_string, input_token_count, CAST(1 AS BIGINT) AS output_token_count, "
+        f"{parse_sql('output_string')} FROM r"
+    )
+
+
+ORACLE["score_python"] = _score_python_sql()
+ORACLE["stream_scores"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()} SELECT example_id, true_label, output_string, input_token_count, "
+    "output_token_count, elapsed_time, label, is_hallucination, is_wrong_format FROM preds"
+)

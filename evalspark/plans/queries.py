@@ -599,3 +599,36 @@ def cluster_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = _embedding_vectors(spark, sf_dir)
     labels = [r[0] for r in vecs.select("label").distinct().orderBy("label").collect()]  # few classes
     return crosstab(assign_clusters(vecs, "features", k), "cluster", "label", labels, prefix="label_")
+
+
+# ------------------------------------------------------------------ scoring paths: Python predictor, stream
+
+
+@register("score_python")
+def score_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF-1 through ``mapInPandas`` with a Python keyword predictor (elapsed time is measured, so it is
+    left out of the compared columns)."""
+    from evalspark.plans.jobs import keyword_predictor_factory
+
+    corpus = labelled_corpus(spark, sf_dir)
+    scored = infer.score(corpus, keyword_predictor_factory, fields={"review": F.col("review")}, keep=("true_label",))
+    return scored.drop("elapsed_time")
+
+
+@register("stream_scores")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1: the stub scoring plan run as a Structured Streaming query (availableNow) over the
+    documents file; returns the sink's contents."""
+    import os
+    import uuid
+
+    from evalspark.session import ensure_checkpoint_dir
+    from evalspark.streaming.score_stream import score_table_stream
+
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    q = score_table_stream(spark, sf_dir, out, ckpt)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"stream failed: {q.exception()}")
+    return spark.read.parquet(out)
