@@ -47,6 +47,10 @@ def paired_comparison(
     idx = {r: i for i, r in enumerate(runs)}
     wide = scored.groupBy(key).pivot(run_col, runs).agg(F.max(F.col(ok)))
     wide = wide.select(key, *[F.col(f"`{r}`").alias(f"r{idx[r]}") for r in runs])
+    if len(pairs) > MAX_PAIRS_PER_PASS:  # several passes read the pivot: derive it once
+        from evalspark.session import materialize
+
+        wide = materialize(wide)
 
     parts = []
     for start in range(0, len(pairs), MAX_PAIRS_PER_PASS):

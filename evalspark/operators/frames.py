@@ -18,10 +18,28 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def cumcount(df: DataFrame, by: str, order: Sequence[Column], out: str = "group_id") -> DataFrame:
-    """WIN-1: 0-based position of each row inside its ``by`` group, in an explicit order
-    (pandas ``cumcount`` uses row position; Spark rows have none)."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(c(by)).orderBy(*order)) - 1)
+def cumcount(df: DataFrame, by: str, order: Sequence[Column], out: str = "group_id", method: str = "sorted") -> DataFrame:
+    """WIN-1: 0-based position of each row inside its ``by`` group, in an explicit order (pandas
+    ``cumcount`` uses row position; Spark rows have none).
+
+    ``method="sorted"`` never puts a whole group in one task: a global range-partitioned sort, then
+    ``monotonically_increasing_id`` (partition index in the high bits, position in the low bits), the
+    row count of every (group, partition) pair (a small table) turned into offsets, and a join back.
+    ``method="window"`` is ``row_number() OVER (PARTITION BY by ...)`` for small tables.
+    """
+    if method == "window":
+        return df.withColumn(out, F.row_number().over(W.partitionBy(c(by)).orderBy(*order)) - 1)
+    from evalspark.session import materialize
+
+    low = (1 << 33) - 1
+    s = materialize(df.orderBy(c(by), *order).withColumn("_mid", F.monotonically_increasing_id()))
+    s = s.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(low)))
+    counts = s.groupBy(c(by).alias("_key"), "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
+    w = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).drop("_c")
+    j = s.join(offsets, c(by).eqNullSafe(F.col("_key")) & (s["_part"] == offsets["_part"]))
+    rank = (F.col("_before") + F.col("_pos") - F.col("_p0")).cast("int")
+    return j.select(*[s[f"`{x}`"] for x in df.columns], rank.alias(out))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "metric", value: str = "value") -> DataFrame:

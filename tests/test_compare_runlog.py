@@ -98,3 +98,15 @@ def test_strip_prefix_and_write_sample(spark, tmpdir_path):
     write_sample(rows, out, seed=5)
     back = spark.read.json(out)
     assert back.count() == 30 and set(back.columns) == {"review", "label"}
+
+
+def test_cumcount_sorted_equals_window(spark):
+    from evalspark.operators.frames import cumcount
+
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.lit("b")).otherwise(F.lit(None)).alias("g"),
+        (F.col("id") * 7919 % 3001).alias("k"),
+    ).repartition(7)
+    a = {(r.g, r.k): r.group_id for r in cumcount(df, "g", [F.col("k")], method="window").collect()}
+    b = {(r.g, r.k): r.group_id for r in cumcount(df, "g", [F.col("k")]).collect()}
+    assert a == b and len(b) == 3000
