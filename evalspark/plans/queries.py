@@ -150,24 +150,22 @@ def few_shot_examples(spark: SparkSession, sf_dir: str, per_class: int = 1):
     from evalspark.functions.parse import label_name
     from evalspark.operators.sampling import order_key
 
-    corpus = labelled_corpus(spark, sf_dir, extra=())
-    rows = []
-    for cls in (1, 0):
-        part = (
-            corpus.filter(F.col("true_label") == cls)
-            .select(label_name("true_label").alias("name"), crop_middle("review", 20, 20).alias("text"),
-                    order_key("example_id", FEW_SHOT_SEED).alias("_k"), "example_id")
-            .orderBy("_k", "example_id")
-            .limit(per_class)
-            .collect()
-        )
-        rows.append(part)
+    corpus = labelled_corpus(spark, sf_dir, extra=()).select(
+        "example_id", "true_label", "review", order_key("example_id", FEW_SHOT_SEED).alias("_k"))
+    # per class a bounded top-k (each task keeps k rows), both classes in one job; the crop runs on
+    # the chosen rows only
+    parts = [corpus.filter(F.col("true_label") == cls).orderBy("_k", "example_id").limit(per_class) for cls in (1, 0)]
+    chosen = parts[0].unionByName(parts[1])
+    rows = chosen.select("true_label", "_k", "example_id", label_name("true_label").alias("name"),
+                         crop_middle("review", 20, 20).alias("text")).collect()
+    by_class = {cls: sorted([r for r in rows if r["true_label"] == cls], key=lambda r: (r["_k"], r["example_id"]))
+                for cls in (1, 0)}
     # interleave: NEGATIVE, POSITIVE, NEGATIVE, ...
     out = []
     for i in range(per_class):
-        for part in rows:
-            if i < len(part):
-                out.append((part[i]["name"], part[i]["text"]))
+        for cls in (1, 0):
+            if i < len(by_class[cls]):
+                out.append((by_class[cls][i]["name"], by_class[cls][i]["text"]))
     return out
 
 
