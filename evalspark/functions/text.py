@@ -153,9 +153,13 @@ def escape_braces(text: str) -> str:
     return text.replace("{", "{{").replace("}", "}}")
 
 
+# Fixed value: the line format of an inlined few-shot example: - NAME (name): "text"
+FEW_SHOT_LINE = '- {upper} ({name}): "{text}"'
+
+
 def few_shot_block(examples: Iterable[tuple[str, str]]) -> str:
-    """The inlined example list ``- NAME (name): "text"`` (one line per example), braces escaped."""
-    lines = [f'- {name.upper()} ({name}): "{escape_braces(text)}"' for name, text in examples]
+    """The inlined example list, one ``FEW_SHOT_LINE`` per example, braces escaped."""
+    lines = [FEW_SHOT_LINE.format(upper=name.upper(), name=name, text=escape_braces(text)) for name, text in examples]
     return "\n".join(lines)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from evalspark.operators.metrics import METRIC_NAMES
 
 KINDS = ("runs", "metrics", "params", "tags", "artifacts")
+# The keys a run logs (params, tags) and the one text-valued param.
 PARAM_KEYS = ["model_name", "temperature", "top_k", "top_p"]
 TAG_KEYS = ["justification", "mlflow.runName"]
 TEXT_PARAMS = {"model_name"}
