@@ -37,7 +37,29 @@ def distributed_median(
 ) -> DataFrame:
     """One row per group: ``by..., out`` (NULL for a group without values, unless
     ``keep_empty_groups=False`` drops such groups and saves a pass). NaN counts as missing."""
+    return distributed_quantiles(df, value, by, [0.5], [out], buckets, cell_limit, max_levels, checkpoint,
+                                 keep_empty_groups)
+
+
+def distributed_quantiles(
+    df: DataFrame,
+    value: str | Column,
+    by: Sequence[str] = (),
+    probs: Sequence[float] = (0.5,),
+    outs: Sequence[str] | None = None,
+    buckets: int = 1 << 16,
+    cell_limit: int = 100_000,
+    max_levels: int = 12,
+    checkpoint: bool = True,
+    keep_empty_groups: bool = True,
+) -> DataFrame:
+    """Exact interpolated quantiles (Spark ``percentile`` semantics: position ``(n - 1) * p``, linear
+    between the neighbouring ranks, no interpolation between equal values), one column per ``p``."""
     by = list(by)
+    probs = [float(p) for p in probs]
+    outs = list(outs or [f"q{p}" for p in probs])
+    if any(not 0.0 <= p <= 1.0 for p in probs) or len(outs) != len(probs):
+        raise ValueError("probabilities must lie in [0, 1], one output name each")
     v = F.col(value) if isinstance(value, str) else value
     whole = not by
     if whole:  # one group: a constant key keeps every step an equi-join (no cross join)
@@ -49,7 +71,8 @@ def distributed_median(
         x = materialize(x)  # narrow (keys, value); scanned once per level
     keys = by + ["_rank"]
     stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)).cast("array<bigint>"))
+    pos = [(F.col("_n") - 1).cast("double") * F.lit(p) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(q), F.ceil(q)) for q in pos])).cast("array<bigint>"))
     state = stats.select(*by, "_n", F.explode(ranks).alias("_rank"), "_lo", "_hi",
                          F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_cnt"))
     state = _small(state)
@@ -67,22 +90,29 @@ def distributed_median(
             F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi"))
         w = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
         run = hist.withColumn("_cum", F.sum("_c").over(w))
-        pos = F.col("_rank") - F.col("_below")
-        hit = run.filter((F.col("_cum") - F.col("_c") <= pos) & (pos < F.col("_cum")))
+        rel = F.col("_rank") - F.col("_below")
+        hit = run.filter((F.col("_cum") - F.col("_c") <= rel) & (rel < F.col("_cum")))
         nxt = hit.select(*by, "_n", "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
                          (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"), F.col("_c").alias("_cnt"))
         state = _small(done.unionByName(nxt))
     # final: one distinct value -> it is the answer; otherwise rank the (bounded) rows of the interval
-    single = state.filter(F.col("_hi") == F.col("_lo")).select(*keys, F.col("_lo").alias("_v"))
+    single = state.filter(F.col("_hi") == F.col("_lo")).select(*keys, "_n", F.col("_lo").alias("_v"))
     multi = state.filter(F.col("_hi") > F.col("_lo"))
     cells = x.join(multi, by).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
     rn = F.row_number().over(W.partitionBy(*keys).orderBy("_x")) - 1
-    picked = cells.withColumn("_i", rn).filter(F.col("_i") == F.col("_rank") - F.col("_below")).select(*keys, F.col("_x").alias("_v"))
+    picked = cells.withColumn("_i", rn).filter(F.col("_i") == F.col("_rank") - F.col("_below")).select(
+        *keys, "_n", F.col("_x").alias("_v"))
     vals = single.unionByName(picked)
-    med = vals.groupBy(*by).agg(
-        F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count(F.lit(1)).alias("_k"))
-    res = med.select(*by, F.when(F.col("_k") == 1, F.col("_a")).otherwise(
-        F.lit(0.5) * F.col("_a") + F.lit(0.5) * F.col("_b")).alias(out))
+    # value at each rank -> one map per group, then Spark's interpolation per probability
+    per_group = vals.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    cols = []
+    for p, name in zip(probs, outs):
+        q = (F.col("_n") - 1).cast("double") * F.lit(p)
+        lo_r, hi_r = F.floor(q).cast("bigint"), F.ceil(q).cast("bigint")
+        a, b = F.element_at("_m", lo_r), F.element_at("_m", hi_r)
+        interp = (hi_r.cast("double") - q) * a + (q - lo_r.cast("double")) * b
+        cols.append(F.when((lo_r == hi_r) | (a == b), a).otherwise(interp).alias(name))
+    res = per_group.select(*by, *cols)
     result = df.select(*by).distinct().join(res, by, "left") if keep_empty_groups or whole else res
     if whole:
         result = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(result, ["_all"], "left").drop("_all")

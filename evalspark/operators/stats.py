@@ -34,18 +34,45 @@ def nan_to_null(c: str | Column) -> Column:
     return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def quantile_summary(df: DataFrame, c: str | Column, by: Sequence[str] = (), name: str = "x") -> DataFrame:
+def _use_distributed(df: DataFrame, c: str | Column, mode: str) -> bool:
+    """``"auto"``: Spark's exact percentile (a value -> count map per group) for integral inputs, whose
+    distinct values are few; the bounded-memory distributed quantiles for fractional inputs."""
+    if mode not in ("auto", "map", "distributed"):
+        raise ValueError("mode must be 'auto', 'map' or 'distributed'")
+    if mode != "auto":
+        return mode == "distributed"
+    from pyspark.sql.types import IntegralType
+
+    return not isinstance(df.select(_col(c).alias("_q")).schema["_q"].dataType, IntegralType)
+
+
+def _quartiles(df: DataFrame, c: str | Column, by: Sequence[str], names: Sequence[str], mode: str) -> DataFrame:
+    probs = [0.25, 0.5, 0.75]
+    if _use_distributed(df, c, mode):
+        from evalspark.operators.quantiles import distributed_quantiles
+
+        return distributed_quantiles(df, c, by, probs, names)
+    x = nan_to_null(c)
+    grouped = df.groupBy(*by) if by else df.groupBy()
+    q = grouped.agg(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def quantile_summary(df: DataFrame, c: str | Column, by: Sequence[str] = (), name: str = "x",
+                     mode: str = "auto") -> DataFrame:
     """AGG-15: n, min, max, quartiles (interpolated, exact) of one numeric expression per group."""
     x = nan_to_null(c)
     grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(
-        F.count(x).alias(f"n_{name}"),
-        F.min(x).alias(f"min_{name}"),
-        F.percentile(x, 0.25).alias(f"q1_{name}"),
-        F.median(x).alias(f"median_{name}"),
-        F.percentile(x, 0.75).alias(f"q3_{name}"),
-        F.max(x).alias(f"max_{name}"),
-    )
+    base = grouped.agg(F.count(x).alias(f"n_{name}"), F.min(x).alias(f"min_{name}"), F.max(x).alias(f"max_{name}"))
+    qs = _quartiles(df, c, by, [f"q1_{name}", f"median_{name}", f"q3_{name}"], mode)
+    if by:
+        out = base.join(qs, list(by), "left")
+    else:
+        row = qs.first()
+        out = base
+        for n in (f"q1_{name}", f"median_{name}", f"q3_{name}"):
+            out = out.withColumn(n, F.lit(row[n]).cast("double"))
+    return out.select(*by, f"n_{name}", f"min_{name}", f"q1_{name}", f"median_{name}", f"q3_{name}", f"max_{name}")
 
 
 # ------------------------------------------------------------------ histogram (numpy-exact equal width)
@@ -179,15 +206,13 @@ def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak
     )
 
 
-def boxplot_table(df: DataFrame, by: str, value: str, whisker: float = 1.5) -> DataFrame:
+def boxplot_table(df: DataFrame, by: str, value: str, whisker: float = 1.5, mode: str = "auto") -> DataFrame:
     """AGG-19: per group Q1, median, Q3, whisker ends (furthest points inside Q +- 1.5 IQR) and the
-    number of fliers. Two aggregates over the grouped values; the quartile table is one row per group."""
+    number of fliers. Quartiles per ``mode`` (see ``quantile_summary``), then one aggregate over the
+    values joined to the one-row-per-group fence table."""
     x = nan_to_null(value)
-    q = df.groupBy(by).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(x).alias("n"),
-    )
-    q = q.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    n = df.groupBy(by).agg(F.count(x).alias("n"))
+    q = n.join(_quartiles(df, value, [by], ["q1", "median", "q3"], mode), by, "left")
     fences = q.select(
         by,
         (F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))).alias("_lo"),
@@ -200,4 +225,4 @@ def boxplot_table(df: DataFrame, by: str, value: str, whisker: float = 1.5) -> D
         F.max(F.when(inside, F.col("_x"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_fliers"),
     )
-    return q.join(w, by)
+    return q.select(by, "n", "q1", "median", "q3").join(w, by)

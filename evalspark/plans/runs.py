@@ -83,7 +83,10 @@ def derived_run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
 
 
 def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlog.cast_run_columns(runlog.search_runs(derived_run_tables(spark, sf_dir)))
+    """The wide run frame, checkpointed: one row per run, read by several passes downstream."""
+    from evalspark.session import materialize
+
+    return materialize(runlog.cast_run_columns(runlog.search_runs(derived_run_tables(spark, sf_dir))))
 
 
 def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:

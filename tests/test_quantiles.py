@@ -30,3 +30,16 @@ def test_evaluate_distributed_mode_matches_map_mode(spark):
     assert a == b
     one = evaluate(p, inputs=MetricInputs(median_mode="distributed")).first().asDict()
     assert one == evaluate(p).first().asDict()
+
+
+@pytest.mark.parametrize("buckets,cell_limit", [(3, 2), (1 << 16, 100_000)])
+def test_distributed_quantiles_equal_percentile(spark, buckets, cell_limit):
+    from evalspark.operators.quantiles import distributed_quantiles
+
+    df = spark.range(777).select((F.col("id") % 4).alias("g"), (F.sin(F.col("id")) * 10).alias("v"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = {r.g: [float(x) for x in r.q] for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    got = {r.g: [r[f"p{i}"] for i in range(len(probs))]
+           for r in distributed_quantiles(df, "v", ["g"], probs, [f"p{i}" for i in range(len(probs))],
+                                          buckets=buckets, cell_limit=cell_limit).collect()}
+    assert got == want
