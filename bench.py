@@ -65,6 +65,20 @@ def main() -> None:
 
     n_docs = table(spark, sf_dir, "documents").count()
     n_labelled = labelled_corpus(spark, sf_dir, extra=()).count()
+    n_events = table(spark, sf_dir, "events").count()
+    from evalspark.plans.queries import GRID, PAIR_SHIFTS
+
+    input_rows = {
+        "crop_render_parse": n_docs,
+        "eval_metrics": n_labelled,
+        "eval_by_source": n_labelled,
+        "stratified_sample": n_labelled,
+        "length_histogram": n_docs,
+        "grid_eval": n_labelled * len(GRID),
+        "paired_comparison": n_labelled * len(PAIR_SHIFTS),
+        "parse_json": n_events,
+        "prompt_render": n_docs,
+    }
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "total_sec",
@@ -73,7 +87,7 @@ def main() -> None:
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
         "rows": {"documents": n_docs, "labelled": n_labelled},
-        "docs_per_sec_crop_render_parse": round(n_docs / times["crop_render_parse"], 1),
+        "rows_per_sec": {k: round(input_rows[k] / times[k], 1) for k in times},
         "cpus": cpus,
         "repeat": repeat,
     }
