@@ -70,25 +70,36 @@ def score_stub(
 
 
 def _predict_batches(
-    predictor_factory: Callable[[], Predictor], params: Mapping, prompt_col: str, passthrough: Sequence[str]
+    predictor_factory: Callable[[], Predictor], params: Mapping, prompt_col: str, passthrough: Sequence[str],
+    param_cols: Sequence[str] = (),
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def predict(predictor, pdf: pd.DataFrame, call_params: Mapping) -> pd.DataFrame:
+        start = time.perf_counter()
+        out = predictor(pdf[prompt_col].reset_index(drop=True), call_params)
+        per_row = (time.perf_counter() - start) / len(pdf)
+        res = pdf[list(passthrough)].reset_index(drop=True).copy()
+        res["output_string"] = out["content"].astype("object").values
+        res["input_token_count"] = out["prompt_tokens"].astype("int64").values
+        res["output_token_count"] = out["completion_tokens"].astype("int64").values
+        if "elapsed_time" in out:
+            res["elapsed_time"] = out["elapsed_time"].astype("float64").values
+        else:
+            res["elapsed_time"] = per_row
+        return res
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = predictor_factory()  # once per task / Python worker, not per row
         for pdf in batches:
             if pdf.empty:
                 continue
-            start = time.perf_counter()
-            out = predictor(pdf[prompt_col], params)
-            per_row = (time.perf_counter() - start) / len(pdf)
-            res = pdf[list(passthrough)].copy()
-            res["output_string"] = out["content"].astype("object").values
-            res["input_token_count"] = out["prompt_tokens"].astype("int64").values
-            res["output_token_count"] = out["completion_tokens"].astype("int64").values
-            if "elapsed_time" in out:
-                res["elapsed_time"] = out["elapsed_time"].astype("float64").values
-            else:
-                res["elapsed_time"] = per_row
-            yield res
+            if not param_cols:
+                yield predict(predictor, pdf, params)
+                continue
+            # per-row sampling parameters (a grid): one predictor call per parameter combination
+            for values, part in pdf.groupby(list(param_cols), sort=False, dropna=False):
+                values = values if isinstance(values, tuple) else (values,)
+                row_params = {k: (v.item() if hasattr(v, "item") else v) for k, v in zip(param_cols, values)}
+                yield predict(predictor, part, {**params, **row_params})
 
     return run
 
@@ -103,9 +114,13 @@ def score(
     params: Mapping | None = None,
     parser: Column | None = None,
     partitions: int | None = None,
+    param_cols: Sequence[str] = (),
 ) -> DataFrame:
     """INF-1: score every row with a Python predictor through ``mapInPandas``.
 
+    ``params`` go to every call; ``param_cols`` (kept columns, e.g. a grid's temperature / top_k) are
+    passed per row: each Arrow batch is split by their values and the predictor receives them.
+
     Only the key, kept columns and the rendered prompt cross into Python (``mapInPandas`` is opaque to
     column pruning, so inputs are selected by hand). Filters must be applied before this call.
     ``partitions`` repartitions first (a single JSON file arrives as one partition).
@@ -127,7 +142,11 @@ def score(
             "elapsed_time double",
         ]
     )
-    scored = inp.mapInPandas(_predict_batches(predictor_factory, dict(params or {}), "_prompt", passthrough), out_schema)
+    missing = [c for c in param_cols if c not in passthrough]
+    if missing:
+        raise ValueError(f"param_cols must be kept columns: {missing}")
+    fn = _predict_batches(predictor_factory, dict(params or {}), "_prompt", passthrough, list(param_cols))
+    scored = inp.mapInPandas(fn, out_schema)
     return with_parsed(scored, parser)
 
 

@@ -94,16 +94,8 @@ def sweep(
     receiving each row's parameters; evaluation grouped by ``run_id`` in one aggregate."""
     names = [k for k in grid[0] if k != "run_id"]
     runs = infer.explode_grid(examples, grid)
-
-    def factory():
-        predictor = predictor_factory()
-
-        def per_params(prompts: pd.Series, params: Mapping) -> pd.DataFrame:
-            return predictor(prompts, params)
-
-        return per_params
-
-    scored = infer.score(runs, factory, template, keys=("run_id", "example_id"), keep=(truth, *names))
+    scored = infer.score(runs, predictor_factory, template, keys=("run_id", "example_id"), keep=(truth, *names),
+                         param_cols=names)
     predictions = materialize(scored)
     return predictions, evaluate(predictions, by=["run_id", *names])
 

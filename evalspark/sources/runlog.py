@@ -44,11 +44,18 @@ def log_runs(root: str, runs: DataFrame, metrics: DataFrame, params: DataFrame,
 
 
 def read_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The parquet run log; a kind never written (e.g. no artifacts yet) is simply absent."""
+    from pyspark.errors import AnalysisException
+
     out = {}
     for name in KINDS:
         path = os.path.join(root, name)
-        if os.path.exists(path) or "://" in root:
+        if "://" not in root and not os.path.exists(path):
+            continue
+        try:
             out[name] = spark.read.parquet(path)
+        except AnalysisException:  # path does not exist on a remote file system
+            continue
     return out
 
 

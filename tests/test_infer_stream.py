@@ -108,3 +108,23 @@ def test_read_reviews_without_ids(spark, tmpdir_path):
     with open(p, "w") as f:
         f.write("line one {review}\nline two\n")
     assert read_prompt(spark, p) == "line one {review}\nline two\n"
+
+
+def test_sweep_passes_params_and_groups_by_run(spark):
+    from evalspark.plans import jobs
+
+    def factory():
+        def predict(prompts: pd.Series, params):
+            word = "negative" if params.get("top_k", 0) > 30 else "positive"
+            return pd.DataFrame({"content": [word] * len(prompts), "prompt_tokens": [3] * len(prompts),
+                                 "completion_tokens": [1] * len(prompts)})
+        return predict
+
+    df = spark.createDataFrame([(i, f"review {i}", 1 if i < 9 else 0) for i in range(12)],
+                               "example_id long, review string, true_label int")
+    grid = infer.parameter_grid(top_k=[20, 40])
+    # each row's grid parameters reach the predictor: top_k=40 answers negative, top_k=20 positive
+    preds, ev = jobs.sweep(df, grid, factory)
+    assert preds.count() == 24
+    got = {r.run_id: r.accuracy_score for r in ev.collect()}
+    assert got == {"top_k=20": 0.25, "top_k=40": 0.75}

@@ -36,3 +36,15 @@ def test_k_sweep_and_clusters(spark):
     assert len(got) == 3 and all(-1 <= r.silhouette <= 1 for r in got)
     best = best_k(scores).first()
     assert best.silhouette == max(r.silhouette for r in got)
+
+
+def test_pluggable_token_function(spark):
+    import pandas as pd
+
+    from evalspark.operators.topics import normalize_tokens
+
+    def strip_plural(tokens: pd.Series) -> pd.Series:
+        return tokens.apply(lambda ts: [t[:-1] if t.endswith("s") and len(t) > 3 else t for t in ts])
+
+    df = spark.createDataFrame([("Movies and actors, great films!",)], "t string")
+    assert df.select(normalize_tokens("t", strip_plural).alias("x")).first().x == ["movie", "and", "actor", "great", "film"]
