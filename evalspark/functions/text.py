@@ -163,6 +163,15 @@ def few_shot_block(examples: Iterable[tuple[str, str]]) -> str:
     return "\n".join(lines)
 
 
+def few_shot_template(base_template: str, examples: Iterable[tuple[str, str]], slot: str = "examples") -> str:
+    """PRJ-5: ``base_template`` with its ``{examples}`` slot replaced by the inlined example list; every
+    other slot stays a slot. Examples are a bounded driver-side list (name, text)."""
+    marker = "{" + slot + "}"
+    if marker not in base_template:
+        raise KeyError(f"template has no {marker} slot")
+    return base_template.replace(marker, few_shot_block(examples))
+
+
 def chat_messages(system: str | Column, user: str | Column) -> Column:
     """The two-message chat request ``[{system}, {user}]`` as ``array<struct<role, content>>``."""
     sys_col = F.lit(system) if isinstance(system, str) else system

@@ -41,6 +41,17 @@ PREDICTION_COLUMNS = [
 Predictor = Callable[[pd.Series, Mapping], pd.DataFrame]
 
 
+def select_content(df: DataFrame, template: str, keys: Sequence[str] = ("example_id",)) -> DataFrame:
+    """PRJ-1: keep the key and the prompt content columns the template uses (checked at plan time)."""
+    from evalspark.functions.text import template_fields
+
+    fields = template_fields(template)
+    missing = [f for f in fields if f not in df.columns]
+    if missing:
+        raise KeyError(f"template fields missing from the frame: {missing}")
+    return df.select(*keys, *fields)
+
+
 def with_parsed(df: DataFrame, parser: Column | None = None, raw: str = "output_string") -> DataFrame:
     """Attach ``label, is_hallucination, is_wrong_format`` from a parser struct (default: ``parse_label``)."""
     parsed = parser if parser is not None else parse_label(raw)

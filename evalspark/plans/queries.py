@@ -169,15 +169,17 @@ def few_shot_examples(spark: SparkSession, sf_dir: str, per_class: int = 1):
     return out
 
 
+FEW_SHOT_BASE = (
+    "Here is a review: {review}\n----\n"
+    "Decide whether its overall sentiment is positive or negative. Examples:\n{examples}"
+    "\n----\nAnswer with exactly one word: positive or negative."
+)
+
+
 def few_shot_template(examples) -> str:
-    from evalspark.functions.text import few_shot_block
+    from evalspark.functions.text import few_shot_template as build
 
-    return (
-        "Here is a review: {review}\n----\n"
-        "Decide whether its overall sentiment is positive or negative. Examples:\n"
-        + few_shot_block(examples)
-        + "\n----\nAnswer with exactly one word: positive or negative."
-    )
+    return build(FEW_SHOT_BASE, examples)
 
 
 @register("prompt_render")

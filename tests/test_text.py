@@ -101,3 +101,16 @@ def test_chat_messages(spark):
     r = df.select(chat_messages("sys", F.col("u")).alias("m")).select("m", render_chat("m").alias("t")).first()
     assert [(m.role, m.content) for m in r.m] == [("system", "sys"), ("user", "hi")]
     assert r.t == "system: sys\nuser: hi"
+
+
+def test_few_shot_template_and_select_content(spark):
+    from evalspark.functions.text import few_shot_template
+    from evalspark.operators.infer import select_content
+
+    t = few_shot_template("Rate {review}.\n{examples}\nDone", [("negative", "bad {x}"), ("positive", "good")])
+    assert template_fields(t) == ["review"]
+    assert t.format(review="R") == 'Rate R.\n- NEGATIVE (negative): "bad {x}"\n- POSITIVE (positive): "good"\nDone'
+    df = spark.createDataFrame([(1, "r", 0)], "example_id long, review string, label int")
+    assert select_content(df, "Rate {review}").columns == ["example_id", "review"]
+    with pytest.raises(KeyError):
+        few_shot_template("no slot", [])
