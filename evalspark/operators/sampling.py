@@ -5,9 +5,10 @@ portable to DuckDB. A stratum takes its ``quota`` smallest keys.
 
 Scale: strata are few and large (one may hold a third of all rows), so the plain
 ``row_number() OVER (PARTITION BY stratum ...)`` would sort a whole stratum inside one task. Instead
-the selection threshold is found with two small histograms over the hash prefix (16 + 16 bits,
-map-side aggregated, at most 65,536 rows per stratum each); only the rows of one 32-bit hash cell per
-stratum (about size / 2^32 rows) are ever ranked together. The result equals the window plan exactly.
+the selection threshold is found with two small histograms over the hash prefix (map-side aggregated;
+per stratum ``b`` bits per level with 2^b about size^(1/3), at most 16), and only the rows of one hash
+cell per stratum (about size^(1/3) rows) are ever ranked together. The result equals the window plan
+exactly.
 """
 
 from __future__ import annotations
@@ -75,12 +76,20 @@ def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> dict[tuple, int]:
     return out
 
 
-def _quota_frame(df: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int]) -> DataFrame:
+def _bits(size: int) -> int:
+    """Bucket bits per level for a stratum of ``size`` rows: about size^(1/3) buckets, so both
+    histograms and the final ranked cell hold about size^(1/3) rows (1..16 bits per level)."""
+    return max(1, min(16, math.ceil(math.log2(max(size, 2)) / 3)))
+
+
+def _quota_frame(df: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
+                 sizes: Mapping[tuple, int]) -> DataFrame:
     schema = df.select(*strata).schema
-    from pyspark.sql.types import LongType, StructField, StructType
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-    qschema = StructType(list(schema.fields) + [StructField("_quota", LongType(), False)])
-    rows = [tuple(k) + (int(v),) for k, v in quotas.items() if v > 0]
+    qschema = StructType(list(schema.fields) + [StructField("_quota", LongType(), False),
+                                                StructField("_bits", IntegerType(), False)])
+    rows = [tuple(k) + (int(v), _bits(sizes[k])) for k, v in quotas.items() if v > 0]
     return df.sparkSession.createDataFrame(rows, qschema)
 
 
@@ -89,45 +98,55 @@ def _threshold(hist: DataFrame, strata: Sequence[str], bucket: str, need: str) -
     w = W.partitionBy(*strata).orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow)
     run = hist.withColumn("_cum", F.sum("count").over(w))
     hit = run.filter((F.col("_cum") - F.col("count") < F.col(need)) & (F.col("_cum") >= F.col(need)))
-    return hit.select(*strata, F.col(bucket).alias(bucket + "_star"), (F.col(need) - (F.col("_cum") - F.col("count"))).alias(need + "_in"))
+    return hit.select(*strata, "_bits", F.col(bucket).alias(bucket + "_star"),
+                      (F.col(need) - (F.col("_cum") - F.col("count"))).alias(need + "_in"))
 
 
-def sample_thresholds(
-    df: DataFrame, strata: Sequence[str], id_col: str, seed: int, quotas: Mapping[tuple, int]
-) -> DataFrame:
-    """Per stratum the (b1, b2, key, id) of its last sampled row; at most one row per stratum."""
+def keyed_frame(df: DataFrame, strata: Sequence[str], id_col: str, seed: int) -> DataFrame:
+    """``strata, _id, _k`` (the order key) and ``_h``, its first 32 bits as a number."""
     k = order_key(id_col, seed)
-    keyed = df.select(
-        *strata,
-        F.col(id_col).alias("_id"),
-        k.alias("_k"),
-        F.conv(F.substring(k, 1, 4), 16, 10).cast("int").alias("_b1"),
-        F.conv(F.substring(k, 5, 4), 16, 10).cast("int").alias("_b2"),
-    )
-    qdf = F.broadcast(_quota_frame(df, strata, quotas))  # one row per stratum, count checked above
-    h1 = keyed.groupBy(*strata, "_b1").count().join(qdf, list(strata))
+    return df.select(*strata, F.col(id_col).alias("_id"), k.alias("_k")).select(
+        *strata, "_id", "_k", F.conv(F.substring("_k", 1, 8), 16, 10).cast("bigint").alias("_h"))
+
+
+def _level1(h: str = "_h", bits: str = "_bits") -> Column:
+    """The first ``bits`` bits of the 32-bit prefix (the level-1 bucket)."""
+    return F.expr(f"shiftright({h}, 32 - {bits})")
+
+
+def _top(h: str = "_h", bits: str = "_bits") -> Column:
+    """The first ``2 * bits`` bits of the 32-bit prefix: (level-1 bucket, level-2 bucket) as one number."""
+    return F.expr(f"shiftright({h}, 32 - 2 * {bits})")
+
+
+def sample_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
+                      sizes: Mapping[tuple, int]) -> DataFrame:
+    """Per stratum the threshold cell (``_bits``, ``_top_star``) and the key of its last sampled row;
+    at most one row per stratum. ``keyed`` comes from ``keyed_frame`` (hash computed once)."""
+    qdf = F.broadcast(_quota_frame(keyed, strata, quotas, sizes))  # one row per stratum, count checked
+    k1 = keyed.join(qdf, list(strata)).withColumn("_b1", _level1())
+    h1 = k1.groupBy(*strata, "_bits", "_quota", "_b1").count()
     t1 = F.broadcast(_threshold(h1, strata, "_b1", "_quota"))
-    cell1 = keyed.join(t1, list(strata)).filter(F.col("_b1") == F.col("_b1_star"))
-    h2 = cell1.groupBy(*strata, "_b2", "_quota_in").count()
-    t2 = F.broadcast(_threshold(h2, strata, "_b2", "_quota_in"))
-    cell2 = cell1.join(t2, list(strata)).filter(F.col("_b2") == F.col("_b2_star"))
+    cell1 = keyed.join(t1, list(strata)).filter(_level1() == F.col("_b1_star"))
+    cell1 = cell1.withColumn("_t", _top())
+    h2 = cell1.groupBy(*strata, "_bits", "_quota_in", "_t").count()
+    t2 = F.broadcast(_threshold(h2, strata, "_t", "_quota_in"))
+    cell2 = cell1.join(t2.drop("_bits"), list(strata)).filter(F.col("_t") == F.col("_t_star"))
     rn = F.row_number().over(W.partitionBy(*strata).orderBy("_k", "_id"))
     last = cell2.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_quota_in_in"))
-    return last.select(*strata, "_b1_star", "_b2_star", F.col("_k").alias("_k_star"), F.col("_id").alias("_id_star"))
+    return last.select(*strata, "_bits", F.col("_t_star").alias("_top_star"), F.col("_k").alias("_k_star"),
+                       F.col("_id").alias("_id_star"))
 
 
 def _membership(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, thresholds: DataFrame) -> DataFrame:
     k = order_key(id_col, seed)
-    b1 = F.conv(F.substring(k, 1, 4), 16, 10).cast("int")
-    b2 = F.conv(F.substring(k, 5, 4), 16, 10).cast("int")
-    j = df.join(F.broadcast(thresholds), list(strata), "left")
-    b1s, b2s = F.col("_b1_star"), F.col("_b2_star")
-    inside = (
-        (b1 < b1s)
-        | ((b1 == b1s) & (b2 < b2s))
-        | ((b1 == b1s) & (b2 == b2s) & ((k < F.col("_k_star")) | ((k == F.col("_k_star")) & (F.col(id_col) <= F.col("_id_star")))))
-    )
-    return j.withColumn("_in_sample", F.coalesce(inside, F.lit(False))).drop("_b1_star", "_b2_star", "_k_star", "_id_star")
+    h = F.conv(F.substring(k, 1, 8), 16, 10).cast("bigint")
+    j = df.join(F.broadcast(thresholds), list(strata), "left").withColumn("_hh", h)
+    top = _top("_hh")
+    ts = F.col("_top_star")
+    inside = (top < ts) | ((top == ts) & ((k < F.col("_k_star")) | ((k == F.col("_k_star")) & (F.col(id_col) <= F.col("_id_star")))))
+    return j.withColumn("_in_sample", F.coalesce(inside, F.lit(False))).drop(
+        "_bits", "_top_star", "_k_star", "_id_star", "_hh")
 
 
 def stratified_split(
@@ -146,9 +165,10 @@ def stratified_split(
     balanced per-class sample). Strata columns must not hold NULL (checked).
     """
     strata = list(strata)
-    # The threshold search scans its input several times; it only needs (strata, id), so that narrow
-    # projection is derived once and cut from its lineage (reliable checkpoint in the shared folder).
-    keyed = df.select(*strata, F.col(id_col).alias("_id"))
+    # The threshold search scans its input several times; it only needs (strata, id, hash key, prefix
+    # buckets), so that narrow projection is derived once (md5 computed once) and cut from its lineage
+    # (reliable checkpoint in the shared folder).
+    keyed = keyed_frame(df, strata, id_col, seed)
     if checkpoint:
         from evalspark.session import materialize
 
@@ -164,7 +184,7 @@ def stratified_split(
             quotas.update(largest_remainder(sub, _n_for(n, sum(sub.values())), min_stratum))
     else:
         quotas = largest_remainder(sizes, _n_for(n, sum(sizes.values())), min_stratum)
-    thresholds = sample_thresholds(keyed, strata, "_id", seed, quotas)
+    thresholds = sample_thresholds(keyed, strata, quotas, sizes)
     # at most one row per stratum (stratum count checked above): bring it back once instead of
     # re-deriving it inside the broadcast of the final pass
     small = df.sparkSession.createDataFrame(thresholds.collect(), thresholds.schema)

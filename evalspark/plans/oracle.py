@@ -360,7 +360,10 @@ def _runs_sql() -> str:
 
 RUNS_SQL = _runs_sql()
 ORACLE["run_search"] = f"WITH {RUNS_SQL} SELECT * FROM wide"
-ORACLE["orphan_runs"] = "SELECT '1' AS experiment_id, md5('run:orphan') AS run_id"
+ORACLE["orphan_runs"] = (
+    f"WITH {RUNS_SQL} SELECT '1' AS experiment_id, md5('run:orphan-' || source) AS run_id FROM evn WHERE _n = 0 "
+    "AND _n <> 12"
+)
 ORACLE["comparable_runs"] = (
     f'WITH {RUNS_SQL} SELECT run_id, "tags.mlflow.runName", "params.model_name", "metrics.accuracy_score" FROM comp'
 )

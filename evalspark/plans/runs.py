@@ -56,8 +56,8 @@ def derived_run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
         "experiment_id", "run_id", "key", F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("step"),
         F.lit(T0).cast("bigint").alias("timestamp"),
     )
-    orphan = long.filter(F.col("_n") == 0).select(
-        "experiment_id", F.md5(F.lit("run:orphan")).alias("run_id"), "key", "value",
+    orphan = long.filter(F.col("_n") == 0).join(base.select("run_id", "source"), "run_id").select(
+        "experiment_id", F.md5(F.concat(F.lit("run:orphan-"), F.col("source"))).alias("run_id"), "key", "value",
         F.lit(0).cast("bigint").alias("step"), F.lit(T0).cast("bigint").alias("timestamp"),
     )
     metrics = metrics.unionByName(stale).unionByName(orphan)

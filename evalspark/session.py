@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return os.path.join(base, "evalspark-tables", name)
 
 
-def materialize(df, spark: SparkSession | None = None):
-    """Cut lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
+def materialize(df, spark: SparkSession | None = None, fmt: str = "parquet"):
+    """Cut lineage in the shared folder (survives executor loss; never executor-local).
+
+    Default: write the frame as a parquet table under ``spark.checkpoint.dir`` and read it back, so
+    the passes that follow get columnar, vectorised, column-pruned scans. ``fmt="checkpoint"`` uses
+    ``DataFrame.checkpoint()`` instead (row files, removed with the query when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on).
+    """
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    if fmt == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, uuid.uuid4().hex)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
