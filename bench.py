@@ -2,7 +2,7 @@
 
 Prints ONE JSON line: {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}.
 Each query runs to completion through the ``noop`` sink (the full plan executes, nothing is collected);
-the reported time per query is the best of ``$BENCH_REPEAT`` runs (default 2) after one JVM warm-up.
+the reported time per query is the best of ``$BENCH_REPEAT`` runs (default 3) after one JVM warm-up.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="evalspark-bench")
 
     def crop_render_parse(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import crop_middle, word_count
 from evalspark.operators import infer
 from evalspark.operators.metrics import evaluate
-from evalspark.sources.tables import labelled_corpus
+from evalspark.sources.tables import docs_for_truth, labelled_corpus, truth_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,9 +28,14 @@ def register(name: str):
 
 
 def stub_predictions(spark: SparkSession, sf_dir: str, shift: int = 0, keep=("true_label", "source", "lang")):
-    """Labelled corpus scored by the stub predictor with the default template."""
-    corpus = labelled_corpus(spark, sf_dir)
-    return infer.score_stub(corpus, fields={"review": F.col("review")}, shift=shift, keep=keep)
+    """Labelled corpus scored by the stub predictor with the default template.
+
+    The text-heavy part (render, token counts, answer, parse) runs on the documents side; only the
+    narrow prediction rows meet the truth table, so a shuffle join never carries the text."""
+    doc_keep = [k for k in keep if k != "true_label"]
+    scored = infer.score_stub(docs_for_truth(spark, sf_dir), fields={"review": F.col("review")}, shift=shift,
+                              keep=doc_keep)
+    return scored.join(truth_table(spark, sf_dir), "example_id", "inner")
 
 
 # ------------------------------------------------------------------ evaluation
@@ -147,25 +152,27 @@ def few_shot_examples(spark: SparkSession, sf_dir: str, per_class: int = 1):
 
     Only ``2 * per_class`` rows reach the driver (a bounded take of the smallest keys per class).
     """
-    from evalspark.functions.parse import label_name
     from evalspark.operators.sampling import order_key
 
-    corpus = labelled_corpus(spark, sf_dir, extra=()).select(
-        "example_id", "true_label", "review", order_key("example_id", FEW_SHOT_SEED).alias("_k"))
-    # per class a bounded top-k (each task keeps k rows), both classes in one job; the crop runs on
-    # the chosen rows only
-    parts = [corpus.filter(F.col("true_label") == cls).orderBy("_k", "example_id").limit(per_class) for cls in (1, 0)]
-    chosen = parts[0].unionByName(parts[1])
-    rows = chosen.select("true_label", "_k", "example_id", label_name("true_label").alias("name"),
-                         crop_middle("review", 20, 20).alias("text")).collect()
-    by_class = {cls: sorted([r for r in rows if r["true_label"] == cls], key=lambda r: (r["_k"], r["example_id"]))
+    from evalspark.sources.tables import table
+
+    keyed = truth_table(spark, sf_dir).select("example_id", "true_label", order_key("example_id", FEW_SHOT_SEED).alias("_k"))
+    # per class a bounded top-k over the narrow truth table (each task keeps k rows), one job
+    parts = [keyed.filter(F.col("true_label") == cls).orderBy("_k", "example_id").limit(per_class) for cls in (1, 0)]
+    chosen = parts[0].unionByName(parts[1]).collect()
+    ids = [r["example_id"] for r in chosen]
+    # fetch only those texts: an IN filter pushed into the parquet scan, no join, no shuffle
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(ids))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", crop_middle("text", 20, 20).alias("text")).collect()}
+    by_class = {cls: sorted([r for r in chosen if r["true_label"] == cls], key=lambda r: (r["_k"], r["example_id"]))
                 for cls in (1, 0)}
+    names = {1: "negative", 0: "positive"}
     # interleave: NEGATIVE, POSITIVE, NEGATIVE, ...
     out = []
     for i in range(per_class):
         for cls in (1, 0):
             if i < len(by_class[cls]):
-                out.append((by_class[cls][i]["name"], by_class[cls][i]["text"]))
+                out.append((names[cls], texts[by_class[cls][i]["example_id"]]))
     return out
 
 
@@ -353,9 +360,14 @@ def sample_complement_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.sampling import balanced_sample
 
-    base = _sample_base(spark, sf_dir, with_text=True)
-    return balanced_sample(base, "true_label", PER_CLASS, ["size_group"], seed=SAMPLE_SEED,
-                           columns=["example_id", "review", "true_label"])
+    from evalspark.sources.tables import table
+
+    base = _sample_base(spark, sf_dir)
+    picked = balanced_sample(base, "true_label", PER_CLASS, ["size_group"], seed=SAMPLE_SEED,
+                             columns=["example_id", "true_label"])
+    # at most PER_CLASS x classes rows (a parameter bound): broadcast them to the documents scan
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("review"))
+    return docs.join(F.broadcast(picked), "example_id").select("example_id", "review", "true_label")
 
 
 # ------------------------------------------------------------------ run log (derived from documents)
@@ -470,11 +482,19 @@ def long_runs_abab(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR_SHIFTS = (0, 1, 3)  # three stub "models" over the same labelled examples
 
 
+def _per_example_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt token count per labelled example: computed on the documents side, then the narrow rows
+    are joined to the truth table (the text never crosses a shuffle)."""
+    docs = infer.prompt_tokens(docs_for_truth(spark, sf_dir, extra=("n_chars",)), fields={"review": F.col("review")})
+    narrow = docs.select("example_id", "n_chars", "input_token_count")
+    return narrow.join(truth_table(spark, sf_dir), "example_id").select(
+        "example_id", "true_label", "n_chars", "input_token_count")
+
+
 def _multi_run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled corpus scored by several stub runs in ONE pass: the run list is exploded in place
     (no join), key ``(run_id, example_id)``."""
-    corpus = infer.prompt_tokens(labelled_corpus(spark, sf_dir), fields={"review": F.col("review")})
-    per_example = corpus.select("example_id", "true_label", "n_chars", "input_token_count")
+    per_example = _per_example_tokens(spark, sf_dir)
     runs = infer.explode_grid(per_example, [{"run_id": f"stub-shift{s}", "shift": s} for s in PAIR_SHIFTS])
     return infer.score_stub(runs, shift=F.col("shift"), keep=("run_id", "true_label"),
                             input_tokens=F.col("input_token_count"))
@@ -509,8 +529,7 @@ def grid_shift():
 def grid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-3 + INF-5: every labelled example under each of 27 parameter points, evaluated per run in
     one aggregate (``by=[run_id, ...]``)."""
-    corpus = infer.prompt_tokens(labelled_corpus(spark, sf_dir), fields={"review": F.col("review")})
-    per_example = corpus.select("example_id", "true_label", "n_chars", "input_token_count")
+    per_example = _per_example_tokens(spark, sf_dir)
     runs = infer.explode_grid(per_example, GRID)
     scored = infer.score_stub(
         runs, shift=grid_shift(), keep=("run_id", "temperature", "top_k", "top_p", "true_label"),

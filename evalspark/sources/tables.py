@@ -64,15 +64,44 @@ def validate_binary_label(df: DataFrame, label: str = "label") -> None:
         raise ValueError(f"column {label!r} must hold only 0 and 1; found {bad[0][0]!r}")
 
 
+def truth_table(spark: SparkSession, sf_dir: str):
+    """``(example_id, true_label)`` from ``labels``: ``1 - quality`` (good text = class 0). Narrow."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("true_label")
+    )
+
+
+def corpus_docs(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang", "source", "n_chars")):
+    """``documents`` as the review corpus (``example_id``, ``review``, extras), not yet joined to truth."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("example_id"), F.col("text").alias("review"), *extra
+    )
+
+
+BROADCAST_TRUTH_ROWS = 20_000_000  # keys of at most this many labelled rows (~0.3 GB) are broadcast
+
+
+def docs_for_truth(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang", "source", "n_chars")):
+    """The documents worth scoring for an evaluation, without moving their text.
+
+    Size-checked: when the truth table has at most ``BROADCAST_TRUTH_ROWS`` rows (counted from parquet
+    metadata), its keys are broadcast as a left-semi filter, so only labelled documents are scored.
+    Beyond that every document is scored map-side and the narrow results meet the truth table in a
+    shuffle join that never carries the text.
+    """
+    docs = corpus_docs(spark, sf_dir, extra)
+    keys = truth_table(spark, sf_dir).select("example_id")
+    if keys.count() <= BROADCAST_TRUTH_ROWS:
+        return docs.join(F.broadcast(keys), "example_id", "left_semi")
+    return docs
+
+
 def labelled_corpus(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang", "source", "n_chars")):
     """Driver stand-in for the review corpus: ``documents`` joined to ``labels``.
 
     ``example_id = doc_id``, ``review = text``, truth ``true_label = 1 - quality`` (good text = class 0).
+    This join carries the text: when the text is only needed to compute narrow columns (prompt token
+    counts, stub answers), compute them on ``corpus_docs`` first and join ``truth_table`` to the narrow
+    result, so a shuffle join never moves the text.
     """
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("example_id"), F.col("text").alias("review"), *extra
-    )
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("true_label")
-    )
-    return docs.join(labels, "example_id", "inner")
+    return corpus_docs(spark, sf_dir, extra).join(truth_table(spark, sf_dir), "example_id", "inner")

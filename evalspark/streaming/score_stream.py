@@ -49,7 +49,8 @@ def score_stream(
 def score_table_stream(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
                        files_per_trigger: int = 1) -> StreamingQuery:
     """The stub scoring plan over ``documents`` read as a file stream, joined to the static ``labels``
-    table (stream-static inner join), written to a parquet sink with a checkpoint."""
+    table (stream-static inner join on the narrow scored rows), written to a parquet sink with a
+    checkpoint."""
     from pyspark.sql import functions as F
 
     from evalspark.sources.tables import table
@@ -60,11 +61,11 @@ def score_table_stream(spark: SparkSession, sf_dir: str, out_dir: str, checkpoin
         .option("pathGlobFilter", "documents.parquet")  # a file source watches a directory
         .parquet(sf_dir)
     )
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("true_label"))
-    corpus = docs.select(F.col("doc_id").alias("example_id"), F.col("text").alias("review"), "n_chars").join(
-        labels, "example_id")
-    scored = infer.score_stub(corpus, fields={"review": F.col("review")}, keep=("true_label",))
+    from evalspark.sources.tables import truth_table
+
+    corpus = docs.select(F.col("doc_id").alias("example_id"), F.col("text").alias("review"), "n_chars")
+    scored = infer.score_stub(corpus, fields={"review": F.col("review")}, keep=()).join(
+        truth_table(spark, sf_dir), "example_id")
     return (
         scored.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
