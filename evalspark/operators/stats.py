@@ -30,6 +30,18 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence, prefix: str |
     return out.select(row, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
 
+MAX_PIVOT_VALUES = 10_000
+
+
+def pivot_values(df: DataFrame, col: str, limit: int = MAX_PIVOT_VALUES) -> list:
+    """Distinct values of ``col`` for an explicit pivot list, refusing more than ``limit`` (the list
+    becomes columns, so it must be bounded)."""
+    rows = df.select(col).distinct().orderBy(col).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct values in {col!r}; pivot on a coarser column")
+    return [r[0] for r in rows]
+
+
 def nan_to_null(c: str | Column) -> Column:
     return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
 

@@ -610,13 +610,13 @@ def k_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cluster_crosstab")
 def cluster_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best k of the sweep, refit, then counts by (cluster, label) unstacked on label."""
-    from evalspark.operators.stats import crosstab
+    from evalspark.operators.stats import crosstab, pivot_values
     from evalspark.operators.topics import assign_clusters, best_k
 
     scores = k_sweep_q(spark, sf_dir)
     k = best_k(scores).first()["best_k"]
     vecs = _embedding_vectors(spark, sf_dir)
-    labels = [r[0] for r in vecs.select("label").distinct().orderBy("label").collect()]  # few classes
+    labels = pivot_values(vecs, "label")  # class labels: a checked, bounded list
     return crosstab(assign_clusters(vecs, "features", k), "cluster", "label", labels, prefix="label_")
 
 
