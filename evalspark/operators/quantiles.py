@@ -70,10 +70,13 @@ def distributed_quantiles(
 
         x = materialize(x)  # narrow (keys, value); scanned once per level
     keys = by + ["_rank"]
-    stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    finite = ~F.col("_x").isin(float("inf"), float("-inf"))
+    stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+                               F.min(F.when(finite, F.col("_x"))).alias("_flo"),
+                               F.max(F.when(finite, F.col("_x"))).alias("_fhi"))
     pos = [(F.col("_n") - 1).cast("double") * F.lit(p) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(q), F.ceil(q)) for q in pos])).cast("array<bigint>"))
-    state = stats.select(*by, "_n", F.explode(ranks).alias("_rank"), "_lo", "_hi",
+    state = stats.select(*by, "_n", F.explode(ranks).alias("_rank"), "_lo", "_hi", "_flo", "_fhi",
                          F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_cnt"))
     state = _small(state)
     for _ in range(max_levels):
@@ -82,17 +85,25 @@ def distributed_quantiles(
             break
         done = state.filter(~((F.col("_cnt") > cell_limit) & (F.col("_hi") > F.col("_lo"))))
         j = x.join(open_, by).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        b = F.least(
-            F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(buckets)).cast("long"),
-            F.lit(buckets - 1),
+        # infinities get the end buckets; finite values spread over the finite [min, max] in between
+        flo, fhi = F.col("_flo"), F.col("_fhi")
+        inner = F.least(
+            F.floor((F.col("_x") - flo) / (fhi - flo) * F.lit(buckets - 2)).cast("long") + 1, F.lit(buckets - 2))
+        b = (
+            F.when(F.col("_x") == float("-inf"), F.lit(0).cast("long"))
+            .when(F.col("_x") == float("inf"), F.lit(buckets - 1).cast("long"))
+            .when(fhi > flo, inner)
+            .otherwise(F.lit(1).cast("long"))
         )
         hist = j.groupBy(*keys, "_n", "_below", b.alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi"))
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi"),
+            F.min(F.when(finite, F.col("_x"))).alias("_bflo"), F.max(F.when(finite, F.col("_x"))).alias("_bfhi"))
         w = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
         run = hist.withColumn("_cum", F.sum("_c").over(w))
         rel = F.col("_rank") - F.col("_below")
         hit = run.filter((F.col("_cum") - F.col("_c") <= rel) & (rel < F.col("_cum")))
         nxt = hit.select(*by, "_n", "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
+                         F.col("_bflo").alias("_flo"), F.col("_bfhi").alias("_fhi"),
                          (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"), F.col("_c").alias("_cnt"))
         state = _small(done.unionByName(nxt))
     # final: one distinct value -> it is the answer; otherwise rank the (bounded) rows of the interval

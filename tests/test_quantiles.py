@@ -43,3 +43,20 @@ def test_distributed_quantiles_equal_percentile(spark, buckets, cell_limit):
            for r in distributed_quantiles(df, "v", ["g"], probs, [f"p{i}" for i in range(len(probs))],
                                           buckets=buckets, cell_limit=cell_limit).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("buckets,cell_limit", [(4, 2), (1 << 16, 100_000)])
+def test_distributed_quantiles_with_infinities(spark, buckets, cell_limit):
+    from evalspark.operators.quantiles import distributed_quantiles
+
+    inf = float("inf")
+    rows = [("a", v) for v in [1.0, 2.0, 3.0, inf, inf, -inf, 5.0, 7.0, 11.0]] + \
+           [("b", v) for v in [inf, inf, inf]] + [("c", v) for v in [-inf, 0.5, 0.25, 0.75, 100.0, 1e300, -1e300]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    want = {r.g: [float(x) for x in r.q] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    got = {r.g: [r[n] for n in names] for r in distributed_quantiles(
+        df, "v", ["g"], probs, names, buckets=buckets, cell_limit=cell_limit).collect()}
+    assert got == want
