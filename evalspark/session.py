@@ -37,7 +37,10 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by the cluster in ``spark.checkpoint.dir`` (None when unset)."""
     value = spark.conf.get(CHECKPOINT_CONF, None)
     if not value:
-        value = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+        try:
+            value = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+        except Exception:  # Spark Connect: no SparkContext; the session conf is all there is
+            value = None
     return value or None
 
 
@@ -47,7 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if value is None:
         value = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, value)
-    spark.sparkContext.setCheckpointDir(value)
+    try:
+        spark.sparkContext.setCheckpointDir(value)  # for fmt="checkpoint"; parquet tables do not need it
+    except Exception:  # Spark Connect sessions have no SparkContext
+        pass
     return value
 
 
