@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_CREATED: list[str] = []  # scratch tables written by this process (see drop_scratch)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "evalspark") -> SparkSession:
@@ -77,4 +78,20 @@ def materialize(df, spark: SparkSession | None = None, fmt: str = "parquet"):
         return df.checkpoint(eager=True)
     path = scratch_path(spark, uuid.uuid4().hex)
     df.write.mode("errorifexists").parquet(path)
+    _CREATED.append(path)
     return spark.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process wrote (call once the results are consumed). Uses the
+    Hadoop FileSystem of each path, so it works on shared storage as well. Returns how many went."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _CREATED:
+        p = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            dropped += 1
+    return dropped

@@ -90,3 +90,17 @@ def test_known_stub_figures_sf001(spark):
     assert round(r.bad_output_format_rate, 4) == 0.1629
     assert math.isclose(r.false_negative_rate, 1 - r.recall)
     assert abs(r.accuracy_score * r.n - round(r.accuracy_score * r.n)) < 1e-9
+
+
+def test_materialize_and_drop_scratch(spark):
+    import os
+
+    from evalspark import session
+
+    df = spark.range(10).withColumnRenamed("id", "x")
+    before = len(session._CREATED)
+    m = session.materialize(df)
+    path = session._CREATED[-1]
+    assert m.count() == 10 and os.path.exists(path) and len(session._CREATED) == before + 1
+    assert session.drop_scratch(spark) >= 1
+    assert not os.path.exists(path) and session._CREATED == []
