@@ -34,6 +34,9 @@ class MetricInputs:
     # "distributed": exact with bounded memory per task (continuous values of huge runs), extra passes;
     # "auto": "map" for integral inputs, "distributed" for fractional ones.
     median_mode: str = "auto"
+    # groups of at most this many rows keep Spark's map median even for continuous inputs: the map then
+    # holds at most this many entries (the same bound as the distributed plan's final ranked cell)
+    cell_limit: int = 100_000
 
     @property
     def y(self) -> Column:
@@ -161,6 +164,8 @@ def evaluate(
         wanted = [*by, inputs.truth, inputs.label, inputs.is_hallucination, inputs.is_wrong_format,
                   inputs.input_tokens, inputs.output_tokens, inputs.elapsed]
         source = materialize(joined.select(*[c for c in dict.fromkeys(wanted) if c in joined.columns]))
+        if _max_group_rows(source, by, inputs.cell_limit) <= inputs.cell_limit:
+            separate = []  # every group is small: the exact map median is bounded, one pass suffices
     one_pass = [m for m in chosen if m not in separate]
     cols = [m.build(inputs).alias(m.name) for m in one_pass]
     if with_count:
@@ -175,7 +180,7 @@ def evaluate(
         wide = source.select(*by, *[m.median_of(inputs).cast("double").alias(m.name) for m in separate])
         long = wide.unpivot(list(by), sep, "_metric", "_v")
         med = distributed_median(long, "_v", [*by, "_metric"], out="_med", checkpoint=False,
-                                 keep_empty_groups=False)
+                                 keep_empty_groups=False, cell_limit=inputs.cell_limit)
         if by:
             med = med.groupBy(*by).pivot("_metric", sep).agg(F.first("_med"))
             out = out.join(med, list(by), "left")
@@ -187,6 +192,14 @@ def evaluate(
     return out
 
 
+def _max_group_rows(df: DataFrame, by: Sequence[str], limit: int) -> int:
+    """Rows in the largest group; the total row count (parquet metadata) settles it when already small."""
+    total = df.count()
+    if total <= limit or not by:
+        return total
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
 def _distributed(df: DataFrame, m: Metric, inputs: MetricInputs) -> bool:
     if not inputs.exact or inputs.median_mode == "map":
         return False

@@ -70,6 +70,17 @@ def distributed_quantiles(
 
         x = materialize(x)  # narrow (keys, value); scanned once per level
     keys = by + ["_rank"]
+    total = x.count()
+    biggest = total if total <= cell_limit else x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= cell_limit:
+        # every group is small: Spark's exact percentile (a value -> count map of at most cell_limit
+        # entries per group) is bounded, and it is the definition this operator reproduces
+        grp = x.groupBy(*by).agg(F.percentile("_x", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        res = grp.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(outs)])
+        result = df.select(*by).distinct().join(res, by, "left") if keep_empty_groups or whole else res
+        if whole:
+            result = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(result, ["_all"], "left").drop("_all")
+        return result
     finite = ~F.col("_x").isin(float("inf"), float("-inf"))
     stats = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                F.min(F.when(finite, F.col("_x"))).alias("_flo"),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MAX_STRATA = 1_000_000  # the stratum count table is brought to the driver; refuse beyond this
+SMALL_STRATUM = 100_000  # strata up to this size are ranked directly (a window bounded by this size)
 
 
 def order_key(id_col: str | Column, seed: int) -> Column:
@@ -138,6 +139,18 @@ def sample_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[t
                        F.col("_id").alias("_id_star"))
 
 
+def _window_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
+                       sizes: Mapping[tuple, int]) -> DataFrame:
+    """Same threshold rows as ``sample_thresholds`` when every stratum has at most ``SMALL_STRATUM``
+    rows: one window per stratum, bounded by that size (``_bits`` = 16 makes the cell the full 32-bit
+    prefix)."""
+    qdf = F.broadcast(_quota_frame(keyed, strata, quotas, sizes))
+    rn = F.row_number().over(W.partitionBy(*strata).orderBy("_k", "_id"))
+    last = keyed.join(qdf, list(strata)).withColumn("_rn", rn).filter(F.col("_rn") == F.col("_quota"))
+    return last.select(*strata, F.lit(16).alias("_bits"), F.col("_h").alias("_top_star"),
+                       F.col("_k").alias("_k_star"), F.col("_id").alias("_id_star"))
+
+
 def _membership(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, thresholds: DataFrame) -> DataFrame:
     k = order_key(id_col, seed)
     h = F.conv(F.substring(k, 1, 8), 16, 10).cast("bigint")
@@ -184,7 +197,10 @@ def stratified_split(
             quotas.update(largest_remainder(sub, _n_for(n, sum(sub.values())), min_stratum))
     else:
         quotas = largest_remainder(sizes, _n_for(n, sum(sizes.values())), min_stratum)
-    thresholds = sample_thresholds(keyed, strata, quotas, sizes)
+    if max(sizes.values(), default=0) <= SMALL_STRATUM:
+        thresholds = _window_thresholds(keyed, strata, quotas, sizes)
+    else:
+        thresholds = sample_thresholds(keyed, strata, quotas, sizes)
     # at most one row per stratum (stratum count checked above): bring it back once instead of
     # re-deriving it inside the broadcast of the final pass
     small = df.sparkSession.createDataFrame(thresholds.collect(), thresholds.schema)

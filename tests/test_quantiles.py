@@ -60,3 +60,13 @@ def test_distributed_quantiles_with_infinities(spark, buckets, cell_limit):
     got = {r.g: [r[n] for n in names] for r in distributed_quantiles(
         df, "v", ["g"], probs, names, buckets=buckets, cell_limit=cell_limit).collect()}
     assert got == want
+
+
+def test_evaluate_forced_refinement_matches_map_mode(spark):
+    from evalspark.plans.queries import stub_predictions
+
+    p = stub_predictions(spark, "/root/testdata/sf0.01")
+    a = {r.source: r.asDict() for r in evaluate(p, by=["source"], inputs=MetricInputs(median_mode="map")).collect()}
+    forced = MetricInputs(median_mode="distributed", cell_limit=5)
+    b = {r.source: r.asDict() for r in evaluate(p, by=["source"], inputs=forced).collect()}
+    assert a == b

@@ -33,3 +33,21 @@ def test_hot_group_quantiles_equal_percentile(spark):
     got = {r.s: [r.a, r.b, r.c] for r in distributed_quantiles(
         df, "v", ["s"], probs, ["a", "b", "c"], buckets=64, cell_limit=500).collect()}
     assert got == want
+
+
+def test_histogram_thresholds_equal_window_thresholds(spark):
+    """Both threshold paths select the same rows (the histogram path is the one used above 100k)."""
+    from evalspark.session import materialize
+
+    df = _skewed(spark, 20_000)
+    keyed = materialize(sampling.keyed_frame(df, ["s"], "example_id", 4))
+    sizes = sampling.stratum_sizes(keyed, ["s"])
+    quotas = sampling.largest_remainder(sizes, 777)
+
+    def members(th):
+        small = spark.createDataFrame(th.collect(), th.schema)
+        return {r.example_id for r in sampling._membership(df, ["s"], "example_id", 4, small).filter("_in_sample").collect()}
+
+    a = members(sampling.sample_thresholds(keyed, ["s"], quotas, sizes))
+    b = members(sampling._window_thresholds(keyed, ["s"], quotas, sizes))
+    assert a == b and len(a) == 777
