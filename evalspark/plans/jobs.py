@@ -36,6 +36,7 @@ def run_experiment(
     log_root: str | None = None,
     experiment_id: str = "0",
     parser=None,
+    description: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """INF-3: score (params reach the predictor), checkpoint predictions, evaluate in one aggregate,
     append the run to the run log (facts first, run record last). Returns (predictions, evaluation)."""
@@ -48,7 +49,10 @@ def run_experiment(
     predictions = materialize(scored)
     evaluation = evaluate(predictions)
     if log_root:
-        _log(spark, log_root, experiment_id, run_name, model_name, params, tags or {}, template, system_prompt, evaluation)
+        run_tags = dict(tags or {})
+        if description:
+            run_tags["description"] = description  # free-text note of the run
+        _log(spark, log_root, experiment_id, run_name, model_name, params, run_tags, template, system_prompt, evaluation)
     return predictions, evaluation
 
 
