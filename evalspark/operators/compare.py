@@ -45,8 +45,10 @@ def paired_comparison(
     else:
         pairs = [tuple(sorted(p)) for p in pairs]
     idx = {r: i for i, r in enumerate(runs)}
-    wide = scored.groupBy(key).pivot(run_col, runs).agg(F.max(F.col(ok)))
-    wide = wide.select(key, *[F.col(f"`{r}`").alias(f"r{idx[r]}") for r in runs])
+    # conditional aggregation instead of pivot: one shuffle on the example key (pivot adds a second
+    # aggregate on (example, run) first)
+    wide = scored.groupBy(key).agg(
+        *[F.max(F.when(F.col(run_col) == F.lit(r), F.col(ok))).alias(f"r{idx[r]}") for r in runs])
     if len(pairs) > MAX_PAIRS_PER_PASS:  # several passes read the pivot: derive it once
         from evalspark.session import materialize
 

@@ -26,8 +26,9 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence, prefix: str |
     Missing combinations are NULL, as pandas ``unstack`` gives NaN.
     """
     prefix = f"{col}_" if prefix is None else prefix
-    out = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    return out.select(row, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
+    # conditional counts: one shuffle on the row key (pivot adds a second aggregate on (row, col))
+    cells = [F.count_if(F.col(col) == F.lit(v)) for v in values]
+    return df.groupBy(row).agg(*[F.when(c > 0, c).alias(f"{prefix}{v}") for c, v in zip(cells, values)])
 
 
 MAX_PIVOT_VALUES = 10_000
