@@ -19,7 +19,13 @@ from evalspark.operators import infer
 from evalspark.operators.metrics import METRIC_NAMES, evaluate
 from evalspark.session import materialize
 from evalspark.sources import runlog, sinks
-from evalspark.sources.tables import read_prompt, read_reviews, validate_binary_label, validate_columns
+from evalspark.sources.tables import (
+    read_prompt,
+    read_reviews,
+    validate_binary_label,
+    validate_columns,
+    validate_unique,
+)
 
 
 def run_experiment(
@@ -44,6 +50,7 @@ def run_experiment(
     missing = [f for f in _template_slots(template) if f not in examples.columns]
     if missing:
         raise KeyError(f"template fields missing from the examples: {missing}")
+    validate_unique(examples, ["example_id"])
     scored = infer.score(examples, predictor_factory, template, keys=("example_id",), keep=(truth,),
                          params=params, parser=parser)
     predictions = materialize(scored)
@@ -121,6 +128,7 @@ def batch_job(
     validate_columns(df, ["review"] + (["label"] if with_evaluation else []))
     if with_evaluation:
         validate_binary_label(df, "label")
+    validate_unique(df, ["example_id"])
     if limit is not None:
         df = df.orderBy("example_id").limit(limit)
     examples = df.withColumnRenamed("label", "true_label") if with_evaluation else df

@@ -56,6 +56,17 @@ def validate_columns(df: DataFrame, required: Iterable[str]) -> None:
         raise ValueError(f"missing required columns: {missing}; present: {df.columns}")
 
 
+def validate_unique(df: DataFrame, keys: Iterable[str] = ("example_id",)) -> None:
+    """Identity check: the example key is unique (pandas had row positions; every alignment here is a
+    join on the key, so a duplicate would silently double-count). One aggregate over the key columns
+    only; at most one offending key reaches the driver."""
+    keys = list(keys)
+    validate_columns(df, keys)
+    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate key {[dup[0][k] for k in keys]} ({dup[0]['count']} rows) in {keys}")
+
+
 def validate_binary_label(df: DataFrame, label: str = "label") -> None:
     """SRC-4: the label column exists and holds only 0 and 1 (NULL counts as bad). One short job."""
     validate_columns(df, [label])

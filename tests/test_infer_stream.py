@@ -130,3 +130,13 @@ def test_sweep_passes_params_and_groups_by_run(spark):
     assert preds.count() == 24
     got = {r.run_id: r.accuracy_score for r in ev.collect()}
     assert got == {"top_k=20": 0.25, "top_k=40": 0.75}
+
+
+def test_validate_unique(spark):
+    import pytest
+
+    from evalspark.sources.tables import validate_unique
+
+    validate_unique(spark.createDataFrame([(1,), (2,)], "example_id long"))
+    with pytest.raises(ValueError, match="duplicate"):
+        validate_unique(spark.createDataFrame([(1,), (1,)], "example_id long"))
