@@ -516,3 +516,29 @@ ORACLE["stream_scores"] = (
     f"WITH {CORPUS_CTE}, {preds_cte()} SELECT example_id, true_label, output_string, input_token_count, "
     "output_token_count, elapsed_time, label, is_hallucination, is_wrong_format FROM preds"
 )
+
+
+def _bag_of_words_sql() -> str:
+    from evalspark.operators.topics import ENGLISH_STOP_WORDS
+
+    stop = "[" + ", ".join(q(w) for w in ENGLISH_STOP_WORDS) + "]"
+    tokens = (
+        "list_transform(list_filter(list_transform("
+        f"{words_sql('text')}, lambda x: regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
+        "lambda x: regexp_full_match(x, '\\p{L}+')), lambda x: lower(x))"
+    )
+    return (
+        f"WITH toks AS (SELECT doc_id, list_filter({tokens}, lambda x: NOT list_contains({stop}, x)) AS t FROM documents), "
+        "nd AS (SELECT count(*) AS n FROM toks), "
+        "u AS (SELECT doc_id, unnest(t) AS term FROM toks), "
+        "dfreq AS (SELECT term, count(DISTINCT doc_id) AS d FROM u GROUP BY term), "
+        "vocab AS (SELECT term FROM dfreq, nd WHERE d >= 5 AND d <= CAST(0.98 AS DOUBLE) * n), "
+        "vs AS (SELECT count(*) AS vocabulary_size FROM vocab), "
+        "per AS (SELECT u.doc_id, count(*) AS n_terms, count(DISTINCT u.term) AS n_distinct_terms "
+        "FROM u JOIN vocab ON u.term = vocab.term GROUP BY u.doc_id) "
+        "SELECT toks.doc_id, coalesce(per.n_terms, 0) AS n_terms, coalesce(per.n_distinct_terms, 0) AS n_distinct_terms, "
+        "vs.vocabulary_size FROM toks LEFT JOIN per ON toks.doc_id = per.doc_id, vs"
+    )
+
+
+ORACLE["bag_of_words"] = _bag_of_words_sql()

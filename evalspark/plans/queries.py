@@ -569,8 +569,8 @@ def bag_of_words_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bow.select(
         "doc_id",
         F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).cast("bigint").alias("n_terms"),
-        F.size(F.filter(arr, lambda x: x > 0)).alias("n_distinct_terms"),
-        F.lit(len(model.vocabulary)).alias("vocabulary_size"),
+        F.size(F.filter(arr, lambda x: x > 0)).cast("bigint").alias("n_distinct_terms"),
+        F.lit(len(model.vocabulary)).cast("bigint").alias("vocabulary_size"),
     )
 
 

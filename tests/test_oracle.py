@@ -29,4 +29,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(queries()) - set(ORACLE)
-    assert rows_only <= {"bag_of_words", "topics", "k_sweep", "cluster_crosstab"}
+    assert rows_only <= {"topics", "k_sweep", "cluster_crosstab"}
