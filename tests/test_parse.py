@@ -79,3 +79,16 @@ def test_map_and_label_name(spark):
     rows = df.select(map_values("s", {"negative": 1, "1": 1}).alias("m"), label_name("l").alias("n")).collect()
     assert [r.m for r in rows] == [1, None, 1]
     assert [r.n for r in rows] == ["negative", "positive", None]
+
+
+def test_custom_mapping_and_cot_options(spark):
+    df = spark.createDataFrame([("1",), ("0.",), ("Reasoning... ANSWER: Negative",), ("x  y",)], "raw string")
+    rows = df.select(
+        parse_label("raw", {"1": 1, "0": 0}).alias("num"),
+        parse_cot_label("raw", "ANSWER:", ignore_case=True).alias("cot"),
+        parse_label("raw", {"x": 0}, prune="[^a-z  ]").alias("ws"),
+    ).collect()
+    assert (rows[0].num.label, rows[1].num.label) == (1, 0)
+    assert rows[2].cot.label == 1 and not rows[2].cot.is_hallucination
+    # a custom prune keeps NBSP: it still separates words as in Python's split
+    assert rows[3].ws.is_wrong_format and rows[3].ws.label == -1
