@@ -281,12 +281,14 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("length_histogram_by_class")
 def length_histogram_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-class counts over the edges of the whole corpus (the side-by-side class histogram)."""
+    """Per-class counts over the edges of the whole corpus (the side-by-side class histogram). Word
+    counts come from the narrow materialized table, joined to the narrow truth table (no text moves)."""
     from evalspark.operators.stats import histogram, histogram_range
 
-    words = _doc_words(spark, sf_dir)
+    words = _words_table(spark, sf_dir)
     rng = histogram_range(words, "n_words")
-    corpus = labelled_corpus(spark, sf_dir, extra=()).select("true_label", word_count("review").alias("n_words"))
+    per_doc = words.select(F.col("doc_id").alias("example_id"), "n_words")
+    corpus = per_doc.join(truth_table(spark, sf_dir), "example_id").select("true_label", "n_words")
     return histogram(corpus, "n_words", bins=100, by=["true_label"], value_range=rng)
 
 
