@@ -197,11 +197,12 @@ def size_groups(df: DataFrame, c: str | Column, bins: int = 100, min_count: int
 # ------------------------------------------------------------------ per-group extremes and box plots
 
 
-def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak: str) -> DataFrame:
+def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak: str, mode: str = "auto") -> DataFrame:
     """AGG-18: the row with max and with min ``score`` per group; ties go to the smallest ``tiebreak``
     (pandas ``argmax`` takes the first row; rows carry an explicit order column instead of a position).
 
-    One aggregate, no window: ``min_by`` over ``struct(-score, tiebreak)`` picks the best row.
+    One aggregate, no window: ``min_by`` over ``struct(-score, tiebreak)`` picks the best row. The
+    per-group median follows ``mode`` (see ``quantile_summary``).
     """
     s = nan_to_null(score)
     payload = F.struct(s.alias(score), *[F.col(k) for k in keep])
@@ -209,13 +210,19 @@ def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak
     g = rows.groupBy(by).agg(
         F.min_by(payload, F.struct(-s, F.col(tiebreak))).alias("best"),
         F.min_by(payload, F.struct(s, F.col(tiebreak))).alias("worst"),
-        F.median(s).alias(f"median_{score}"),
     )
-    return g.select(
+    med_name = f"median_{score}"
+    if _use_distributed(rows, score, mode):
+        from evalspark.operators.quantiles import distributed_quantiles
+
+        med = distributed_quantiles(rows, score, [by], [0.5], [med_name])
+    else:
+        med = rows.groupBy(by).agg(F.median(s).alias(med_name))
+    return g.join(med, by, "left").select(
         by,
         *[F.col("best")[c].alias(f"best_{c}") for c in [score, *keep]],
         *[F.col("worst")[c].alias(f"worst_{c}") for c in [score, *keep]],
-        f"median_{score}",
+        med_name,
     )
 
 
