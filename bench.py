@@ -7,10 +7,12 @@ the reported time per query is the best of ``$BENCH_REPEAT`` runs (default 3) af
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -40,7 +42,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="evalspark-bench")
+    # Spark's event log in a scratch folder: shuffle bytes per query (job groups), read after stop()
+    event_dir = tempfile.mkdtemp(prefix="evalspark-bench-events-")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="evalspark-bench",
+                          extra_conf={"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
+                                      "spark.eventLog.compress": "false",
+                                      "spark.eventLog.rolling.enabled": "false"})
 
     def crop_render_parse(spark, sf):
         """Every document: crop 30/30 words, render the prompt, stub answer, parse."""
@@ -54,8 +61,10 @@ def main() -> None:
     QUERIES["word_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times = {}
+    spark.sparkContext.setJobGroup("setup", "setup")
     for name in HEADLINE:
         best = None
+        spark.sparkContext.setJobGroup(name, name)
         for _ in range(repeat):
             t0 = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -64,6 +73,7 @@ def main() -> None:
             drop_scratch(spark)  # outside the timed region
         times[name] = round(best, 3)
 
+    spark.sparkContext.setJobGroup("setup", "setup")
     n_docs = table(spark, sf_dir, "documents").count()
     n_labelled = labelled_corpus(spark, sf_dir, extra=()).count()
     n_events = table(spark, sf_dir, "events").count()
@@ -92,8 +102,37 @@ def main() -> None:
         "cpus": cpus,
         "repeat": repeat,
     }
-    print(json.dumps(out))
     spark.stop()
+    try:
+        shuffle = shuffle_bytes(event_dir)
+        out["shuffle_bytes_per_run"] = {k: int(shuffle.get(k, 0) / repeat) for k in HEADLINE}
+    except Exception:  # the event log is optional evidence; never fail the benchmark on it
+        pass
+    print(json.dumps(out))
+
+
+def shuffle_bytes(event_dir: str) -> dict[str, int]:
+    """Sum of shuffle bytes written per job group, from the event log."""
+    stage_group: dict[int, str] = {}
+    totals: dict[str, int] = {}
+    for path in glob.glob(os.path.join(event_dir, "**", "*"), recursive=True):
+        if not os.path.isfile(path) or path.endswith(".crc") or os.path.getsize(path) == 0:
+            continue
+        with open(path) as f:
+            for line in f:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(ev.get("Stage ID"))
+                    metrics = ev.get("Task Metrics") or {}
+                    written = (metrics.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                    if group:
+                        totals[group] = totals.get(group, 0) + int(written or 0)
+    return totals
 
 
 if __name__ == "__main__":

@@ -12,10 +12,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 _CREATED: list[str] = []  # scratch tables written by this process (see drop_scratch)
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "evalspark") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "evalspark",
+                  extra_conf: dict | None = None) -> SparkSession:
     """Local session used by tests and the benchmark (never on a cluster)."""
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
