@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from tools.oracle_check import compare, duck
+from tools.oracle_check import compare, duck, type_mismatches
 
 SF = "/root/testdata/sf0.01"
 ORACLE = oracle_sql()
@@ -16,9 +16,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
+    frame = queries()[name](spark, SF)
+    got = frame.toPandas()
     want = con.execute(ORACLE[name]).df()
     assert compare(got, want) is None
+    assert type_mismatches(frame.schema, con.sql(ORACLE[name])) == {}
 
 
 def test_entry_smoke(spark):
