@@ -140,3 +140,15 @@ def test_validate_unique(spark):
     validate_unique(spark.createDataFrame([(1,), (2,)], "example_id long"))
     with pytest.raises(ValueError, match="duplicate"):
         validate_unique(spark.createDataFrame([(1,), (1,)], "example_id long"))
+
+
+def test_read_reviews_fails_on_malformed_line(spark, tmpdir_path):
+    import pytest
+
+    from evalspark.sources.tables import read_reviews
+
+    path = os.path.join(tmpdir_path, "bad.json")
+    with open(path, "w") as f:
+        f.write('{"example_id": 1, "review": "ok", "label": 0}\n{"example_id": 2, "review": broken\n')
+    with pytest.raises(Exception):
+        read_reviews(spark, path).collect()
