@@ -108,6 +108,27 @@ def parse_cot_label(
     )
 
 
+def python_parser(fn) -> "Callable[[str | Column], Column]":
+    """UDF-2 for arbitrary Python: ``fn(text) -> (label, is_hallucination, is_wrong_format)`` (or a dict
+    with those keys) becomes a Column function returning the parsed struct, evaluated in Arrow batches.
+    Prefer the Column parsers above when the rule can be written with expressions."""
+
+    @F.pandas_udf(PARSED_TYPE)
+    def run(raw: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in raw:
+            out = fn(None if text is None or (isinstance(text, float) and text != text) else text)
+            if isinstance(out, dict):
+                out = (out["label"], out["is_hallucination"], out["is_wrong_format"])
+            rows.append((int(out[0]), bool(out[1]), bool(out[2])))
+        return pd.DataFrame(rows, columns=["label", "is_hallucination", "is_wrong_format"])
+
+    def apply(raw: str | Column) -> Column:
+        return run(_col(raw))
+
+    return apply
+
+
 def json_slice(raw: str | Column) -> Column:
     """From the first '{' to the last '}' (Python slice semantics; empty when they do not bracket)."""
     raw = _col(raw)

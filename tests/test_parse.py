@@ -92,3 +92,23 @@ def test_custom_mapping_and_cot_options(spark):
     assert rows[2].cot.label == 1 and not rows[2].cot.is_hallucination
     # a custom prune keeps NBSP: it still separates words as in Python's split
     assert rows[3].ws.is_wrong_format and rows[3].ws.label == -1
+
+
+def test_python_parser_matches_column_parser(spark):
+    import re
+
+    from evalspark.functions.parse import python_parser
+
+    def reference_rule(text):  # the basic rule written in plain Python
+        if text is None:
+            return (-1, False, True)
+        s = re.sub(r"[^a-zA-Z0-9]", " ", text).strip()
+        if len(s.split()) > 1:
+            return (-1, False, True)
+        if s not in {"negative": 1, "positive": 0}:
+            return (-1, True, False)
+        return ({"negative": 1, "positive": 0}[s], False, False)
+
+    df = spark.createDataFrame([(r[0],) for r in BASIC], "raw string")
+    rows = df.select(parse_label("raw").alias("a"), python_parser(reference_rule)("raw").alias("b")).collect()
+    assert all(tuple(r.a) == tuple(r.b) for r in rows)
