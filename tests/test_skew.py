@@ -51,3 +51,19 @@ def test_histogram_thresholds_equal_window_thresholds(spark):
     a = members(sampling.sample_thresholds(keyed, ["s"], quotas, sizes))
     b = members(sampling._window_thresholds(keyed, ["s"], quotas, sizes))
     assert a == b and len(a) == 777
+
+
+def test_sample_edges_zero_and_everything(spark):
+    df = _skewed(spark, 3000)
+    assert sampling.stratified_sample(df, ["s"], 0, seed=1, min_stratum=1).count() == 0
+    assert sampling.stratified_sample(df, ["s"], 3000, seed=1).count() == 3000
+    assert sampling.sample_complement(df, ["s"], 3000, seed=1).count() == 0
+    # the histogram path with the same edges
+    from evalspark.session import materialize
+
+    keyed = materialize(sampling.keyed_frame(df, ["s"], "example_id", 1))
+    sizes = sampling.stratum_sizes(keyed, ["s"])
+    full = sampling.largest_remainder(sizes, 3000)
+    th = sampling.sample_thresholds(keyed, ["s"], full, sizes)
+    small = spark.createDataFrame(th.collect(), th.schema)
+    assert sampling._membership(df, ["s"], "example_id", 1, small).filter("_in_sample").count() == 3000
