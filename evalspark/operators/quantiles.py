@@ -95,7 +95,11 @@ def distributed_quantiles(
         if open_.limit(1).count() == 0:
             break
         done = state.filter(~((F.col("_cnt") > cell_limit) & (F.col("_hi") > F.col("_lo"))))
-        j = x.join(open_, by).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        # ranks of one group usually share their interval (always at the first level): histogram each
+        # distinct interval once, then attach the ranks to the small histogram
+        iv_cols = [*by, "_lo", "_hi", "_flo", "_fhi", "_below"]
+        intervals = open_.select(*iv_cols).distinct()
+        j = x.join(intervals, by).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
         # infinities get the end buckets; finite values spread over the finite [min, max] in between
         flo, fhi = F.col("_flo"), F.col("_fhi")
         inner = F.least(
@@ -106,9 +110,16 @@ def distributed_quantiles(
             .when(fhi > flo, inner)
             .otherwise(F.lit(1).cast("long"))
         )
-        hist = j.groupBy(*keys, "_n", "_below", b.alias("_b")).agg(
+        hist = j.groupBy(*iv_cols, b.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_blo"), F.max("_x").alias("_bhi"),
             F.min(F.when(finite, F.col("_x"))).alias("_bflo"), F.max(F.when(finite, F.col("_x"))).alias("_bfhi"))
+        # null-safe: a group holding only infinities has no finite bounds (NULL _flo/_fhi)
+        ranks_of = open_.select(*[F.col(c).alias(f"_o{c}") for c in iv_cols], "_rank", "_n")
+        cond = None
+        for c in iv_cols:
+            eq = F.col(c).eqNullSafe(F.col(f"_o{c}"))
+            cond = eq if cond is None else cond & eq
+        hist = hist.join(ranks_of, cond).drop(*[f"_o{c}" for c in iv_cols])
         w = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
         run = hist.withColumn("_cum", F.sum("_c").over(w))
         rel = F.col("_rank") - F.col("_below")

@@ -70,3 +70,17 @@ def test_evaluate_forced_refinement_matches_map_mode(spark):
     forced = MetricInputs(median_mode="distributed", cell_limit=5)
     b = {r.source: r.asDict() for r in evaluate(p, by=["source"], inputs=forced).collect()}
     assert a == b
+
+
+def test_group_of_only_infinities_with_refinement(spark):
+    from evalspark.operators.quantiles import distributed_quantiles
+
+    inf = float("inf")
+    df = spark.createDataFrame([("z", v) for v in [-inf, inf, inf, -inf, inf]] + [("y", 1.0), ("y", 2.0), ("y", 3.0)],
+                               "g string, v double")
+    probs = [0.0, 0.5, 1.0]
+    want = {r.g: [float(x) for x in r.q] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    got = {r.g: [r.a, r.b, r.c] for r in distributed_quantiles(df, "v", ["g"], probs, ["a", "b", "c"],
+                                                               buckets=4, cell_limit=1).collect()}
+    assert got == want
