@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators.metrics import METRIC_NAMES
 
-KINDS = ("runs", "metrics", "params", "tags", "artifacts")
+KINDS = ("runs", "metrics", "params", "tags", "artifacts", "experiments")
 # The keys a run logs (params, tags) and the one text-valued param.
 PARAM_KEYS = ["model_name", "temperature", "top_k", "top_p"]
 TAG_KEYS = ["justification", "mlflow.runName"]
@@ -94,8 +94,12 @@ def read_file_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         F.trim(F.substring_index("line", ":", 1)).alias("k"),
         F.regexp_replace(F.trim(F.expr("substring(line, instr(line, ':') + 1)")), r"^'(.*)'$", "$1").alias("v"),
     )
-    meta_keys = ["experiment_id", "run_name", "lifecycle_stage", "status", "start_time", "end_time", "run_uuid"]
-    runs = kv.groupBy("run_id").pivot("k", meta_keys).agg(F.first("v"))
+    meta_keys = ["experiment_id", "run_name", "lifecycle_stage", "status", "start_time", "end_time", "run_uuid", "name"]
+    meta = kv.groupBy("run_id").pivot("k", meta_keys).agg(F.first("v"))
+    # an experiment's own meta.yaml (one level up) has a name and no run_uuid
+    experiments = meta.filter(F.col("run_uuid").isNull() & F.col("name").isNotNull()).select(
+        "experiment_id", "name", "lifecycle_stage")
+    runs = meta
     runs = runs.filter(F.col("run_uuid").isNotNull()).select(
         F.col("experiment_id"),
         "run_id",
@@ -123,7 +127,8 @@ def read_file_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "experiment_id", "run_id", F.col("key").alias("path"), F.col("content").alias("text")
     )
     dirs = parts.filter(F.col("kind") != "meta.yaml").select("experiment_id", "run_id").distinct()
-    return {"runs": runs, "metrics": metrics, "params": params, "tags": tags, "artifacts": artifacts, "dirs": dirs}
+    return {"runs": runs, "metrics": metrics, "params": params, "tags": tags, "artifacts": artifacts, "dirs": dirs,
+            "experiments": experiments}
 
 
 def find_orphan_runs(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -159,11 +164,17 @@ def search_runs(
     param_keys: Sequence[str] | None = None,
     tag_keys: Sequence[str] | None = None,
     experiment_ids: Iterable[str] | None = None,
+    experiment_names: Iterable[str] | None = None,
 ) -> DataFrame:
     """SRC-6: one row per run with a run record (active only by default); columns ``metrics.*``,
     ``params.*`` (text), ``tags.*``; a key a run never logged is NULL. Explicit key lists keep the
     pivots free of a distinct job."""
     runs = tables["runs"]
+    if experiment_names is not None:
+        if "experiments" not in tables:
+            raise ValueError("experiment names need the experiments table")
+        named = tables["experiments"].filter(F.col("name").isin(list(experiment_names))).select("experiment_id")
+        runs = runs.join(named, "experiment_id", "left_semi")
     if experiment_ids is not None:
         runs = runs.filter(F.col("experiment_id").isin(list(experiment_ids)))
     if view == "ACTIVE_ONLY":

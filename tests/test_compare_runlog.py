@@ -71,6 +71,9 @@ def test_file_store_roundtrip(spark, tmpdir_path):
     assert rows["r1"]["metrics.precision"] is None  # nan -> NULL
     assert rows["r1"]["params.temperature"] == 0.2 and rows["r1"]["params.model_name"] == "m-a"
     assert [r.run_id for r in runlog.find_orphan_runs(tables).collect()] == ["r9"]
+    assert [tuple(r) for r in tables["experiments"].collect()] == [("123", "demo", "active")]
+    assert runlog.search_runs(tables, experiment_names=["demo"]).count() == 2
+    assert runlog.search_runs(tables, experiment_names=["other"]).count() == 0
     sizes = runlog.group_sizes(runlog.comparable_runs(wide)).collect()
     assert sorted(r["count"] for r in sizes) == [1, 1]
 
