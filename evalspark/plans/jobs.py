@@ -43,6 +43,7 @@ def run_experiment(
     experiment_id: str = "0",
     parser=None,
     description: str | None = None,
+    experiment_name: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """INF-3: score (params reach the predictor), checkpoint predictions, evaluate in one aggregate,
     append the run to the run log (facts first, run record last). Returns (predictions, evaluation)."""
@@ -59,7 +60,8 @@ def run_experiment(
         run_tags = dict(tags or {})
         if description:
             run_tags["description"] = description  # free-text note of the run
-        _log(spark, log_root, experiment_id, run_name, model_name, params, run_tags, template, system_prompt, evaluation)
+        _log(spark, log_root, experiment_id, run_name, model_name, params, run_tags, template, system_prompt, evaluation,
+             experiment_name)
     return predictions, evaluation
 
 
@@ -69,7 +71,8 @@ def _template_slots(template: str) -> list[str]:
     return template_fields(template)
 
 
-def _log(spark, root, experiment_id, run_name, model_name, params, tags, template, system_prompt, evaluation):
+def _log(spark, root, experiment_id, run_name, model_name, params, tags, template, system_prompt, evaluation,
+         experiment_name=None):
     run_id = uuid.uuid4().hex
     now = int(time.time() * 1000)
     ev = evaluation.first().asDict()
@@ -89,7 +92,11 @@ def _log(spark, root, experiment_id, run_name, model_name, params, tags, templat
         [(experiment_id, run_id, run_name, "active", 3, now, int(time.time() * 1000))],
         "experiment_id string, run_id string, run_name string, lifecycle_stage string, status int, start_time bigint, end_time bigint",
     )
-    runlog.log_runs(root, runs, metrics_df, params_df, tags_df, art)
+    exps = None
+    if experiment_name:
+        exps = spark.createDataFrame([(experiment_id, experiment_name, "active")],
+                                     "experiment_id string, name string, lifecycle_stage string")
+    runlog.log_runs(root, runs, metrics_df, params_df, tags_df, art, exps)
 
 
 def sweep(

@@ -34,10 +34,11 @@ def c(name: str) -> Column:
 
 
 def log_runs(root: str, runs: DataFrame, metrics: DataFrame, params: DataFrame, tags: DataFrame,
-             artifacts: DataFrame | None = None) -> None:
+             artifacts: DataFrame | None = None, experiments: DataFrame | None = None) -> None:
     """Append runs to the parquet run log. Facts first, ``runs`` last: a run whose write fails midway
     has no ``runs`` row and stays invisible to ``search_runs`` (which inner-joins on it)."""
-    for name, df in (("tags", tags), ("artifacts", artifacts), ("params", params), ("metrics", metrics)):
+    for name, df in (("experiments", experiments), ("tags", tags), ("artifacts", artifacts), ("params", params),
+                     ("metrics", metrics)):
         if df is not None:
             df.write.mode("append").partitionBy("experiment_id").parquet(os.path.join(root, name))
     runs.write.mode("append").partitionBy("experiment_id").parquet(os.path.join(root, "runs"))
@@ -173,7 +174,7 @@ def search_runs(
     if experiment_names is not None:
         if "experiments" not in tables:
             raise ValueError("experiment names need the experiments table")
-        named = tables["experiments"].filter(F.col("name").isin(list(experiment_names))).select("experiment_id")
+        named = tables["experiments"].filter(F.col("name").isin(list(experiment_names))).select("experiment_id").distinct()
         runs = runs.join(named, "experiment_id", "left_semi")
     if experiment_ids is not None:
         runs = runs.filter(F.col("experiment_id").isin(list(experiment_ids)))

@@ -55,11 +55,12 @@ def test_run_experiment_logs_a_run(spark, tmpdir_path):
     root = os.path.join(tmpdir_path, "log")
     preds, ev = jobs.run_experiment(spark, df, jobs.keyword_predictor_factory, run_name="kw", model_name="kw-1",
                                     params={"temperature": 0.2}, log_root=root, experiment_id="e1",
-                                    description="keyword baseline")
+                                    description="keyword baseline", experiment_name="keywords-demo")
     assert ev.first().accuracy_score == 1.0
     wide = runlog.search_runs(runlog.read_run_tables(spark, root), tag_keys=["mlflow.runName", "description"]).collect()
     assert len(wide) == 1 and wide[0]["metrics.accuracy_score"] == 1.0 and wide[0]["params.model_name"] == "kw-1"
     assert wide[0]["tags.description"] == "keyword baseline" and wide[0]["tags.mlflow.runName"] == "kw"
+    assert runlog.search_runs(runlog.read_run_tables(spark, root), experiment_names=["keywords-demo"]).count() == 1
 
 
 def test_batch_job(spark, tmpdir_path):
