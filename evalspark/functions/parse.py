@@ -169,13 +169,16 @@ def _json_fields_udf(fields: tuple[str, ...]):
     return extract
 
 
-def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = True) -> Column:
+def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = True, engine: str = "python") -> Column:
     """Strict JSON object between the first '{' and the last '}'; each requested field as a string
     (non-string values in compact JSON form); any failure or an absent field gives NULL.
 
-    ``strict=True`` parses with Python's ``json`` in an Arrow-batched pandas UDF: Spark's JSON readers
-    accept trailing text after the first object (``{"k": 1} and {...}``) which strict JSON rejects.
-    ``strict=False`` stays JVM-side (``try_parse_json``) and inherits that leniency.
+    ``engine="python"`` (default) parses with Python's ``json`` in an Arrow-batched pandas UDF: exactly
+    the reference's semantics. ``engine="jvm"`` stays in the JVM: the slice is parsed as the one
+    element of a JSON array (``[slice]``), so trailing text after the object (``{..} and {..}``,
+    ``{..}}``, ``{..},{..}``) is rejected as strict JSON requires; it differs from Python only on
+    duplicate keys and NaN literals (both NULL here). ``strict=False`` uses Spark's lenient
+    ``try_parse_json`` on the bare slice (it ignores trailing text).
     """
     fields = tuple(fields)
     if not fields:
@@ -184,7 +187,18 @@ def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = Tr
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", f):
             raise ValueError(f"unsupported field name {f!r}")
     sliced = json_slice(raw)
-    if strict:
+    if not strict:
+        v = F.try_parse_json(sliced)
+        return F.struct(*[F.try_variant_get(v, f"$.{f}", "string").alias(f) for f in fields])
+    if engine == "python":
         return _json_fields_udf(fields)(sliced)
-    v = F.try_parse_json(sliced)
-    return F.struct(*[F.try_variant_get(v, f"$.{f}", "string").alias(f) for f in fields])
+    if engine != "jvm":
+        raise ValueError("engine must be 'python' or 'jvm'")
+    arr = F.try_parse_json(F.concat(F.lit("["), sliced, F.lit("]")))
+    one = F.try_variant_get(arr, "$[1]", "string").isNull() & (F.schema_of_variant(arr) != F.lit("ARRAY<VOID>"))
+    obj_ok = F.startswith(F.schema_of_variant(F.try_variant_get(arr, "$[0]", "variant")), F.lit("OBJECT"))
+    cols = []
+    for f in fields:
+        val = F.try_variant_get(arr, f"$[0].{f}", "string")
+        cols.append(F.when(one & obj_ok, val).alias(f))
+    return F.struct(*cols)

@@ -186,6 +186,8 @@ ORACLE["parse_json"] = (
     f"FROM (SELECT *, {_JSON_SLICE} AS s FROM (SELECT event_id, {_JSON_RESP} AS output_string FROM events))"
 )
 
+ORACLE["parse_json_jvm"] = ORACLE["parse_json"]
+
 
 # ------------------------------------------------------------------ prompts and chat
 

@@ -112,3 +112,13 @@ def test_python_parser_matches_column_parser(spark):
     df = spark.createDataFrame([(r[0],) for r in BASIC], "raw string")
     rows = df.select(parse_label("raw").alias("a"), python_parser(reference_rule)("raw").alias("b")).collect()
     assert all(tuple(r.a) == tuple(r.b) for r in rows)
+
+
+def test_json_engines_agree(spark):
+    cases = ['x {"label": "a"} y', "{bad}", "} {", "{'label': 'a'}", '{"other": 1}', '{"label": 1} and {"label": 2}',
+             '{"label": 3}', '{"label": 1},{"label": 2}', '{"label": 1}}', '{"label": {"x": 1}}', '{"label": [1,2]}',
+             '{"label": null}', '{"label": true}', '{"label": 1.50}', '{"label": "é"}', "", None, "[1]", '{"a": {"label": 1}}']
+    df = spark.createDataFrame([(c,) for c in cases], "raw string")
+    rows = df.select(parse_json_label("raw", ["label"]).alias("p"),
+                     parse_json_label("raw", ["label"], engine="jvm").alias("j")).collect()
+    assert [r.p.label for r in rows] == [r.j.label for r in rows]
