@@ -34,6 +34,8 @@ class MetricInputs:
     # "distributed": exact with bounded memory per task (continuous values of huge runs), extra passes;
     # "auto": "map" for integral inputs, "distributed" for fractional ones.
     median_mode: str = "auto"
+    # per-metric policy: metric name -> "auto" | "map" | "distributed" | "approx"
+    median_overrides: tuple[tuple[str, str], ...] = ()
     # groups of at most this many rows keep Spark's map median even for continuous inputs: the map then
     # holds at most this many entries (the same bound as the distributed plan's final ranked cell)
     cell_limit: int = 100_000
@@ -46,11 +48,19 @@ class MetricInputs:
     def p(self) -> Column:
         return F.col(self.label)
 
-    def median(self, c: Column) -> Column:
+    def median(self, c: Column, approx: bool | None = None) -> Column:
         c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))  # NaN is "missing", as pandas skips it
-        if self.exact:
-            return F.median(c)
-        return F.percentile_approx(c, 0.5, self.accuracy).cast("double")
+        use_approx = (not self.exact) if approx is None else approx
+        if use_approx:
+            return F.percentile_approx(c, 0.5, self.accuracy).cast("double")
+        return F.median(c)
+
+    def mode_for(self, name: str) -> str:
+        """The median policy of one metric: an override, else "approx" when exact=False, else the default."""
+        overrides = dict(self.median_overrides)
+        if name in overrides:
+            return overrides[name]
+        return self.median_mode if self.exact else "approx"
 
 
 @dataclass(frozen=True)
@@ -167,7 +177,7 @@ def evaluate(
         if _max_group_rows(source, by, inputs.cell_limit) <= inputs.cell_limit:
             separate = []  # every group is small: the exact map median is bounded, one pass suffices
     one_pass = [m for m in chosen if m not in separate]
-    cols = [m.build(inputs).alias(m.name) for m in one_pass]
+    cols = [_one_pass_column(m, inputs).alias(m.name) for m in one_pass]
     if with_count:
         cols.append(F.count(F.lit(1)).alias("n"))
     grouped = source.groupBy(*by) if by else source.groupBy()
@@ -192,6 +202,12 @@ def evaluate(
     return out
 
 
+def _one_pass_column(m: Metric, inputs: MetricInputs) -> Column:
+    if m.median_of is None:
+        return m.build(inputs)
+    return inputs.median(m.median_of(inputs), approx=inputs.mode_for(m.name) == "approx")
+
+
 def _max_group_rows(df: DataFrame, by: Sequence[str], limit: int) -> int:
     """Rows in the largest group; the total row count (parquet metadata) settles it when already small."""
     total = df.count()
@@ -201,9 +217,12 @@ def _max_group_rows(df: DataFrame, by: Sequence[str], limit: int) -> int:
 
 
 def _distributed(df: DataFrame, m: Metric, inputs: MetricInputs) -> bool:
-    if not inputs.exact or inputs.median_mode == "map":
+    mode = inputs.mode_for(m.name)
+    if mode not in ("auto", "map", "distributed", "approx"):
+        raise ValueError(f"unknown median mode {mode!r} for {m.name}")
+    if mode in ("map", "approx"):
         return False
-    if inputs.median_mode == "distributed":
+    if mode == "distributed":
         return True
     from pyspark.sql.types import IntegralType
 

@@ -104,3 +104,15 @@ def test_materialize_and_drop_scratch(spark):
     assert m.count() == 10 and os.path.exists(path) and len(session._CREATED) == before + 1
     assert session.drop_scratch(spark) >= 1
     assert not os.path.exists(path) and session._CREATED == []
+
+
+def test_median_overrides(spark):
+    df = preds(spark, [0, 0, 0, 1], [0, 0, 1, 1])
+    exact = evaluate(df).first()
+    mixed = evaluate(df, inputs=MetricInputs(median_overrides=(("median_processing_time", "approx"),
+                                                                ("median_query_token_count", "distributed")))).first()
+    assert mixed.median_query_token_count == exact.median_query_token_count == 11.5
+    assert mixed.median_processing_time in (1.5, 2.5)  # approx returns an observed value
+    assert mixed.accuracy_score == exact.accuracy_score
+    with pytest.raises(ValueError):
+        evaluate(df, inputs=MetricInputs(median_overrides=(("median_processing_time", "bogus"),)))
