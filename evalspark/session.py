@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -86,16 +87,28 @@ def materialize(df, spark: SparkSession | None = None, fmt: str = "parquet"):
     return spark.read.parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables this process wrote (call once the results are consumed). Uses the
-    Hadoop FileSystem of each path, so it works on shared storage as well. Returns how many went."""
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables this process wrote (all, or those after the first ``since``); call it
+    once the results are consumed. Uses the Hadoop FileSystem of each path, so it works on shared
+    storage as well. Returns how many went."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _CREATED:
+    while len(_CREATED) > since:
         p = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             fs.delete(p, True)
             dropped += 1
     return dropped
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """``with scratch_scope(spark): rows = query(...).collect()`` deletes the scratch tables written
+    inside the block when it ends (results must be consumed inside it)."""
+    start = len(_CREATED)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, since=start)

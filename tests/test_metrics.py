@@ -116,3 +116,19 @@ def test_median_overrides(spark):
     assert mixed.accuracy_score == exact.accuracy_score
     with pytest.raises(ValueError):
         evaluate(df, inputs=MetricInputs(median_overrides=(("median_processing_time", "bogus"),)))
+
+
+def test_scratch_scope_drops_only_its_tables(spark):
+    import os
+
+    from evalspark import session
+
+    keep = session.materialize(spark.range(3))
+    kept_path = session._CREATED[-1]
+    with session.scratch_scope(spark):
+        inner = session.materialize(spark.range(5))
+        inner_path = session._CREATED[-1]
+        assert inner.count() == 5
+    assert not os.path.exists(inner_path) and os.path.exists(kept_path)
+    assert keep.count() == 3
+    session.drop_scratch(spark)
