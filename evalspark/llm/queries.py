@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, mixture, url_rules
+from evalspark.llm import bpe, html_text, mixture, multiset_hash, quality, simhash, url_rules
 from evalspark.llm.common import table
 
 QUERIES: dict = {}
@@ -65,6 +65,29 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_multiset_hash")
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def _term_sql(terms) -> str:
     return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INTEGER)" for t in terms)
 
