@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, html_text, mixture, multiset_hash, quality, simhash, url_rules
+from evalspark.llm import bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, url_rules
 from evalspark.llm.common import table
 
 QUERIES: dict = {}
@@ -65,6 +65,18 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def covered(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +95,12 @@ def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op8_phrase_dedup")
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_html_text")
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
