@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, url_rules
+from evalspark.llm import ann, bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, url_rules
 from evalspark.llm.common import table
 
 QUERIES: dict = {}
@@ -65,6 +65,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op3_ann")
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def covered(spans: str):
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
 
