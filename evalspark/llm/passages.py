@@ -9,8 +9,9 @@ dealt out by their anchor's hash.
 ``repeated_spans``: stretches whose anchor hash occurs once go. Of the rest, equal stretches are one (with the number, the
 smallest and the largest id of the documents that have it), their units are cut from the texts, and a solver gets
 all stretches of an anchor together, in blocks of bounded size, and says which windows repeat. An anchor with more
-than ``limit`` different stretches is dealt out again, each of its windows by a hash of the whole window:
-those groups hold one content each. What a solver finds is carried back to every stretch and joined to the
+than ``limit`` different stretches is dealt out again in pieces: windows of like distance to the anchor, by a hash of
+the units that all windows at these distances have in common. Equal windows meet there as well. What is still
+crowded is dealt out window by window: those groups hold one content each. What a solver finds is carried back to every stretch and joined to the
 texts. Hashes only decide what meets; whether windows are equal is up to the solver.
 """
 
@@ -29,6 +30,7 @@ from evalspark.llm.common import cut, n_partitions, text_or_empty
 LAST = 2**63 - 1  # stands for a null id: after all others
 SLAB = 1 << 19  # units worked on at once
 LONG_SLAB = 1 << 21  # units of one document worked on at once
+PIECES = 8  # of the distances to an anchor, where it is crowded
 TOP = np.iinfo(np.uint64).max
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 
@@ -94,13 +96,13 @@ def mixed(words: np.ndarray, n: int, steps) -> np.ndarray:
     return h
 
 
-def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, anchor hash) of each stretch of concatenated documents; first windows are
-    counted from the document's start."""
+def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(document, first window, windows, anchor hash, anchor's distance from the first window) of each stretch of
+    concatenated documents; first windows are counted from the document's start."""
     wide, n = window - gram + 1, len(h)
     none = np.empty(0, np.int64)
     if n < window:
-        return none, none, none, none
+        return none, none, none, none, none
     low = np.uint64((1 << 24) - 1)
     keys = np.full(-(-n // wide) * wide, TOP, np.uint64)
     keys[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
@@ -113,12 +115,25 @@ def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple
     doc = np.repeat(np.arange(len(sizes)), sizes)[:m]
     at = np.flatnonzero(np.arange(m) + window <= ends[doc])
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     anchor, doc = anchor[at], doc[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     k = np.flatnonzero(new)
-    return doc[k], at[k] - (ends - sizes)[doc[k]], np.diff(np.append(k, len(at))), h[anchor[k]].view(np.int64)
+    return doc[k], at[k] - (ends - sizes)[doc[k]], np.diff(np.append(k, len(at))), h[anchor[k]].view(np.int64), anchor[k] - at[k]
+
+
+def _pieces(kind, hashed: bytes, window: int, at: int, n: int, key: int, ahead: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, windows, key, distance to the anchor) of a stretch's pieces: windows whose distance to the anchor is the
+    same when divided by ``width``, keyed by the units common to all windows of such distances."""
+    anchor, p, end = at + ahead, at, at + n
+    while p < end:
+        step = (anchor - p) // width
+        stop = min(end, anchor - step * width + 1)  # the last window at the smallest distance of this step
+        common = kind.code(hashed, anchor - step * width, anchor - step * width - width + 1 + window)
+        new = (common * 0x9E3779B97F4A7C15 + key * 0xC2B2AE3D27D4EB4F + step) % 2**64
+        yield p, stop - p, new - 2**64 if new >> 63 else new, anchor - p
+        p = stop
 
 
 def _slabs(texts: list[tuple], kind) -> Iterator[list[tuple]]:
@@ -135,8 +150,9 @@ def _slabs(texts: list[tuple], kind) -> Iterator[list[tuple]]:
         yield group
 
 
-def anchors(kind, window: int, gram: int) -> Callable:
-    """Batches of id, th, text to rows of ``ROW``: one for each stretch."""
+def anchors(kind, window: int, gram: int, levels: tuple = ()) -> Callable:
+    """Batches of id, th, text to rows of ``ROW``: one for each stretch. levels: (broadcast sorted keys, width) of crowded
+    keys; then a row for each piece of the stretches that have such keys at every level, and no others."""
 
     def run(batches):
         for batch in batches:
@@ -150,7 +166,11 @@ def anchors(kind, window: int, gram: int) -> Callable:
                 for one in [parts] if len(group) == len(parts) else [[p] for p in parts]:
                     h, hashed = kind.hashes([u for _, _, u in one], gram)
                     sizes = np.array([len(u) for _, _, u in one])
-                    doc, at, n, key = stretches(h, sizes, window, gram)
+                    doc, at, n, key, ahead = stretches(h, sizes, window, gram)
+                    for keys, width in levels:
+                        hot = np.flatnonzero(np.isin(key, keys.value))
+                        found = [(d, *piece) for d, *s in zip(*(x[hot].tolist() for x in (doc, at, n, key, ahead))) for piece in _pieces(kind, hashed[d], window, *s, width)]
+                        doc, at, n, key, ahead = np.array(found, np.int64).reshape(-1, 5).T.copy()
                     if not len(doc):
                         continue
                     code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
@@ -169,25 +189,6 @@ def _each(batch: pa.RecordBatch, name: str) -> Iterator[tuple[dict, list[dict]]]
         yield row, row.pop(name) or []
 
 
-def _by_window(kind, window: int) -> Callable:
-    """Batches of id, th, text, wanted (at, n) to rows of ``ROW``: one for each window, by a hash of all of it."""
-
-    def run(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, 64):
-                out = []
-                for row, wanted in _each(whole.slice(k, 64), "wanted"):
-                    units = kind.units(row["text"])
-                    _, hashed = kind.hashes([units], 8)
-                    for s in wanted:
-                        for at in range(s["at"], s["at"] + s["n"]):
-                            code = kind.code(hashed[0], at, at + window)
-                            out.append((code ^ 0x5BD1E995, code, row["id"], row["th"], at, 1))
-                yield _rows(out, ["h", "c", "id", "th", "at", "n"], "uulllI")
-
-    return run
-
-
 def _rows(rows: list[tuple], names: list[str], kinds: str) -> pa.RecordBatch:
     types = {"l": pa.int64(), "I": pa.int32(), "b": pa.binary()}
     cols = list(zip(*rows)) if rows else [()] * len(names)
@@ -252,8 +253,8 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     recurs = (F.min("id") < F.max("id")) if across else (F.count("*") > 1)
 
     def recurring(rows: DataFrame) -> DataFrame:
-        again = rows.groupBy("h").agg(recurs.alias("again")).filter("again").select("h")
-        return rows.join(again, "h")
+        again = cut(rows.groupBy("h").agg(recurs.alias("again")).filter("again").select("h"))
+        return rows.join(again, "h")  # both sides plain, so that a frequent anchor's rows can be split among tasks
 
     def wanted(rows: DataFrame, *cols: str) -> DataFrame:
         return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*cols)).alias("wanted"))
@@ -263,11 +264,15 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         return rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("id").alias("last"), one)
 
     rows = cut(recurring(base.mapInArrow(anchors(kind, window, gram), ROW)))
-    crowded = cut(distinct(rows).groupBy("h").count().filter(F.col("count") > limit).select("h"))
-    if not crowded.isEmpty():
-        asked = wanted(rows.join(crowded, "h", "left_semi").dropDuplicates(["id", "th", "at"]), "at", "n")  # rows of equal text ask once and answer each
-        finer = base.join(asked, ["id", "th"]).mapInArrow(_by_window(kind, window), ROW)
-        rows = cut(rows.join(crowded, "h", "left_anti").unionByName(recurring(finer)))
+    levels: list[tuple] = []
+    for width in (max(2, (window - gram + 1) // PIECES), 1):
+        crowded = cut(distinct(rows).groupBy("h").count().filter(F.col("count") > limit).select("h"))
+        keys = np.sort(np.array([r["h"] for r in crowded.collect()], np.int64))  # 8 bytes for more than ``limit`` stretches
+        if not len(keys):
+            break
+        levels.append((base.sparkSession.sparkContext.broadcast(keys), width))
+        finer = recurring(base.mapInArrow(anchors(kind, window, gram, tuple(levels)), ROW))
+        rows = cut(rows.join(F.broadcast(crowded), "h", "left_anti").unionByName(finer))
     groups = distinct(rows).select("h", "c", "copies", "first", "last", "one.*")
     bodies = base.join(wanted(groups, "h", "c", "at", "n", "copies", "first", "last"), ["id", "th"])
     bodies = bodies.mapInArrow(_cut_bodies(kind, window), STRETCH)
