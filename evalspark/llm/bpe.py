@@ -37,7 +37,7 @@ FAR = np.int64(1) << 60
 SPACE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 PIECE = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 
-CACHE_WORDS = 500_000  # distinct words and pieces remembered by a Python worker; the cache starts anew beyond
+CACHE_WORDS = 150_000  # distinct words and pieces remembered by a Python worker; the cache starts anew beyond
 CACHE_CHARS = 64  # longer ones are not remembered
 SHORT = 48  # bytes up to which words are proposed and merged together as arrays; longer ones singly
 
@@ -339,6 +339,7 @@ def _encode_batches(spec, text_col: str, ids_col: str):
                 ends = np.cumsum([0, *(len(b) // 4 for b in found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield _with(batch, **{ids_col: ids})
+        bpe.cache.clear()  # workers live on after a task
 
     return run
 
