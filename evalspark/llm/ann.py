@@ -177,10 +177,12 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows, in double precision."""
     a, b = a.astype(np.float64), b.astype(np.float64)
     with np.errstate(all="ignore"):
-        s = (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
-    if not np.isfinite(s).all():  # squares left the range of doubles
-        a, b = (v / np.abs(v).max(-1, keepdims=True) for v in (a, b))
-        s = (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
+        x, y = (a * a).sum(-1), (b * b).sum(-1)
+        s = (a * b).sum(-1) / (np.sqrt(x) * np.sqrt(y))
+        odd = ~(np.isfinite(x) & np.isfinite(y) & (x > 1e-280) & (y > 1e-280) & np.isfinite(s))
+        if odd.any():  # squares left the range of doubles: these vectors are scaled first
+            a, b = (v / np.abs(v).max(-1, keepdims=True) for v in (a, b))
+            s = np.where(odd, (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1))), s)
     return s
 
 
@@ -235,7 +237,7 @@ def _search_block(beam: int, best: int):
                     for f, s in zip(nodes, values):
                         if f >= 0:
                             cols["key"].append(key), cols["node"].append(node), cols["score"].append(s), cols["ids"].append(list(ids[f]))
-        return pd.DataFrame(cols)
+        return pd.DataFrame({c: pd.Series(v, dtype={"score": "float64", "ids": "object"}.get(c, "int64")) for c, v in cols.items()})
 
     return run
 
