@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -320,9 +321,18 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def _slices(batch: pa.RecordBatch, text_col: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows that hold at most ``size`` bytes of text (or one row), so that a batch of
+    long texts needs no more working memory than one of short ones."""
+    start = held = 0
+    for k, n in enumerate(pc.binary_length(batch.column(text_col)).to_pylist()):
+        n = n or 0
+        if k > start and (k - start == rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _with(batch: pa.RecordBatch, **cols: pa.Array) -> pa.RecordBatch:
@@ -334,7 +344,7 @@ def _encode_batches(spec, text_col: str, ids_col: str):
     def run(batches):
         bpe = _bpe(spec.value)
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, text_col):
                 found = bpe.encode([t or "" for t in batch.column(text_col).to_pylist()])
                 ends = np.cumsum([0, *(len(b) // 4 for b in found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -371,6 +381,14 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return df.mapInArrow(_decode_batches(_shared(df, path), ids_col, text_col), _schema(df, f"{text_col} string"))
 
 
+def encode_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """As ``decode(encode(df))``, in one pass of one Python worker per task: two workers would hold the
+    vocabulary twice. No shuffle."""
+    spec = _shared(df, path)
+    to_ids, to_text = _encode_batches(spec, text_col, ids_col), _decode_batches(spec, ids_col, decoded_col)
+    return df.mapInArrow(lambda batches: to_text(to_ids(batches)), _schema(df, f"{ids_col} array<int>", f"{decoded_col} string"))
+
+
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each text in one pass and returns ``id_col``, ``n_tokens``, ``ids_sha256`` (of the
     ids as little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the decoded text in UTF-8)."""
