@@ -176,8 +176,9 @@ def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = Tr
     ``engine="python"`` (default) parses with Python's ``json`` in an Arrow-batched pandas UDF: exactly
     the reference's semantics. ``engine="jvm"`` stays in the JVM: the slice is parsed as the one
     element of a JSON array (``[slice]``), so trailing text after the object (``{..} and {..}``,
-    ``{..}}``, ``{..},{..}``) is rejected as strict JSON requires; it differs from Python only on
-    duplicate keys and NaN literals (both NULL here). ``strict=False`` uses Spark's lenient
+    ``{..}}``, ``{..},{..}``, ``{..}, null, {..}``) is rejected as strict JSON requires. It differs from
+    Python on duplicate keys and NaN literals (both NULL here), and in how it writes integers of more than
+    38 digits, large floats, and non-ASCII text inside arrays. ``strict=False`` uses Spark's lenient
     ``try_parse_json`` on the bare slice (it ignores trailing text).
     """
     fields = tuple(fields)
@@ -195,7 +196,7 @@ def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = Tr
     if engine != "jvm":
         raise ValueError("engine must be 'python' or 'jvm'")
     arr = F.try_parse_json(F.concat(F.lit("["), sliced, F.lit("]")))
-    one = F.try_variant_get(arr, "$[1]", "string").isNull() & (F.schema_of_variant(arr) != F.lit("ARRAY<VOID>"))
+    one = F.size(F.try_variant_get(arr, "$", "array<variant>")) == 1
     obj_ok = F.startswith(F.schema_of_variant(F.try_variant_get(arr, "$[0]", "variant")), F.lit("OBJECT"))
     cols = []
     for f in fields:

@@ -85,6 +85,11 @@ def _predict_batches(
     param_cols: Sequence[str] = (),
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def predict(predictor, pdf: pd.DataFrame, call_params: Mapping) -> pd.DataFrame:
+        asked = pdf[prompt_col].notna()
+        if not asked.all():  # a NULL prompt is not sent; its response is NULL, with no tokens and no time
+            rest = pdf.loc[~asked, list(passthrough)].assign(
+                output_string=None, input_token_count=0, output_token_count=0, elapsed_time=0.0)
+            return pd.concat([predict(predictor, pdf[asked], call_params), rest], ignore_index=True) if asked.any() else rest
         start = time.perf_counter()
         out = predictor(pdf[prompt_col].reset_index(drop=True), call_params)
         per_row = (time.perf_counter() - start) / len(pdf)
@@ -126,9 +131,13 @@ def score(
     parser: Column | None = None,
     partitions: int | None = None,
     param_cols: Sequence[str] = (),
+    system_prompt: str | None = None,
 ) -> DataFrame:
     """INF-1: score every row with a Python predictor through ``mapInPandas``.
 
+    ``system_prompt``, where given, reaches the predictor as ``params["system_prompt"]``. Fields that the
+    template does not use raise. A NULL prompt is not sent: its response is NULL (a wrong format).
+
     ``params`` go to every call; ``param_cols`` (kept columns, e.g. a grid's temperature / top_k) are
     passed per row: each Arrow batch is split by their values and the predictor receives them.
 
@@ -138,6 +147,10 @@ def score(
     The result may be non-deterministic: persist it (``session.materialize``) before evaluating twice.
     """
     fields = dict(fields or {})
+    if fields:
+        validate_prompt_fields(template, list(fields))
+    if system_prompt is not None:
+        params = {**(params or {}), "system_prompt": system_prompt}
     prompt = render_prompt(template, fields)
     passthrough = list(keys) + list(keep)
     inp = df.select(*passthrough, prompt.alias("_prompt"))

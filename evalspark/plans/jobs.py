@@ -8,6 +8,7 @@ executor never re-runs the model and evaluation always sees the same predictions
 from __future__ import annotations
 
 import argparse
+import importlib
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -53,7 +54,7 @@ def run_experiment(
         raise KeyError(f"template fields missing from the examples: {missing}")
     validate_unique(examples, ["example_id"])
     scored = infer.score(examples, predictor_factory, template, keys=("example_id",), keep=(truth,),
-                         params=params, parser=parser)
+                         params=params, parser=parser, system_prompt=system_prompt)
     predictions = materialize(scored)
     evaluation = evaluate(predictions)
     if log_root:
@@ -125,6 +126,9 @@ def batch_job(
     with_evaluation: bool = True,
     limit: int | None = None,
     partitions: int | None = None,
+    params: Mapping | None = None,
+    parser=None,
+    system_prompt: str = infer.DEFAULT_SYSTEM_PROMPT,
 ) -> DataFrame | None:
     """INF-4: read JSONL reviews, validate, score, write predictions (and the evaluation beside them).
 
@@ -140,7 +144,8 @@ def batch_job(
         df = df.orderBy("example_id").limit(limit)
     examples = df.withColumnRenamed("label", "true_label") if with_evaluation else df
     keep = ("true_label",) if with_evaluation else ()
-    scored = infer.score(examples, predictor_factory, template, keys=("example_id",), keep=keep, partitions=partitions)
+    scored = infer.score(examples, predictor_factory, template, keys=("example_id",), keep=keep, partitions=partitions,
+                         params=params, parser=parser, system_prompt=system_prompt)
     predictions = materialize(scored)
     sinks.write_predictions(predictions, output_path)
     if not with_evaluation:
@@ -175,13 +180,22 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--prompt", required=True)
     ap.add_argument("--no-evaluate", action="store_true")
     ap.add_argument("--limit", type=int, default=None)
+    ap.add_argument("--predictor", default=None, help="module:factory of the predictor (default: a keyword toy)")
+    ap.add_argument("--system-prompt", default=None, help="file with the system prompt")
+    ap.add_argument("--param", action="append", default=[], metavar="NAME=VALUE", help="sampling parameter (a number)")
     args = ap.parse_args(argv)
+    factory = keyword_predictor_factory
+    if args.predictor:
+        module, _, name = args.predictor.partition(":")
+        factory = getattr(importlib.import_module(module), name)
+    params = {k: float(v) for k, _, v in (p.partition("=") for p in args.param)}
     spark = SparkSession.builder.getOrCreate()
     from evalspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    batch_job(spark, args.input, args.output, args.prompt, keyword_predictor_factory,
-              with_evaluation=not args.no_evaluate, limit=args.limit)
+    system = read_prompt(spark, args.system_prompt) if args.system_prompt else infer.DEFAULT_SYSTEM_PROMPT
+    batch_job(spark, args.input, args.output, args.prompt, factory, with_evaluation=not args.no_evaluate,
+              limit=args.limit, params=params, system_prompt=system)
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from evalspark.functions.parse import DEFAULT_MAPPING
 from evalspark.functions.stub import STUB_RESPONSES
 from evalspark.functions.text import WORD_PATTERN, _parse_template
 from evalspark.operators.infer import DEFAULT_TEMPLATE
+from evalspark.plans.queries import COT_MARKER, FEW_SHOT_BASE
 
 ORACLE: dict[str, str] = {}
 
@@ -133,13 +134,12 @@ ORACLE["crop_fraction"] = (
 # ------------------------------------------------------------------ parsers
 
 def cot_response_sql() -> str:
-    from evalspark.plans.queries import COT_MARKER as M
-
+    M = COT_MARKER
     resp = stub_response_sql("doc_id")
     lead = "text"
     return (
         f"CASE doc_id % 4 WHEN 0 THEN {lead} || {q(' ' + M + ' ')} || {resp} "
-        f"WHEN 1 THEN {q(f'first {M} negative, but then {M} ')} || {resp} "
+        f"WHEN 1 THEN {lead} || {q(f' {M} negative, but then {M} ')} || {resp} "
         f"WHEN 2 THEN {lead} || {q(' ' + M)} ELSE {lead} END"
     )
 
@@ -165,9 +165,9 @@ ORACLE["parse_basic"] = (
 
 ORACLE["parse_cot"] = (
     "WITH src AS (SELECT doc_id, output_string, output_string IS NOT NULL AND strpos(output_string, "
-    "'my classification is:') > 0 AS _has FROM (SELECT doc_id, " + cot_response_sql() + " AS output_string "
+    + q(COT_MARKER) + ") > 0 AS _has FROM (SELECT doc_id, " + cot_response_sql() + " AS output_string "
     "FROM documents)) SELECT doc_id, output_string, label, is_hallucination, is_wrong_format FROM ("
-    + parse_cot_sql("output_string", "my classification is:") + ")"
+    + parse_cot_sql("output_string", COT_MARKER) + ")"
 )
 
 _JSON_RESP = (
@@ -200,10 +200,7 @@ def _few_shot_sql(seed: int = 7, per_class: int = 1) -> str:
         f"row_number() OVER (PARTITION BY true_label ORDER BY md5('{seed}:' || CAST(example_id AS VARCHAR)), example_id) AS rn "
         f"FROM corpus) WHERE rn <= {per_class})"
     )
-    head = "Here is a review: "
-    mid = "\n----\nDecide whether its overall sentiment is positive or negative. Examples:\n"
-    tail = "\n----\nAnswer with exactly one word: positive or negative."
-    return f"{q(head)} || {crop_sql('text', 30, 30)} || {q(mid)} || {ex} || {q(tail)}"
+    return render_sql(FEW_SHOT_BASE, {"review": "text", "examples": ex})
 
 
 ORACLE["prompt_render"] = (

@@ -82,7 +82,7 @@ def crop_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ parsers over stub responses
 
-COT_MARKER = "my classification is:"
+COT_MARKER = "FINAL LABEL ="
 JSON_FIELDS = ("k",)
 
 
@@ -96,7 +96,7 @@ def cot_response(doc_id: str = "doc_id", text: str = "text"):
     m = F.col(doc_id) % 4
     return (
         F.when(m == 0, F.concat(lead, F.lit(f" {COT_MARKER} "), resp))
-        .when(m == 1, F.concat(F.lit(f"first {COT_MARKER} negative, but then {COT_MARKER} "), resp))
+        .when(m == 1, F.concat(lead, F.lit(f" {COT_MARKER} negative, but then {COT_MARKER} "), resp))
         .when(m == 2, F.concat(lead, F.lit(f" {COT_MARKER}")))
         .otherwise(lead)
     )
@@ -187,11 +187,7 @@ def few_shot_examples(spark: SparkSession, sf_dir: str, per_class: int = 1):
     return out
 
 
-FEW_SHOT_BASE = (
-    "Here is a review: {review}\n----\n"
-    "Decide whether its overall sentiment is positive or negative. Examples:\n{examples}"
-    "\n----\nAnswer with exactly one word: positive or negative."
-)
+FEW_SHOT_BASE = "Labelled texts:\n{examples}\n\nText to label:\n{review}\n\nLabel:"
 
 
 def few_shot_template(examples) -> str:
@@ -207,7 +203,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     template = few_shot_template(few_shot_examples(spark, sf_dir))
     validate_prompt_fields(template, ["review"])
-    prompt = render_prompt(template, {"review": crop_middle("text", 30, 30)})
+    prompt = render_prompt(template, {"review": F.col("text")})
     docs = table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
     return docs.select(
         "doc_id",

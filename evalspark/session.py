@@ -51,9 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; create a private one only where none is configured (tests, local runs)."""
+    """Return the checkpoint folder; create a private one only where none is configured and the session is
+    local (tests). Executors of a cluster would not see a folder of the driver, so there it raises."""
     value = checkpoint_dir(spark)
     if value is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors of {master or 'the cluster'} can read")
         value = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, value)
     try:

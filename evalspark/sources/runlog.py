@@ -11,6 +11,7 @@ the reference's file store (``<root>/<experiment>/<run>/{meta.yaml, metrics/*, p
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,21 +63,33 @@ def read_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------------ reading the file store (SRC-5)
 
-_PATH = r"^(?:.*/)?([^/]+)/([^/]+)/(meta\.yaml|metrics|params|tags|artifacts)(?:/(.+))?$"
+# relative to the root, from the left: experiment, run (absent for what belongs to the experiment), kind, key
+_PATH = r"^([^/]+)/(?:([^/]+)/)?(meta\.yaml|metrics|params|tags|artifacts)(?:/(.+))?$"
+_SCHEME = r"^[^:/]+:(?://[^/]*)?"
+
+
+def _root_path(spark: SparkSession, root: str) -> str:
+    """``root`` as an absolute path without scheme and host."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(_SCHEME, "", fs.makeQualified(path).toString()).rstrip("/")
 
 
 def read_file_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """SRC-5: scan a file-store tree into the long tables; the path gives experiment, run, kind, key.
+    """SRC-5: scan a file-store tree into the long tables; the path below ``root`` (percent-decoded) gives
+    experiment, run, kind, key.
 
-    Each file is one row (``wholetext``); metric files hold ``epoch_ms value step`` lines and the last
-    ``(step, epoch_ms)`` wins. ``meta.yaml`` files are ``key: value`` lines pivoted to run columns.
-    Experiment-level ``meta.yaml`` files (one level up) are ignored.
+    Each file is one row (``wholetext``); metric files hold ``epoch_ms value [step]`` lines (no step: 0) and
+    the last ``(step, epoch_ms)`` wins; a line without a value raises. ``meta.yaml`` files are ``key: value``
+    lines pivoted to run columns; one directly in an experiment describes the experiment. Other facts directly
+    in an experiment (its tags) belong to no run and are left out.
     """
     files = (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     )
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
+    full = F.url_decode(F.replace(F.regexp_replace("path", _SCHEME, ""), F.lit("+"), F.lit("%2B")))
+    rel = F.substr(full, F.lit(len(_root_path(spark, root)) + 2))
     parts = files.select(
         "content",
         F.regexp_extract(rel, _PATH, 1).alias("experiment_id"),
@@ -85,23 +98,23 @@ def read_file_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         F.regexp_extract(rel, _PATH, 4).alias("key"),
         rel.alias("path"),
     ).filter(F.col("kind") != "")
-    # experiment meta.yaml sits at <root>/<experiment>/meta.yaml: its "run" part is the experiment dir
+    # an experiment's own meta.yaml sits at <root>/<experiment>/meta.yaml: its run part is empty
     run_meta = parts.filter((F.col("kind") == "meta.yaml") & (F.col("key") == ""))
+    parts = parts.filter(F.col("run_id") != "")
     lines = run_meta.select(
-        "experiment_id", "run_id", F.explode(F.split(F.col("content"), "\n")).alias("line")
+        F.col("experiment_id").alias("_dir"), "run_id", F.explode(F.split(F.col("content"), "\n")).alias("line")
     ).filter(F.col("line").contains(":"))
     kv = lines.select(
+        "_dir",
         "run_id",
         F.trim(F.substring_index("line", ":", 1)).alias("k"),
         F.regexp_replace(F.trim(F.expr("substring(line, instr(line, ':') + 1)")), r"^'(.*)'$", "$1").alias("v"),
     )
     meta_keys = ["experiment_id", "run_name", "lifecycle_stage", "status", "start_time", "end_time", "run_uuid", "name"]
-    meta = kv.groupBy("run_id").pivot("k", meta_keys).agg(F.first("v"))
-    # an experiment's own meta.yaml (one level up) has a name and no run_uuid
-    experiments = meta.filter(F.col("run_uuid").isNull() & F.col("name").isNotNull()).select(
+    meta = kv.groupBy("_dir", "run_id").pivot("k", meta_keys).agg(F.first("v"))
+    experiments = meta.filter((F.col("run_id") == "") & F.col("name").isNotNull()).select(
         "experiment_id", "name", "lifecycle_stage")
-    runs = meta
-    runs = runs.filter(F.col("run_uuid").isNotNull()).select(
+    runs = meta.filter((F.col("run_id") != "") & F.col("run_uuid").isNotNull()).select(
         F.col("experiment_id"),
         "run_id",
         "run_name",
@@ -113,14 +126,17 @@ def read_file_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     mlines = parts.filter(F.col("kind") == "metrics").select(
         "experiment_id", "run_id", "key", F.explode(F.split(F.trim("content"), "\n")).alias("line")
     )
-    mf = mlines.select("experiment_id", "run_id", "key", F.split(F.trim("line"), " ").alias("f")).filter(F.size("f") >= 3)
+    mf = mlines.filter(F.trim("line") != "").select(
+        "experiment_id", "run_id", "key", "line", F.split(F.trim("line"), r"\s+").alias("f"))
+    value = F.when(F.size("f") >= 2, F.get("f", F.lit(1))).otherwise(
+        F.raise_error(F.concat(F.lit("metric line without a value: "), F.col("line"))))
     metrics = mf.select(
         "experiment_id",
         "run_id",
         "key",
-        F.col("f")[1].cast("double").alias("value"),
-        F.col("f")[2].cast("bigint").alias("step"),
-        F.col("f")[0].cast("bigint").alias("timestamp"),
+        value.cast("double").alias("value"),
+        F.coalesce(F.get("f", F.lit(2)).cast("bigint"), F.lit(0)).alias("step"),
+        F.get("f", F.lit(0)).cast("bigint").alias("timestamp"),
     )
     params = parts.filter(F.col("kind") == "params").select("experiment_id", "run_id", "key", F.col("content").alias("value"))
     tags = parts.filter(F.col("kind") == "tags").select("experiment_id", "run_id", "key", F.col("content").alias("value"))
@@ -212,8 +228,6 @@ def cast_run_columns(wide: DataFrame, text_params: Iterable[str] = TEXT_PARAMS)
 def strip_prefix(name: str | Column, prefix: str = "metrics.") -> Column:
     """PRJ-16: display name without the ``metrics.`` prefix."""
     col = F.col(name) if isinstance(name, str) else name
-    import re
-
     return F.regexp_replace(col, "^" + re.escape(prefix), "")
 
 

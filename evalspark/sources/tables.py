@@ -31,13 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA, id_col: str = "example_id"):
     """SRC-1: JSON-lines corpus with a fixed schema; a malformed line fails the job (FAILFAST).
 
-    A file without an id column gets ``monotonically_increasing_id()``: stable for the same files and
+    A corpus without ids gets ``monotonically_increasing_id()``: stable for the same files and
     split size, not across re-layouts. Supply an id column when results must be repeatable anywhere;
-    every later step keys on it.
+    every later step keys on it. Ids on some rows only raise: made-up ones could equal given ones.
     """
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if id_col in df.columns:
-        return df.withColumn(id_col, F.coalesce(F.col(id_col), F.monotonically_increasing_id()))
+        n = df.agg(F.count(id_col).alias("with_id"), F.count(F.lit(1)).alias("rows")).first()
+        if n["with_id"] == n["rows"]:
+            return df
+        if n["with_id"]:
+            raise ValueError(f"{n['rows'] - n['with_id']} of {n['rows']} rows have no {id_col!r}")
     return df.withColumn(id_col, F.monotonically_increasing_id())
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.operators import infer
@@ -28,12 +29,15 @@ def score_stream(
     max_files_per_trigger: int = 100,
     fmt: str = "parquet",
 ) -> StreamingQuery:
+    """A malformed line or a review without ``example_id`` fails the query, as in the batch job."""
     stream = (
         spark.readStream.schema(REVIEW_SCHEMA)
+        .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(in_dir)
     )
-    stream = stream.withColumnRenamed("label", "true_label")
+    known = F.coalesce(F.col("example_id"), F.raise_error(F.lit("review without example_id")).cast("bigint"))
+    stream = stream.withColumn("example_id", known).withColumnRenamed("label", "true_label")
     scored = infer.score(stream, predictor_factory, template, keys=("example_id",), keep=("true_label",))
     out = scored.select("example_id", "true_label", *PREDICTION_COLUMNS)
     return (
@@ -51,8 +55,6 @@ def score_table_stream(spark: SparkSession, sf_dir: str, out_dir: str, checkpoin
     """The stub scoring plan over ``documents`` read as a file stream, joined to the static ``labels``
     table (stream-static inner join on the narrow scored rows), written to a parquet sink with a
     checkpoint."""
-    from pyspark.sql import functions as F
-
     from evalspark.sources.tables import table
 
     docs = (

@@ -113,3 +113,23 @@ def test_cumcount_sorted_equals_window(spark):
     a = {(r.g, r.k): r.group_id for r in cumcount(df, "g", [F.col("k")], method="window").collect()}
     b = {(r.g, r.k): r.group_id for r in cumcount(df, "g", [F.col("k")]).collect()}
     assert a == b and len(b) == 3000
+
+
+def test_file_store_odd_paths_and_lines(spark, tmp_path):
+    from evalspark.sources.runlog import find_orphan_runs, read_file_store
+
+    run = tmp_path / "7" / "r1"
+    for path, text in {"../tags/owner": "me", "../meta.yaml": "experiment_id: '7'\nname: exp\nlifecycle_stage: active\n",
+                       "meta.yaml": "experiment_id: '7'\nrun_uuid: r1\nrun_name: n\nlifecycle_stage: active\nstatus: 3\n",
+                       "metrics/loss": "5 0.5\n6 0.25 1\n", "params/top k": "40", "params/a+b": "1",
+                       "artifacts/metrics/report.txt": "whole report"}.items():
+        f = run / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    t = read_file_store(spark, str(tmp_path))
+    assert [tuple(r) for r in t["runs"].select("experiment_id", "run_id").collect()] == [("7", "r1")]
+    assert [r["name"] for r in t["experiments"].collect()] == ["exp"]
+    assert sorted((r["key"], r["value"], r["step"]) for r in t["metrics"].collect()) == [("loss", 0.25, 1), ("loss", 0.5, 0)]
+    assert sorted(r["key"] for r in t["params"].collect()) == ["a+b", "top k"]
+    assert [(r["run_id"], r["path"]) for r in t["artifacts"].collect()] == [("r1", "metrics/report.txt")]
+    assert find_orphan_runs(t).count() == 0 and t["tags"].count() == 0

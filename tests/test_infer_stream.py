@@ -2,6 +2,7 @@ import json
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import infer
@@ -103,8 +104,6 @@ def test_read_reviews_without_ids(spark, tmpdir_path):
     assert None not in ids and len(set(ids)) == 5
     validate_binary_label(df)
     bad = spark.createDataFrame([(1,), (2,)], "label int")
-    import pytest
-
     with pytest.raises(ValueError):
         validate_binary_label(bad)
     p = os.path.join(tmpdir_path, "p.txt")
@@ -153,3 +152,50 @@ def test_read_reviews_fails_on_malformed_line(spark, tmpdir_path):
         f.write('{"example_id": 1, "review": "ok", "label": 0}\n{"example_id": 2, "review": broken\n')
     with pytest.raises(Exception):
         read_reviews(spark, path).collect()
+
+
+def test_system_prompt_reaches_the_predictor_and_null_prompts_do_not(spark):
+    def _echo_system():
+        def predict(prompts, params):
+            assert prompts.notna().all()
+            return pd.DataFrame({"content": [params["system_prompt"]] * len(prompts), "prompt_tokens": 1, "completion_tokens": 1})
+
+        return predict
+
+    df = spark.createDataFrame([(1, "good"), (2, None)], "example_id bigint, review string")
+    rows = {r["example_id"]: r for r in infer.score(df, _echo_system, system_prompt="positive").collect()}
+    assert rows[1]["output_string"] == "positive" and rows[1]["label"] == 0
+    assert rows[2]["output_string"] is None and rows[2]["is_wrong_format"] and rows[2]["input_token_count"] == 0
+    with pytest.raises(Exception):
+        infer.score(df, _echo_system, fields={"review": F.col("review"), "other": F.lit("x")})
+
+
+def test_ids_on_some_reviews_only_raise(spark, tmp_path):
+    from evalspark.sources.tables import read_reviews
+
+    (tmp_path / "some.jsonl").write_text('{"example_id": 1, "review": "a"}\n{"review": "b"}\n')
+    (tmp_path / "none.jsonl").write_text('{"review": "a"}\n{"review": "b"}\n')
+    with pytest.raises(ValueError):
+        read_reviews(spark, str(tmp_path / "some.jsonl"))
+    assert read_reviews(spark, str(tmp_path / "none.jsonl")).select("example_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("line", ['{"example_id": 1, "review"', '{"review": "no id"}'])
+def test_stream_fails_on_bad_lines(spark, tmp_path, line):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(line + "\n")
+    q = score_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), jobs.keyword_predictor_factory)
+    with pytest.raises(Exception):
+        q.awaitTermination()
+
+
+def test_no_private_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from evalspark.session import ensure_checkpoint_dir
+
+    conf = {"spark.master": "spark://host:7077"}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)),
+                            sparkContext=SimpleNamespace(getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(spark)

@@ -116,7 +116,8 @@ def test_python_parser_matches_column_parser(spark):
 
 def test_json_engines_agree(spark):
     cases = ['x {"label": "a"} y', "{bad}", "} {", "{'label': 'a'}", '{"other": 1}', '{"label": 1} and {"label": 2}',
-             '{"label": 3}', '{"label": 1},{"label": 2}', '{"label": 1}}', '{"label": {"x": 1}}', '{"label": [1,2]}',
+             '{"label": 3}', '{"label": 1},{"label": 2}', '{"label": 1}, null, {"label": 2}', '{"label": 1}, null}',
+             '{"label": 1}}', '{"label": {"x": 1}}', '{"label": [1,2]}',
              '{"label": null}', '{"label": true}', '{"label": 1.50}', '{"label": "é"}', "", None, "[1]", '{"a": {"label": 1}}']
     df = spark.createDataFrame([(c,) for c in cases], "raw string")
     rows = df.select(parse_json_label("raw", ["label"]).alias("p"),
