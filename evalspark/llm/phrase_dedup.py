@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import text_or_empty
 from evalspark.llm.passages import LAST, Words, keyed, merged, repeated_spans
 
 WINDOW = 50
@@ -153,23 +154,27 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     that loses nothing stays as it is) and its length in ``size_col``, if there is such a column."""
     found = spans(keyed(docs, id_col, text_col), **kw)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("_row"), key.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = rows.join(found, ["id", "th"], "left")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"))
+    rows = rows.join(found, ["id", "th"], "left")  # the text crosses the shuffle once, in its row
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
         unit, out = Words(), []
         for t, g in zip(texts, gone):
+            if t is None:
+                out.append(None)
+                continue
             words, at = unit.units(t), 0
             parts = []
-            for s, e in merged(list(g) if g is not None else None):
+            for s, e in merged(list(g)):
                 parts.extend(words[at:s])
                 at = e
             out.append(b" ".join([*parts, *words[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("_new", F.when(F.col("spans").isNotNull(), kept("text", "spans")).otherwise(F.col(f"_row.`{text_col}`")))
+    # only texts that lose something go to Python
+    lossy = F.when(F.col("spans").isNotNull(), F.col(f"_row.`{text_col}`"))
+    rows = rows.withColumn("_new", F.when(F.col("spans").isNotNull(), kept(lossy, "spans")).otherwise(F.col(f"_row.`{text_col}`")))
     cols = [F.col(f"_row.`{c}`") if c != text_col else F.col("_new").alias(c) for c in docs.columns]
     if size_col in docs.columns:
         kind = docs.schema[size_col].dataType

@@ -157,5 +157,5 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     model = learn(docs, labels, id_col, text_col)
-    df = scored(docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_id", "_text")
+    df = scored(docs.select(F.struct("*").alias("_row")), model, f"_row.`{id_col}`", f"_row.`{text_col}`")
     return df.filter("predicted = 1").select("_row.*")
