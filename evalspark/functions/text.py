@@ -1,7 +1,7 @@
 """Text Column builders: Python-exact word splitting, middle cropping, prompt templates, chat requests.
 
-All functions return JVM-side expressions (no Python UDF), so they stay inside whole-stage codegen
-and are safe in streaming plans.
+All functions return JVM-side expressions (no Python UDF) and are safe in streaming plans. Those over
+word arrays (``transform``, ``filter``) are interpreted, the others are inside whole-stage codegen.
 """
 
 from __future__ import annotations

@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+# A level narrows an interval 2^16-fold or to one value; doubles span about 2^2098, so 160 levels settle any input
+MAX_LEVELS = 160
+
 
 def distributed_median(
     df: DataFrame,
@@ -31,7 +34,7 @@ def distributed_median(
     out: str = "median",
     buckets: int = 1 << 16,
     cell_limit: int = 100_000,
-    max_levels: int = 12,
+    max_levels: int = MAX_LEVELS,
     checkpoint: bool = True,
     keep_empty_groups: bool = True,
 ) -> DataFrame:
@@ -49,7 +52,7 @@ def distributed_quantiles(
     outs: Sequence[str] | None = None,
     buckets: int = 1 << 16,
     cell_limit: int = 100_000,
-    max_levels: int = 12,
+    max_levels: int = MAX_LEVELS,
     checkpoint: bool = True,
     keep_empty_groups: bool = True,
 ) -> DataFrame:
@@ -102,8 +105,9 @@ def distributed_quantiles(
         j = x.join(intervals, by).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
         # infinities get the end buckets; finite values spread over the finite [min, max] in between
         flo, fhi = F.col("_flo"), F.col("_fhi")
-        inner = F.least(
-            F.floor((F.col("_x") - flo) / (fhi - flo) * F.lit(buckets - 2)).cast("long") + 1, F.lit(buckets - 2))
+        wide = fhi - flo == float("inf")  # the range exceeds the largest double: halved values keep their order
+        share = F.when(wide, (F.col("_x") / 2 - flo / 2) / (fhi / 2 - flo / 2)).otherwise((F.col("_x") - flo) / (fhi - flo))
+        inner = F.least(F.floor(share * F.lit(buckets - 2)).cast("long") + 1, F.lit(buckets - 2))
         b = (
             F.when(F.col("_x") == float("-inf"), F.lit(0).cast("long"))
             .when(F.col("_x") == float("inf"), F.lit(buckets - 1).cast("long"))
@@ -128,6 +132,9 @@ def distributed_quantiles(
                          F.col("_bflo").alias("_flo"), F.col("_bfhi").alias("_fhi"),
                          (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"), F.col("_c").alias("_cnt"))
         state = _small(done.unionByName(nxt))
+    else:
+        if not state.filter((F.col("_cnt") > cell_limit) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+            raise RuntimeError(f"intervals of more than {cell_limit} rows remain after {max_levels} levels")
     # final: one distinct value -> it is the answer; otherwise rank the (bounded) rows of the interval
     single = state.filter(F.col("_hi") == F.col("_lo")).select(*keys, "_n", F.col("_lo").alias("_v"))
     multi = state.filter(F.col("_hi") > F.col("_lo"))

@@ -171,11 +171,13 @@ def stratified_split(
     within: Sequence[str] | None = None,
     min_stratum: int = 2,
     checkpoint: bool = True,
+    small_stratum: int = SMALL_STRATUM,
 ) -> DataFrame:
     """Mark every row with ``_in_sample``: exact proportional quotas per stratum.
 
     ``within`` (a prefix of ``strata``) applies ``n`` separately inside each of its groups (the
-    balanced per-class sample). Strata columns must not hold NULL (checked).
+    balanced per-class sample). Strata columns must not hold NULL (checked). Strata of at most
+    ``small_stratum`` rows are ranked directly (same rows either way; 0: always by histograms).
     """
     strata = list(strata)
     # The threshold search scans its input several times; it only needs (strata, id, hash key, prefix
@@ -197,7 +199,7 @@ def stratified_split(
             quotas.update(largest_remainder(sub, _n_for(n, sum(sub.values())), min_stratum))
     else:
         quotas = largest_remainder(sizes, _n_for(n, sum(sizes.values())), min_stratum)
-    if max(sizes.values(), default=0) <= SMALL_STRATUM:
+    if max(sizes.values(), default=0) <= small_stratum:
         thresholds = _window_thresholds(keyed, strata, quotas, sizes)
     else:
         thresholds = sample_thresholds(keyed, strata, quotas, sizes)
@@ -208,16 +210,18 @@ def stratified_split(
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | float, id_col: str = "example_id",
-                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2) -> DataFrame:
+                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2,
+                      small_stratum: int = SMALL_STRATUM) -> DataFrame:
     """SMP-2: exactly ``n`` rows (per ``within`` group), proportional to stratum sizes."""
-    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum)
+    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum, small_stratum=small_stratum)
     return s.filter("_in_sample").drop("_in_sample")
 
 
 def sample_complement(df: DataFrame, strata: Sequence[str], n: int | float, id_col: str = "example_id",
-                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2) -> DataFrame:
+                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2,
+                      small_stratum: int = SMALL_STRATUM) -> DataFrame:
     """SMP-3: the rows the same sample leaves out."""
-    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum)
+    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum, small_stratum=small_stratum)
     return s.filter(~F.col("_in_sample")).drop("_in_sample")
 
 

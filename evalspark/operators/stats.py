@@ -197,12 +197,13 @@ def size_groups(df: DataFrame, c: str | Column, bins: int = 100, min_count: int
 # ------------------------------------------------------------------ per-group extremes and box plots
 
 
-def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak: str, mode: str = "auto") -> DataFrame:
+def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak: str, mode: str = "auto",
+               cell_limit: int = 100_000) -> DataFrame:
     """AGG-18: the row with max and with min ``score`` per group; ties go to the smallest ``tiebreak``
     (pandas ``argmax`` takes the first row; rows carry an explicit order column instead of a position).
 
     One aggregate, no window: ``min_by`` over ``struct(-score, tiebreak)`` picks the best row. The
-    per-group median follows ``mode`` (see ``quantile_summary``).
+    per-group median follows ``mode`` (see ``quantile_summary``; ``cell_limit``: see ``distributed_quantiles``).
     """
     s = nan_to_null(score)
     payload = F.struct(s.alias(score), *[F.col(k) for k in keep])
@@ -215,7 +216,7 @@ def best_worst(df: DataFrame, by: str, score: str, keep: Sequence[str], tiebreak
     if _use_distributed(rows, score, mode):
         from evalspark.operators.quantiles import distributed_quantiles
 
-        med = distributed_quantiles(rows, score, [by], [0.5], [med_name])
+        med = distributed_quantiles(rows, score, [by], [0.5], [med_name], cell_limit=cell_limit)
     else:
         med = rows.groupBy(by).agg(F.median(s).alias(med_name))
     return g.join(med, by, "left").select(

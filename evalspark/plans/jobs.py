@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.operators import infer
-from evalspark.operators.metrics import METRIC_NAMES, evaluate
+from evalspark.operators.metrics import evaluate
 from evalspark.session import materialize
 from evalspark.sources import runlog, sinks
 from evalspark.sources.tables import (
@@ -45,9 +45,12 @@ def run_experiment(
     parser=None,
     description: str | None = None,
     experiment_name: str | None = None,
+    metrics: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """INF-3: score (params reach the predictor), checkpoint predictions, evaluate in one aggregate,
-    append the run to the run log (facts first, run record last). Returns (predictions, evaluation)."""
+    append the run to the run log (facts first, run record last). Returns (predictions, evaluation).
+
+    ``metrics`` (names or ``metric(...)`` of your own; default: the 11) are evaluated and logged."""
     params = dict(params or {})
     missing = [f for f in _template_slots(template) if f not in examples.columns]
     if missing:
@@ -56,7 +59,7 @@ def run_experiment(
     scored = infer.score(examples, predictor_factory, template, keys=("example_id",), keep=(truth,),
                          params=params, parser=parser, system_prompt=system_prompt)
     predictions = materialize(scored)
-    evaluation = evaluate(predictions)
+    evaluation = evaluate(predictions, metrics)
     if log_root:
         run_tags = dict(tags or {})
         if description:
@@ -81,7 +84,7 @@ def _log(spark, root, experiment_id, run_name, model_name, params, tags, templat
     kv = "experiment_id string, run_id string, key string, value string"
     tags_df = spark.createDataFrame(key_rows({**tags, "mlflow.runName": run_name}), kv)
     params_df = spark.createDataFrame(key_rows({**params, "model_name": model_name}), kv)
-    metric_rows = [(experiment_id, run_id, m, float("nan") if ev.get(m) is None else float(ev[m]), 0, now) for m in METRIC_NAMES]
+    metric_rows = [(experiment_id, run_id, m, float("nan") if ev.get(m) is None else float(ev[m]), 0, now) for m in ev if m != "n"]
     metrics_df = spark.createDataFrame(
         metric_rows, "experiment_id string, run_id string, key string, value double, step bigint, timestamp bigint"
     )
@@ -106,15 +109,18 @@ def sweep(
     predictor_factory: Callable,
     template: str = infer.DEFAULT_TEMPLATE,
     truth: str = "true_label",
+    parser=None,
+    system_prompt: str = infer.DEFAULT_SYSTEM_PROMPT,
+    metrics: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """INF-5: every example under every grid point in one job (grid exploded in place), the predictor
     receiving each row's parameters; evaluation grouped by ``run_id`` in one aggregate."""
     names = [k for k in grid[0] if k != "run_id"]
     runs = infer.explode_grid(examples, grid)
     scored = infer.score(runs, predictor_factory, template, keys=("run_id", "example_id"), keep=(truth, *names),
-                         param_cols=names)
+                         param_cols=names, parser=parser, system_prompt=system_prompt)
     predictions = materialize(scored)
-    return predictions, evaluate(predictions, by=["run_id", *names])
+    return predictions, evaluate(predictions, metrics, by=["run_id", *names])
 
 
 def batch_job(
@@ -129,6 +135,7 @@ def batch_job(
     params: Mapping | None = None,
     parser=None,
     system_prompt: str = infer.DEFAULT_SYSTEM_PROMPT,
+    metrics: Sequence | None = None,
 ) -> DataFrame | None:
     """INF-4: read JSONL reviews, validate, score, write predictions (and the evaluation beside them).
 
@@ -150,7 +157,7 @@ def batch_job(
     sinks.write_predictions(predictions, output_path)
     if not with_evaluation:
         return None
-    evaluation = evaluate(predictions)
+    evaluation = evaluate(predictions, metrics)
     sinks.write_evaluation(evaluation, sinks.evaluation_path(output_path))
     return evaluation
 

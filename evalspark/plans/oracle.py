@@ -541,3 +541,7 @@ def _bag_of_words_sql() -> str:
 
 
 ORACLE["bag_of_words"] = _bag_of_words_sql()
+
+# The same results by the paths for groups of any size
+for _name in ("stratified_sample", "eval_metrics", "best_worst"):
+    ORACLE[f"{_name}_split"] = ORACLE[_name]

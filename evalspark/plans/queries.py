@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import crop_middle, word_count
 from evalspark.operators import infer
-from evalspark.operators.metrics import evaluate
+from evalspark.operators.metrics import MetricInputs, evaluate
 from evalspark.sources.tables import docs_for_truth, labelled_corpus, truth_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(stub_predictions(spark, sf_dir))
 
 
+@register("eval_metrics_split")
+def eval_metrics_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metrics with every median refined by histograms, as for groups of any size."""
+    return evaluate(stub_predictions(spark, sf_dir), inputs=MetricInputs(median_mode="distributed", cell_limit=16))
+
+
 @register("eval_by_source")
 def eval_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same metrics for every group in one pass (``by=[source]``)."""
@@ -333,20 +339,16 @@ SAMPLE_FRACTION = 0.25  # the reference drew 10,000 of 40,000 rows
 PER_CLASS = 25  # rows per class in the balanced sample (the smallest class of sf0.01 holds 58)
 
 
-def _sample_base(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+def _sample_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled examples with their size group. Word counts come from the checkpointed narrow table
-    (no second pass over the text); the text is joined back only when the output needs it."""
+    (no second pass over the text)."""
     from evalspark.sources.tables import table
 
     words = _words_table(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("example_id"), (F.lit(1) - F.col("quality")).cast("int").alias("true_label"))
     base = labels.join(words.select(F.col("doc_id").alias("example_id"), F.col("n_words").alias("_w")), "example_id")
-    base = with_size_groups(spark, sf_dir, base, "_w", words).drop("_w", "n_words")
-    if with_text:
-        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("review"))
-        base = base.join(docs, "example_id")
-    return base
+    return with_size_groups(spark, sf_dir, base, "_w", words).drop("_w", "n_words")
 
 
 @register("stratified_sample")
@@ -357,6 +359,15 @@ def stratified_sample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_sample(base, ["true_label", "size_group"], SAMPLE_FRACTION, seed=SAMPLE_SEED)
 
 
+@register("stratified_sample_split")
+def stratified_sample_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample with every threshold found by histograms, as for strata of any size."""
+    from evalspark.operators.sampling import stratified_sample
+
+    base = _sample_base(spark, sf_dir).select("example_id", "true_label", "size_group")
+    return stratified_sample(base, ["true_label", "size_group"], SAMPLE_FRACTION, seed=SAMPLE_SEED, small_stratum=0)
+
+
 @register("sample_complement")
 def sample_complement_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.sampling import sample_complement
@@ -425,21 +436,36 @@ def run_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("best_worst")
-def best_worst_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evalspark.operators.stats import best_worst
+def _scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.plans.runs import comparable
 
-    runs = comparable(spark, sf_dir).select(
+    return comparable(spark, sf_dir).select(
         "run_id",
         F.col("`params.model_name`").alias("model"),
         F.col("`tags.mlflow.runName`").alias("run_name"),
         F.col("`metrics.accuracy_score`").alias("accuracy"),
         F.col("`metrics.median_processing_time`").alias("median_processing_time"),
     )
+
+
+@register("best_worst")
+def best_worst_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.stats import best_worst
+
+    runs = _scored_runs(spark, sf_dir)
     return best_worst(runs, "model", "accuracy", ["run_name", "median_processing_time"], tiebreak="run_id")
 
 
+@register("best_worst_split")
+def best_worst_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with the medians refined by histograms, as for groups of any size."""
+    from evalspark.operators.stats import best_worst
+
+    runs = _scored_runs(spark, sf_dir)
+    return best_worst(runs, "model", "accuracy", ["run_name", "median_processing_time"], tiebreak="run_id",
+                      mode="distributed", cell_limit=2)
+
+
 @register("boxplot")
 def boxplot_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.stats import boxplot_table
@@ -571,10 +597,8 @@ def _bow(spark: SparkSession, sf_dir: str):
 
 @register("bag_of_words")
 def bag_of_words_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     bow, model = _bow(spark, sf_dir)
-    arr = vector_to_array("counts")
+    arr = F.unwrap_udt("counts")["values"]  # of the terms that are there: no row as wide as the vocabulary
     return bow.select(
         "doc_id",
         F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).cast("bigint").alias("n_terms"),
@@ -611,9 +635,7 @@ def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.operators.topics import k_sweep
 
-    vecs = _embedding_vectors(spark, sf_dir)
-    n = vecs.count()
-    return k_sweep(vecs, "features", [k for k in K_VALUES if k < n])
+    return k_sweep(_embedding_vectors(spark, sf_dir), "features", K_VALUES)
 
 
 @register("cluster_crosstab")

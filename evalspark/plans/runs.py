@@ -28,7 +28,9 @@ def _runs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    base = _runs_base(spark, sf_dir)
+    from evalspark.session import materialize
+
+    base = materialize(_runs_base(spark, sf_dir))  # one row per run, read by every table below
     nn = F.col("_n")
     run_name = (
         F.when(nn < 16, F.concat(F.lit("prompt-"), (nn / 2).cast("int").cast("string")))
@@ -86,7 +88,8 @@ def wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide run frame, checkpointed: one row per run, read by several passes downstream."""
     from evalspark.session import materialize
 
-    return materialize(runlog.cast_run_columns(runlog.search_runs(derived_run_tables(spark, sf_dir))))
+    keys = {"metric_keys": METRIC_NAMES, "param_keys": runlog.PARAM_KEYS, "tag_keys": runlog.TAG_KEYS}
+    return materialize(runlog.cast_run_columns(runlog.search_runs(derived_run_tables(spark, sf_dir), **keys)))
 
 
 def comparable(spark: SparkSession, sf_dir: str) -> DataFrame:

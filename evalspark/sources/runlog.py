@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from evalspark.operators.metrics import METRIC_NAMES
 
 KINDS = ("runs", "metrics", "params", "tags", "artifacts", "experiments")
-# The keys a run logs (params, tags) and the one text-valued param.
+# The keys every run logs (params, tags) and the numeric params.
 PARAM_KEYS = ["model_name", "temperature", "top_k", "top_p"]
 TAG_KEYS = ["justification", "mlflow.runName"]
-TEXT_PARAMS = {"model_name"}
+NUMERIC_PARAMS = ("temperature", "top_k", "top_p")
+MAX_RUN_KEYS = 10_000  # a run log with more different keys of a kind is refused, none is dropped
 
 
 def c(name: str) -> Column:
@@ -174,6 +175,15 @@ def _pivot(df: DataFrame, keys: Sequence[str], prefix: str, value: Column) -> Da
     return out.select("run_id", *[c(k).alias(f"{prefix}.{k}") for k in keys])
 
 
+def _keys(facts: DataFrame, usual: Sequence[str]) -> list[str]:
+    """The usual keys, then all others of a fact table in order."""
+    others = facts.select("key").filter(F.col("key").isNotNull() & ~F.col("key").isin(list(usual))).distinct()
+    found = [r["key"] for r in others.limit(MAX_RUN_KEYS + 1).collect()]
+    if len(found) > MAX_RUN_KEYS:
+        raise ValueError(f"more than {MAX_RUN_KEYS} keys in the run log; name those that are wanted")
+    return [*usual, *sorted(found)]
+
+
 def search_runs(
     tables: Mapping[str, DataFrame],
     view: str = "ACTIVE_ONLY",
@@ -184,8 +194,8 @@ def search_runs(
     experiment_names: Iterable[str] | None = None,
 ) -> DataFrame:
     """SRC-6: one row per run with a run record (active only by default); columns ``metrics.*``,
-    ``params.*`` (text), ``tags.*``; a key a run never logged is NULL. Explicit key lists keep the
-    pivots free of a distinct job."""
+    ``params.*`` (text), ``tags.*``; a key a run never logged is NULL. Without a list, all keys that the
+    log holds are columns, besides those every run logs; explicit lists save the job that finds them."""
     runs = tables["runs"]
     if experiment_names is not None:
         if "experiments" not in tables:
@@ -198,9 +208,9 @@ def search_runs(
         runs = runs.filter(F.col("lifecycle_stage") == "active")
     elif view == "DELETED_ONLY":
         runs = runs.filter(F.col("lifecycle_stage") == "deleted")
-    mk = list(metric_keys or METRIC_NAMES)
-    pk = list(param_keys or PARAM_KEYS)
-    tk = list(tag_keys or TAG_KEYS)
+    mk = _keys(tables["metrics"], METRIC_NAMES) if metric_keys is None else list(metric_keys)
+    pk = _keys(tables["params"], PARAM_KEYS) if param_keys is None else list(param_keys)
+    tk = _keys(tables["tags"], TAG_KEYS) if tag_keys is None else list(tag_keys)
     m = _pivot(last_metric_values(tables["metrics"]), mk, "metrics", F.col("value"))
     p = _pivot(tables["params"], pk, "params", F.col("value"))
     t = _pivot(tables["tags"], tk, "tags", F.col("value"))
@@ -210,12 +220,12 @@ def search_runs(
     return wide
 
 
-def cast_run_columns(wide: DataFrame, text_params: Iterable[str] = TEXT_PARAMS) -> DataFrame:
-    """PRJ-15: numeric params to double (``try_cast``; text ``nan`` -> NULL), text params unchanged."""
-    text = {f"params.{p}" for p in text_params}
+def cast_run_columns(wide: DataFrame, numeric_params: Iterable[str] = NUMERIC_PARAMS) -> DataFrame:
+    """PRJ-15: numeric params to double (``try_cast``; text ``nan`` -> NULL), other params unchanged."""
+    numeric = {f"params.{p}" for p in numeric_params}
     cols = []
     for name in wide.columns:
-        if name.startswith("params.") and name not in text:
+        if name in numeric:
             x = F.expr(f"try_cast(`{name}` AS double)")
             cols.append(F.nanvl(x, F.lit(None).cast("double")).alias(name))
         elif name.startswith("metrics."):

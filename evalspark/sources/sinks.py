@@ -24,8 +24,8 @@ def evaluation_path(output_path: str) -> str:
 
 
 def write_evaluation(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SNK-2: the evaluation row(s) as JSON; a one-row result is written as one part file."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """SNK-2: the evaluation row(s) as JSON; the single row of an ungrouped evaluation is one part file."""
+    df.write.mode(mode).json(path)
 
 
 def write_sample(df: DataFrame, path: str, id_col: str = "example_id", seed: int = 42,

@@ -93,22 +93,14 @@ def corpus_docs(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang"
     )
 
 
-BROADCAST_TRUTH_ROWS = 20_000_000  # keys of at most this many labelled rows (~0.3 GB) are broadcast
-
-
 def docs_for_truth(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang", "source", "n_chars")):
-    """The documents worth scoring for an evaluation, without moving their text.
+    """The documents worth scoring for an evaluation: those with a labelled id, at every size.
 
-    Size-checked: when the truth table has at most ``BROADCAST_TRUTH_ROWS`` rows (counted from parquet
-    metadata), its keys are broadcast as a left-semi filter, so only labelled documents are scored.
-    Beyond that every document is scored map-side and the narrow results meet the truth table in a
-    shuffle join that never carries the text.
+    A semi-join on the id alone, without a hint: the keys are broadcast where their measured size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and the text then stays where it is read.
     """
-    docs = corpus_docs(spark, sf_dir, extra)
     keys = truth_table(spark, sf_dir).select("example_id")
-    if keys.count() <= BROADCAST_TRUTH_ROWS:
-        return docs.join(F.broadcast(keys), "example_id", "left_semi")
-    return docs
+    return corpus_docs(spark, sf_dir, extra).join(keys, "example_id", "left_semi")
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ("lang", "source", "n_chars")):
