@@ -133,3 +133,17 @@ def test_file_store_odd_paths_and_lines(spark, tmp_path):
     assert sorted(r["key"] for r in t["params"].collect()) == ["a+b", "top k"]
     assert [(r["run_id"], r["path"]) for r in t["artifacts"].collect()] == [("r1", "metrics/report.txt")]
     assert find_orphan_runs(t).count() == 0 and t["tags"].count() == 0
+
+
+def test_search_runs_returns_every_key(spark):
+    kv = "experiment_id string, run_id string, key string, value string"
+    tables = {
+        "runs": spark.createDataFrame([("0", "a", "r", "active", 3, 1, 2)], "experiment_id string, run_id string, run_name string, lifecycle_stage string, status int, start_time bigint, end_time bigint"),
+        "metrics": spark.createDataFrame([("0", "a", "my_metric", 0.5, 0, 1)], "experiment_id string, run_id string, key string, value double, step bigint, timestamp bigint"),
+        "params": spark.createDataFrame([("0", "a", "top_k", "40"), ("0", "a", "note", "free text")], kv),
+        "tags": spark.createDataFrame([("0", "a", "user.name", "x")], kv),
+    }
+    row = runlog.cast_run_columns(runlog.search_runs(tables)).first()
+    assert row["metrics.my_metric"] == 0.5 and row["params.top_k"] == 40.0 and row["params.note"] == "free text"
+    assert row["tags.user.name"] == "x" and row["metrics.recall"] is None
+    assert "params.note" not in runlog.search_runs(tables, param_keys=["top_k"]).columns
