@@ -48,8 +48,11 @@ PAD = 40  # the widest cell that others of its column are padded to
 SPAN = 1000  # HTML's own limit of colspan
 
 _MARK = re.compile(r"<(?=[a-zA-Z/!?])")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_LETTER = re.compile(r"[a-zA-Z]")
+# Attributes as HTML's tokenizer takes them: a quote opens a value only directly after "=", elsewhere it is a character.
+_NAME, _IS, _BARE = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+", r"[ \t\n\f\r]*+=[ \t\n\f\r]*+", r"[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_NAME}(?:{_IS}(?:\"[^\"]*+\"|'[^']*+'|{_BARE}|(?=>))|(?!{_IS})))*+)>")
+_ATTR = re.compile(rf"({_NAME})(?:{_IS}(?:\"([^\"]*+)\"|'([^']*+)'|({_BARE})|(?=>|\Z)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
@@ -75,13 +78,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             end = html.find("-->", start + 4)
             at = n if end < 0 else end + 3
             continue
-        if html[start + 1] in "!?" or html[start + 1] == "/" and not html[start + 2 : start + 3].isalpha():
+        if html[start + 1] in "!?" or html[start + 1] == "/" and not _LETTER.match(html, start + 2):
             end = html.find(">", start)
             at = n if end < 0 else end + 1
             continue
         m = _TAG.match(html, start)
         if not m:
-            return  # a tag without an end
+            return  # no ">" ends the tag before the page does
         tag, at = m[2].lower(), m.end()
         yield ("close" if m[1] else "open"), tag, m[3]
         if not m[1] and tag in RAW:

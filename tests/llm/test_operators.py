@@ -387,6 +387,20 @@ def test_html_text(html, text):
     assert html_text.html_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<a href="x"">hello</a> rest', "hello rest"),
+        ("<a title=Bob's>hello</a> rest", "hello rest"),
+        ('<a href="x"">hello</a> <b title="y">z</b>', "hello z"),  # a later quote on the page
+        ('<p title = "a>b"hidden>no</p>seen<p x= >a<p =y>b', "seen\n\na\n\nb"),
+        ("a</é>b<p title='open>c", "ab"),
+    ],
+)
+def test_html_quotes_in_tags(html, text):
+    assert html_text.html_text(html) == text
+
+
 def test_html_query_form(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>a", "y"), (2, "<p>a", "y"), (None, "", "z")], "page_id bigint, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=str) == sorted([(1, ""), (2, "a"), (2, "a"), (None, "")], key=str)
