@@ -1,7 +1,7 @@
 """HTML to text by a tree and a layout-aware rendering (operator 9).
 
-``parse`` builds a tree with the implied tags of HTML (a block ends an open ``p``, an item ends the item before it,
-a cell without a row gets one, unclosed elements end with their parent). ``render`` walks it and emits all visible
+``parse`` builds a tree with the implied tags of HTML (a block ends an open ``p``, text or a tag of the body an open
+head, an item the item before it, a cell without a row gets one, unclosed elements end with their parent). ``render`` walks it and emits all visible
 text: blocks start on their own line, paragraphs and headings stand between blank lines, list items get a dash or
 their number and an indent, ``pre`` keeps its line ends, and table cells stand in aligned columns.
 
@@ -42,6 +42,8 @@ ENDS = {
     "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+#: What may stand in the head; any other start tag ends it, and so does text that is not blank.
+IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 SCOPE = frozenset("table td th caption button object template".split())
 
 PAD = 40  # the widest cell that others of its column are padded to
@@ -115,14 +117,28 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         return node
 
+    def end_head() -> None:
+        """Ends the open head, unless a template in it is open."""
+        nonlocal head
+        if stack[head + 1 : head + 2] and stack[head + 1].tag == "template":
+            return
+        del stack[head:]
+        head = 0
+
+    head = 0  # where an open head stands in the stack
     for kind, name, rest in tokens(html):
+        if head and len(stack) <= head:
+            head = 0
         if kind == "text":
-            stack[-1].children.append(unescape(name) if "&" in name else name)
+            name = unescape(name) if "&" in name else name
+            if head and name.strip(" \t\n\f\r"):
+                end_head()
+            stack[-1].children.append(name)
         elif kind == "open":
             if name in ("html", "body") and len(stack) > 1 and any(x.tag == name for x in stack[:3]):
                 continue
-            if name in ("body", *BLOCKS) and len(stack) > 1 and stack[-1].tag == "head":
-                stack.pop()
+            if head and name not in IN_HEAD:
+                end_head()
             if name in ENDS_P:
                 close({"p"}, SCOPE)
             if name in ENDS:
@@ -133,6 +149,8 @@ def parse(html: str) -> Node:
             node = put(name, attrs)
             if name not in VOID and not rest.endswith("/") or name in BLOCKS:
                 stack.append(node) if name not in VOID else None
+                if name == "head" and not head:
+                    head = len(stack) - 1
         elif name == "br":
             put("br", {})
         elif name == "p" and not close({"p"}, SCOPE):

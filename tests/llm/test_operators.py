@@ -401,6 +401,21 @@ def test_html_quotes_in_tags(html, text):
     assert html_text.html_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<html><head><title>T</title>Hello <b>world</b>", "Hello world"),
+        ("<head><title>T</title><a href=x><p>text</p>more", "text\n\nmore"),
+        ("<head> <meta x><link y>\n<script>s</script><template>no <b>no</b></template><noscript>no</noscript> <style>s</style><i>seen", "seen"),
+        ("<head><template>no <p>no", ""),
+        ("<head><title>T</title></head>a<head>b", "ab"),
+        ("<head>&#32;<title>T</title>&nbsp;x", "x"),
+    ],
+)
+def test_html_implied_end_of_head(html, text):
+    assert html_text.html_text(html) == text
+
+
 def test_html_query_form(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>a", "y"), (2, "<p>a", "y"), (None, "", "z")], "page_id bigint, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect()), key=str) == sorted([(1, ""), (2, "a"), (2, "a"), (None, "")], key=str)
