@@ -1,7 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash (operator 7).
 
 A text is cut into paragraphs; each is hashed to a wide vector of +1 and -1, and a document's fingerprint is the sum of
-its paragraphs' vectors, each lane modulo 2**16. The sum does not depend on the order of the paragraphs, and
+its paragraphs' vectors, each lane modulo 2**32 (2 GiB of text are at most about 2**30 paragraphs, so neither lanes nor
+their differences wrap). The sum does not depend on the order of the paragraphs, and
 paragraphs are put in or taken out by adding or subtracting their vectors: the edited text's fingerprint is had
 from the first one that way.
 
@@ -43,25 +44,25 @@ def paragraphs(text: str) -> list[str]:
 
 
 def vector(parts: list[str]) -> np.ndarray:
-    """Sum of the paragraphs' vectors, unsigned 16-bit lanes."""
+    """Sum of the paragraphs' vectors, unsigned 32-bit lanes."""
     total = np.zeros(LANES, np.int64)
     for k in range(0, len(parts), 4096):
         some = parts[k : k + 4096]
         raw = b"".join([hashlib.blake2b(p.encode(), digest_size=LANES // 8).digest() for p in some])
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), LANES // 8), axis=1)
         total += 2 * bits.sum(0, dtype=np.int64) - len(some)
-    return total.astype(np.uint16)
+    return total.astype(np.uint32)
 
 
 def text_hex(v: np.ndarray) -> str:
-    return v.astype("<u2").tobytes().hex()
+    return v.astype("<u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.astype(np.int16).astype(np.float64), b.astype(np.int16).astype(np.float64)
-    apart = (a - b).astype(np.int16).astype(np.float64)
+    x, y = a.astype(np.int32).astype(np.float64), b.astype(np.int32).astype(np.float64)
+    apart = (a - b).astype(np.int32).astype(np.float64)
     return float(min(1.0, max(0.0, 1.0 - apart @ apart / (x @ x + y @ y))))
 
 

@@ -362,6 +362,17 @@ def test_multiset_hash(spark):
     assert one["near_next"] == 1.0  # its own next
 
 
+@pytest.mark.parametrize("n", [16_384, 32_768, 65_536])
+def test_multiset_hash_of_many_equal_paragraphs(n):
+    a, b = (multiset_hash.vector(multiset_hash.paragraphs(x * n)) for x in ("a. ", "b. "))
+    empty = multiset_hash.vector([])
+    assert len({multiset_hash.text_hex(v) for v in (a, b, empty)}) == 3
+    assert multiset_hash.likeness(a, b) < 0.3 and multiset_hash.likeness(a, empty) == 0.0
+    half = multiset_hash.vector(["a. "] * (n // 2))
+    assert multiset_hash.likeness(a, half) == pytest.approx(1 - 0.25 / 1.25)
+    assert np.array_equal(multiset_hash.edit(a, ["a. "] * n, ["b. "] * n), b)
+
+
 # ------------------------------------------------------------------ 9: HTML
 
 
