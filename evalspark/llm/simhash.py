@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import cut
+from evalspark.llm.common import cut, text_or_empty
 from evalspark.llm.components import components
 
 SHINGLE, MAX_BITS = 3, 2
@@ -145,42 +145,31 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET, col
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row: the fingerprint (signed long) and the smallest id reachable."""
+    """``doc_id, text_hash, fp, root, component_id`` of each row: a hash of its text (null as empty), the fingerprint
+    (signed long), the smallest fingerprint of its group, which names the group, and the smallest id in it."""
 
     @F.pandas_udf("bigint")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), prints(F.col(text_col)).alias("fp")))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), prints(F.col(text_col)).alias("fp")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, max_bits))
     found = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = found.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One document of each group: that with the smallest id (of rows that share it, one with the smallest hash of
-    its text); of a group of null ids only, one as well. All columns are kept."""
+    its text; null ids last). Groups that share an id keep one each. All columns are kept."""
     from pyspark.sql import Window
 
     found = near_duplicates(docs, id_col, text_col, **kw)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    named = named.withColumn("_first", first).filter("_first = 1").drop("_first")
-    lone = docs.filter(F.col(id_col).isNull())
-    if lone.isEmpty():
-        return named
-    loners = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-
-    @F.pandas_udf("bigint")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, kw.get("shingle", SHINGLE)) for t in texts], dtype="int64")
-
-    roots = components(links(loners, kw.get("max_bits", MAX_BITS)))
-    lone = lone.withColumn("_fp", prints(F.col(text_col))).join(loners.withColumnRenamed("fp", "_fp"), "_fp", "left_semi")
-    lone = lone.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp"))
-    lone = lone.withColumn("_first", F.row_number().over(Window.partitionBy("_root").orderBy(F.xxhash64(text_col)))).filter("_first = 1")
-    return named.unionByName(lone.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = least.select(F.struct("doc_id", "text_hash").alias("_key"))
+    named = docs.withColumn("_key", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")))
+    named = named.join(kept, "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(text_col).isNull()))  # of repeated rows
+    return named.withColumn("_first", first).filter("_first = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -305,6 +305,19 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_of_each_group_when_unlike_texts_share_an_id(spark):
+    texts = some_texts(12, 31)
+    a, b, c, d = texts[1], texts[2], texts[4], texts[6]
+    rows = [(5, a), (5, b), (7, b), (7, b), (None, c), (None, d), (None, d), (9, d), (5, None), (None, "")]
+    prints = {t: brute_simhash(t) for t in (a, b, c, d)}
+    assert all((x ^ y).bit_count() > 2 for s, x in prints.items() for t, y in prints.items() if s != t)
+    kept = simhash.keep_one(docs_of(spark, rows)).select("doc_id", F.coalesce("text", F.lit(""))).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, a), (5, b), (None, c), (9, d), (5, "")], key=str)
+    hot = [(1, f"{t} only{k}") for k, t in enumerate(some_texts(40, 32)[::3])] + [(2, "x y z")]
+    groups = len(set(brute_components([brute_simhash(t) for _, t in hot], lambda x, y: (x ^ y).bit_count() <= 2)))
+    assert simhash.keep_one(docs_of(spark, hot)).count() == groups
+
+
 @pytest.mark.parametrize("bucket", [1, 100_000])
 def test_links_find_all_components_in_large_and_small_buckets(spark, bucket):
     rng = np.random.default_rng(11)
