@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by robust-pruned directed graphs (operator 3).
 
-Equal vectors are one node with their ``top + 1`` smallest ids, so any number of copies costs one place in the index and ties among
-copies are exact. Nodes are dealt to shards of about ``SHARD`` by a hash. In a shard a directed graph is built from
+Equal vectors are one node with their ``top + 1`` smallest different ids (each at most ``top`` times), so any number of
+copies costs one place in the index and ties among copies are exact. Nodes are dealt to shards of about ``SHARD`` by a hash. In a shard a directed graph is built from
 random edges: for each node, in batches, a greedy beam search over the graph so far proposes neighbours, and
 robust pruning goes through them from near to far, keeps one and drops those that are nearer to it, by the factor ``ALPHA``, than
 to the node; edges back are added and pruned alike. A query is searched with a beam in every shard, and the shards' best
@@ -205,8 +205,11 @@ GRAPH = "shard int, dim int, kind string, vectors binary, graph binary, entry in
 def index(vectors: DataFrame, shard: int = SHARD, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     """The nodes (``node, dim, ids, v, shard``: equal vectors as one) and a graph row for each shard (``GRAPH``), both
     written. vectors: vec_id, v."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last()))
-    few = vectors.withColumn("_rank", rank).filter(F.col("_rank") <= top + 1)  # a limit that Spark applies before the shuffle, too
+    # of each id of a vector at most top rows, then the top + 1 smallest ids: a query leaves out one id. Spark applies
+    # both limits before their shuffles, too
+    few = vectors.withColumn("_rank", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).filter(F.col("_rank") <= top)
+    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = few.withColumn("_rank", rank).filter(F.col("_rank") <= top + 1)
     nodes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).filter(F.size("ids") > 0)
     nodes = cut(nodes.select(F.col("ids")[0].alias("node"), F.size("v").alias("dim"), "ids", "v", F.xxhash64("v").alias("key")))
     sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # of the lengths of vectors, usually one
@@ -248,7 +251,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     nodes, graphs = index(rows.filter(F.col("vec_id").isNotNull()).select("vec_id", "v"), shard, top)
     asks = rows.filter("asks").select("vec_id", F.xxhash64("v").alias("key"), "v")
     asks = asks.join(nodes.select("key", "v", "node", "dim"), ["key", "v"]).select("vec_id", "key", "node", "dim")
-    asks = cut(asks)
+    asks = cut(asks.distinct())  # repeated query rows are one query
     # equal query vectors are searched once, in every shard with vectors of their length
     unique = asks.select("key", "node", "dim").distinct().join(nodes.select("key", "node", "v"), ["key", "node"])
     blocks = max(1, -(-unique.count() // QUERIES))

@@ -149,6 +149,21 @@ def test_nearest_neighbours_recall_and_copies(spark):
     assert hits / (5 * len(found)) >= 0.95
 
 
+def test_nearest_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)).tolist()
+    rows = [(50, x[50])] * 10 + [(51, x[50])] * 2 + [(k, x[k]) for k in range(60) if k not in (50, 51)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = sorted(ann.nearest(df, F.col("vec_id").isin(50, 51)).collect(), key=lambda r: (r["query_id"], r["rank"]))
+    got = {q: [(r["vec_id"], r["score"]) for r in out if r["query_id"] == q] for q in (50, 51)}
+    ids, vectors = [r[0] for r in rows], [r[1] for r in rows]
+    for q in (50, 51):
+        best = exact_nearest(ids, vectors, ids.index(q), 5)
+        assert [g[0] for g in got[q]] == [b[0] for b in best]
+        assert [g[1] for g in got[q]] == pytest.approx([b[1] for b in best])
+    assert [g[0] for g in got[50]][:2] == [51, 51] and [g[0] for g in got[51]] == [50] * 5
+
+
 def test_nearest_neighbours_of_few(spark):
     schema = "vec_id bigint, embedding array<double>"
     assert ann.nearest(spark.createDataFrame([], schema), F.col("vec_id") == 0).count() == 0
