@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import ann, bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, url_rules
+from evalspark.llm import ann, bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, superminhash, url_rules
 from evalspark.llm.common import table
 
 QUERIES: dict = {}
@@ -139,3 +139,26 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = url_rules.judge(table(spark, sf_dir, "pages"))
     return df.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[]
+    ELSE regexp_extract_all(translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}'), {WORD_SQL}) END AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) <= 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END) AS shingles FROM w
+), n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s
+), e AS (SELECT doc_id, unnest(shingles) AS sh FROM s
+), f AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM f JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)
+), r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+
+@query("op13_superminhash", OP13_SQL)
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
