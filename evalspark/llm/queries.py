@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import ann, bpe, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, superminhash, url_rules
+from evalspark.llm import ann, bpe, html_text, mixture, multiset_hash, phrase_dedup, prefix_trie, quality, simhash, structure_repair, suffix_dedup, superminhash, url_rules
 from evalspark.llm.common import table
 
 QUERIES: dict = {}
@@ -141,6 +141,48 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "host", "path", "rule", "verdict")
 
 
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), k) AS i, k, words FROM (
+    SELECT conv_id, turn, role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+      len(regexp_extract_all(coalesce(text, ''), {WORD_SQL})) AS words FROM conversations WHERE conv_id IS NOT NULL)
+), z AS (
+  SELECT c, n, c - c % 20 AS base, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda v, b: list_reduce([xor(v, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END),
+    4294967295::BIGINT), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM t GROUP BY c)
+), m AS (
+  SELECT z.c, t.i AS d, t.k, t.words FROM z JOIN t ON t.c = z.base AND t.i <= z.h
+  UNION ALL
+  SELECT z.c, t.i - z.h + least(z.h, coalesce(b.n, 0)), t.k, t.words FROM z LEFT JOIN z b ON b.c = z.base JOIN t ON t.c = z.c AND t.i > z.h
+), p AS (
+  SELECT c, d, string_agg(k, ',') OVER (PARTITION BY c ORDER BY d) AS p, words FROM m
+  UNION ALL SELECT c, 0, '', 0 FROM z
+), e AS (SELECT c, max(d) AS d FROM p GROUP BY c
+), n AS (
+  SELECT p, p.d, min(p.c) AS conv, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(CAST(e.c AS VARCHAR), ',' ORDER BY e.c), '') AS ends
+  FROM p LEFT JOIN e ON e.c = p.c AND e.d = p.d GROUP BY p, p.d
+), f AS (
+  SELECT u.p, count(*) FILTER (WHERE v.d = u.d + 1) AS n_children,
+    CAST(sum((v.n_convs - 1) * v.words) AS BIGINT) AS saved,
+    count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM n w WHERE w.d = v.d + 1 AND starts_with(w.p, v.p))) AS n_leaves
+  FROM n u JOIN n v ON starts_with(v.p, u.p) GROUP BY u.p
+)
+SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, q.conv AS parent_conv_id, n.n_convs, f.n_children, f.n_leaves, f.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN f USING (p) LEFT JOIN n q ON n.d > 0 AND q.p = (CASE WHEN n.d = 1 THEN '' ELSE left(n.p, length(n.p) - 65) END)
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_structure_repair")
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 OP13_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[]
