@@ -516,31 +516,116 @@ ORACLE["stream_scores"] = (
     "output_token_count, elapsed_time, label, is_hallucination, is_wrong_format FROM preds"
 )
 
+TOKENS_SQL = (
+    "list_transform(list_filter(list_transform("
+    f"{words_sql('text')}, lambda x: regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
+    "lambda x: regexp_full_match(x, '\\p{L}+')), lambda x: lower(x))"
+)
 
-def _bag_of_words_sql() -> str:
-    from evalspark.operators.topics import ENGLISH_STOP_WORDS
 
-    stop = "[" + ", ".join(q(w) for w in ENGLISH_STOP_WORDS) + "]"
-    tokens = (
-        "list_transform(list_filter(list_transform("
-        f"{words_sql('text')}, lambda x: regexp_replace(x, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')), "
-        "lambda x: regexp_full_match(x, '\\p{L}+')), lambda x: lower(x))"
+def _stem_ctes(words: str) -> str:
+    """CTEs that end in ``stems`` (w, stem) over the distinct words w of the relation ``words``."""
+    from evalspark.operators import stemming as st
+
+    def cases(values: dict[str, str], of: str) -> str:
+        return f"CASE {of} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in values.items()) + " END"
+
+    def step(name: str, before: str, suffixes, word: str, done: str = "false") -> str:
+        pattern = q("^.*?(" + "|".join(suffixes) + ")$")
+        return (
+            f"{name}_s AS (SELECT *, regexp_extract(t, {pattern}, 1) AS s FROM {before}), "
+            f"{name}_b AS (SELECT *, left(t, length(t) - length(s)) AS b FROM {name}_s), "
+            f"{name} AS (SELECT w, r1, r2, CASE WHEN done OR s = '' THEN t ELSE {word} END AS t, done OR {done} AS done FROM {name}_b)"
+        )
+
+    vowel, short = "'[aeiouy]'", q("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+    region = "'^.*?[aeiouy][^aeiouy]'"
+    in1, in2 = "length(b) >= r1", "length(b) >= r2"
+    cut = (
+        "CASE WHEN regexp_matches(b, '(?:at|bl|iz)$') THEN b || 'e' "
+        "WHEN regexp_matches(b, '(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(b, length(b) - 1) "
+        f"WHEN regexp_matches(b, {short}) AND length(b) <= r1 THEN b || 'e' ELSE b END"
     )
+    stay = "[" + ", ".join(map(q, st.UNCHANGED_AFTER_1A)) + "]"
+    word_1a = (
+        "CASE WHEN s = 'sses' THEN b || 'ss' WHEN s IN ('ied', 'ies') THEN b || CASE WHEN length(b) > 1 THEN 'i' ELSE 'ie' END "
+        "WHEN s = 's' AND regexp_matches(b, '[aeiouy].+$') THEN b ELSE t END"
+    )
+    return ", ".join(
+        [
+            f"x0 AS (SELECT DISTINCT w, {cases(st.EXCEPTIONS, 'w')} AS fixed, regexp_replace(w, '(^|[aeiouy])y', '\\1Y', 'g') AS m FROM {words})",
+            f"x1 AS (SELECT *, CASE WHEN regexp_matches(m, '^({'|'.join(st.R1_PREFIXES)})') THEN regexp_extract(m, '^({'|'.join(st.R1_PREFIXES)})') "
+            f"ELSE regexp_extract(m, {region}) END AS head FROM x0)",
+            "x2 AS (SELECT *, CASE WHEN head <> '' THEN length(head) ELSE length(w) END AS r1 FROM x1)",
+            f"x3 AS (SELECT *, regexp_extract(substr(m, r1 + 1), {region}) AS rest FROM x2)",
+            "x4 AS (SELECT w, r1, CASE WHEN head <> '' AND rest <> '' THEN r1 + length(rest) ELSE length(w) END AS r2, "
+            "coalesce(fixed, CASE WHEN length(w) <= 2 THEN w ELSE m END) AS t, fixed IS NOT NULL OR length(w) <= 2 AS done FROM x3)",
+            step("y1a", "x4", ["sses", "ied", "ies", "us", "ss", "s"], word_1a, f"(s <> '' AND list_contains({stay}, {word_1a}) OR list_contains({stay}, t))"),
+            step("y1b", "y1a", ["eed", "eedly", "ed", "edly", "ing", "ingly"],
+                 f"CASE WHEN s IN ('eed', 'eedly') THEN CASE WHEN {in1} THEN b || 'ee' ELSE t END WHEN regexp_matches(b, {vowel}) THEN {cut} ELSE t END"),
+            step("y1c", "y1b", ["y", "Y"], "CASE WHEN regexp_matches(b, '.[^aeiouy]$') THEN b || 'i' ELSE t END"),
+            step("y2", "y1c", list(st.STEP_2),
+                 f"CASE WHEN {in1} AND CASE s WHEN 'ogi' THEN suffix(b, 'l') WHEN 'li' THEN regexp_matches(b, '[cdeghkmnrt]$') ELSE true END "
+                 f"THEN b || {cases(st.STEP_2, 's')} ELSE t END"),
+            step("y3", "y2", list(st.STEP_3), f"CASE WHEN CASE s WHEN 'ative' THEN {in2} ELSE {in1} END THEN b || {cases(st.STEP_3, 's')} ELSE t END"),
+            step("y4", "y3", st.STEP_4, f"CASE WHEN {in2} AND (s <> 'ion' OR regexp_matches(b, '[st]$')) THEN b ELSE t END"),
+            step("y5", "y4", ["e", "l"],
+                 f"CASE WHEN CASE s WHEN 'e' THEN {in2} OR ({in1} AND NOT regexp_matches(b, {short})) ELSE {in2} AND suffix(b, 'l') END THEN b ELSE t END"),
+            "stems AS (SELECT w, CASE WHEN done THEN t ELSE replace(t, 'Y', 'y') END AS stem FROM y5)",
+        ]
+    )
+
+
+def _tokens_cte(stem: bool) -> str:
+    """``docs`` (doc_id) and ``u`` (doc_id, pos, term), a row for each token."""
+    base = f"toks AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), "
+    base += "v AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM toks)"
+    if not stem:
+        return base + ", u AS (SELECT doc_id, pos, w AS term FROM v)"
+    return f"{base}, {_stem_ctes('v')}, u AS (SELECT doc_id, pos, stem AS term FROM v JOIN stems USING (w))"
+
+
+def _vocabulary_ctes(stem: bool) -> str:
+    from evalspark.operators.topics import ENGLISH_STOP_WORDS
+
+    stop = ", ".join(q(w) for w in ENGLISH_STOP_WORDS)
     return (
-        f"WITH toks AS (SELECT doc_id, list_filter({tokens}, lambda x: NOT list_contains({stop}, x)) AS t FROM documents), "
-        "nd AS (SELECT count(*) AS n FROM toks), "
-        "u AS (SELECT doc_id, unnest(t) AS term FROM toks), "
-        "dfreq AS (SELECT term, count(DISTINCT doc_id) AS d FROM u GROUP BY term), "
-        "vocab AS (SELECT term FROM dfreq, nd WHERE d >= 5 AND d <= CAST(0.98 AS DOUBLE) * n), "
-        "vs AS (SELECT count(*) AS vocabulary_size FROM vocab), "
-        "per AS (SELECT u.doc_id, count(*) AS n_terms, count(DISTINCT u.term) AS n_distinct_terms "
-        "FROM u JOIN vocab ON u.term = vocab.term GROUP BY u.doc_id) "
-        "SELECT toks.doc_id, coalesce(per.n_terms, 0) AS n_terms, coalesce(per.n_distinct_terms, 0) AS n_distinct_terms, "
-        "vs.vocabulary_size FROM toks LEFT JOIN per ON toks.doc_id = per.doc_id, vs"
+        f"{_tokens_cte(stem)}, nd AS (SELECT count(*) AS n FROM documents), "
+        f"tf AS (SELECT doc_id, term, count(*) AS n FROM u WHERE term NOT IN ({stop}) GROUP BY ALL), "
+        "dfreq AS (SELECT term, count(*) AS documents FROM tf GROUP BY term), "
+        "vocab AS (SELECT term, documents, row_number() OVER (ORDER BY term) - 1 AS term_id FROM dfreq, nd "
+        "WHERE documents >= 5 AND documents <= CAST(0.98 AS DOUBLE) * nd.n)"
     )
 
 
-ORACLE["bag_of_words"] = _bag_of_words_sql()
+ORACLE["token_stems"] = (
+    f"WITH {_tokens_cte(True)}, s AS (SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS stems FROM u GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(stems, '') END AS stems FROM documents LEFT JOIN s USING (doc_id)"
+)
+ORACLE["bag_of_words"] = (
+    f"WITH {_vocabulary_ctes(False)}, per AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_terms, count(*) AS n_distinct_terms "
+    "FROM tf JOIN vocab USING (term) GROUP BY doc_id) "
+    "SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_distinct_terms, 0) AS n_distinct_terms, "
+    "(SELECT count(*) FROM vocab) AS vocabulary_size FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id"
+)
+ORACLE["vocabulary"] = f"WITH {_vocabulary_ctes(True)} SELECT term, documents, term_id FROM vocab"
+ORACLE["sparse_counts"] = f"WITH {_vocabulary_ctes(True)} SELECT doc_id, term_id AS terms, n AS counts FROM tf JOIN vocab USING (term)"
+ORACLE["topic_tokens"] = (
+    f"WITH {_vocabulary_ctes(True)}, per AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM tf JOIN vocab USING (term) GROUP BY doc_id) "
+    "SELECT d.doc_id, coalesce(per.n, 0) AS n_tokens FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id"
+)
+ORACLE["topic_passes"] = (
+    f"WITH {_vocabulary_ctes(True)} SELECT CAST(p AS INTEGER) AS pass, (SELECT CAST(sum(n) AS BIGINT) FROM tf JOIN vocab USING (term)) AS tokens "
+    "FROM range(1, 3) r(p)"
+)
+ORACLE["sweep_sizes"] = (
+    "SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS vectors, true AS at_most_k, "
+    "true AS in_range FROM range(5, 201, 5) r(k)"
+)
+ORACLE["topic_cluster_labels"] = (
+    "SELECT count(*) FILTER (WHERE quality = 1) AS label_0, count(*) FILTER (WHERE quality = 0) AS label_1 "
+    "FROM labels JOIN documents USING (doc_id)"
+)
 
 # The same results by the paths for groups of any size
 for _name in ("stratified_sample", "eval_metrics", "best_worst"):

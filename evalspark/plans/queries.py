@@ -573,9 +573,10 @@ def grid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(scored, by=["run_id", "temperature", "top_k", "top_p"])
 
 
-# ------------------------------------------------------------------ topic exploration (MLlib)
+# ------------------------------------------------------------------ topic exploration
 
 K_VALUES = list(range(5, 201, 5))  # the reference's sweep
+N_TOPICS = 50
 
 
 @register("token_normalize")
@@ -587,48 +588,85 @@ def token_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(normalize_tokens("text"), " ").alias("tokens"))
 
 
-def _bow(spark: SparkSession, sf_dir: str):
+@register("token_stems")
+def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalspark.operators.topics import normalize_tokens
+    from evalspark.sources.tables import table
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(normalize_tokens("text", stems=True), " ").alias("stems"))
+
+
+def _bow(spark: SparkSession, sf_dir: str, stem: bool = False):
+    from evalspark.operators import stemming
     from evalspark.operators.topics import bag_of_words, normalize_tokens
     from evalspark.sources.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", normalize_tokens("text").alias("tokens"))
-    return bag_of_words(docs, "tokens", min_df=5, max_df=0.98)
+    return bag_of_words(docs, "tokens", min_df=5, max_df=0.98, normal=stemming.stem if stem else None)
 
 
 @register("bag_of_words")
 def bag_of_words_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bow, model = _bow(spark, sf_dir)
-    arr = F.unwrap_udt("counts")["values"]  # of the terms that are there: no row as wide as the vocabulary
+    bow, terms = _bow(spark, sf_dir)
     return bow.select(
         "doc_id",
-        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).cast("bigint").alias("n_terms"),
-        F.size(F.filter(arr, lambda x: x > 0)).cast("bigint").alias("n_distinct_terms"),
-        F.lit(len(model.vocabulary)).cast("bigint").alias("vocabulary_size"),
+        F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("n_terms"),
+        F.size("terms").cast("bigint").alias("n_distinct_terms"),
+        F.lit(terms.count()).cast("bigint").alias("vocabulary_size"),
     )
 
 
+@register("vocabulary")
+def vocabulary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems' vocabulary: document frequencies and dense ids in the order of the terms."""
+    return _bow(spark, sf_dir, stem=True)[1].select("term", "documents", "term_id")
+
+
+@register("sparse_counts")
+def sparse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bag of words as rows (document, term id, count)."""
+    bow, _ = _bow(spark, sf_dir, stem=True)
+    return bow.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "x.terms", "x.counts")
+
+
 @register("topics")
 def topics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     from evalspark.operators.topics import topics
 
-    bow, _ = _bow(spark, sf_dir)
-    out, _ = topics(bow, "counts", k=50, seed=42)
-    arr = vector_to_array("topic_vec")
+    out, _ = topics(*_bow(spark, sf_dir, stem=True), k=N_TOPICS, seed=42)
     return out.select(
         "doc_id",
-        F.array_position(arr, F.array_max(arr)).cast("int").alias("top_topic"),
-        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x).alias("topic_mass"),
+        F.array_position("topic_vec", F.array_max("topic_vec")).cast("int").alias("top_topic"),
+        F.aggregate("topic_vec", F.lit(0.0), lambda acc, x: acc + x).alias("topic_mass"),
     )
 
 
-def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+@register("topic_tokens")
+def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each document its topics account for: all that the vocabulary holds, in every pass."""
+    from evalspark.operators.topics import topics
+
+    out, _ = topics(*_bow(spark, sf_dir, stem=True), k=8, seed=42, passes=2, mass="mass")
+    return out.select("doc_id", F.round("mass").cast("bigint").alias("n_tokens"))
+
 
+@register("topic_passes")
+def topic_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pass the tokens that the topic weights hold beyond their prior: each pass counts every token of every row."""
+    from evalspark.operators import lda
+    from evalspark.session import materialize
+
+    bow, terms = _bow(spark, sf_dir, stem=True)
+    bow, size = materialize(bow), terms.count()
+    rows = [(p, round(float(lda.fit(bow, terms, 8, p, 42).totals.sum()) - size)) for p in (1, 2)]  # 8 priors of 1/8 a term
+    return spark.createDataFrame(rows, "pass int, tokens bigint")
+
+
+def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.sources.tables import table
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector("embedding").alias("features"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
 
 
 @register("k_sweep")
@@ -638,17 +676,46 @@ def k_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k_sweep(_embedding_vectors(spark, sf_dir), "features", K_VALUES)
 
 
+@register("sweep_sizes")
+def sweep_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that the sweep assigned under each k, whether its clusters are at most k, and whether its silhouette is in range."""
+    from evalspark.operators import clusters
+
+    found = clusters.sweep(_embedding_vectors(spark, sf_dir), "features", K_VALUES)
+    sizes = found.table(spark).groupBy("k").agg(F.sum("size").alias("vectors"), (F.count_if(F.col("size") > 0) <= F.col("k")).alias("at_most_k"))
+    return sizes.join(found.silhouettes(spark), "k").select("k", "vectors", "at_most_k", F.col("silhouette").between(-1, 1).alias("in_range"))
+
+
 @register("cluster_crosstab")
 def cluster_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best k of the sweep, refit, then counts by (cluster, label) unstacked on label."""
+    """Best k of the sweep, its centres taken over, then counts by (cluster, label) unstacked on label."""
+    from evalspark.operators import clusters
     from evalspark.operators.stats import crosstab, pivot_values
     from evalspark.operators.topics import assign_clusters, best_k
 
-    scores = k_sweep_q(spark, sf_dir)
-    k = best_k(scores).first()["best_k"]
     vecs = _embedding_vectors(spark, sf_dir)
+    found = clusters.sweep(vecs, "features", K_VALUES)
+    k = best_k(found.silhouettes(spark)).first()["best_k"]
     labels = pivot_values(vecs, "label")  # class labels: a checked, bounded list
-    return crosstab(assign_clusters(vecs, "features", k), "cluster", "label", labels, prefix="label_")
+    return crosstab(assign_clusters(vecs, "features", found.table(spark), k), "cluster", "label", labels, prefix="label_")
+
+
+@register("topic_crosstab")
+def topic_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain on text: stems, bag of words, topics, sweep, clusters of the best k, counted by truth label."""
+    from evalspark.operators.stats import crosstab
+    from evalspark.operators.topics import topic_clusters
+    from evalspark.sources.tables import table
+
+    clustered, _, _ = topic_clusters(table(spark, sf_dir, "documents"), K_VALUES, k_topics=N_TOPICS)
+    labelled = clustered.select(F.col("doc_id").alias("example_id"), "cluster").join(truth_table(spark, sf_dir), "example_id")
+    return crosstab(labelled, "cluster", "true_label", [0, 1], prefix="label_")
+
+
+@register("topic_cluster_labels")
+def topic_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crosstab summed over the clusters: every labelled document is in one of them."""
+    return topic_crosstab(spark, sf_dir).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("label_0", "label_1")])
 
 
 # ------------------------------------------------------------------ scoring paths: Python predictor, stream

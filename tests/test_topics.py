@@ -1,50 +1,237 @@
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from evalspark.operators import clusters, lda
+from evalspark.operators.stemming import stem
+from evalspark.operators.topics import assign_clusters, best_k, k_sweep, normalize_tokens, topic_clusters
+from evalspark.operators.vocabulary import bag_of_words, dense_ids
 from evalspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
+# Public examples of the Snowball "English" stemmer: word and stem.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist
+consistently consist consolation consol consolatory consolatori console consol consolidate consolid consoling consol
+consolingly consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir constable constabl
+constancy constanc constant constant knack knack knackeries knackeri knave knave knavish knavish kneaded knead knee knee
+kneeling kneel knees knee knelt knelt knif knif knife knife knightly knight knitted knit knives knive knocker knocker
+knocking knock knots knot cry cri by by say say ties tie cries cri gas gas this this gaps gap kiwis kiwi hopping hop
+hoping hope luxuriated luxuri generate generat generously generous communism communism proceed proceed skies sky dying die
+news news happy happi relational relat conditional condit rational ration feed feed agreed agre motoring motor""".split()
 
-def test_token_normalize_core(spark):
-    from evalspark.operators.topics import normalize_tokens
 
+def test_token_normalize_core(spark):
     df = spark.createDataFrame([("The Movie, was GREAT! 42 times (really) don't",)], "t string")
-    r = df.select(normalize_tokens("t").alias("x")).first()
+    r = df.select(normalize_tokens("t").alias("x"), normalize_tokens("t", stems=True).alias("y")).first()
     assert r.x == ["the", "movie", "was", "great", "times", "really"]
+    assert r.y == ["the", "movi", "was", "great", "time", "realli"]
 
 
-def test_topic_rows(spark):
-    rows = QUERIES["topics"](spark, SF).collect()
-    # a document with no vocabulary term has an all-zero topic vector
-    assert rows and all(abs(r.topic_mass - 1.0) < 1e-6 or r.topic_mass == 0.0 for r in rows)
-    assert sum(abs(r.topic_mass - 1.0) < 1e-6 for r in rows) > len(rows) // 2
-    assert all(1 <= r.top_topic <= 50 for r in rows)
-
-
-def test_bag_of_words(spark):
-    rows = QUERIES["bag_of_words"](spark, SF).collect()
-    assert rows and all(r.n_terms >= r.n_distinct_terms >= 0 for r in rows)
-
-
-def test_k_sweep_and_clusters(spark):
-    from evalspark.operators.topics import best_k, k_sweep
-    from evalspark.plans.queries import _embedding_vectors
-
-    vecs = _embedding_vectors(spark, SF)
-    scores = k_sweep(vecs, "features", [2, 3, 5])
-    got = scores.collect()
-    assert len(got) == 3 and all(-1 <= r.silhouette <= 1 for r in got)
-    best = best_k(scores).first()
-    assert best.silhouette == max(r.silhouette for r in got)
+def test_stems_equal_the_public_examples(spark):
+    df = spark.createDataFrame(list(zip(STEMS[::2], STEMS[1::2])), "word string, want string")
+    assert df.withColumn("got", stem("word")).filter("got != want").collect() == []
+    odd = spark.createDataFrame([(None,), ("",), ("é",), ("schön",), ("y",)], "word string")
+    assert [r[0] for r in odd.select(stem("word")).collect()] == [None, "", "é", "schön", "y"]
 
 
 def test_pluggable_token_function(spark):
     import pandas as pd
 
-    from evalspark.operators.topics import normalize_tokens
-
     def strip_plural(tokens: pd.Series) -> pd.Series:
         return tokens.apply(lambda ts: [t[:-1] if t.endswith("s") and len(t) > 3 else t for t in ts])
 
     df = spark.createDataFrame([("Movies and actors, great films!",)], "t string")
     assert df.select(normalize_tokens("t", strip_plural).alias("x")).first().x == ["movie", "and", "actor", "great", "film"]
+
+
+# ------------------------------------------------------------------ bag of words
+
+
+def test_dense_ids_do_not_depend_on_partitions(spark):
+    df = spark.range(0, 5000, 7).select(F.md5(F.col("id").cast("string")).alias("x"))
+    want = {x: k for k, x in enumerate(sorted(r.x for r in df.collect()))}
+    for parts in (1, 9):
+        got = dense_ids(df.repartition(parts), ["x"], "n").collect()
+        assert {r.x: r.n for r in got} == want
+    assert dense_ids(df.limit(0), ["x"], "n").collect() == []
+
+
+def test_bag_of_words_bounds_and_edges(spark):
+    rows = [(k, ["a", "a", "b"] if k < 6 else ["b", "c"], "x") for k in range(10)] + [(10, [], "x"), (11, None, "x"), (None, ["a"], "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>, term string")
+    bow, terms = bag_of_words(df, "tokens", min_df=5, max_df=0.9, stop_words=["c"])
+    assert sorted((r.term, r.documents, r.term_id) for r in terms.collect()) == [("a", 7, 0), ("b", 10, 1)]
+    got = {r.doc_id: (r.terms, r.counts) for r in bow.collect()}
+    assert got[0] == ([0, 1], [2, 1]) and got[8] == ([1], [1]) and got[10] == ([], []) == got[11] and got[None] == ([0], [1])
+    assert bag_of_words(df, "tokens", min_df=0.7, max_df=0.7, stop_words=[])[1].collect() == []
+    empty, none = bag_of_words(df.limit(0), "tokens")
+    assert empty.collect() == [] and none.collect() == []
+
+
+def test_a_normal_form_is_taken_once_per_token(spark):
+    df = spark.createDataFrame([(1, ["cats", "cat", "the"]), (2, ["cat"])], "doc_id bigint, tokens array<string>")
+    bow, terms = bag_of_words(df, "tokens", min_df=1, max_df=10, normal=stem)
+    assert [(r.term, r.documents) for r in terms.collect()] == [("cat", 2)]
+    assert {r.doc_id: r.counts for r in bow.collect()} == {1: [2], 2: [1]}
+
+
+def test_bag_of_words_query(spark):
+    rows = QUERIES["bag_of_words"](spark, SF).collect()
+    assert rows and all(r.n_terms >= r.n_distinct_terms >= 0 for r in rows)
+
+
+# ------------------------------------------------------------------ topics
+
+
+def toy(spark, topics=4, docs=120, seed=0):
+    """Documents over disjoint vocabularies, one topic each."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for d in range(docs):
+        t = d % topics
+        terms = np.unique(rng.integers(10 * t, 10 * t + 10, 12))
+        rows.append((d, [int(x) for x in terms], [int(x) for x in rng.integers(1, 4, len(terms))]))
+    return spark.createDataFrame([*rows, (docs, [], [])], "doc_id bigint, terms array<bigint>, counts array<bigint>").repartition(5), rows
+
+
+def dense_fit(rows, size, k, passes, seed):
+    """Batch variational Bayes on a dense matrix, document by document."""
+    psi = lda.digamma
+    x = np.zeros((len(rows), size))
+    for d, terms, counts in rows:
+        x[d, terms] = counts
+    lam = np.stack([lda.start_weights(t, k, seed) for t in range(size)]).T
+    for _ in range(passes):
+        beta = np.exp(psi(lam) - psi(lam.sum(1, keepdims=True)))
+        new = np.full_like(lam, 1 / k)
+        for n in x:
+            gamma = np.ones(k)
+            for _ in range(lda.STEPS):
+                theta = np.exp(psi(gamma) - psi(gamma.sum()))
+                old, gamma = gamma, 1 / k + theta * (beta @ (n / (theta @ beta + 1e-100)))
+                if np.abs(gamma - old).mean() < lda.CHANGE:
+                    break
+            theta = np.exp(psi(gamma) - psi(gamma.sum()))
+            new += np.outer(theta, n / (theta @ beta + 1e-100)) * beta
+        lam = new
+    return lam
+
+
+@pytest.mark.parametrize("block", [lda.BLOCK, 60])
+def test_each_pass_reads_every_row(spark, monkeypatch, block):
+    monkeypatch.setattr(lda, "BLOCK", block)
+    bow, rows = toy(spark)
+    terms = spark.range(40).withColumnRenamed("id", "term_id")
+    for passes in (1, 3):
+        model = lda.fit(bow, terms, 4, passes, seed=1)
+        got = np.array([r.weights for r in model.weights.orderBy("term_id").collect()]).T
+        assert np.allclose(got, dense_fit(rows, 40, 4, passes, 1), rtol=1e-8)
+        assert math.isclose(model.totals.sum() - 40, sum(sum(c) for _, _, c in rows), rel_tol=1e-9)
+
+
+def test_topics_separate_disjoint_vocabularies(spark):
+    bow, rows = toy(spark, docs=200)
+    terms = spark.range(40).withColumnRenamed("id", "term_id")
+    found = lda.transform(bow, lda.fit(bow, terms, 6, 10, seed=3), mass="mass").collect()
+    assert all(abs(sum(r.topic_vec) - 1) < 1e-9 for r in found)
+    assert next(r.topic_vec for r in found if r.doc_id == 200) == pytest.approx([1 / 6] * 6)
+    by_row = {r.doc_id: r for r in found}
+    assert all(round(by_row[d].mass) == sum(c) for d, _, c in rows)
+    # the topics of two documents overlap if and only if their vocabularies do
+    same = np.mean([np.dot(by_row[a].topic_vec, by_row[a + 4].topic_vec) for a in range(60)])
+    other = np.mean([np.dot(by_row[a].topic_vec, by_row[a + 1].topic_vec) for a in range(60)])
+    assert same > 20 * other
+
+
+def test_topics_without_any_term_raise(spark):
+    bow, _ = toy(spark)
+    with pytest.raises(ValueError):
+        lda.fit(bow.filter("doc_id = 120"), spark.range(40).withColumnRenamed("id", "term_id"), 3)
+
+
+def test_digamma():
+    assert lda.digamma(np.array([1.0, 0.5, 10.0, 1e-3])) == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.251752589066721, -1000.5755719318103], rel=1e-10)
+
+
+# ------------------------------------------------------------------ k-means under many k
+
+
+def vectors(spark, n=300, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 4, (5, 3))
+    x = centres[rng.integers(0, 5, n)] + rng.normal(0, 0.6, (n, 3))
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "id bigint, v array<double>")
+    return df.repartition(7), x
+
+
+def silhouette(x, label):
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    out = []
+    for i in range(len(x)):
+        own = (label == label[i]).sum()
+        inner = d[i][label == label[i]].sum() / max(own - 1, 1)
+        outer = min((d[i][label == c].mean() for c in set(label) if c != label[i]), default=np.inf)
+        out.append((outer - inner) / max(outer, inner) if own > 1 else 0.0)
+    return float(np.mean(out))
+
+
+def test_all_k_in_the_same_scans_equal_single_fits(spark):
+    df, x = vectors(spark)
+    ks = [2, 3, 5, 8]
+    start = dict(zip(ks, clusters.start_centres(df, "v", ks, 42)))
+    together = clusters.score(df, "v", clusters.lloyd(df, "v", start))
+    scans = 0
+    for k in ks:
+        single = clusters.score(df, "v", clusters.lloyd(df, "v", {k: start[k]}))
+        assert np.allclose(single.centres[k], together.centres[k], atol=1e-9)
+        assert single.scores[k] == pytest.approx(together.scores[k], abs=1e-9)
+        centre = start[k].copy()  # the same steps in numpy
+        for _ in range(300):
+            label = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[label == c].mean(0) if (label == c).any() else centre[c] for c in range(k)])
+            moved, centre = ((new - centre) ** 2).sum(1).max(), new
+            if moved <= 1e-8:
+                break
+        assert np.allclose(centre, together.centres[k], atol=1e-6)
+        label = ((x[:, None] - together.centres[k][None]) ** 2).sum(2).argmin(1)
+        assert together.scores[k] == pytest.approx(silhouette(x, label), abs=1e-9)
+        assert together.sizes[k].tolist() == np.bincount(label, minlength=k).tolist()
+        scans = max(scans, single.scans)
+    assert together.scans == scans  # as many as the slowest k needs alone
+
+
+def test_sweep_finds_the_planted_clusters_and_hands_its_model_on(spark):
+    df, x = vectors(spark)
+    found = clusters.sweep(df, "v", [3, 5, 9, 2])
+    assert best_k(found.silhouettes(spark)).first()["best_k"] == 5
+    got = assign_clusters(df.unionByName(spark.createDataFrame([(-1, None)], df.schema)), "v", found.table(spark), 5).collect()
+    label = ((x[:, None] - found.centres[5][None]) ** 2).sum(2).argmin(1)
+    assert {r.id: r.cluster for r in got} == {-1: None, **{k: int(c) for k, c in enumerate(label)}}
+    assert df.repartition(3).count() == 300 and np.allclose(clusters.sweep(df.repartition(3), "v", [5]).centres[5], clusters.sweep(df, "v", [5]).centres[5], atol=1e-9)
+
+
+def test_sweep_of_few_and_equal_vectors(spark):
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(6)], "id int, v array<double>")
+    found = clusters.sweep(same, "v", [2, 3])
+    assert sorted(found.sizes[3].tolist()) == [0, 0, 6] and found.scores == {2: None, 3: None}
+    with pytest.raises(ValueError):
+        k_sweep(same, "v", [6])
+    with pytest.raises(ValueError):
+        k_sweep(same.limit(0), "v", [0])
+
+
+def test_chain_from_text_to_clusters(spark):
+    words = [["good", "movies", "acting"], ["boring", "plots", "scenes"], ["cheap", "phones", "batteries"]]
+    rng = np.random.default_rng(2)
+    rows = [(d, " ".join(rng.choice(words[d % 3], 30)) + ".") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clustered, scores, model = topic_clusters(docs, [2, 3, 4], k_topics=3, passes=8)
+    best = best_k(scores).first()["best_k"]
+    assert model.filter(F.col("k") == best).agg(F.sum("size")).first()[0] == 60
+    groups = {}
+    for r in clustered.collect():
+        groups.setdefault(r.doc_id % 3, set()).add(r.cluster)
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == min(best, 3)
