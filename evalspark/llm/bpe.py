@@ -38,8 +38,9 @@ FAR = np.int64(1) << 60
 SPACE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 PIECE = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 
-CACHE_WORDS = 150_000  # distinct words and pieces remembered by a Python worker; the cache starts anew beyond
+CACHE_BYTES = 80 << 20  # of words and pieces remembered by a Python worker in each of two generations, see ``Remembered``
 CACHE_CHARS = 64  # longer ones are not remembered
+ENTRY = 200  # bytes that an entry takes beside its text and ids
 SHORT = 48  # bytes up to which words are proposed and merged together as arrays; longer ones singly
 
 
@@ -50,6 +51,26 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Remembered:
+    """A cache of two generations: when the young one is full it becomes the old one, whose entries are forgotten
+    unless they were used meanwhile. So frequent words stay, for all tasks of a worker."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.held, self.young, self.old = size, 0, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.held += ENTRY + len(key) + len(value)
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (the JSON of the tokenizers library, byte-level BPE)."""
 
@@ -116,7 +137,7 @@ class Bpe:
         self.pair_new = np.array([new for _, new in self.merge.values()], np.int64)[order]
         self.split, self.pieces = regex.compile(PATTERN).findall, re.compile(PIECE).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
-        self.cache: dict[str, bytes] = {}
+        self.cache = Remembered(CACHE_BYTES)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, skip_top: bool = False) -> np.ndarray:
         """For each pair of tokens: does it stay as it is when its bytes are merged?"""
@@ -209,8 +230,8 @@ class Bpe:
         order = np.argsort(words, kind="stable")
         return words[order], tokens[order]
 
-    def merged_all(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many short words in step, one merge of each word at a time."""
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many short words in step, one merge of each word at a time; ids as ``word_ids`` gives them."""
         if not words:
             return []
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -225,8 +246,9 @@ class Bpe:
         while True:
             best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)
             go = np.take_along_axis(ranks, best[:, None], 1)[:, 0] < FAR if ranks.shape[1] else np.zeros(len(row), bool)
-            for r, n, k in zip(row[~go].tolist(), size[~go].tolist(), ids[~go]):
-                out[r] = k[:n].tolist()
+            raw, step = ids[~go].astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, (r, n) in enumerate(zip(row[~go].tolist(), size[~go].tolist())):
+                out[r] = raw[k * step : k * step + 4 * n]
             row, ids, ranks, new, size, best = row[go], ids[go], ranks[go], new[go], size[go] - 1, best[go]
             if not len(row):
                 return out
@@ -245,34 +267,37 @@ class Bpe:
                 ranks[at[out_of], c[out_of]] = FAR
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of distinct words: propose, test all adjacent pairs at once, merge what failed."""
-        out: list = [None] * len(words)
+        """Token ids of distinct words."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.word_ids(words)]
+
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian unsigned 32-bit integers) of distinct words: propose, test all adjacent pairs at once, merge
+        what failed."""
         short = [k for k, w in enumerate(words) if len(w) <= SHORT]
         end = np.cumsum([len(words[k]) for k in short], dtype=np.int64)
         start = np.concatenate([[0], end[:-1]]).astype(np.int64) if short else end
         data = np.frombuffer(b"".join(words[k] for k in short), np.uint8)
         where, tokens = self.propose_all(data, start, end)
-        singly = {k: self.propose(w) for k, w in enumerate(words) if len(w) > SHORT}
-        where = np.concatenate([np.array(short, np.int64)[where], np.repeat(np.array(list(singly), np.int64), [len(v) for v in singly.values()])])
-        tokens = np.concatenate([tokens, np.array([t for v in singly.values() for t in v], np.int64)])
+        where = np.array(short, np.int64)[where]
+        if len(short) < len(words):
+            singly = {k: self.propose(w) for k, w in enumerate(words) if len(w) > SHORT}
+            where = np.concatenate([where, np.repeat(np.array(list(singly), np.int64), [len(v) for v in singly.values()])])
+            tokens = np.concatenate([tokens, np.array([t for v in singly.values() for t in v], np.int64)])
+            order = np.argsort(where, kind="stable")
+            where, tokens = where[order], tokens[order]
         inside = np.flatnonzero(where[1:] == where[:-1])
         pairs, back = np.unique((tokens[inside] << 32) | tokens[inside + 1], return_inverse=True)
         ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         failed = np.unique(where[inside[~ok[back]]])
-        ends = np.searchsorted(where, np.arange(len(words) + 1)) if not singly else None
-        flat = tokens.tolist()
-        if ends is None:
-            order = np.argsort(where, kind="stable")
-            flat, ends = tokens[order].tolist(), np.searchsorted(where[order], np.arange(len(words) + 1))
-        ends = ends.tolist()
-        for k in range(len(words)):
-            out[k] = flat[ends[k] : ends[k + 1]]
+        ends = (4 * np.searchsorted(where, np.arange(len(words) + 1))).tolist()
+        flat = tokens.astype("<u4").tobytes()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
         by_size: dict[int, list[int]] = {}
         for k in failed.tolist():
             if len(words[k]) <= SHORT:
                 by_size.setdefault(-(-len(words[k]) // 8), []).append(k)
             else:
-                out[k] = self.merged(words[k])
+                out[k] = np.array(self.merged(words[k]), "<u4").tobytes()
         for ks in by_size.values():
             for k, ids in zip(ks, self.merged_all([words[k] for k in ks])):
                 out[k] = ids
@@ -282,26 +307,32 @@ class Bpe:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         parts = [[(p, k % 2) for k, p in enumerate(self.cut(t)) if p] for t in texts]
         split = [[None if special else self.pieces(p) for p, special in ps] for ps in parts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, extra = self.cache, {}
-        keep = lambda key, ids: (cache if len(key) <= CACHE_CHARS else extra).__setitem__(key, ids)
-        new = {p: self.split(p) for p in set().union(*(s for ws in split for s in ws if s is not None)) if p not in cache}
-        words = list({w for ws in new.values() for w in ws if w not in cache})
-        found = self.encode_words([w.encode() for w in words])
-        flat, at = np.array([t for ids in found for t in ids], "<u4").tobytes(), 0
-        for w, ids in zip(words, found):
-            keep(w, flat[at : at + 4 * len(ids)])
-            at += 4 * len(ids)
+        cache, here, new = self.cache, {}, {}  # here: ids of all pieces of these texts
+        for p in set().union(*(s for ws in split for s in ws if s is not None)):
+            ids = cache.get(p)
+            if ids is None:
+                bare = p[1:] if p[0] == " " else p
+                new[p] = [p] if bare.isalpha() else self.split(p)  # letters with a space before them are one word
+            else:
+                here[p] = ids
+        known = {}
+        for w in {w for ws in new.values() for w in ws}:
+            known[w] = cache.get(w)
+        words = [w for w, ids in known.items() if ids is None]
+        for w, ids in zip(words, self.word_ids([w.encode() for w in words])):
+            known[w] = ids
+            if len(w) <= CACHE_CHARS:
+                cache.put(w, ids)
         for p, ws in new.items():
-            if len(ws) > 1:
-                keep(p, b"".join([cache.get(w) or extra[w] for w in ws]))
-        get = (lambda p: cache.get(p) or extra[p]) if extra else cache.__getitem__
+            if len(ws) == 1 and ws[0] == p:
+                here[p] = known[p]
+                continue
+            here[p] = ids = b"".join([known[w] for w in ws])
+            if len(p) <= CACHE_CHARS:
+                cache.put(p, ids)
+        get = here.__getitem__
         return [
-            b"".join(
-                np.array([self.special[p]], "<u4").tobytes() if ws is None else b"".join(map(get, ws))
-                for (p, _), ws in zip(ps, sp)
-            )
+            b"".join([np.array([self.special[p]], "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for (p, _), ws in zip(ps, sp)])
             for ps, sp in zip(parts, split)
         ]
 
@@ -349,7 +380,6 @@ def _encode_batches(spec, text_col: str, ids_col: str):
                 ends = np.cumsum([0, *(len(b) // 4 for b in found)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield _with(batch, **{ids_col: ids})
-        bpe.cache.clear()  # workers live on after a task
 
     return run
 
@@ -397,12 +427,12 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         for batch in to_text(to_ids(batches)):
-            ids = [v.values.to_numpy(zero_copy_only=False) for v in batch.column("_ids")]
+            ids = [v.values.to_numpy(zero_copy_only=False) for v in batch.column("_ids")]  # views of int32, hashed as they are
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(id_col),
                     pa.array([len(v) for v in ids], pa.int64()),
-                    pa.array([hashlib.sha256(v.astype("<u4").tobytes()).hexdigest() for v in ids], pa.string()),
+                    pa.array([hashlib.sha256(v.astype("<i4", copy=False).tobytes()).hexdigest() for v in ids], pa.string()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column("_text").to_pylist()], pa.string()),
                 ],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
