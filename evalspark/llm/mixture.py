@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import WORD, cut, n_partitions
+from evalspark.llm.common import WORD, cut, n_partitions, text_or_empty
 
 WEIGHTS = (3.0, 1.0, 2.0)  # of the sources in order, repeating
 RANGE_ROWS = 33  # bits of the row number inside a partition in monotonically_increasing_id
@@ -59,10 +59,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
          share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies``: how often the mix takes each document."""
+    """``doc_id, source, size, source_size, target, copies, text_hash``: how often the mix takes each document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"))
-    rows = cut(rows.repartitionByRange(n_partitions(spark), "source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("at", F.monotonically_increasing_id()))
+    # one pass over the texts; what follows reads this narrow table
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    order = ("source", "size", "doc_id", "text_hash")
+    rows = cut(cut(narrow).repartitionByRange(n_partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", RANGE_ROWS)
 
     # rows of each source in each range: as many rows as ranges and sources together
@@ -79,23 +81,42 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     up_to = lambda k: F.floor(F.col("off") + F.col("each") * k)
     copies = F.least(up_to(F.col("place") + 1) - up_to(F.col("place")), F.lit(int(-(-most // 1)))).cast("bigint")
     df = df.withColumn("each", each).withColumn("place", place)
-    return df.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return df.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "text_hash")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (of one id, source and text each several) with ``number``, from 1, among those that share the three. The rows are
+    written with the task that wrote them; each task's rows are numbered by themselves, from an offset."""
+    rows = cut(rows.withColumn("task", F.shiftright(F.monotonically_increasing_id(), RANGE_ROWS)))
+    key = ["id", "source", "text_hash"]
+    counts = rows.groupBy(*key, "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("task").alias("k_task"), before.alias("before"))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key]
+    rows = rows.join(counts, same[0] & same[1] & same[2] & (F.col("task") == F.col("k_task")))
+    at = F.row_number().over(Window.partitionBy(*key, "task").orderBy("id"))
+    return rows.withColumn("number", F.col("before") + at)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The documents of the mix, each as often as the plan says (copies are whole rows of ``docs``).
 
-    Rows that share their id, source and size are interchangeable in the plan; their copies are summed and dealt out
-    evenly among them by a number that is their own.
+    Rows that share their id, source and text are interchangeable in the plan; their copies are summed and dealt out
+    evenly among them by a number that is their own. Texts cross one shuffle, and those of repeated rows two more.
+    Each row travels as one struct, so its columns may have any names.
     """
     counts = plan(docs, id_col, text_col, source_col, **kw)
-    counts = counts.groupBy(F.col("doc_id").alias("_c_id"), F.col("source").alias("_c_source"), F.col("size").alias("_c_size")).agg(
-        F.sum("copies").alias("_sum"), F.count("*").alias("_rows")
+    counts = counts.groupBy(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("text_hash").alias("c_hash")).agg(
+        F.sum("copies").alias("sum"), F.count("*").alias("rows")
     )
-    df = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col).cast("string"), "_size": n_words(text_col)})
-    df = df.join(counts, F.col("_id").eqNullSafe(F.col("_c_id")) & F.col("_source").eqNullSafe(F.col("_c_source")) & (F.col("_size") == F.col("_c_size")))
-    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text_col)))
-    several = F.floor(F.col("_sum") * number / F.col("_rows")) - F.floor(F.col("_sum") * (number - 1) / F.col("_rows"))
-    df = df.withColumn("_copies", several.cast("int")).filter(F.col("_copies") > 0)
-    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+    counts = cut(counts.filter("sum > 0"))
+    df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source")) & (F.col("text_hash") == F.col("c_hash"))
+    df = df.join(counts.hint("shuffle_hash"), same)  # the narrow side is the hashed one: texts are not sorted
+    one = df.filter("rows = 1").select("row", F.col("sum").alias("copies"))
+    several = _numbered(df.filter("rows > 1").select("row", "id", "source", "text_hash", "sum", "rows"))
+    share = lambda k: F.floor(F.col("sum") * k / F.col("rows"))
+    several = several.select("row", (share(F.col("number")) - share(F.col("number") - 1)).alias("copies")).filter("copies > 0")
+    df = one.unionByName(several)
+    df = df.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return df.select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -168,8 +168,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     found = near_duplicates(docs, id_col, text_col, **kw)
     least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    kept = least.select(F.struct("doc_id", "text_hash").alias("_key"))
-    named = docs.withColumn("_key", F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")))
-    named = named.join(kept, "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(text_col).isNull()))  # of repeated rows
-    return named.withColumn("_first", first).filter("_first = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = least.select(F.struct("doc_id", "text_hash").alias("key"))
+    # each row travels as one struct, so its columns may have any names
+    named = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")).alias("key"))
+    named = named.join(kept, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.col(f"row.`{text_col}`").isNull()))  # of repeated rows
+    return named.withColumn("first", first).filter("first = 1").select(*(F.col(f"row.`{c}`") for c in docs.columns))
