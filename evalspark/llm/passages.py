@@ -6,13 +6,18 @@ windows have equal anchors, and neighbouring windows mostly share theirs, so all
 covered by few *stretches* (maximal runs of windows with one anchor), and equal windows meet where stretches are
 dealt out by their anchor's hash.
 
-``repeated_spans``: stretches whose anchor hash occurs once go. Of the rest, equal stretches are one (with the number, the
-smallest and the largest id of the documents that have it), their units are cut from the texts, and a solver gets
-all stretches of an anchor together, in blocks of bounded size, and says which windows repeat. An anchor with more
+``repeated_spans``: stretches whose anchor hash occurs once go. Where all stretches of an anchor are equal, their windows
+repeat as often as they do: two windows of one stretch stand at different distances from their common anchor and cannot
+be equal. Of the rest, equal stretches are one (with the number, the smallest and the largest id of the documents that have
+it), their units are cut from the texts, and a solver gets all stretches of an anchor together, in blocks of bounded size, and says which windows repeat. An anchor with more
 than ``limit`` different stretches is dealt out again in pieces: windows of like distance to the anchor, by a hash of
 the units that all windows at these distances have in common. Equal windows meet there as well. What is still
 crowded is dealt out window by window: those groups hold one content each. What a solver finds is carried back to every stretch and joined to the
-texts. Hashes only decide what meets; whether windows are equal is up to the solver.
+texts. Stretches are taken as equal where 128 bits of hashes agree (of the anchor and of all their units); which windows of different
+stretches are equal is up to the solver.
+
+Rows of equal id and text are told apart from one another only by their number: their stretches are cut once, and what is
+found is joined back to each, so the work grows with the rows and not with their square.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import cut, n_partitions, text_or_empty
 
 LAST = 2**63 - 1  # stands for a null id: after all others
-SLAB = 1 << 19  # units worked on at once
+SLAB = 1 << 16  # units worked on at once; arrays of this size stay in the cache
 LONG_SLAB = 1 << 21  # units of one document worked on at once
 PIECES = 8  # of the distances to an anchor, where it is crowded
 TOP = np.iinfo(np.uint64).max
@@ -85,11 +90,13 @@ class Words:
         return xxhash.xxh3_64_intdigest(hashed[8 * start : 8 * end])
 
 
-def mixed(words: np.ndarray, n: int, steps) -> np.ndarray:
-    h = np.zeros(n, np.uint64)
-    for k in steps:
-        h *= M2
-        h += words[k : k + n]
+def mixed(words: np.ndarray, n: int, steps: range) -> np.ndarray:
+    """For each place a hash of the words at the distances ``steps`` from it (a power of two of them), by doubling."""
+    h, weight, size = words, M2, steps.step
+    while size < steps.stop:
+        h = h[: len(h) - size] * weight + h[size:]
+        weight, size = np.uint64(int(weight) ** 2 % 2**64), 2 * size
+    h = h[:n].copy()
     h ^= h >> np.uint64(29)
     h *= M1
     h ^= h >> np.uint64(32)
@@ -100,9 +107,8 @@ def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple
     """(document, first window, windows, anchor hash, anchor's distance from the first window) of each stretch of
     concatenated documents; first windows are counted from the document's start."""
     wide, n = window - gram + 1, len(h)
-    none = np.empty(0, np.int64)
     if n < window:
-        return none, none, none, none, none
+        return (np.empty(0, np.int64),) * 5
     low = np.uint64((1 << 24) - 1)
     keys = np.full(-(-n // wide) * wide, TOP, np.uint64)
     keys[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
@@ -110,17 +116,18 @@ def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple
     ahead = np.minimum.accumulate(keys, 1).ravel()
     back = np.minimum.accumulate(keys[:, ::-1], 1)[:, ::-1].ravel()
     m = n - wide + 1
-    anchor = (np.minimum(back[:m], ahead[wide - 1 : wide - 1 + m]) & low).astype(np.int64)
+    best = np.minimum(back[:m], ahead[wide - 1 : wide - 1 + m])
     ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[:m]
-    at = np.flatnonzero(np.arange(m) + window <= ends[doc])
-    if not len(at):
-        return none, none, none, none, none
-    anchor, doc = anchor[at], doc[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    k = np.flatnonzero(new)
-    return doc[k], at[k] - (ends - sizes)[doc[k]], np.diff(np.append(k, len(at))), h[anchor[k]].view(np.int64), anchor[k] - at[k]
+    begins = ends - sizes
+    # runs of one anchor, cut where a document begins and where its windows end
+    at = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1, begins, np.maximum(ends - window + 1, begins)])
+    at = np.unique(at)
+    at = at[at < m]
+    doc = np.searchsorted(ends, at, "right")
+    ok = at + window <= ends[doc]
+    count, anchor = np.diff(np.append(at, m)), (best[at] & low).astype(np.int64)
+    at, doc, count, anchor = at[ok], doc[ok], count[ok], anchor[ok]
+    return doc, at - begins[doc], count, h[anchor].view(np.int64), anchor - at
 
 
 def _pieces(kind, hashed: bytes, window: int, at: int, n: int, key: int, ahead: int, width: int) -> Iterator[tuple[int, int, int, int]]:
@@ -150,8 +157,8 @@ def _slabs(texts: list[tuple], kind) -> Iterator[list[tuple]]:
         yield group
 
 
-def anchors(kind, window: int, gram: int, levels: tuple = ()) -> Callable:
-    """Batches of id, th, text to rows of ``ROW``: one for each stretch. levels: (broadcast sorted keys, width) of crowded
+def anchors(kind, window: int, gram: int, levels: tuple = (), whole: bool = True) -> Callable:
+    """Batches of id, th, text to rows of ``ROW``: one for each stretch (not ``whole``: its h and id only). levels: (broadcast sorted keys, width) of crowded
     keys; then a row for each piece of the stretches that have such keys at every level, and no others."""
 
     def run(batches):
@@ -173,8 +180,11 @@ def anchors(kind, window: int, gram: int, levels: tuple = ()) -> Callable:
                         doc, at, n, key, ahead = np.array(found, np.int64).reshape(-1, 5).T.copy()
                     if not len(doc):
                         continue
-                    code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
                     rows = pa.array([one[d][0] for d in doc.tolist()])
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(rows)], names=["h", "id"])
+                        continue
+                    code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
                     shift = np.array([s for _, s, _ in one])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(np.array(code, np.uint64).view(np.int64)), ids.take(rows), ths.take(rows), pa.array(at + shift[doc]), pa.array(n.astype(np.int32))],
@@ -196,13 +206,18 @@ def _rows(rows: list[tuple], names: list[str], kinds: str) -> pa.RecordBatch:
 
 
 def _cut_bodies(kind, window: int) -> Callable:
-    """Batches of text and wanted stretches to rows of ``STRETCH``."""
+    """Batches of text and wanted stretches to rows of ``STRETCH``; repeated rows, which a join by id and text leaves side by side,
+    are cut once."""
 
     def run(batches):
+        last = None
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 out = []
                 for row, wanted in _each(whole.slice(k, 64), "wanted"):
+                    if (row["id"], row["th"]) == last:
+                        continue
+                    last = row["id"], row["th"]
                     units = kind.units(row["text"])
                     for s in wanted:
                         body = kind.body(units, s["at"], s["at"] + s["n"] + window - 1)
@@ -231,6 +246,8 @@ def _solved(solver: Callable, block: int) -> Callable:
                     if row["h"] != last and size >= block:
                         yield send()
                         held, size = [], 0
+                    elif held and row["h"] == last and row["c"] == held[-1]["c"]:
+                        continue  # of a repeated row
                     last = row["h"]
                     held.append(row)
                     size += len(row["body"])
@@ -241,9 +258,10 @@ def _solved(solver: Callable, block: int) -> Callable:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null: LAST), th (hash of the text), text (null: empty). Rows of equal id and text stand for each other."""
+    """id (null: LAST), th (hash of the text), text (null: empty), own (the id as it is). Rows of equal id and text stand for each
+    other. Null ids come last, beside LAST itself."""
     text = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).alias("own"))
 
 
 def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callable, across: bool, limit: int, block: int) -> DataFrame:
@@ -252,9 +270,13 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     and a range is kept where the id is above its ``first``."""
     recurs = (F.min("id") < F.max("id")) if across else (F.count("*") > 1)
 
-    def recurring(rows: DataFrame) -> DataFrame:
-        again = cut(rows.groupBy("h").agg(recurs.alias("again")).filter("again").select("h"))
-        return rows.join(again, "h")  # both sides plain, so that a frequent anchor's rows can be split among tasks
+    base = base.select("id", "th", "text")
+
+    def recurring(levels: tuple = ()) -> DataFrame:
+        seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, id bigint")
+        again = cut(seen.groupBy("h").agg(recurs.alias("again")).filter("again").select("h"))
+        # both sides plain, so that a frequent anchor's rows can be split among tasks
+        return base.mapInArrow(anchors(kind, window, gram, levels), ROW).join(again, "h")
 
     def wanted(rows: DataFrame, *cols: str) -> DataFrame:
         return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*cols)).alias("wanted"))
@@ -263,7 +285,11 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         one = F.min(F.struct("id", "th", "at", "n")).alias("one")
         return rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("id").alias("last"), one)
 
-    rows = cut(recurring(base.mapInArrow(anchors(kind, window, gram), ROW)))
+    every = cut(recurring())
+    kinds = cut(every.groupBy("h").agg((F.min("c") == F.max("c")).alias("equal"), F.min("id").alias("first")))
+    told = every.join(kinds, "h")
+    equal = told.filter("equal").select("id", "th", "at", F.struct(F.lit(0).alias("s"), (F.col("n") - 1 + window).alias("e"), "first").alias("r"))
+    rows = cut(told.filter("NOT equal").select(every.columns))
     levels: list[tuple] = []
     for width in (max(2, (window - gram + 1) // PIECES), 1):
         crowded = cut(distinct(rows).groupBy("h").count().filter(F.col("count") > limit).select("h"))
@@ -271,14 +297,13 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         if not len(keys):
             break
         levels.append((base.sparkSession.sparkContext.broadcast(keys), width))
-        finer = recurring(base.mapInArrow(anchors(kind, window, gram, tuple(levels)), ROW))
-        rows = cut(rows.join(F.broadcast(crowded), "h", "left_anti").unionByName(finer))
+        rows = cut(rows.join(F.broadcast(crowded), "h", "left_anti").unionByName(recurring(tuple(levels))))
     groups = distinct(rows).select("h", "c", "copies", "first", "last", "one.*")
     bodies = base.join(wanted(groups, "h", "c", "at", "n", "copies", "first", "last"), ["id", "th"])
     bodies = bodies.mapInArrow(_cut_bodies(kind, window), STRETCH)
     bodies = bodies.repartition(n_partitions(base.sparkSession), "h").sortWithinPartitions("h", "c")
     found = bodies.mapInArrow(_solved(solver, block), FOUND)
-    ranges = rows.join(found, ["h", "c"]).select("id", "th", "at", F.explode("ranges").alias("r"))
+    ranges = rows.join(found, ["h", "c"]).select("id", "th", "at", F.explode("ranges").alias("r")).unionByName(equal)
     if across:
         ranges = ranges.filter(F.col("r.first") < F.col("id"))
     span = F.struct((F.col("at") + F.col("r.s")).alias("s"), (F.col("at") + F.col("r.e")).alias("e"))

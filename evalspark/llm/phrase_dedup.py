@@ -124,8 +124,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     and the words that remain, joined by one space."""
     base = keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    back = F.when(F.col("id") != LAST, F.col("id")).cast(kind).alias("_id")
-    joined = base.join(spans(base, window, gram, limit, block), ["id", "th"], "left").select(back, "text", "spans")
+    joined = base.join(spans(base, window, gram, limit, block), ["id", "th"], "left").select(F.col("own").alias("_id"), "text", "spans")
     return joined.mapInArrow(_apply(["_id"], [id_col]), f"`{id_col}` {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string")
 
 

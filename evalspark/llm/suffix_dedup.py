@@ -24,7 +24,7 @@ from evalspark.llm.passages import Bytes, keyed, merged, repeated_spans
 WINDOW = 200
 GRAM = 64
 LIMIT = 6_000  # different stretches of an anchor that are sorted together
-BLOCK = 1 << 20  # bytes of stretches sorted together, if their groups allow
+BLOCK = 1 << 17  # bytes of stretches sorted together, if their groups allow; arrays of this size stay in the cache
 
 SYMBOL = np.uint64(9)  # bits: a byte plus one, 0 is the end of a stretch
 FIRST = 7  # symbols in a 64-bit key
@@ -184,7 +184,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "spans", "kept"])
 
-    back = F.when(F.col("id") != 2**63 - 1, F.col("id")).cast(kind).alias("_id")
-    joined = base.join(spans, ["id", "th"], "left").select(back, "text", "spans")
+    joined = base.join(spans, ["id", "th"], "left").select(F.col("own").alias("_id"), "text", "spans")
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
