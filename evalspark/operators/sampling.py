@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_STRATA = 1_000_000  # the stratum count table is brought to the driver; refuse beyond this
-SMALL_STRATUM = 100_000  # strata up to this size are ranked directly (a window bounded by this size)
+SHOWN = 10  # strata named in an error
 
 
 def order_key(id_col: str | Column, seed: int) -> Column:
@@ -68,9 +67,8 @@ def _n_for(n: int | float, total: int) -> int:
 
 
 def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> dict[tuple, int]:
-    rows = df.groupBy(*strata).count().limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata; stratify on coarser columns")
+    """Stratum sizes on the driver, for tables known to hold few strata; ``quotas`` works on the table."""
+    rows = df.groupBy(*strata).count().collect()
     out = {tuple(r[s] for s in strata): r["count"] for r in rows}
     if any(v is None for k in out for v in k):
         raise ValueError(f"NULL in stratum columns {list(strata)}; fill or filter them first")
@@ -83,6 +81,47 @@ def _bits(size: int) -> int:
     return max(1, min(16, math.ceil(math.log2(max(size, 2)) / 3)))
 
 
+def quotas(sizes: DataFrame, strata: Sequence[str], n: int | float, within: Sequence[str] = (),
+           min_stratum: int = 2) -> DataFrame:
+    """``strata, _quota, _bits``: the same proportional quotas as ``largest_remainder``, for a table of any number of strata
+    (``strata, count``, one row each). ``n`` holds for every group of the ``within`` columns; strata of quota 0 are left out.
+
+    Floors and remainders are columns (in decimals: their products pass 64 bits); the strata that get one more are those
+    whose rank by remainder is below what the floors leave, and ranks come from a range sort and partition offsets.
+    """
+    from evalspark.operators.frames import cumcount
+    from evalspark.session import materialize
+
+    strata, within = list(strata), list(within)
+    bad = sizes.agg(F.max(F.greatest(*[F.col(s).isNull().cast("int") for s in strata], F.lit(0))), F.min("count")).first()
+    if bad[0]:
+        raise ValueError(f"NULL in stratum columns {strata}; fill or filter them first")
+    if bad[1] is not None and bad[1] < min_stratum:
+        small = [tuple(r) for r in sizes.filter(F.col("count") < min_stratum).select(*strata).orderBy(*strata).limit(SHOWN).collect()]
+        raise ValueError(f"strata with fewer than {min_stratum} rows: {small}")
+    group = F.struct(*within) if within else F.lit(0)
+    rows = sizes.withColumn("_g", group)
+    wide = "decimal(38,0)"
+    want = F.ceil(F.lit(n) * F.sum("count")) if isinstance(n, float) else F.lit(int(n))
+    totals = rows.groupBy("_g").agg(F.sum("count").alias("_total"), F.count("*").alias("_strata"), want.cast("bigint").alias("_n"))
+    totals = materialize(totals)
+    outside = totals.filter((F.col("_n") < 0) | (F.col("_n") > F.col("_total"))).limit(1).collect()
+    if outside:
+        raise ValueError(f"sample size {outside[0]['_n']} outside [0, {outside[0]['_total']}]")
+    few = totals.filter((F.col("_n") > 0) & (F.col("_n") < F.col("_strata"))).limit(1).collect() if min_stratum > 1 else []
+    if few:
+        raise ValueError(f"sample size {few[0]['_n']} is smaller than the number of strata {few[0]['_strata']}")
+    rows = rows.join(totals, "_g")
+    share = F.col("count").cast(wide) * F.col("_n")
+    rows = rows.withColumn("_floor", F.floor(F.expr("(cast(count as decimal(19,0)) * cast(_n as decimal(19,0))) div _total")).cast("bigint"))
+    rows = materialize(rows.withColumn("_rem", (share % F.col("_total")).cast("bigint")))
+    left = rows.groupBy("_g").agg((F.max("_n") - F.sum("_floor")).alias("_left"))
+    ranked = cumcount(rows.join(left, "_g"), "_g", [F.col("_rem").desc(), *map(F.col, strata)], "_rank")
+    quota = F.col("_floor") + (F.col("_rank") < F.col("_left")).cast("bigint")
+    bits = F.least(F.lit(16), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest("count", F.lit(2))) / 3))).cast("int")
+    return ranked.select(*strata, quota.alias("_quota"), bits.alias("_bits")).filter("_quota > 0")
+
+
 def _quota_frame(df: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
                  sizes: Mapping[tuple, int]) -> DataFrame:
     schema = df.select(*strata).schema
@@ -120,18 +159,19 @@ def _top(h: str = "_h", bits: str = "_bits") -> Column:
     return F.expr(f"shiftright({h}, 32 - 2 * {bits})")
 
 
-def sample_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
-                      sizes: Mapping[tuple, int]) -> DataFrame:
+def sample_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: DataFrame | Mapping[tuple, int],
+                      sizes: Mapping[tuple, int] | None = None) -> DataFrame:
     """Per stratum the threshold cell (``_bits``, ``_top_star``) and the key of its last sampled row;
-    at most one row per stratum. ``keyed`` comes from ``keyed_frame`` (hash computed once)."""
-    qdf = F.broadcast(_quota_frame(keyed, strata, quotas, sizes))  # one row per stratum, count checked
+    at most one row per stratum. ``keyed`` comes from ``keyed_frame`` (hash computed once), ``quotas`` from the function
+    of that name (or as a mapping with ``sizes``). Joins carry no hint: Spark broadcasts the small side by its size."""
+    qdf = quotas if isinstance(quotas, DataFrame) else _quota_frame(keyed, strata, quotas, sizes)
     k1 = keyed.join(qdf, list(strata)).withColumn("_b1", _level1())
     h1 = k1.groupBy(*strata, "_bits", "_quota", "_b1").count()
-    t1 = F.broadcast(_threshold(h1, strata, "_b1", "_quota"))
+    t1 = _threshold(h1, strata, "_b1", "_quota")
     cell1 = keyed.join(t1, list(strata)).filter(_level1() == F.col("_b1_star"))
     cell1 = cell1.withColumn("_t", _top())
     h2 = cell1.groupBy(*strata, "_bits", "_quota_in", "_t").count()
-    t2 = F.broadcast(_threshold(h2, strata, "_t", "_quota_in"))
+    t2 = _threshold(h2, strata, "_t", "_quota_in")
     cell2 = cell1.join(t2.drop("_bits"), list(strata)).filter(F.col("_t") == F.col("_t_star"))
     rn = F.row_number().over(W.partitionBy(*strata).orderBy("_k", "_id"))
     last = cell2.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_quota_in_in"))
@@ -141,9 +181,8 @@ def sample_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[t
 
 def _window_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[tuple, int],
                        sizes: Mapping[tuple, int]) -> DataFrame:
-    """Same threshold rows as ``sample_thresholds`` when every stratum has at most ``SMALL_STRATUM``
-    rows: one window per stratum, bounded by that size (``_bits`` = 16 makes the cell the full 32-bit
-    prefix)."""
+    """Same threshold rows as ``sample_thresholds`` by the plain plan, one window per stratum, to hold it against in tests
+    (``_bits`` = 16 makes the cell the full 32-bit prefix)."""
     qdf = F.broadcast(_quota_frame(keyed, strata, quotas, sizes))
     rn = F.row_number().over(W.partitionBy(*strata).orderBy("_k", "_id"))
     last = keyed.join(qdf, list(strata)).withColumn("_rn", rn).filter(F.col("_rn") == F.col("_quota"))
@@ -154,7 +193,7 @@ def _window_thresholds(keyed: DataFrame, strata: Sequence[str], quotas: Mapping[
 def _membership(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, thresholds: DataFrame) -> DataFrame:
     k = order_key(id_col, seed)
     h = F.conv(F.substring(k, 1, 8), 16, 10).cast("bigint")
-    j = df.join(F.broadcast(thresholds), list(strata), "left").withColumn("_hh", h)
+    j = df.join(thresholds, list(strata), "left").withColumn("_hh", h)
     top = _top("_hh")
     ts = F.col("_top_star")
     inside = (top < ts) | ((top == ts) & ((k < F.col("_k_star")) | ((k == F.col("_k_star")) & (F.col(id_col) <= F.col("_id_star")))))
@@ -171,57 +210,38 @@ def stratified_split(
     within: Sequence[str] | None = None,
     min_stratum: int = 2,
     checkpoint: bool = True,
-    small_stratum: int = SMALL_STRATUM,
 ) -> DataFrame:
     """Mark every row with ``_in_sample``: exact proportional quotas per stratum.
 
-    ``within`` (a prefix of ``strata``) applies ``n`` separately inside each of its groups (the
-    balanced per-class sample). Strata columns must not hold NULL (checked). Strata of at most
-    ``small_stratum`` rows are ranked directly (same rows either way; 0: always by histograms).
+    ``within`` (some of ``strata``) applies ``n`` separately inside each of its groups (the
+    balanced per-class sample). Strata columns must not hold NULL (checked).
     """
+    from evalspark.session import materialize
+
     strata = list(strata)
     # The threshold search scans its input several times; it only needs (strata, id, hash key, prefix
     # buckets), so that narrow projection is derived once (md5 computed once) and cut from its lineage
     # (reliable checkpoint in the shared folder).
     keyed = keyed_frame(df, strata, id_col, seed)
     if checkpoint:
-        from evalspark.session import materialize
-
         keyed = materialize(keyed)
-    sizes = stratum_sizes(keyed, strata)
-    if within:
-        within = list(within)
-        idx = [strata.index(c) for c in within]
-        quotas: dict[tuple, int] = {}
-        outer = sorted({tuple(k[i] for i in idx) for k in sizes}, key=_sort_key)
-        for o in outer:
-            sub = {k: v for k, v in sizes.items() if tuple(k[i] for i in idx) == o}
-            quotas.update(largest_remainder(sub, _n_for(n, sum(sub.values())), min_stratum))
-    else:
-        quotas = largest_remainder(sizes, _n_for(n, sum(sizes.values())), min_stratum)
-    if max(sizes.values(), default=0) <= small_stratum:
-        thresholds = _window_thresholds(keyed, strata, quotas, sizes)
-    else:
-        thresholds = sample_thresholds(keyed, strata, quotas, sizes)
-    # at most one row per stratum (stratum count checked above): bring it back once instead of
-    # re-deriving it inside the broadcast of the final pass
-    small = df.sparkSession.createDataFrame(thresholds.collect(), thresholds.schema)
-    return _membership(df, strata, id_col, seed, small)
+    sizes = materialize(keyed.groupBy(*strata).count())
+    wanted = materialize(quotas(sizes, strata, n, within or (), min_stratum))
+    thresholds = materialize(sample_thresholds(keyed, strata, wanted))  # at most one row per stratum
+    return _membership(df, strata, id_col, seed, thresholds)
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int | float, id_col: str = "example_id",
-                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2,
-                      small_stratum: int = SMALL_STRATUM) -> DataFrame:
+                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2) -> DataFrame:
     """SMP-2: exactly ``n`` rows (per ``within`` group), proportional to stratum sizes."""
-    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum, small_stratum=small_stratum)
+    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum)
     return s.filter("_in_sample").drop("_in_sample")
 
 
 def sample_complement(df: DataFrame, strata: Sequence[str], n: int | float, id_col: str = "example_id",
-                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2,
-                      small_stratum: int = SMALL_STRATUM) -> DataFrame:
+                      seed: int = 42, within: Sequence[str] | None = None, min_stratum: int = 2) -> DataFrame:
     """SMP-3: the rows the same sample leaves out."""
-    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum, small_stratum=small_stratum)
+    s = stratified_split(df, strata, n, id_col, seed, within, min_stratum)
     return s.filter(~F.col("_in_sample")).drop("_in_sample")
 
 

@@ -147,3 +147,33 @@ def test_search_runs_returns_every_key(spark):
     assert row["metrics.my_metric"] == 0.5 and row["params.top_k"] == 40.0 and row["params.note"] == "free text"
     assert row["tags.user.name"] == "x" and row["metrics.recall"] is None
     assert "params.note" not in runlog.search_runs(tables, param_keys=["top_k"]).columns
+
+
+def test_paired_comparison_of_a_thousand_runs_in_one_pass(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    runs, examples = 1000, 40
+    ok = rng.integers(0, 2, (runs, examples))
+    there = rng.random((runs, examples)) < 0.7
+    rows = [(f"r{i:04d}", e, int(ok[i, e])) for i in range(runs) for e in range(examples) if there[i, e]]
+    rows += [("r0001", 0, 0), ("other", 3, 1)]  # a second row of one run and example, and a run that is not asked for
+    ok[1, 0], there[1, 0] = ok[1, 0] if there[1, 0] else 0, True
+    df = spark.createDataFrame(rows, "run_id string, example_id long, ok int")
+    df = df.unionByName(spark.createDataFrame([("r0002", 1, None)], df.schema))
+    got = paired_comparison(df, [f"r{i:04d}" for i in range(runs)])
+    assert got.count() == runs * (runs - 1) // 2
+    both = there.astype(int) @ there.T.astype(int)
+    right = (ok * there) @ ((1 - ok) * there).T
+    for r in got.sample(0.01, seed=1).collect():
+        a, b = int(r.run_a[1:]), int(r.run_b[1:])
+        assert a < b and r.n == both[a, b]
+        assert abs(r.p_a_not_b - right[a, b] / r.n) < 1e-12 and abs(r.p_b_not_a - right[b, a] / r.n) < 1e-12
+
+
+def test_paired_comparison_of_chosen_pairs_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("b", 1, 0), ("c", 2, 1)], "run_id string, example_id long, ok int")
+    got = {(r.run_a, r.run_b): r for r in paired_comparison(df, ["a", "b", "c"], pairs=[("c", "a"), ("a", "b")]).collect()}
+    assert got["a", "b"].n == 1 and got["a", "b"].accuracy_diff == 1.0
+    assert got["a", "c"].n == 0 and got["a", "c"].accuracy_diff is None and len(got) == 2
+    assert [r.n for r in paired_comparison(df.limit(0), ["a", "b"]).collect()] == [0]

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,30 @@ def test_best_worst_and_boxplot(spark):
     assert (r.best_acc, r.best_run_id, r.worst_acc, r.worst_run_id) == (0.9, "r2", 0.1, "r4")
     b = stats.boxplot_table(df, "model", "acc").first()
     assert b.n == 4 and b.median == pytest.approx(0.7)
+
+
+def test_quotas_of_many_strata_equal_the_driver_side_form(spark):
+    rng = random.Random(4)
+    sizes = {(c, s): rng.choice([2, 3, 5, 7, 40, 10**15]) for c in range(3) for s in range(700)}
+    df = spark.createDataFrame([(*k, v) for k, v in sizes.items()], "c int, s int, count long")
+    for n in (5000, 10**16, 0.25):
+        total = sum(sizes.values())
+        want = sampling.largest_remainder(sizes, sampling._n_for(n, total))
+        got = {(r.c, r.s): r._quota for r in sampling.quotas(df, ["c", "s"], n).collect()}
+        if isinstance(n, int):
+            assert got == {k: v for k, v in want.items() if v}
+        else:  # a fraction of a total beyond 2**53 is rounded as a double
+            assert abs(sum(got.values()) - total * n) <= 2
+    per = {(r.c, r.s): r._quota for r in sampling.quotas(df, ["c", "s"], 3000, within=["c"]).collect()}
+    for c in range(3):
+        want = sampling.largest_remainder({k: v for k, v in sizes.items() if k[0] == c}, 3000)
+        assert {k: v for k, v in per.items() if k[0] == c} == {k: v for k, v in want.items() if v}
+
+
+def test_quota_errors(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 9)], "s string, count long")
+    for bad, kw in ((df, {"n": 3}), (df, {"n": 11, "min_stratum": 1}), (df.filter("s = 'b'").unionByName(df.filter("s = 'b'").withColumn("s", F.lit("c"))), {"n": 1})):
+        with pytest.raises(ValueError):
+            sampling.quotas(bad, ["s"], **kw)
+    with pytest.raises(ValueError):
+        sampling.quotas(spark.createDataFrame([(None, 5)], "s string, count long"), ["s"], 2)
