@@ -123,7 +123,7 @@ def _predict_batches(
 def score(
     df: DataFrame,
     predictor_factory: Callable[[], Predictor],
-    template: str = DEFAULT_TEMPLATE,
+    template: str | Callable[[DataFrame], Column] = DEFAULT_TEMPLATE,
     fields: Mapping[str, str | Column] | None = None,
     keys: Sequence[str] = ("example_id",),
     keep: Sequence[str] = (),
@@ -138,6 +138,9 @@ def score(
     ``system_prompt``, where given, reaches the predictor as ``params["system_prompt"]``. Fields that the
     template does not use raise. A NULL prompt is not sent: its response is NULL (a wrong format).
 
+    ``template`` may also be a prompt builder (UDF-3): a function from the frame to the prompt's Column; ``fields`` do not
+    apply then. A predictor that returns no ``elapsed_time`` gets its call's time shared evenly among the call's rows.
+
     ``params`` go to every call; ``param_cols`` (kept columns, e.g. a grid's temperature / top_k) are
     passed per row: each Arrow batch is split by their values and the predictor receives them.
 
@@ -147,11 +150,16 @@ def score(
     The result may be non-deterministic: persist it (``session.materialize``) before evaluating twice.
     """
     fields = dict(fields or {})
-    if fields:
-        validate_prompt_fields(template, list(fields))
+    if callable(template):
+        if fields:
+            raise ValueError("fields belong to a template, not to a prompt builder")
+        prompt = template(df)
+    else:
+        if fields:
+            validate_prompt_fields(template, list(fields))
+        prompt = render_prompt(template, fields)
     if system_prompt is not None:
         params = {**(params or {}), "system_prompt": system_prompt}
-    prompt = render_prompt(template, fields)
     passthrough = list(keys) + list(keep)
     inp = df.select(*passthrough, prompt.alias("_prompt"))
     if partitions:
@@ -174,6 +182,39 @@ def score(
     return with_parsed(scored, parser)
 
 
+def score_resumable(df: DataFrame, predictor_factory: Callable[[], Predictor], path: str, keys: Sequence[str] = ("example_id",),
+                    chunks: int = 16, **kw) -> DataFrame:
+    """INF-2: as ``score``, output by output: rows are dealt to ``chunks`` by a hash of their keys, and the predictions of each
+    chunk are written under ``path`` before the next chunk is asked. A write is there as a whole or not at all, so a job
+    that was stopped and starts again asks only for rows without a written prediction. Returns what ``path`` holds of ``df``.
+
+    Every chunk starts with an anti-join of its keys against the ones already there. Keys must be unique and not null, and
+    ``chunks`` may differ between attempts; other settings (template, model) must be the same ones.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    chunk = F.pmod(F.xxhash64(*keys), F.lit(chunks))
+    for k in range(chunks):
+        rows, there = df.filter(chunk == k), _written(spark, path)
+        if there is not None:
+            rows = rows.join(there.select(*keys).filter(chunk == k), keys, "left_anti")
+        if rows.select(*keys).isEmpty():
+            continue
+        score(rows, predictor_factory, keys=keys, **kw).write.mode("append").parquet(path)
+    there = _written(spark, path)
+    if there is None:
+        return score(df.limit(0), predictor_factory, keys=keys, **kw)
+    return there.join(df.select(*keys), keys, "left_semi")
+
+
+def _written(spark, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        return None
+
+
 def prompt_tokens(df: DataFrame, template: str = DEFAULT_TEMPLATE, fields: Mapping[str, str | Column] | None = None,
                   out: str = "input_token_count") -> DataFrame:
     """Word count of the rendered prompt, once per example (the prompt does not depend on run params)."""

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.python_metrics import PythonMetric, evaluate_python
 
 @dataclass(frozen=True)
 class MetricInputs:
@@ -151,7 +152,7 @@ def metric_columns(metrics: Iterable[Metric | str] | None = None, inputs: Metric
 
 def evaluate(
     joined: DataFrame,
-    metrics: Iterable[Metric | str] | None = None,
+    metrics: Iterable[Metric | PythonMetric | str] | None = None,
     by: Sequence[str] = (),
     inputs: MetricInputs | None = None,
     with_count: bool = True,
@@ -159,10 +160,14 @@ def evaluate(
     """All metrics in one aggregate; one row per ``by`` group (one row overall when ``by`` is empty).
 
     ``n`` (rows evaluated) is kept so runs over different sample sizes are never compared silently.
+    Metrics may also be ``PythonMetric`` (mergeable aggregates written in Python over any columns of ``joined``).
     With ``MetricInputs(median_mode="distributed")`` the medians come from ``distributed_median``
     (bounded memory per task, a few extra passes) and are joined to the one-pass aggregate on ``by``.
     """
     inputs = inputs or MetricInputs()
+    written = [m for m in metrics or () if isinstance(m, PythonMetric)]
+    if written:
+        return _with_python(joined, metrics, written, list(by), inputs, with_count)
     chosen = resolve(metrics)
     names = [m.name for m in chosen]
     separate = [m for m in chosen if m.median_of is not None and _distributed(joined, m, inputs)]
@@ -202,6 +207,29 @@ def evaluate(
     return out
 
 
+def _with_python(joined: DataFrame, metrics: Sequence, written: Sequence[PythonMetric], by: list[str], inputs: MetricInputs,
+                 with_count: bool) -> DataFrame:
+    """The column metrics and the Python ones, put side by side per group."""
+    names = [m if isinstance(m, str) else m.name for m in metrics]
+    if dup := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"duplicate metric names: {dup}")
+    others = [m for m in metrics if not isinstance(m, PythonMetric)]
+    right = evaluate_python(joined, written, by)
+    count = ["n"] if with_count else []
+    if not others and not with_count:
+        return right.select(*by, *names)
+    left = evaluate(joined, others, by, inputs, with_count) if others else joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    if not by:  # one row each: values go over as literals
+        row = right.first()
+        return left.withColumns({m.name: F.lit(row[m.name]).cast("double") for m in written}).select(*names, *count)
+    keys = [F.col(c).alias(f"_r_{c}") for c in by]
+    right = right.select(*keys, *[m.name for m in written])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(right, same, "left").select(*by, *names, *count)
+
+
 def _one_pass_column(m: Metric, inputs: MetricInputs) -> Column:
     if m.median_of is None:
         return m.build(inputs)

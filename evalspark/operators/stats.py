@@ -234,11 +234,7 @@ def boxplot_table(df: DataFrame, by: str, value: str, whisker: float = 1.5, mode
     x = nan_to_null(value)
     n = df.groupBy(by).agg(F.count(x).alias("n"))
     q = n.join(_quartiles(df, value, [by], ["q1", "median", "q3"], mode), by, "left")
-    fences = q.select(
-        by,
-        (F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))).alias("_lo"),
-        (F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))).alias("_hi"),
-    )
+    fences = _fences(q, by, whisker)
     j = df.select(by, x.alias("_x")).join(fences, by)
     inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     w = j.groupBy(by).agg(
@@ -247,3 +243,17 @@ def boxplot_table(df: DataFrame, by: str, value: str, whisker: float = 1.5, mode
         F.count_if(~inside).alias("n_fliers"),
     )
     return q.select(by, "n", "q1", "median", "q3").join(w, by)
+
+
+def _fences(quartiles: DataFrame, by: str, whisker: float) -> DataFrame:
+    reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    return quartiles.select(by, (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi"))
+
+
+def boxplot_fliers(df: DataFrame, by: str, value: str, keys: Sequence[str] = (), whisker: float = 1.5, mode: str = "auto") -> DataFrame:
+    """AGG-19, the points beyond the whiskers: ``by, *keys, value`` of every row whose value is outside Q +- ``whisker`` IQR of its
+    group. Rows stream past the fence table (one row per group); no list is made, so a group may have any number of fliers.
+    Null and NaN values are no fliers."""
+    fences = _fences(_quartiles(df, value, [by], ["q1", "median", "q3"], mode), by, whisker)
+    rows = df.select(by, *keys, nan_to_null(value).alias(value)).join(fences.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    return rows.filter((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).select(by, *keys, value)

@@ -11,6 +11,7 @@ from evalspark.functions.parse import DEFAULT_MAPPING
 from evalspark.functions.stub import STUB_RESPONSES
 from evalspark.functions.text import WORD_PATTERN, _parse_template
 from evalspark.operators.infer import DEFAULT_TEMPLATE
+from evalspark.operators.metrics import METRIC_NAMES
 from evalspark.plans.queries import COT_MARKER, FEW_SHOT_BASE
 
 ORACLE: dict[str, str] = {}
@@ -630,3 +631,63 @@ ORACLE["topic_cluster_labels"] = (
 # The same results by the paths for groups of any size
 for _name in ("stratified_sample", "eval_metrics", "best_worst"):
     ORACLE[f"{_name}_split"] = ORACLE[_name]
+
+
+# ------------------------------------------------------------------ sources, sinks and jobs
+
+_ORDER_KEY = "md5('42:' || CAST(example_id AS VARCHAR))"
+_KEYWORD_PREDS = f"kp AS ({_score_python_sql()})"
+ORACLE["sample_file"] = (
+    f"WITH {CORPUS_CTE} SELECT row_number() OVER (ORDER BY {_ORDER_KEY}, example_id) - 1 AS example_id, md5(review) AS review_md5, "
+    "true_label AS label FROM corpus"
+)
+ORACLE["prompt_file"] = (
+    f"SELECT doc_id AS example_id, md5({render_sql(DEFAULT_TEMPLATE, {'review': 'text'})} || chr(10)) AS prompt_md5 FROM documents"
+)
+ORACLE["first_reviews"] = (
+    f"WITH {CORPUS_CTE} SELECT example_id, true_label AS label, CAST(length(review) AS INTEGER) AS n_chars FROM corpus ORDER BY example_id LIMIT 10"
+)
+ORACLE["shuffled_positions"] = (
+    f"WITH t AS (SELECT doc_id AS example_id FROM labels) SELECT example_id, row_number() OVER (ORDER BY {_ORDER_KEY}, example_id) - 1 AS position FROM t"
+)
+_NAMED = "CASE {0} WHEN 1 THEN 'negative' WHEN 0 THEN 'positive' END"
+ORACLE["attached_truth"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()} SELECT example_id, label, true_label, {_NAMED.format('label')} AS label_name, "
+    f"{_NAMED.format('true_label')} AS true_name FROM preds"
+)
+ORACLE["batch_predictions"] = f"WITH {_KEYWORD_PREDS} SELECT * EXCLUDE (true_label) FROM kp"
+ORACLE["resumed_scores"] = ORACLE["json_stream_scores"] = ORACLE["score_python"]
+METRIC_LIST = "[" + ", ".join(map(q, METRIC_NAMES)) + "]"
+_EVALUATED = f"ev AS (SELECT {metrics_sql()} FROM (SELECT *, CAST(0 AS DOUBLE) AS elapsed_time FROM kp))"
+_TIMED = "median_processing_time, median_tokens_per_second"
+ORACLE["batch_evaluation"] = f"WITH {_KEYWORD_PREDS}, {_EVALUATED} SELECT * EXCLUDE ({_TIMED}) FROM ev"
+ORACLE["experiment_log"] = (
+    f"WITH {_KEYWORD_PREDS}, {_EVALUATED} SELECT 'cues' AS model, '40' AS top_k, 'keywords' AS name, * EXCLUDE ({_TIMED}, n) FROM ev"
+)
+ORACLE["run_log_retry"] = (
+    "WITH s AS (SELECT DISTINCT source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS n FROM documents JOIN labels USING (doc_id)), "
+    f"m AS (SELECT 'metrics' AS kind, unnest({METRIC_LIST}) AS key), "
+    "p AS (SELECT 'params' AS kind, unnest(['model_name', 'temperature', 'top_k', 'top_p']) AS key), "
+    "t AS (SELECT 'tags' AS kind, unnest(['mlflow.runName', 'justification']) AS key), "
+    # one run without metrics, one orphan, and one older accuracy
+    "c AS (SELECT count(*) AS runs, count(*) FILTER (WHERE n <> 12) + count(*) FILTER (WHERE n = 0) AS with_metrics, "
+    "count(*) FILTER (WHERE n = 10) AS stale FROM s) "
+    "SELECT kind, key, with_metrics + CASE WHEN key = 'accuracy_score' THEN stale ELSE 0 END AS facts, with_metrics AS runs FROM m, c "
+    "UNION ALL SELECT kind, key, runs, runs FROM (SELECT * FROM p UNION ALL SELECT * FROM t), c"
+)
+ORACLE["python_metrics"] = (
+    f"WITH {CORPUS_CTE}, {preds_cte()}, x AS (SELECT *, input_token_count + output_token_count > 100 AS long FROM preds) "
+    f"SELECT source, {ratio('count(*) FILTER (WHERE label = true_label)', 'count(*)')} AS accuracy_score, "
+    f"{ratio('count(*) FILTER (WHERE long AND label <> true_label)', 'count(*) FILTER (WHERE long)')} AS long_error_rate, "
+    "max(elapsed_time) AS slowest, count(*) AS n FROM x GROUP BY source"
+)
+ORACLE["built_prompts"] = (
+    "WITH p AS (SELECT d.doc_id AS example_id, '[' || upper(lang) || '] ' || text AS prompt FROM documents d JOIN labels l USING (doc_id)) "
+    "SELECT example_id, CASE WHEN " + " OR ".join(f"contains(lower(prompt), {q(c)})" for c in ("bad", "worst", "terrible", "boring", "awful"))
+    + f" THEN 'negative' ELSE 'positive' END AS output_string, {word_count_sql('prompt')} AS input_token_count FROM p"
+)
+ORACLE["boxplot_fliers"] = (
+    "WITH qq AS (SELECT lang, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents GROUP BY lang) "
+    "SELECT d.lang, d.doc_id AS example_id, CAST(d.n_chars AS DOUBLE) AS n_chars FROM documents d JOIN qq ON d.lang IS NOT DISTINCT FROM qq.lang "
+    "WHERE d.n_chars < q1 - 1.5 * (q3 - q1) OR d.n_chars > q3 + 1.5 * (q3 - q1)"
+)

@@ -737,15 +737,17 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-1: the stub scoring plan run as a Structured Streaming query (availableNow) over the
     documents file; returns the sink's contents."""
     import os
-    import uuid
 
-    from evalspark.session import ensure_checkpoint_dir
+    from evalspark.session import new_scratch
     from evalspark.streaming.score_stream import score_table_stream
 
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", uuid.uuid4().hex)
+    base = new_scratch(spark)
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     q = score_table_stream(spark, sf_dir, out, ckpt)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream failed: {q.exception()}")
     return spark.read.parquet(out)
+
+
+from evalspark.plans import roundtrips  # noqa: E402, F401  (registers the queries that write and read back)

@@ -73,6 +73,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "evalspark-tables", name)
 
 
+def new_scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared folder for files of a job; ``drop_scratch`` knows it."""
+    path = scratch_path(spark, uuid.uuid4().hex)
+    _CREATED.append(path)
+    return path
+
+
 def materialize(df, spark: SparkSession | None = None, fmt: str = "parquet"):
     """Cut lineage in the shared folder (survives executor loss; never executor-local).
 
@@ -85,9 +92,8 @@ def materialize(df, spark: SparkSession | None = None, fmt: str = "parquet"):
     ensure_checkpoint_dir(spark)
     if fmt == "checkpoint":
         return df.checkpoint(eager=True)
-    path = scratch_path(spark, uuid.uuid4().hex)
+    path = new_scratch(spark)
     df.write.mode("errorifexists").parquet(path)
-    _CREATED.append(path)
     return spark.read.parquet(path)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from evalspark.operators.metrics import METRIC_NAMES
 
 KINDS = ("runs", "metrics", "params", "tags", "artifacts", "experiments")
+COMMIT = "commit_id string, attempt string"
 # The keys every run logs (params, tags) and the numeric params.
 PARAM_KEYS = ["model_name", "temperature", "top_k", "top_p"]
 TAG_KEYS = ["justification", "mlflow.runName"]
@@ -36,29 +38,62 @@ def c(name: str) -> Column:
 
 
 def log_runs(root: str, runs: DataFrame, metrics: DataFrame, params: DataFrame, tags: DataFrame,
-             artifacts: DataFrame | None = None, experiments: DataFrame | None = None) -> None:
-    """Append runs to the parquet run log. Facts first, ``runs`` last: a run whose write fails midway
-    has no ``runs`` row and stays invisible to ``search_runs`` (which inner-joins on it)."""
+             artifacts: DataFrame | None = None, experiments: DataFrame | None = None, commit_id: str | None = None) -> bool:
+    """SNK-4: append runs to the parquet run log, all tables or none.
+
+    Every write is an attempt with an id of its own, which its rows carry. Readers take the rows of attempts that have a
+    commit record, and that is one small file, written last: what an attempt that was killed has left behind stays
+    unseen, also after a retry. ``commit_id`` names the write: if it is committed already, nothing is written (False), so a
+    caller that does not know whether it succeeded may call again.
+    """
+    spark = runs.sparkSession
+    if commit_id is not None and not _commits(spark, root).filter(F.col("commit_id") == commit_id).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
     for name, df in (("experiments", experiments), ("tags", tags), ("artifacts", artifacts), ("params", params),
-                     ("metrics", metrics)):
+                     ("metrics", metrics), ("runs", runs)):
         if df is not None:
-            df.write.mode("append").partitionBy("experiment_id").parquet(os.path.join(root, name))
-    runs.write.mode("append").partitionBy("experiment_id").parquet(os.path.join(root, "runs"))
+            marked = df.withColumn("attempt", F.lit(attempt))
+            marked.write.mode("append").partitionBy("experiment_id").parquet(os.path.join(root, name))
+    record = spark.createDataFrame([(commit_id or attempt, attempt)], COMMIT)
+    record.coalesce(1).write.mode("append").parquet(os.path.join(root, "commits"))
+    return True
 
 
-def read_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The parquet run log; a kind never written (e.g. no artifacts yet) is simply absent."""
+def _parquet(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A table of the run log; None if it was never written."""
     from pyspark.errors import AnalysisException
 
+    path = os.path.join(root, name)
+    if "://" not in root and not os.path.exists(path):
+        return None
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException:  # path does not exist on a remote file system, or holds no file yet
+        return None
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """``commit_id, attempt``: the first attempt of each commit, should two writers have raced."""
+    found = _parquet(spark, root, "commits")
+    if found is None:
+        return spark.createDataFrame([], COMMIT)
+    return found.groupBy("commit_id").agg(F.min("attempt").alias("attempt"))
+
+
+def read_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The committed rows of the parquet run log; a kind never written (e.g. no artifacts yet) is simply absent. Rows without
+    an attempt (of tables written by other means) are taken as they are."""
+    done = _commits(spark, root).select(F.col("attempt").alias("_done"))
     out = {}
     for name in KINDS:
-        path = os.path.join(root, name)
-        if "://" not in root and not os.path.exists(path):
-            continue
-        try:
-            out[name] = spark.read.parquet(path)
-        except AnalysisException:  # path does not exist on a remote file system
+        df = _parquet(spark, root, name)
+        if df is None:
             continue
+        if "attempt" in df.columns:
+            df = df.join(done, F.col("attempt") == F.col("_done"), "left").filter(F.col("attempt").isNull() | F.col("_done").isNotNull())
+            df = df.drop("attempt", "_done")
+        out[name] = df
     return out
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +32,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA, id_col: str = "example_id"):
     """SRC-1: JSON-lines corpus with a fixed schema; a malformed line fails the job (FAILFAST).
 
-    A corpus without ids gets ``monotonically_increasing_id()``: stable for the same files and
-    split size, not across re-layouts. Supply an id column when results must be repeatable anywhere;
-    every later step keys on it. Ids on some rows only raise: made-up ones could equal given ones.
+    A corpus without ids gets row positions (see ``numbered_lines``): they depend on the files and their lines only, not on
+    split sizes or partitions. Ids on some rows only raise: made-up ones could equal given ones.
     """
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    if id_col in df.columns:
+    if id_col in schema.names:
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
         n = df.agg(F.count(id_col).alias("with_id"), F.count(F.lit(1)).alias("rows")).first()
         if n["with_id"] == n["rows"]:
             return df
         if n["with_id"]:
             raise ValueError(f"{n['rows'] - n['with_id']} of {n['rows']} rows have no {id_col!r}")
-    return df.withColumn(id_col, F.monotonically_increasing_id())
+    rest = T.StructType([f for f in schema.fields if f.name != id_col])
+    lines = numbered_lines(spark, path, id_col).withColumn("_row", F.from_json("value", rest, {"mode": "FAILFAST"}))
+    first = [id_col] if id_col in schema.names else []
+    return lines.select(*first, "_row.*", *([] if first else [id_col]))
+
+
+def numbered_lines(spark: SparkSession, path: str, out: str = "line_id") -> DataFrame:
+    """``value`` and ``out``: the lines of text files that are not blank, numbered from 0 in the order of (path, line).
+
+    Each split numbers its own lines; a split's first number is the count of lines before it, which comes from a table with a
+    row per split: sums over a file's splits, and over the files. Splits may be of any size.
+    """
+    from evalspark.session import materialize
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+
+    def count(batches):
+        at, n = None, 0
+        for batch in batches:
+            numbers = []
+            for key in zip(batch.column("_file").to_pylist(), batch.column("_start").to_pylist()):
+                at, n = (at, n + 1) if key == at else (key, 0)
+                numbers.append(n)
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(numbers, pa.int64())], names=[*names, "_n"])
+
+    # a task reads its splits one after another, each from its start
+    rows = lines.filter(F.trim(F.translate("value", "\t\r", "  ")) != "").mapInArrow(count, "value string, _file string, _start bigint, _n bigint")
+    rows = materialize(rows)
+    splits = rows.groupBy("_file", "_start").agg((F.max("_n") + 1).alias("_c"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("_file").agg(F.sum("_c").alias("_c"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # over one row per file
+    files = files.select("_file", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_files"))
+    splits = splits.select("_file", "_start", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_splits")).join(files, "_file")
+    return rows.join(splits, ["_file", "_start"]).select((F.col("_files") + F.col("_splits") + F.col("_n")).alias(out), "value")
 
 
 def read_prompt(spark: SparkSession, path: str) -> str:
