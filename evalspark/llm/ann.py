@@ -4,8 +4,8 @@ Equal vectors are one node with their ``top + 1`` smallest different ids (each a
 copies costs one place in the index and ties among copies are exact. Nodes are dealt to shards of about ``SHARD`` by a hash. In a shard a directed graph is built from
 random edges: for each node, in batches, a greedy beam search over the graph so far proposes neighbours, and
 robust pruning goes through them from near to far, keeps one and drops those that are nearer to it, by the factor ``ALPHA``, than
-to the node; edges back are added and pruned alike. A query is searched with a beam in every shard, and the shards' best
-are scored on the original vectors in double precision and merged.
+to the node; edges back are added and pruned alike. A query is searched with a beam in every shard; all of the beam is scored on the original vectors in double
+precision, and the shards' best are merged.
 
 All nodes of a shard search in step, so that the work is numpy's. A shard's graph is one row; queries come to it in
 blocks. Vectors that are null, zero, empty or hold a null or non-finite component take no part, neither as query nor
@@ -37,10 +37,11 @@ def usable(vector: str) -> Column:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1, single precision; each row is scaled first so that nothing overflows."""
+    """Rows of length 1; each row is scaled first so that nothing overflows. In double precision: 1 - cosine of near copies
+    is far below what single precision can tell from 0."""
     x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +51,11 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: in
     seen[:, n] = True  # stands for "no neighbour"
     rows = np.arange(b)[:, None]
     ids = np.full((b, beam), n)
-    far = np.full((b, beam), np.inf, np.float32)
+    far = np.full((b, beam), np.inf)
     done = np.ones((b, beam), bool)
     ids[:, 0], far[:, 0], done[:, 0] = entry, 1 - queries @ x[entry], False
     seen[:, entry] = True
-    padded = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
+    padded = np.vstack([x, np.zeros((1, x.shape[1]))])
     links = np.where(graph < 0, n, graph)
     links = np.vstack([links, np.full((1, links.shape[1]), n)])
     live = np.arange(b)
@@ -219,7 +220,8 @@ def index(vectors: DataFrame, shard: int = SHARD, top: int = TOP) -> tuple[DataF
         shard_of = F.when(F.col("dim") == dim, (F.pmod(F.xxhash64("node", "key"), F.lit(many)) + start).cast("int")).otherwise(shard_of)
         start += many
     nodes = nodes.withColumn("shard", shard_of)
-    return nodes, cut(nodes.groupBy("shard").applyInPandas(_build_shard, GRAPH))
+    spread = nodes.repartition(max(1, start), "shard")  # by number, so that small shards are not put together in one task
+    return nodes, cut(spread.groupBy("shard").applyInPandas(_build_shard, GRAPH))
 
 
 def _search_block(beam: int, best: int):
@@ -230,12 +232,14 @@ def _search_block(beam: int, best: int):
             raw = np.frombuffer(g["vectors"], g["kind"]).reshape(-1, g["dim"])
             graph = np.frombuffer(g["graph"], "<i4").reshape(len(raw), -1).astype(np.int64)
             x, ids = unit(raw), g["ids"]
+            first = np.array([i[0] for i in ids])
             for k in range(0, len(queries), 256):
                 some = queries.iloc[k : k + 256]
                 q = _matrix(some["v"])
                 found, _ = beam_search(x, graph, unit(q), int(g["entry"]), beam)
-                found = found[:, :best]
-                scores = cosine(q[:, None, :], raw[found])
+                scores = np.where(found >= 0, cosine(q[:, None, :], raw[found]), -np.inf)  # the whole beam, then the best of it
+                order = np.lexsort((first[found], -scores))[:, :best]
+                found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
                 for key, node, nodes, values in zip(some["key"], some["node"], found, scores):
                     for f, s in zip(nodes, values):
                         if f >= 0:
