@@ -7,7 +7,12 @@ their number and an indent, ``pre`` keeps its line ends, and table cells stand i
 
 Invisible: the head, scripts, styles, templates and the like, elements with ``hidden``, ``display:none`` or
 ``visibility:hidden``, closed dialogs, comments. Null or empty pages give an empty text. Markup left
-open at the end of the page is dropped, as browsers do. Neither function recurses, so depth is no limit.
+open at the end of the page is dropped, as browsers do. Text in ``svg`` and ``math`` is visible, but for descriptions,
+definitions and annotations. After a closed head, ``noscript`` is hidden like the other fallbacks.
+
+Neither function recurses, and time grows with the page's length, not with its depth: open elements are found by an index of
+the stack, lines are indented by at most ``WIDEST`` columns, and tables nested more than ``TABLES`` deep are laid out as
+plain blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-HIDDEN = frozenset("head script style template title noscript noframes noembed iframe datalist audio video canvas object svg math colgroup".split())
+HIDDEN = frozenset("head script style template title noscript noframes noembed iframe datalist audio video canvas object colgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = HEADINGS | frozenset("p ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header html legend li main nav option search section summary tr caption menu".split())
@@ -46,6 +51,11 @@ ENDS = {
 IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 SCOPE = frozenset("table td th caption button object template".split())
 
+#: Hidden inside ``svg`` and ``math``.
+UNDRAWN = {"svg": frozenset("desc defs metadata symbol clippath mask".split()), "math": frozenset("annotation annotation-xml".split())}
+
+WIDEST = 120  # columns of indentation
+TABLES = 24  # nested tables with aligned cells
 PAD = 40  # the widest cell that others of its column are padded to
 SPAN = 1000  # HTML's own limit of colspan
 
@@ -101,16 +111,26 @@ def parse(html: str) -> Node:
     """The tree of a page; implied tags are put in, attributes are unescaped, texts are plain strings."""
     root = Node("#root", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((at[-1] for t in tags if (at := places.get(t))), default=0)
 
     def close(names, scope) -> bool:
         """Ends the nearest open element of ``names`` that stands inside ``scope``."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return True
-            if stack[k].tag in scope:
-                return False
-        return False
+        found = last(names)
+        if not found or found < last(scope - names):
+            return False
+        cut(found)
+        return True
 
     def put(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
@@ -122,7 +142,7 @@ def parse(html: str) -> Node:
         nonlocal head
         if stack[head + 1 : head + 2] and stack[head + 1].tag == "template":
             return
-        del stack[head:]
+        cut(head)
         head = 0
 
     head = 0  # where an open head stands in the stack
@@ -133,6 +153,8 @@ def parse(html: str) -> Node:
             name = unescape(name) if "&" in name else name
             if head and name.strip(" \t\n\f\r"):
                 end_head()
+            if stack[-1].tag == "pre" and not stack[-1].children:  # the line end after the tag is no text
+                name = name.removeprefix("\r").removeprefix("\n")
             stack[-1].children.append(name)
         elif kind == "open":
             if name in ("html", "body") and len(stack) > 1 and any(x.tag == name for x in stack[:3]):
@@ -144,11 +166,14 @@ def parse(html: str) -> Node:
             if name in ENDS:
                 close(*ENDS[name])
             if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                stack.append(put("tr", {}))
+                push(put("tr", {}))
             attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(rest)} if rest else {}
+            for around, names in UNDRAWN.items():
+                if name in names and places.get(around):
+                    attrs["hidden"] = ""
             node = put(name, attrs)
             if name not in VOID and not rest.endswith("/") or name in BLOCKS:
-                stack.append(node) if name not in VOID else None
+                push(node) if name not in VOID else None
                 if name == "head" and not head:
                     head = len(stack) - 1
         elif name == "br":
@@ -167,7 +192,8 @@ class Lines:
         self.lines: list[str] = []
         self.parts: list[str] = []  # of the line that is open
         self.space, self.blank = False, 0
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.width = 0  # sum of the indents
         self.mark = ""
 
     def text(self, s: str) -> None:
@@ -189,13 +215,21 @@ class Lines:
             if self.blank and self.lines:
                 self.lines.extend([""] * self.blank)
             self.blank = 0
-            margin = "".join(self.indent)
+            margin = " " * min(self.width, WIDEST)
             if self.mark:
                 margin = margin[: len(margin) - len(self.mark)] + self.mark
                 self.mark = ""
             self.lines.append((margin + line).rstrip())
         self.parts, self.space = [], False
 
+    def enter(self, indent: int) -> None:
+        self.indent.append(indent)
+        self.width += indent
+
+    def leave(self) -> None:
+        if self.indent:
+            self.width -= self.indent.pop()
+
     def block(self, margin: int) -> None:
         self.flush()
         if not self.mark:
@@ -256,7 +290,7 @@ def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
 def render(root: Node) -> str:
     """All visible text of a tree, laid out."""
     out, outer = Lines(), []  # outer: what a cell's lines interrupt
-    tables: list[list[list[tuple[str, int, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]] | None] = []  # None: laid out as blocks
     lists: list[list] = []
     pre = 0
     todo: list = [(root, False)]
@@ -273,7 +307,9 @@ def render(root: Node) -> str:
                 out.text(node)
             continue
         tag = node.tag
-        cell = tag in ("td", "th") and bool(tables)
+        cell = tag in ("td", "th") and bool(tables) and tables[-1] is not None
+        if tag in ("td", "th") and tables and tables[-1] is None:
+            out.flush()
         if not leaving:
             if not visible(node):
                 continue
@@ -293,15 +329,17 @@ def render(root: Node) -> str:
                 kind = lists[-1] if lists else ["ul", 1]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
-                out.indent.append(" " * len(mark))
+                out.enter(len(mark))
                 out.mark = mark
             elif tag in ("blockquote", "dd"):
-                out.indent.append("  ")
+                out.enter(2)
+            elif tag == "table" and len(tables) >= TABLES:
+                tables.append(None)
             elif tag == "table":
                 outer.append((out, lists, pre))
                 tables.append([])
                 out, lists, pre = Lines(), [], 0
-            elif tag == "tr" and tables:
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1].append([])
             elif cell:
                 outer.append((out, lists, pre))
@@ -315,6 +353,8 @@ def render(root: Node) -> str:
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append((text, _span(node, "colspan"), _span(node, "rowspan")))
+        elif tag == "table" and tables[-1] is None:
+            tables.pop()
         elif tag == "table":
             loose = out.result()  # captions and what stands outside the cells
             out, lists, pre = outer.pop()
@@ -328,10 +368,10 @@ def render(root: Node) -> str:
         if tag in BLOCKS:
             out.block(1 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 0)
         if tag == "li" and out.indent:
-            out.indent.pop()
+            out.leave()
             out.mark = ""
-        elif tag in ("blockquote", "dd") and out.indent:
-            out.indent.pop()
+        elif tag in ("blockquote", "dd"):
+            out.leave()
     return out.result()
 
 
