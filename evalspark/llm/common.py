@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.session import new_scratch
 
 #: Fixed pattern: words are runs of anything but ASCII space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back: the steps that follow
     start from files that every executor can read."""
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "llm", uuid.uuid4().hex)
+    path = new_scratch(spark)  # ``session.drop_scratch`` deletes it once results are consumed
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
