@@ -169,16 +169,16 @@ def _json_fields_udf(fields: tuple[str, ...]):
     return extract
 
 
-def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = True, engine: str = "python") -> Column:
+def parse_json_label(raw: str | Column, fields: Iterable[str], strict: bool = True, engine: str = "jvm") -> Column:
     """Strict JSON object between the first '{' and the last '}'; each requested field as a string
     (non-string values in compact JSON form); any failure or an absent field gives NULL.
 
-    ``engine="python"`` (default) parses with Python's ``json`` in an Arrow-batched pandas UDF: exactly
-    the reference's semantics. ``engine="jvm"`` stays in the JVM: the slice is parsed as the one
+    ``engine="jvm"`` (default) stays in the JVM: the slice is parsed as the one
     element of a JSON array (``[slice]``), so trailing text after the object (``{..} and {..}``,
     ``{..}}``, ``{..},{..}``, ``{..}, null, {..}``) is rejected as strict JSON requires. It differs from
-    Python on duplicate keys and NaN literals (both NULL here), and in how it writes integers of more than
-    38 digits, large floats, and non-ASCII text inside arrays. ``strict=False`` uses Spark's lenient
+    Python's ``json`` on duplicate keys and NaN literals (both NULL here), and in how it writes integers of more than
+    38 digits, large floats, and non-ASCII text inside arrays. ``engine="python"`` parses with that module in an
+    Arrow-batched pandas UDF, for those who need its answers in these cases. ``strict=False`` uses Spark's lenient
     ``try_parse_json`` on the bare slice (it ignores trailing text).
     """
     fields = tuple(fields)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.parse import parse_label
 from evalspark.functions.stub import stub_outputs
-from evalspark.functions.text import render_prompt, validate_prompt_fields
+from evalspark.functions.text import render_prompt, validate_prompt_fields, word_count
 
 # Fixed value: default user prompt of this package (one slot, ``review``).
 DEFAULT_TEMPLATE = (
@@ -72,11 +72,12 @@ def score_stub(
 
     ``input_tokens`` replaces the prompt word count with a column computed upstream."""
     fields = dict(fields or {})
-    prompt = None
     if input_tokens is None:
         validate_prompt_fields(template, [f for f in fields] or [c for c in df.columns if c in ("review",)])
-        prompt = render_prompt(template, fields)
-    out = df.select(key, *keep, *stub_outputs(prompt, key, F.col("n_chars"), shift, input_tokens))
+        input_tokens = word_count(render_prompt(template, fields))
+    shift = F.lit(shift) if isinstance(shift, int) else shift
+    out = df.select(key, *keep, F.col("n_chars").alias("_n_chars"), input_tokens.alias("_tokens"), shift.alias("_shift"))
+    out = out.select(key, *keep, *stub_outputs(key, F.col("_tokens"), F.col("_n_chars"), F.col("_shift")))
     return with_parsed(out, parser)
 
 
@@ -218,8 +219,6 @@ def _written(spark, path: str) -> DataFrame | None:
 def prompt_tokens(df: DataFrame, template: str = DEFAULT_TEMPLATE, fields: Mapping[str, str | Column] | None = None,
                   out: str = "input_token_count") -> DataFrame:
     """Word count of the rendered prompt, once per example (the prompt does not depend on run params)."""
-    from evalspark.functions.text import word_count
-
     fields = dict(fields or {})
     validate_prompt_fields(template, list(fields) or ["review"])
     return df.withColumn(out, word_count(render_prompt(template, fields)))

@@ -40,9 +40,9 @@ def render_sql(template: str, fields: dict[str, str]) -> str:
     return "(" + " || ".join(pieces) + ")"
 
 
-def stub_response_sql(key: str, shift: str = "0") -> str:
+def stub_response_sql(key: str, words: str, shift: str = "0") -> str:
     arr = "[" + ", ".join(q(r) for r in STUB_RESPONSES) + "]"
-    return f"({arr})[CAST(({key} + {shift}) % {len(STUB_RESPONSES)} + 1 AS INTEGER)]"
+    return f"({arr})[CAST(({key} + coalesce({words}, 0) + {shift}) % {len(STUB_RESPONSES)} + 1 AS INTEGER)]"
 
 
 def parse_sql(raw: str, mapping: dict[str, int] | None = None, prefix: str = "") -> str:
@@ -69,13 +69,12 @@ CORPUS_CTE = (
 def preds_cte(name: str = "preds", shift: str = "0", source: str = "corpus", review: str = "review",
               template: str = DEFAULT_TEMPLATE, extra: str = "") -> str:
     """Stub predictions over ``source`` (needs example_id, review, n_chars)."""
-    resp = stub_response_sql("example_id", shift)
     prompt = render_sql(template, {"review": review})
     return (
-        f"{name}_raw AS (SELECT *{extra}, {resp} AS output_string, {prompt} AS prompt, "
+        f"{name}_raw AS (SELECT *{extra}, {word_count_sql(prompt)} AS input_token_count, "
         f"n_chars / CAST(1000.0 AS DOUBLE) AS elapsed_time FROM {source}), "
-        f"{name} AS (SELECT * EXCLUDE (prompt), {word_count_sql('prompt')} AS input_token_count, "
-        f"{word_count_sql('output_string')} AS output_token_count, {parse_sql('output_string')} FROM {name}_raw)"
+        f"{name}_said AS (SELECT *, {stub_response_sql('example_id', 'input_token_count', shift)} AS output_string FROM {name}_raw), "
+        f"{name} AS (SELECT *, {word_count_sql('output_string')} AS output_token_count, {parse_sql('output_string')} FROM {name}_said)"
     )
 
 
@@ -136,7 +135,7 @@ ORACLE["crop_fraction"] = (
 
 def cot_response_sql() -> str:
     M = COT_MARKER
-    resp = stub_response_sql("doc_id")
+    resp = stub_response_sql("doc_id", word_count_sql("text"))
     lead = "text"
     return (
         f"CASE doc_id % 4 WHEN 0 THEN {lead} || {q(' ' + M + ' ')} || {resp} "
@@ -161,7 +160,7 @@ def parse_cot_sql(raw: str, marker: str) -> str:
 
 ORACLE["parse_basic"] = (
     f"SELECT doc_id, output_string, {parse_sql('output_string')} "
-    f"FROM (SELECT doc_id, {stub_response_sql('doc_id')} AS output_string FROM documents)"
+    f"FROM (SELECT doc_id, {stub_response_sql('doc_id', word_count_sql('text'))} AS output_string FROM documents)"
 )
 
 ORACLE["parse_cot"] = (

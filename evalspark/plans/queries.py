@@ -97,7 +97,7 @@ def cot_response(doc_id: str = "doc_id", text: str = "text"):
     markers, marker last, no marker."""
     from evalspark.functions.stub import stub_response
 
-    resp = stub_response(doc_id)
+    resp = stub_response(doc_id, word_count(text))
     lead = F.col(text)
     m = F.col(doc_id) % 4
     return (
@@ -126,7 +126,7 @@ def parse_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.functions.stub import stub_response
     from evalspark.sources.tables import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", stub_response("doc_id").alias("output_string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", stub_response("doc_id", word_count("text")).alias("output_string"))
     return docs.withColumn("_p", parse_label("output_string")).select("doc_id", "output_string", "_p.*")
 
 
