@@ -83,11 +83,11 @@ def test_known_stub_figures_sf001(spark):
 
     r = QUERIES["eval_metrics"](spark, "/root/testdata/sf0.01").first()
     assert r.n == 399
-    assert round(r.accuracy_score, 4) == 0.2231
-    assert round(r.precision, 4) == 0.8295
-    assert round(r.recall, 4) == 0.2141
-    assert round(r.hallucination_rate, 4) == 0.3358
-    assert round(r.bad_output_format_rate, 4) == 0.1629
+    assert round(r.accuracy_score, 4) == 0.2456
+    assert round(r.precision, 4) == 0.8571
+    assert round(r.recall, 4) == 0.2463
+    assert round(r.hallucination_rate, 4) == 0.3810
+    assert round(r.bad_output_format_rate, 4) == 0.0952
     assert math.isclose(r.false_negative_rate, 1 - r.recall)
     assert abs(r.accuracy_score * r.n - round(r.accuracy_score * r.n)) < 1e-9
 
