@@ -158,7 +158,7 @@ def _slabs(texts: list[tuple], kind) -> Iterator[list[tuple]]:
 
 
 def anchors(kind, window: int, gram: int, levels: tuple = (), whole: bool = True) -> Callable:
-    """Batches of id, th, text to rows of ``ROW``: one for each stretch (not ``whole``: its h and id only). levels: (broadcast sorted keys, width) of crowded
+    """Batches of id, th, text to rows of ``ROW``: one for each stretch (not ``whole``: its h, c and id only). levels: (broadcast sorted keys, width) of crowded
     keys; then a row for each piece of the stretches that have such keys at every level, and no others."""
 
     def run(batches):
@@ -181,13 +181,14 @@ def anchors(kind, window: int, gram: int, levels: tuple = (), whole: bool = True
                     if not len(doc):
                         continue
                     rows = pa.array([one[d][0] for d in doc.tolist()])
+                    code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
+                    code = pa.array(np.array(code, np.uint64).view(np.int64))
                     if not whole:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(rows)], names=["h", "id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), code, ids.take(rows)], names=["h", "c", "id"])
                         continue
-                    code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
                     shift = np.array([s for _, s, _ in one])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.array(code, np.uint64).view(np.int64)), ids.take(rows), ths.take(rows), pa.array(at + shift[doc]), pa.array(n.astype(np.int32))],
+                        [pa.array(key), code, ids.take(rows), ths.take(rows), pa.array(at + shift[doc]), pa.array(n.astype(np.int32))],
                         names=["h", "c", "id", "th", "at", "n"],
                     )
 
@@ -273,10 +274,16 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     base = base.select("id", "th", "text")
 
     def recurring(levels: tuple = ()) -> DataFrame:
-        seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, id bigint")
-        again = cut(seen.groupBy("h").agg(recurs.alias("again")).filter("again").select("h"))
+        """Rows of the anchors that recur, with the smallest id of their anchor, and whether all its stretches are equal; written."""
+        seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, c bigint, id bigint")
+        again = seen.groupBy("h").agg(recurs.alias("again"), (F.min("c") == F.max("c")).alias("equal"), F.min("id").alias("least")).filter("again")
         # both sides plain, so that a frequent anchor's rows can be split among tasks
-        return base.mapInArrow(anchors(kind, window, gram, levels), ROW).join(again, "h")
+        return cut(base.mapInArrow(anchors(kind, window, gram, levels), ROW).join(cut(again.drop("again")), "h"))
+
+    def told(rows: DataFrame) -> DataFrame:
+        """What is known of rows whose anchor's stretches are all equal."""
+        r = F.struct(F.lit(0).alias("s"), (F.col("n") - 1 + window).alias("e"), F.col("least").alias("first")).alias("r")
+        return rows.filter("equal").select("id", "th", "at", r)
 
     def wanted(rows: DataFrame, *cols: str) -> DataFrame:
         return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*cols)).alias("wanted"))
@@ -285,11 +292,8 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         one = F.min(F.struct("id", "th", "at", "n")).alias("one")
         return rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("id").alias("last"), one)
 
-    every = cut(recurring())
-    kinds = cut(every.groupBy("h").agg((F.min("c") == F.max("c")).alias("equal"), F.min("id").alias("first")))
-    told = every.join(kinds, "h")
-    equal = told.filter("equal").select("id", "th", "at", F.struct(F.lit(0).alias("s"), (F.col("n") - 1 + window).alias("e"), "first").alias("r"))
-    rows = cut(told.filter("NOT equal").select(every.columns))
+    found = recurring()
+    equal, rows = told(found), found.filter("NOT equal").drop("equal")
     levels: list[tuple] = []
     for width in (max(2, (window - gram + 1) // PIECES), 1):
         crowded = cut(distinct(rows).groupBy("h").count().filter(F.col("count") > limit).select("h"))
@@ -297,12 +301,16 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         if not len(keys):
             break
         levels.append((base.sparkSession.sparkContext.broadcast(keys), width))
-        rows = cut(rows.join(F.broadcast(crowded), "h", "left_anti").unionByName(recurring(tuple(levels))))
+        finer = recurring(tuple(levels))
+        equal = equal.unionByName(told(finer))
+        rows = cut(rows.join(F.broadcast(crowded), "h", "left_anti").unionByName(finer.filter("NOT equal").drop("equal")))
     groups = distinct(rows).select("h", "c", "copies", "first", "last", "one.*")
     bodies = base.join(wanted(groups, "h", "c", "at", "n", "copies", "first", "last"), ["id", "th"])
     bodies = bodies.mapInArrow(_cut_bodies(kind, window), STRETCH)
     bodies = bodies.repartition(n_partitions(base.sparkSession), "h").sortWithinPartitions("h", "c")
     found = bodies.mapInArrow(_solved(solver, block), FOUND)
+    if across:  # the smallest document of an anchor keeps all
+        rows = rows.filter("id > least")
     ranges = rows.join(found, ["h", "c"]).select("id", "th", "at", F.explode("ranges").alias("r")).unionByName(equal)
     if across:
         ranges = ranges.filter(F.col("r.first") < F.col("id"))
