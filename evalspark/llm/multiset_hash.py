@@ -13,11 +13,12 @@ without a common paragraph (the error is about 1 / sqrt(lanes)). Two empty texts
 
 A paragraph ends after a line end or the end of a sentence with the white space that follows, and after ``LONG`` code
 points. Null text counts as empty. Documents are in order of id, null ids last, equal ids in order of a hash of
-their text.
+their text; repeated rows follow one another. An empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -76,35 +77,52 @@ def edit(v: np.ndarray, before: list[str], after: list[str]) -> np.ndarray:
     return v - vector(before[same:]) + vector(after[same:])
 
 
+def boundaries(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """First (id, th) of each range when ``docs`` (id, th) are dealt out evenly in order; a few numbers for each shuffle partition."""
+    order = [F.col("id").asc_nulls_last(), F.col("th")]
+    ranged = docs.repartitionByRange(RANGES * n_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id())
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f")).orderBy("part").collect()
+    return [(r["f"]["id"], r["f"]["th"]) for r in firsts]
+
+
+def _place(key: tuple[int | None, int]) -> tuple[bool, int, int]:
+    return key[0] is None, key[0] or 0, key[1]
+
+
+def _dealt(firsts):
+    """Batches of (id, th, text) to rows ``_range, _next, id, th, text, n``: equal rows of a batch as one with their number, and
+    the first row of each range (_next 1) also in the range before."""
+
+    def run(batches):
+        starts = [_place(k) for k in firsts.value]
+        for batch in batches:
+            seen: dict = {}
+            for k, key in enumerate(zip(batch.column("id").to_pylist(), batch.column("th").to_pylist())):
+                seen.setdefault(key, []).append(k)
+            rows, ranges, follows, counts = [], [], [], []
+            for key, at in seen.items():
+                place = _place(key)
+                r = bisect.bisect_right(starts, place) - 1
+                rows.append(at[0]), ranges.append(r), follows.append(0), counts.append(len(at))
+                if starts[r] == place:
+                    rows.append(at[0]), ranges.append((r - 1) % len(starts)), follows.append(1), counts.append(0)
+            taken = pa.array(rows, pa.int64())
+            cols = [pa.array(ranges, pa.int32()), pa.array(follows, pa.int32()), *(batch.column(c).take(taken) for c in ("id", "th", "text")), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_range", "_next", "id", "th", "text", "n"])
+
+    return run
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows ``_range, _next, id, text``: within a range of ids sorted, and after each range's own rows (``_next``
-    0) a row of the document that follows its last (``_next`` 1). The ranges come from approximate quantiles of
-    the ids; what reaches the driver is a few numbers for each shuffle partition."""
+    """Rows ``_range, _next, id, th, text, n``: within a range of (id, hash of the text) sorted, and after each range's own rows
+    (``_next`` 0) the document that follows its last (``_next`` 1). A range holds many equal rows as a few with their numbers
+    ``n``, and rows of one id, or without one, may be in several ranges."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    many = RANGES * n_partitions(spark)
-    cuts = docs.select("id").dropna().approxQuantile("id", [k / many for k in range(1, many)], 0.2 / many)
-    cuts = sorted({int(c) for c in cuts})
-    # a step function of the id as a balanced tree of comparisons
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") < cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    docs = docs.withColumn("_range", F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(place(0, len(cuts))))
-    firsts = sorted(docs.groupBy("_range").agg(F.min("id").alias("id")).collect(), key=lambda r: r["_range"])
-    follows = {r["id"]: firsts[k - 1]["_range"] for k, r in enumerate(firsts)}  # the first one follows the last range
-    to = F.lit(None).cast("int")
-    known = {k: v for k, v in follows.items() if k is not None}
-    if known:
-        to = F.element_at(F.create_map(*(F.lit(x).cast(t) for k, v in known.items() for x, t in ((k, docs.schema["id"].dataType), (v, "int")))), F.col("id"))
-    if None in follows:
-        to = F.when(F.col("id").isNull(), follows[None]).otherwise(to)
-    sent = F.array(F.struct(F.col("_range"), F.lit(0).alias("_next")), F.when(to.isNotNull(), F.struct(to.alias("_range"), F.lit(1).alias("_next"))))
-    docs = docs.select(F.explode(F.filter(sent, lambda s: s.isNotNull())).alias("s"), "id", "text")
-    docs = docs.select("s._range", "s._next", "id", "text").repartition(n_partitions(spark), "_range")
-    return docs.sortWithinPartitions("_range", "_next", F.col("id").asc_nulls_last(), F.xxhash64("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
+    firsts = spark.sparkContext.broadcast(boundaries(docs.select("id", "th")))
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.mapInArrow(_dealt(firsts), f"_range int, _next int, id {kind}, th bigint, text string, n bigint")
+    return rows.repartition(n_partitions(spark), "_range").sortWithinPartitions("_range", "_next", F.col("id").asc_nulls_last(), "th")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,34 +135,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         rows: list[tuple] = []
-        waits = None  # (range, id, text, paragraphs, vector) of the row whose next one comes
+        waits = None  # (range, id, text, paragraphs, vector, number) of the document whose next one comes
 
         def send():
-            kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            kinds[0] = id_kind
+            kinds = [id_kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+        def result(text: str, v: np.ndarray) -> tuple:
+            """The row of the document that waits, if the next one has this text."""
+            _, key, old, parts, old_v, _ = waits
+            keep = len(old) - len(old) // 2
+            edited = old[:keep] + text[: len(old) // 2]
+            edited_v = edit(old_v, parts, paragraphs(edited))
+            return key, len(old), hashlib.sha256(edited.encode()).hexdigest(), text_hex(old_v), text_hex(edited_v), likeness(old_v, edited_v), likeness(old_v, v)
+
         for batch in batches:
             id_kind = batch.schema.field("id").type
-            columns = [batch.column(c) for c in ("_range", "_next", "id", "text")]
+            columns = [batch.column(c) for c in ("_range", "_next", "id", "text", "n")]
             for k in range(batch.num_rows):
-                part, follows, key, text = (c[k].as_py() for c in columns)
+                part, follows, key, text, n = (c[k].as_py() for c in columns)
                 if waits is not None and waits[0] != part:
                     waits = None  # its next one came already
                 if follows and waits is None:
                     continue
+                if waits is not None and not follows and (waits[1], waits[2]) == (key, text):
+                    waits[5] += n
+                    continue
                 parts = paragraphs(text)
                 v = vector(parts)
                 if waits is not None:
-                    _, old_key, old, old_parts, old_v = waits
-                    keep = len(old) - len(old) // 2
-                    edited = old[:keep] + text[: len(old) // 2]
-                    edited_v = edit(old_v, old_parts, paragraphs(edited))
-                    rows.append((old_key, len(old), hashlib.sha256(edited.encode()).hexdigest(), text_hex(old_v), text_hex(edited_v), likeness(old_v, edited_v), likeness(old_v, v)))
+                    if waits[5] > 1:  # equal rows are followed by one another
+                        same = result(waits[2], waits[4])
+                        for _ in range(waits[5] - 1):
+                            rows.append(same)
+                            if len(rows) >= ROWS:
+                                yield send()
+                                rows.clear()
+                    rows.append(result(text, v))
                     if len(rows) >= ROWS:
                         yield send()
                         rows.clear()
-                waits = None if follows else (part, key, text, parts, v)
+                waits = None if follows else [part, key, text, parts, v, n]
         if rows:
             yield send()
 

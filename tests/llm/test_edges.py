@@ -1,5 +1,6 @@
 """Repeated rows, clashing columns, near copies and depth: cases that the given tables do not hold."""
 
+import hashlib
 import time
 
 import numpy as np
@@ -270,3 +271,18 @@ def test_quality_separates_held_out_rows(spark):
     good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
     auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
     assert auc > 0.95
+
+
+def test_fingerprints_of_hot_ids_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(5, "same. text. here.")] * 700 + [(5, text(rng, 5) + ".") for _ in range(60)] + [(None, text(rng, 4)) for _ in range(40)] + [(None, None)] * 30 + [(k, text(rng, 9)) for k in range(20)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, th int, n int").repartition(7)
+    hashed = {r.text: r.th for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (multiset_hash.vector(multiset_hash.paragraphs(x)) for x in (t, edited, after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), multiset_hash.text_hex(a), multiset_hash.text_hex(b), multiset_hash.likeness(a, b), multiset_hash.likeness(a, c)))
+    assert sorted(map(repr, map(tuple, multiset_hash.fingerprints(df).collect()))) == sorted(map(repr, want))
