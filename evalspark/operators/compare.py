@@ -9,6 +9,7 @@ of runs at once; the tasks' products are added per pair.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from evalspark.operators.sampling import required_sample_size
 
 BITS = 62  # runs in a word of a bit vector
+FEW = 8  # runs whose pairs are counted by one JVM aggregate; longer lists by matrix products
 ROWS = 1024  # examples multiplied at once: their counts are exact in single precision
 
 
@@ -38,6 +40,23 @@ def _bit_vectors(scored: DataFrame, named: DataFrame, runs: int, run_col: str, k
     return rows.groupBy(key).agg(*cols).drop(key).fillna(0)
 
 
+def _counted(wide: DataFrame, runs: int) -> DataFrame:
+    """Counts of the few pairs of a short list of runs, as columns of one aggregate over the bit vectors."""
+
+    def bit(name: str, run: int):
+        return F.shiftright(f"{name}{run // BITS}", run % BITS).bitwiseAND(F.lit(1).cast("bigint"))
+
+    pairs = list(combinations(range(runs), 2))
+    cols = []
+    for k, (a, b) in enumerate(pairs):
+        both = (bit("p", a) == 1) & (bit("p", b) == 1)
+        cols += [F.count_if(both).alias(f"n{k}"), F.count_if(both & (bit("r", a) > bit("r", b))).alias(f"ab{k}"), F.count_if(both & (bit("r", a) < bit("r", b))).alias(f"ba{k}")]
+    if not pairs:
+        return wide.sparkSession.createDataFrame([], "a int, b int, n bigint, a_not_b bigint, b_not_a bigint")
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("n"), F.col(f"ab{k}").alias("a_not_b"), F.col(f"ba{k}").alias("b_not_a")) for k, (a, b) in enumerate(pairs)]
+    return wide.agg(*cols).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def _gram(runs: int):
     """Batches of bit vectors to counts per pair of runs: products of 0/1 matrices, added up over the task."""
 
@@ -81,8 +100,11 @@ def paired_comparison(
     spark = scored.sparkSession
     named = spark.createDataFrame(list(enumerate(runs)), f"_at int, _run {scored.schema[run_col].dataType.simpleString()}")
     wide = _bit_vectors(scored, named, len(runs), run_col, key, ok)
-    sums = wide.mapInArrow(_gram(len(runs)), "a int, b int, n bigint, a_not_b bigint, b_not_a bigint")
-    sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "a_not_b", "b_not_a")])
+    if len(runs) <= FEW:
+        sums = _counted(wide, len(runs))
+    else:
+        sums = wide.mapInArrow(_gram(len(runs)), "a int, b int, n bigint, a_not_b bigint, b_not_a bigint")
+        sums = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "a_not_b", "b_not_a")])
     if pairs is None:
         every = spark.range(len(runs)).select(F.col("id").cast("int").alias("a"))
         every = every.filter(F.col("a") < len(runs) - 1).select("a", F.explode(F.sequence(F.col("a") + 1, F.lit(len(runs) - 1))).alias("b"))

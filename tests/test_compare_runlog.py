@@ -1,12 +1,16 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from evalspark.operators import compare
 from evalspark.operators.compare import paired_comparison, with_required_n
 from evalspark.sources import runlog
 
 
-def test_paired_comparison_equals_self_join(spark):
+@pytest.mark.parametrize("few", [8, 0])
+def test_paired_comparison_equals_self_join(spark, monkeypatch, few):
+    monkeypatch.setattr(compare, "FEW", few)
     rows = [(r, e, (e * (i + 2)) % 3 == 0 and 1 or 0) for i, r in enumerate(["a", "b", "c"]) for e in range(40)]
     rows = [x for x in rows if not (x[0] == "c" and x[1] < 5)]  # run c skipped some examples
     df = spark.createDataFrame(rows, "run_id string, example_id long, ok int")
@@ -171,7 +175,9 @@ def test_paired_comparison_of_a_thousand_runs_in_one_pass(spark):
         assert abs(r.p_a_not_b - right[a, b] / r.n) < 1e-12 and abs(r.p_b_not_a - right[b, a] / r.n) < 1e-12
 
 
-def test_paired_comparison_of_chosen_pairs_and_of_nothing(spark):
+@pytest.mark.parametrize("few", [8, 0])
+def test_paired_comparison_of_chosen_pairs_and_of_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(compare, "FEW", few)
     df = spark.createDataFrame([("a", 1, 1), ("b", 1, 0), ("c", 2, 1)], "run_id string, example_id long, ok int")
     got = {(r.run_a, r.run_b): r for r in paired_comparison(df, ["a", "b", "c"], pairs=[("c", "a"), ("a", "b")]).collect()}
     assert got["a", "b"].n == 1 and got["a", "b"].accuracy_diff == 1.0
