@@ -663,6 +663,7 @@ ORACLE["batch_evaluation"] = f"WITH {_KEYWORD_PREDS}, {_EVALUATED} SELECT * EXCL
 ORACLE["experiment_log"] = (
     f"WITH {_KEYWORD_PREDS}, {_EVALUATED} SELECT 'cues' AS model, '40' AS top_k, 'keywords' AS name, * EXCLUDE ({_TIMED}, n) FROM ev"
 )
+ORACLE["file_store_search"] = ORACLE["run_search"]
 ORACLE["run_log_retry"] = (
     "WITH s AS (SELECT DISTINCT source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS n FROM documents JOIN labels USING (doc_id)), "
     f"m AS (SELECT 'metrics' AS kind, unnest({METRIC_LIST}) AS key), "
@@ -690,3 +691,26 @@ ORACLE["boxplot_fliers"] = (
     "SELECT d.lang, d.doc_id AS example_id, CAST(d.n_chars AS DOUBLE) AS n_chars FROM documents d JOIN qq ON d.lang IS NOT DISTINCT FROM qq.lang "
     "WHERE d.n_chars < q1 - 1.5 * (q3 - q1) OR d.n_chars > q3 + 1.5 * (q3 - q1)"
 )
+
+
+def _sweep_sql() -> str:
+    from evalspark.plans.roundtrips import CUES, SWEEP
+
+    grid = " UNION ALL ".join(f"SELECT {q(p['run_id'])} AS run_id, CAST({p['temperature']!r} AS DOUBLE) AS temperature, {p['top_k']} AS top_k" for p in SWEEP)
+    cue = " OR ".join(f"contains(lower(prompt), {q(c)})" for c in CUES)
+    prompt = render_sql(DEFAULT_TEMPLATE, {"review": "review"})
+    return (
+        f"WITH {CORPUS_CTE}, grid AS ({grid}), p AS (SELECT corpus.true_label, {prompt} AS prompt, grid.* FROM corpus, grid), "
+        f"r AS (SELECT *, CASE WHEN temperature < 0.5 AND ({cue}) THEN 'negative' ELSE 'positive' END AS output_string, "
+        f"{word_count_sql('prompt')} + top_k AS input_token_count, CAST(1 AS BIGINT) AS output_token_count, CAST(0 AS DOUBLE) AS elapsed_time FROM p), "
+        f"s AS (SELECT *, {parse_sql('output_string')} FROM r), ev AS (SELECT run_id, temperature, top_k, {metrics_sql()} FROM s GROUP BY ALL) "
+        f"SELECT * EXCLUDE ({_TIMED}) FROM ev"
+    )
+
+
+ORACLE["sweep_runs"] = _sweep_sql()
+ORACLE["best_score"] = (
+    "WITH s AS (SELECT CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS k, floor(avg(quality) * 10) AS silhouette "
+    "FROM documents JOIN labels USING (doc_id) GROUP BY ALL) "
+    "SELECT k AS best_k, silhouette FROM s ORDER BY silhouette DESC, k LIMIT 1"
+)

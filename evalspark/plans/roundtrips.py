@@ -134,6 +134,18 @@ def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("`params.model_name`").alias("model"), F.col("`params.top_k`").alias("top_k"), F.col("`tags.mlflow.runName`").alias("name"), *cols)
 
 
+@register("file_store_search")
+def file_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-5, SRC-6: the run log written as a file-store tree, scanned and searched."""
+    from evalspark.operators.metrics import METRIC_NAMES
+    from evalspark.plans.runs import derived_run_tables
+
+    root = new_scratch(spark)
+    runlog.write_file_store(root, {k: materialize(v) for k, v in derived_run_tables(spark, sf_dir).items()})
+    keys = {"metric_keys": METRIC_NAMES, "param_keys": runlog.PARAM_KEYS, "tag_keys": runlog.TAG_KEYS}
+    return runlog.cast_run_columns(runlog.search_runs(runlog.read_file_store(spark, root), **keys))
+
+
 @register("run_log_retry")
 def run_log_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-4: the run log after a write that stopped half way, its retry, and a repeated call: each fact once."""
@@ -176,6 +188,41 @@ def json_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).drop("elapsed_time")
 
 
+SWEEP = infer.parameter_grid(temperature=[0.2, 0.8], top_k=[20, 40])
+CUES = ("bad", "worst", "terrible", "boring", "awful")
+
+
+def tempered_predictor_factory():
+    """A predictor whose answers depend on its parameters: it looks for negative cue words at low temperatures only."""
+
+    def predict(prompts: pd.Series, params) -> pd.DataFrame:
+        cold = params["temperature"] < 0.5
+        content = prompts.str.lower().apply(lambda s: "negative" if cold and any(c in s for c in CUES) else "positive")
+        return pd.DataFrame({"content": content, "prompt_tokens": prompts.str.split().str.len().astype("int64") + params["top_k"], "completion_tokens": 1})
+
+    return predict
+
+
+@register("sweep_runs")
+def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF-5: a sweep over a parameter grid with a Python predictor that gets each row's parameters."""
+    _, evaluation = jobs.sweep(labelled_corpus(spark, sf_dir, ()), SWEEP, tempered_predictor_factory)
+    return evaluation.select("run_id", "temperature", "top_k", *COUNTED)
+
+
+@register("best_score")
+def best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-6: the choice of the best of many numbered scores, the smallest number on ties (here the share of good documents of each
+    source, in steps of a tenth)."""
+    from evalspark.operators.topics import best_k
+    from evalspark.sources.tables import table
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    scores = rows.groupBy(number.alias("k")).agg(F.floor(F.avg("quality") * 10).cast("double").alias("silhouette"))
+    return best_k(scores)
+
+
 # ------------------------------------------------------------------ extension points
 
 

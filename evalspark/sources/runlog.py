@@ -97,7 +97,46 @@ def read_run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return out
 
 
-# ------------------------------------------------------------------ reading the file store (SRC-5)
+# ------------------------------------------------------------------ the file store
+
+
+def write_file_store(root: str, tables: Mapping[str, DataFrame]) -> None:
+    """The long tables as a file-store tree (``<root>/<experiment>/<run>/{meta.yaml, metrics/*, params/*, tags/*, artifacts/*}``),
+    one file for each fact, a metric's values as its lines. Tasks write the files themselves, each under a name of its own first,
+    so a task that is repeated leaves whole files; ``root`` must be a path that all executors mount. Null values are left out.
+    """
+    if re.match(r"^[a-zA-Z][\w+.-]*://", root) and not root.startswith("file://"):
+        raise ValueError(f"file stores are written to mounted paths, not to {root!r}")
+    top = re.sub(r"^file://", "", root)
+    place = lambda *parts: F.concat_ws("/", "experiment_id", "run_id", *parts)
+    line = F.concat_ws(" ", F.col("timestamp").cast("string"), F.col("value").cast("string"), F.col("step").cast("string"))
+    metrics = tables["metrics"].filter(F.col("value").isNotNull()).select("experiment_id", "run_id", "key", F.struct("step", "timestamp", line.alias("line")).alias("x"))
+    metrics = metrics.groupBy("experiment_id", "run_id", "key").agg(F.sort_array(F.collect_list("x")).alias("x"))  # as long as a metric was logged
+    files = [metrics.select(place(F.lit("metrics"), "key").alias("path"), F.concat(F.array_join("x.line", "\n"), F.lit("\n")).alias("content"))]
+    for kind, key, value in (("params", "key", "value"), ("tags", "key", "value"), ("artifacts", "path", "text")):
+        if kind in tables:
+            files.append(tables[kind].filter(F.col(value).isNotNull()).select(place(F.lit(kind), key).alias("path"), F.col(value).alias("content")))
+    meta = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in (
+        ("experiment_id", F.concat(F.lit("'"), F.col("experiment_id"), F.lit("'"))), ("lifecycle_stage", F.col("lifecycle_stage")), ("run_id", F.col("run_id")),
+        ("run_name", F.col("run_name")), ("run_uuid", F.col("run_id")), ("start_time", F.col("start_time")), ("end_time", F.col("end_time")), ("status", F.col("status")))]
+    files.append(tables["runs"].select(place(F.lit("meta.yaml")).alias("path"), F.concat(F.concat_ws("\n", *meta), F.lit("\n")).alias("content")))
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(top, r["path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(r["content"])
+            os.replace(part, path)
+
+    every = files[0]
+    for more in files[1:]:
+        every = every.unionByName(more)
+    every.foreachPartition(write)
+
+
+# reading (SRC-5)
 
 # relative to the root, from the left: experiment, run (absent for what belongs to the experiment), kind, key
 _PATH = r"^([^/]+)/(?:([^/]+)/)?(meta\.yaml|metrics|params|tags|artifacts)(?:/(.+))?$"
