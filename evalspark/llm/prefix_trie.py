@@ -145,7 +145,7 @@ def _rebased(batches):
 
 def members(conversations: DataFrame) -> DataFrame:
     """conv, depth, words, len, digest, parent: a row for each conversation and each node that it starts with, written."""
-    runs = numbered(turns(conversations))
+    runs = numbered(cut(turns(conversations)))  # one pass over the texts: dealing by range reads its input twice
     head = F.sort_array(F.collect_list(F.when(F.col("i") <= HEAD, F.struct("i", "digest", "parent", "words"))))
     convs = cut(runs.groupBy("conv").agg(F.max("i").alias("n"), head.alias("head")))
     other = convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n"), F.col("head").alias("base_head"))
