@@ -218,7 +218,7 @@ def _system_prompt() -> str:
 
 ORACLE["chat_messages"] = (
     f"SELECT conv_id, turn, 2 AS n_messages, 'system: ' || {q(_system_prompt())} || chr(10) || 'user: ' || text AS chat "
-    f"FROM conversations WHERE role = 'user'"
+    "FROM conversations"
 )
 
 

@@ -224,7 +224,7 @@ def chat_messages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalspark.functions.text import chat_messages, render_chat
     from evalspark.sources.tables import table
 
-    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = table(spark, sf_dir, "conversations")  # each turn as a request of its own
     req = chat_messages(infer.DEFAULT_SYSTEM_PROMPT, F.col("text"))
     return conv.select("conv_id", "turn", F.size(req).alias("n_messages"), render_chat(req).alias("chat"))
 
