@@ -275,10 +275,14 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
 
     def recurring(levels: tuple = ()) -> DataFrame:
         """Rows of the anchors that recur, with the smallest id of their anchor, and whether all its stretches are equal; written."""
-        seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, c bigint, id bigint")
+        rows = base.mapInArrow(anchors(kind, window, gram, levels), ROW)
+        if levels:  # pieces of a few anchors: written at once; all rows would be as much as the texts, so those are made twice
+            rows = seen = cut(rows)
+        else:
+            seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, c bigint, id bigint")
         again = seen.groupBy("h").agg(recurs.alias("again"), (F.min("c") == F.max("c")).alias("equal"), F.min("id").alias("least")).filter("again")
         # both sides plain, so that a frequent anchor's rows can be split among tasks
-        return cut(base.mapInArrow(anchors(kind, window, gram, levels), ROW).join(cut(again.drop("again")), "h"))
+        return cut(rows.join(cut(again.drop("again")), "h"))
 
     def told(rows: DataFrame) -> DataFrame:
         """What is known of rows whose anchor's stretches are all equal."""
