@@ -93,28 +93,29 @@ def quotas(sizes: DataFrame, strata: Sequence[str], n: int | float, within: Sequ
     from evalspark.session import materialize
 
     strata, within = list(strata), list(within)
-    bad = sizes.agg(F.max(F.greatest(*[F.col(s).isNull().cast("int") for s in strata], F.lit(0))), F.min("count")).first()
-    if bad[0]:
-        raise ValueError(f"NULL in stratum columns {strata}; fill or filter them first")
-    if bad[1] is not None and bad[1] < min_stratum:
-        small = [tuple(r) for r in sizes.filter(F.col("count") < min_stratum).select(*strata).orderBy(*strata).limit(SHOWN).collect()]
-        raise ValueError(f"strata with fewer than {min_stratum} rows: {small}")
-    group = F.struct(*within) if within else F.lit(0)
-    rows = sizes.withColumn("_g", group)
+    rows = sizes.withColumn("_g", F.struct(*within) if within else F.lit(0))
     wide = "decimal(38,0)"
     want = F.ceil(F.lit(n) * F.sum("count")) if isinstance(n, float) else F.lit(int(n))
-    totals = rows.groupBy("_g").agg(F.sum("count").alias("_total"), F.count("*").alias("_strata"), want.cast("bigint").alias("_n"))
-    totals = materialize(totals)
-    outside = totals.filter((F.col("_n") < 0) | (F.col("_n") > F.col("_total"))).limit(1).collect()
-    if outside:
-        raise ValueError(f"sample size {outside[0]['_n']} outside [0, {outside[0]['_total']}]")
-    few = totals.filter((F.col("_n") > 0) & (F.col("_n") < F.col("_strata"))).limit(1).collect() if min_stratum > 1 else []
-    if few:
-        raise ValueError(f"sample size {few[0]['_n']} is smaller than the number of strata {few[0]['_strata']}")
-    rows = rows.join(totals, "_g")
+    null = F.greatest(*[F.col(s).isNull().cast("int") for s in strata], F.lit(0))
+    totals = rows.groupBy("_g").agg(
+        F.sum("count").alias("_total"), F.count("*").alias("_strata"), want.cast("bigint").alias("_n"), F.max(null).alias("_null"), F.min("count").alias("_least"))
+    outside = (F.col("_n") < 0) | (F.col("_n") > F.col("_total"))
+    few = (F.col("_n") > 0) & (F.col("_n") < F.col("_strata")) if min_stratum > 1 else F.lit(False)
+    totals = materialize(totals.withColumns({"_outside": outside, "_few": few, "_small": F.col("_least") < min_stratum}))
+    bad = totals.filter("_null > 0 OR _small OR _outside OR _few").orderBy(F.desc("_null"), F.desc("_small"), F.desc("_outside")).limit(1).collect()
+    for b in bad:
+        if b["_null"]:
+            raise ValueError(f"NULL in stratum columns {strata}; fill or filter them first")
+        if b["_small"]:
+            small = [tuple(r) for r in sizes.filter(F.col("count") < min_stratum).select(*strata).orderBy(*strata).limit(SHOWN).collect()]
+            raise ValueError(f"strata with fewer than {min_stratum} rows: {small}")
+        if b["_outside"]:
+            raise ValueError(f"sample size {b['_n']} outside [0, {b['_total']}]")
+        raise ValueError(f"sample size {b['_n']} is smaller than the number of strata {b['_strata']}")
+    rows = rows.join(totals.select("_g", "_total", "_n"), "_g")
     share = F.col("count").cast(wide) * F.col("_n")
     rows = rows.withColumn("_floor", F.floor(F.expr("(cast(count as decimal(19,0)) * cast(_n as decimal(19,0))) div _total")).cast("bigint"))
-    rows = materialize(rows.withColumn("_rem", (share % F.col("_total")).cast("bigint")))
+    rows = rows.withColumn("_rem", (share % F.col("_total")).cast("bigint"))
     left = rows.groupBy("_g").agg((F.max("_n") - F.sum("_floor")).alias("_left"))
     ranked = cumcount(rows.join(left, "_g"), "_g", [F.col("_rem").desc(), *map(F.col, strata)], "_rank")
     quota = F.col("_floor") + (F.col("_rank") < F.col("_left")).cast("bigint")
@@ -226,7 +227,7 @@ def stratified_split(
     if checkpoint:
         keyed = materialize(keyed)
     sizes = materialize(keyed.groupBy(*strata).count())
-    wanted = materialize(quotas(sizes, strata, n, within or (), min_stratum))
+    wanted = quotas(sizes, strata, n, within or (), min_stratum)
     thresholds = materialize(sample_thresholds(keyed, strata, wanted))  # at most one row per stratum
     return _membership(df, strata, id_col, seed, thresholds)
 
