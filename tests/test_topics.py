@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.operators import clusters, lda
+from evalspark.operators import clusters, lda, stemming
 from evalspark.operators.stemming import stem
 from evalspark.operators.topics import assign_clusters, best_k, k_sweep, normalize_tokens, topic_clusters
 from evalspark.operators.vocabulary import bag_of_words, dense_ids
@@ -37,6 +37,19 @@ def test_stems_equal_the_public_examples(spark):
     assert [r[0] for r in odd.select(stem("word")).collect()] == [None, "", "é", "schön", "y"]
 
 
+def test_each_different_word_of_a_batch_is_stemmed_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen, real = [], stemming.stemmed
+    monkeypatch.setattr(stemming, "stemmed", lambda w: seen.append(w) or real(w))
+    got = stemming._stems(pa.array(["hopping", None, "skies", "hopping"] * 1000))
+    assert got.to_pylist() == ["hop", None, "sky", "hop"] * 1000 and sorted(seen) == ["hopping", "skies"]
+    rows = [(k, None if k % 7 == 0 else ["hopping", None, "relational"][: k % 4]) for k in range(3000)]  # more than are held at once
+    df = spark.createDataFrame(rows, "id int, t array<string>").coalesce(1)
+    want = {k: None if t is None else [{"hopping": "hop", "relational": "relat"}.get(w) for w in t] for k, t in rows}
+    assert {r.id: r.x for r in df.select("id", stemming.stem_words(F.col("t")).alias("x")).collect()} == want
+
+
 def test_pluggable_token_function(spark):
     import pandas as pd
 
