@@ -8,6 +8,7 @@ streaming aggregate).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -51,17 +52,16 @@ def score_stream(
 
 
 def score_table_stream(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
-                       files_per_trigger: int = 1) -> StreamingQuery:
-    """The stub scoring plan over ``documents`` read as a file stream, joined to the static ``labels``
-    table (stream-static inner join on the narrow scored rows), written to a parquet sink with a
-    checkpoint."""
+                       files_per_trigger: int = 100) -> StreamingQuery:
+    """The stub scoring plan over ``documents`` (one file or a folder of files) read as a file stream, joined to the
+    static ``labels`` table (stream-static inner join on the narrow scored rows), written to a parquet sink with a
+    checkpoint. Every micro-batch reads the static side again, so it takes many files."""
     from evalspark.sources.tables import table
 
     docs = (
         spark.readStream.schema(table(spark, sf_dir, "documents").schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", "documents.parquet")  # a file source watches a directory
-        .parquet(sf_dir)
+        .parquet(os.path.join(sf_dir, "documents.parque[t]"))  # a pattern: a plain path would have to be a folder
     )
     from evalspark.sources.tables import truth_table
 

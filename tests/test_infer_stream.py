@@ -199,3 +199,33 @@ def test_no_private_checkpoint_folder_on_a_cluster():
                             sparkContext=SimpleNamespace(getConf=lambda: conf))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(spark)
+
+
+def test_table_stream_reads_one_file_and_a_folder_of_files(spark, tmp_path):
+    from evalspark.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([(k, f"word {k}", 7) for k in range(50)], "doc_id bigint, text string, n_chars int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 50, 2)], "doc_id bigint, quality int")
+    found = []
+    for name in ("folder", "file"):
+        docs.repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    (tmp_path / "file" / "documents.parquet").rename(tmp_path / "file" / "other")
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for name in ("folder", "file"):
+        found.append(sorted(tuple(r) for r in QUERIES["stream_scores"](spark, str(tmp_path / name)).collect()))
+    assert len(found[0]) == 25 and found[0] == found[1]
+
+
+def test_a_predictor_is_asked_in_calls_of_bounded_size(spark):
+    most = infer.CALL
+
+    def factory():
+        def predict(prompts, params):
+            return pd.DataFrame({"content": [str(len(prompts))] * len(prompts), "prompt_tokens": 1, "completion_tokens": 1})
+
+        return predict
+
+    df = spark.range(2 * most + 10).select(F.col("id").alias("example_id"), F.col("id").cast("string").alias("review")).coalesce(1)
+    calls = [int(r.output_string) for r in infer.score(df, factory).collect()]
+    assert len(calls) == 2 * most + 10 and max(calls) <= most
