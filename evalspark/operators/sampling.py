@@ -247,10 +247,12 @@ def sample_complement(df: DataFrame, strata: Sequence[str], n: int | float, id_c
 
 
 def balanced_sample(df: DataFrame, label: str, per_class: int, strata: Sequence[str] = (),
-                    id_col: str = "example_id", seed: int = 42, columns: Sequence[str] | None = None) -> DataFrame:
+                    id_col: str = "example_id", seed: int = 42, columns: Sequence[str] | None = None,
+                    min_stratum: int = 2) -> DataFrame:
     """SMP-4 + SET-1: ``per_class`` rows of every class, stratified by ``strata`` inside each class,
-    projected to ``columns``. One plan for all classes (quotas computed per class)."""
-    s = stratified_sample(df, [label, *strata], per_class, id_col, seed, within=[label])
+    projected to ``columns``. One plan for all classes (quotas computed per class). ``min_stratum=1`` allows strata of one row
+    and more strata than rows wanted: the largest remainders then say which strata get a row."""
+    s = stratified_sample(df, [label, *strata], per_class, id_col, seed, within=[label], min_stratum=min_stratum)
     return s.select(*(columns or s.columns))
 
 

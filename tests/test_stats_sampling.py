@@ -122,3 +122,13 @@ def test_quota_errors(spark):
             sampling.quotas(bad, ["s"], **kw)
     with pytest.raises(ValueError):
         sampling.quotas(spark.createDataFrame([(None, 5)], "s string, count long"), ["s"], 2)
+
+
+def test_balanced_sample_with_more_strata_than_rows(spark):
+    rows = [(100 * t + k, t, k // 3 if k < 27 else 9 + k) for t in (0, 1) for k in range(40)]  # 9 strata of 3 rows, 13 of one
+    df = spark.createDataFrame(rows, "example_id bigint, t int, s int")
+    with pytest.raises(ValueError):
+        sampling.balanced_sample(df, "t", 5, ["s"])
+    got = sampling.balanced_sample(df, "t", 5, ["s"], min_stratum=1).collect()
+    # floors are 0; the largest remainders are those of the strata of 3 rows, the smallest numbers first
+    assert sorted((r.t, r.s) for r in got) == [(t, s) for t in (0, 1) for s in range(5)]
