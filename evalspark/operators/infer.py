@@ -37,6 +37,8 @@ PREDICTION_COLUMNS = [
     "elapsed_time",
 ]
 
+CALL = 512  # prompts of a call at most: what a predictor makes of them (word lists, copies) stays small
+
 # Predictor contract: (prompts, params) -> (content, prompt_tokens, completion_tokens) per prompt.
 Predictor = Callable[[pd.Series, Mapping], pd.DataFrame]
 
@@ -106,9 +108,7 @@ def _predict_batches(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = predictor_factory()  # once per task / Python worker, not per row
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in (whole.iloc[k : k + CALL] for whole in batches for k in range(0, len(whole), CALL)):
             if not param_cols:
                 yield predict(predictor, pdf, params)
                 continue
