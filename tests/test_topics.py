@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import clusters, lda, stemming
 from evalspark.operators.stemming import stem
 from evalspark.operators.topics import assign_clusters, best_k, k_sweep, normalize_tokens, topic_clusters
-from evalspark.operators.vocabulary import bag_of_words, dense_ids
+from evalspark.operators.vocabulary import bag_of_words, dense_ids, document_terms
 from evalspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +92,20 @@ def test_a_normal_form_is_taken_once_per_token(spark):
     assert {r.doc_id: r.counts for r in bow.collect()} == {1: [2], 2: [1]}
 
 
+def test_terms_are_counted_in_lists_per_document(spark):
+    rows = [(k % 40 if k < 80 else None if k < 83 else k, ["a", "b", "a", f"x{k % 3}"] * (1 + k % 2)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>").repartition(3)
+    found = document_terms(df, "doc_id", "tokens", ["b"]).collect()
+    want = {}
+    for k, tokens in rows:
+        want.setdefault(k, Counter()).update(x for x in tokens if x != "b")
+    assert len(found) == len(want) and {r["_key"]: dict(zip(r.terms, r.counts)) for r in found} == {k: dict(v) for k, v in want.items()}
+    bow, terms = bag_of_words(df, "tokens", min_df=1, max_df=100, stop_words=["b"])
+    names = {r.term_id: r.term for r in terms.collect()}
+    got = bow.collect()
+    assert len(got) == 100 and all({names[t]: n for t, n in zip(r.terms, r.counts)} == want[r.doc_id] and r.terms == sorted(r.terms) for r in got)
+
+
 def test_bag_of_words_query(spark):
     rows = QUERIES["bag_of_words"](spark, SF).collect()
     assert rows and all(r.n_terms >= r.n_distinct_terms >= 0 for r in rows)
@@ -133,6 +148,14 @@ def dense_fit(rows, size, k, passes, seed):
     return lam
 
 
+def test_documents_of_like_size_are_inferred_together():
+    sizes = np.random.default_rng(3).integers(0, 300, 500)
+    groups = list(lda._alike(sizes, 50))
+    assert sorted(np.concatenate(groups)) == np.flatnonzero(sizes).tolist()
+    assert all(len(g) == 1 or len(g) * sizes[g].max() * 50 <= lda.CELLS for g in groups)
+    assert all(sizes[g].max() <= 1.25 * sizes[g].min() + 2 for g in groups)
+
+
 @pytest.mark.parametrize("block", [lda.BLOCK, 60])
 def test_each_pass_reads_every_row(spark, monkeypatch, block):
     monkeypatch.setattr(lda, "BLOCK", block)
@@ -226,6 +249,14 @@ def test_sweep_finds_the_planted_clusters_and_hands_its_model_on(spark):
     assert df.repartition(3).count() == 300 and np.allclose(clusters.sweep(df.repartition(3), "v", [5]).centres[5], clusters.sweep(df, "v", [5]).centres[5], atol=1e-9)
 
 
+def test_every_scan_of_a_sweep_is_spread_over_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "ROWS", 50)
+    parts, real = [], clusters.start_centres
+    monkeypatch.setattr(clusters, "start_centres", lambda data, *a: parts.append(data.rdd.getNumPartitions()) or real(data, *a))
+    clusters.sweep(vectors(spark, 800)[0].coalesce(1), "v", [2])
+    assert parts[0] >= min(800 // 50, spark.sparkContext.defaultParallelism) > 1
+
+
 def test_sweep_of_few_and_equal_vectors(spark):
     same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(6)], "id int, v array<double>")
     found = clusters.sweep(same, "v", [2, 3])
