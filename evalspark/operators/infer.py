@@ -1,7 +1,7 @@
 """Scoring (INF-1..5): render -> predict -> parse, keyed by ``example_id`` (and ``run_id``).
 
 Rendering and parsing are Column expressions and stay outside the Python boundary; only the predictor
-itself runs in Python (``mapInPandas``: Arrow batches, the predictor is built once per Python worker and
+itself runs in Python (``mapInArrow``: Arrow batches, the predictor is built once per Python worker and
 reused for every batch of the partition). A predictor that is a SQL expression (the stub) never leaves
 the JVM.
 """
@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ PREDICTION_COLUMNS = [
 
 CALL = 512  # prompts of a call at most: what a predictor makes of them (word lists, copies) stays small
 
+ANSWER = {"output_string": pa.string(), "input_token_count": pa.int64(), "output_token_count": pa.int64(), "elapsed_time": pa.float64()}
+
 # Predictor contract: (prompts, params) -> (content, prompt_tokens, completion_tokens) per prompt.
 Predictor = Callable[[pd.Series, Mapping], pd.DataFrame]
 
@@ -86,37 +89,37 @@ def score_stub(
 def _predict_batches(
     predictor_factory: Callable[[], Predictor], params: Mapping, prompt_col: str, passthrough: Sequence[str],
     param_cols: Sequence[str] = (),
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def predict(predictor, pdf: pd.DataFrame, call_params: Mapping) -> pd.DataFrame:
-        asked = pdf[prompt_col].notna()
-        if not asked.all():  # a NULL prompt is not sent; its response is NULL, with no tokens and no time
-            rest = pdf.loc[~asked, list(passthrough)].assign(
-                output_string=None, input_token_count=0, output_token_count=0, elapsed_time=0.0)
-            return pd.concat([predict(predictor, pdf[asked], call_params), rest], ignore_index=True) if asked.any() else rest
-        start = time.perf_counter()
-        out = predictor(pdf[prompt_col].reset_index(drop=True), call_params)
-        per_row = (time.perf_counter() - start) / len(pdf)
-        res = pdf[list(passthrough)].reset_index(drop=True).copy()
-        res["output_string"] = out["content"].astype("object").values
-        res["input_token_count"] = out["prompt_tokens"].astype("int64").values
-        res["output_token_count"] = out["completion_tokens"].astype("int64").values
-        if "elapsed_time" in out:
-            res["elapsed_time"] = out["elapsed_time"].astype("float64").values
-        else:
-            res["elapsed_time"] = per_row
-        return res
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def predict(predictor, part: pa.RecordBatch, call_params: Mapping) -> pa.RecordBatch:
+        prompts = pd.Series(part.column(prompt_col).to_pylist(), dtype=object)
+        asked = prompts.notna()
+        # a NULL prompt is not sent; its response is NULL, with no tokens and no time
+        res = pd.DataFrame({"output_string": None, "input_token_count": 0, "output_token_count": 0, "elapsed_time": 0.0}, index=prompts.index)
+        if asked.any():
+            start = time.perf_counter()
+            out = predictor(prompts[asked].reset_index(drop=True), call_params)
+            per_row = (time.perf_counter() - start) / int(asked.sum())
+            res["output_string"] = res["output_string"].astype("object")
+            res.loc[asked, "output_string"] = out["content"].astype("object").values
+            res.loc[asked, "input_token_count"] = out["prompt_tokens"].astype("int64").values
+            res.loc[asked, "output_token_count"] = out["completion_tokens"].astype("int64").values
+            res.loc[asked, "elapsed_time"] = out["elapsed_time"].astype("float64").values if "elapsed_time" in out else per_row
+        answers = [pa.array(res[c], kind, from_pandas=True) for c, kind in ANSWER.items()]
+        return pa.RecordBatch.from_arrays([*map(part.column, passthrough), *answers], names=[*passthrough, *ANSWER])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = predictor_factory()  # once per task / Python worker, not per row
-        for pdf in (whole.iloc[k : k + CALL] for whole in batches for k in range(0, len(whole), CALL)):
+        # of an Arrow batch, only the prompts of one call are Python strings at a time
+        for part in (whole.slice(k, CALL) for whole in batches for k in range(0, whole.num_rows, CALL)):
             if not param_cols:
-                yield predict(predictor, pdf, params)
+                yield predict(predictor, part, params)
                 continue
             # per-row sampling parameters (a grid): one predictor call per parameter combination
-            for values, part in pdf.groupby(list(param_cols), sort=False, dropna=False):
+            points = part.select(list(param_cols)).to_pandas().groupby(list(param_cols), sort=False, dropna=False)
+            for values, rows in points:
                 values = values if isinstance(values, tuple) else (values,)
                 row_params = {k: (v.item() if hasattr(v, "item") else v) for k, v in zip(param_cols, values)}
-                yield predict(predictor, part, {**params, **row_params})
+                yield predict(predictor, part.take(pa.array(rows.index)), {**params, **row_params})
 
     return run
 
@@ -134,7 +137,7 @@ def score(
     param_cols: Sequence[str] = (),
     system_prompt: str | None = None,
 ) -> DataFrame:
-    """INF-1: score every row with a Python predictor through ``mapInPandas``.
+    """INF-1: score every row with a Python predictor through ``mapInArrow``.
 
     ``system_prompt``, where given, reaches the predictor as ``params["system_prompt"]``. Fields that the
     template does not use raise. A NULL prompt is not sent: its response is NULL (a wrong format).
@@ -145,7 +148,7 @@ def score(
     ``params`` go to every call; ``param_cols`` (kept columns, e.g. a grid's temperature / top_k) are
     passed per row: each Arrow batch is split by their values and the predictor receives them.
 
-    Only the key, kept columns and the rendered prompt cross into Python (``mapInPandas`` is opaque to
+    Only the key, kept columns and the rendered prompt cross into Python (``mapInArrow`` is opaque to
     column pruning, so inputs are selected by hand). Filters must be applied before this call.
     ``partitions`` repartitions first (a single JSON file arrives as one partition).
     The result may be non-deterministic: persist it (``session.materialize``) before evaluating twice.
@@ -179,7 +182,7 @@ def score(
     if missing:
         raise ValueError(f"param_cols must be kept columns: {missing}")
     fn = _predict_batches(predictor_factory, dict(params or {}), "_prompt", passthrough, list(param_cols))
-    scored = inp.mapInPandas(fn, out_schema)
+    scored = inp.mapInArrow(fn, out_schema)
     return with_parsed(scored, parser)
 
 

@@ -229,3 +229,13 @@ def test_a_predictor_is_asked_in_calls_of_bounded_size(spark):
     df = spark.range(2 * most + 10).select(F.col("id").alias("example_id"), F.col("id").cast("string").alias("review")).coalesce(1)
     calls = [int(r.output_string) for r in infer.score(df, factory).collect()]
     assert len(calls) == 2 * most + 10 and max(calls) <= most
+
+
+def test_keys_beside_nulls_come_back_exact(spark):
+    """Kept columns do not pass through pandas, where a null made floats of whole numbers."""
+    from evalspark.plans.jobs import keyword_predictor_factory
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "bad film", 1), (None, "fine film", None), (7, None, 0)], "example_id bigint, review string, true_label int")
+    got = infer.score(df, keyword_predictor_factory, keep=("true_label",)).collect()
+    assert {(r.example_id, r.true_label, r.output_string) for r in got} == {(big, 1, "negative"), (None, None, "positive"), (7, 0, None)}
