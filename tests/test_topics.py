@@ -279,3 +279,34 @@ def test_chain_from_text_to_clusters(spark):
     for r in clustered.collect():
         groups.setdefault(r.doc_id % 3, set()).add(r.cluster)
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == min(best, 3)
+
+
+def test_scans_of_few_vectors_use_more_than_one_core(spark, monkeypatch):
+    parts, real = [], clusters.start_centres
+    monkeypatch.setattr(clusters, "start_centres", lambda data, *a: parts.append(data.rdd.getNumPartitions()) or real(data, *a))
+    clusters.sweep(vectors(spark, 800)[0].coalesce(1), "v", [2])
+    assert parts[0] >= min(3, spark.sparkContext.defaultParallelism)
+
+
+def test_chain_spreads_one_file_over_all_cores(spark, tmp_path, monkeypatch):
+    from evalspark.operators import topics as chain
+
+    rows = [(d, "good movies acting" if d % 2 else "cheap phones batteries") for d in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    parts, real = [], chain.bag_of_words
+    monkeypatch.setattr(chain, "bag_of_words", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or real(df, *a))
+    clustered, _, _ = topic_clusters(spark.read.parquet(str(tmp_path / "docs")), [2, 3], k_topics=2, passes=2)
+    assert parts[0] >= spark.sparkContext.defaultParallelism and clustered.count() == 40
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_weights_of_a_term_are_added_across_batches(size):
+    import pyarrow as pa
+
+    ids, x = np.array([0, 0, 0, 2, 3, 3, 9]), np.arange(14.0).reshape(7, 2)
+    whole = pa.RecordBatch.from_arrays([pa.array(ids), lda._packed(x)], names=["term_id", "packed"])
+    out = pa.Table.from_batches(list(lda._added(2, 0.5)(whole.slice(k, size) for k in range(0, 7, size))))
+    want = {t: (x[ids == t].sum(0) + 0.5).tolist() for t in (0, 2, 3, 9)}
+    assert dict(zip(out["term_id"].to_pylist(), out["weights"].to_pylist())) == want and out.num_rows == 4
+    assert lda._unpacked(out["packed"], 2).tolist() == list(want.values())
+    assert pa.Table.from_batches(list(lda._added(2, 0.5)(iter([])))).num_rows == 0
