@@ -4,7 +4,8 @@ Documents are sequences of units (bytes or words). A *window* is ``window`` cons
 charged to its anchor: among the hashes of the runs of ``gram`` units in it the smallest, leftmost of equals. Equal
 windows have equal anchors, and neighbouring windows mostly share theirs, so all windows of a document are
 covered by few *stretches* (maximal runs of windows with one anchor), and equal windows meet where stretches are
-dealt out by their anchor's hash.
+dealt out by their anchor's hash. Text that repeats within a window has a stretch for each period, all equal and next to one another: those are
+one row with their number (``reps``). What is found in one of them is at least a window long, and they are shorter than that, so over all of them it is one range.
 
 ``repeated_spans``: stretches whose anchor hash occurs once go. Where all stretches of an anchor are equal, their windows
 repeat as often as they do: two windows of one stretch stand at different distances from their common anchor and cannot
@@ -39,7 +40,7 @@ PIECES = 8  # of the distances to an anchor, where it is crowded
 TOP = np.iinfo(np.uint64).max
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 
-ROW = "h bigint, c bigint, id bigint, th bigint, at bigint, n int"
+ROW = "h bigint, c bigint, id bigint, th bigint, at bigint, n int, reps int"
 STRETCH = "h bigint, c bigint, n int, copies bigint, first bigint, last bigint, body binary"
 FOUND = "h bigint, c bigint, ranges array<struct<s: int, e: int, first: bigint>>"
 
@@ -130,6 +131,16 @@ def stretches(h: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple
     return doc, at - begins[doc], count, h[anchor].view(np.int64), anchor - at
 
 
+def _adjoining(doc: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal stretches begin that follow one another in a document without a gap, and how many are in each."""
+    new = np.ones(len(doc), bool)
+    new[1:] = at[1:] != at[:-1] + n[:-1]
+    for x in (doc, n, key, code):
+        new[1:] |= x[1:] != x[:-1]
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, len(doc)))
+
+
 def _pieces(kind, hashed: bytes, window: int, at: int, n: int, key: int, ahead: int, width: int) -> Iterator[tuple[int, int, int, int]]:
     """(first window, windows, key, distance to the anchor) of a stretch's pieces: windows whose distance to the anchor is the
     same when divided by ``width``, keyed by the units common to all windows of such distances."""
@@ -158,7 +169,7 @@ def _slabs(texts: list[tuple], kind) -> Iterator[list[tuple]]:
 
 
 def anchors(kind, window: int, gram: int, levels: tuple = (), whole: bool = True) -> Callable:
-    """Batches of id, th, text to rows of ``ROW``: one for each stretch (not ``whole``: its h, c and id only). levels: (broadcast sorted keys, width) of crowded
+    """Batches of id, th, text to rows of ``ROW``: one for each run of equal adjoining stretches (not ``whole``: its h, c, id and reps only). levels: (broadcast sorted keys, width) of crowded
     keys; then a row for each piece of the stretches that have such keys at every level, and no others."""
 
     def run(batches):
@@ -180,16 +191,18 @@ def anchors(kind, window: int, gram: int, levels: tuple = (), whole: bool = True
                         doc, at, n, key, ahead = np.array(found, np.int64).reshape(-1, 5).T.copy()
                     if not len(doc):
                         continue
-                    rows = pa.array([one[d][0] for d in doc.tolist()])
                     code = [kind.code(hashed[d], a, a + m + window - 1) for d, a, m in zip(doc.tolist(), at.tolist(), n.tolist())]
-                    code = pa.array(np.array(code, np.uint64).view(np.int64))
+                    code = np.array(code, np.uint64).view(np.int64)
+                    begins, reps = _adjoining(doc, at, n, key, code)
+                    doc, at, n, key, code = doc[begins], at[begins], n[begins], pa.array(key[begins]), pa.array(code[begins])
+                    rows, reps = pa.array([one[d][0] for d in doc.tolist()]), pa.array(reps.astype(np.int32))
                     if not whole:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), code, ids.take(rows)], names=["h", "c", "id"])
+                        yield pa.RecordBatch.from_arrays([key, code, ids.take(rows), reps], names=["h", "c", "id", "reps"])
                         continue
                     shift = np.array([s for _, s, _ in one])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), code, ids.take(rows), ths.take(rows), pa.array(at + shift[doc]), pa.array(n.astype(np.int32))],
-                        names=["h", "c", "id", "th", "at", "n"],
+                        [key, code, ids.take(rows), ths.take(rows), pa.array(at + shift[doc]), pa.array(n.astype(np.int32)), reps],
+                        names=["h", "c", "id", "th", "at", "n", "reps"],
                     )
 
     return run
@@ -269,7 +282,7 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     """``id, th, spans``: for each text of ``base`` (see ``keyed``) that has any, the ranges of units (start, end; they may
     overlap) that the solver finds. ``across``: windows count only in a document with a larger id than another one that has them,
     and a range is kept where the id is above its ``first``."""
-    recurs = (F.min("id") < F.max("id")) if across else (F.count("*") > 1)
+    recurs = (F.min("id") < F.max("id")) if across else (F.sum("reps") > 1)
 
     base = base.select("id", "th", "text")
 
@@ -279,7 +292,7 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
         if levels:  # pieces of a few anchors: written at once; all rows would be as much as the texts, so those are made twice
             rows = seen = cut(rows)
         else:
-            seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, c bigint, id bigint")
+            seen = base.mapInArrow(anchors(kind, window, gram, levels, False), "h bigint, c bigint, id bigint, reps int")
         again = seen.groupBy("h").agg(recurs.alias("again"), (F.min("c") == F.max("c")).alias("equal"), F.min("id").alias("least")).filter("again")
         # both sides plain, so that a frequent anchor's rows can be split among tasks
         return cut(rows.join(cut(again.drop("again")), "h"))
@@ -287,14 +300,14 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     def told(rows: DataFrame) -> DataFrame:
         """What is known of rows whose anchor's stretches are all equal."""
         r = F.struct(F.lit(0).alias("s"), (F.col("n") - 1 + window).alias("e"), F.col("least").alias("first")).alias("r")
-        return rows.filter("equal").select("id", "th", "at", r)
+        return rows.filter("equal").select("id", "th", "at", "n", "reps", r)
 
     def wanted(rows: DataFrame, *cols: str) -> DataFrame:
         return rows.groupBy("id", "th").agg(F.collect_list(F.struct(*cols)).alias("wanted"))
 
     def distinct(rows: DataFrame) -> DataFrame:
         one = F.min(F.struct("id", "th", "at", "n")).alias("one")
-        return rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.max("id").alias("last"), one)
+        return rows.groupBy("h", "c").agg(F.sum("reps").alias("copies"), F.min("id").alias("first"), F.max("id").alias("last"), one)
 
     found = recurring()
     equal, rows = told(found), found.filter("NOT equal").drop("equal")
@@ -315,10 +328,11 @@ def repeated_spans(base: DataFrame, kind, window: int, gram: int, solver: Callab
     found = bodies.mapInArrow(_solved(solver, block), FOUND)
     if across:  # the smallest document of an anchor keeps all
         rows = rows.filter("id > least")
-    ranges = rows.join(found, ["h", "c"]).select("id", "th", "at", F.explode("ranges").alias("r")).unionByName(equal)
+    ranges = rows.join(found, ["h", "c"]).select("id", "th", "at", "n", "reps", F.explode("ranges").alias("r")).unionByName(equal)
     if across:
         ranges = ranges.filter(F.col("r.first") < F.col("id"))
-    span = F.struct((F.col("at") + F.col("r.s")).alias("s"), (F.col("at") + F.col("r.e")).alias("e"))
+    last = F.col("at") + (F.col("reps") - 1) * F.col("n")  # of the adjoining stretches
+    span = F.struct((F.col("at") + F.col("r.s")).alias("s"), (last + F.col("r.e")).alias("e"))
     return ranges.groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
 
 

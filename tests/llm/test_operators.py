@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalspark.llm import ann, bpe, components, html_text, mixture, multiset_hash, phrase_dedup, quality, simhash, suffix_dedup, url_rules
+from evalspark.llm import ann, bpe, components, html_text, mixture, multiset_hash, passages, phrase_dedup, quality, simhash, suffix_dedup, url_rules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "\n\n", "a", "<|endoftext|>x<|endoftext|>", "é☃😀 \x85　z", "x" * 5000, "ab " * 2000, "don't we'll 123 45\t\t6", "\x00\x01"]
@@ -230,6 +231,41 @@ def test_phrase_dedup_equals_brute_force(spark, limit, block):
     assert got == brute_words(rows, 50)
 
 
+def rows_with_periods():
+    """Texts that repeat after 1 to 60 words, between unlike heads and tails; some of them next to another one, or under one id."""
+    rows = []
+    for k, period in enumerate((1, 2, 2, 7, 42, 43, 44, 60)):
+        cycle = [f"p{period}w{j}" for j in range(period)]
+        for copy in range(3):
+            body = (cycle * 200)[copy : copy + 180 + 7 * copy]
+            rows.append((10 * k + copy, " ".join([f"head{k}x{copy}", *body, f"tail{copy}"])))
+    rows += [(200, rows[3][1] + " " + rows[4][1] + " " + rows[21][1]), (200, rows[0][1]), (None, rows[6][1]), (201, "lone two " * 90), (202, "only"), (203, None)]
+    return rows
+
+
+@pytest.mark.parametrize("limit,block", [(6000, 1 << 20), (5, 3000), (1, 500)])
+def test_dedup_of_periodic_texts_equals_brute_force(spark, limit, block):
+    rows = rows_with_periods()
+    out = suffix_dedup.dedup(docs_of(spark, rows), limit=limit, block=block).collect()
+    got = sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in out), key=str)
+    assert got == brute_bytes(rows, 200)
+    out = phrase_dedup.dedup(docs_of(spark, rows), limit=limit, block=block).collect()
+    got = sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["kept"]) for r in out), key=str)
+    assert got == brute_words(rows, 50)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_periods_of_a_text_make_one_row_and_not_one_each(whole):
+    texts = ["it is " * 300, "a " * 20 + "b c d " * 1000, "x y"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "th": [4, 5, 6], "text": texts})
+    rows = [r for out in passages.anchors(passages.Words(), 50, 8, whole=whole)(iter([batch])) for r in out.to_pylist()]
+    per_doc = Counter(r["id"] for r in rows)
+    assert per_doc[1] <= 2 and per_doc[2] <= 50 and per_doc[3] == 0
+    assert max(r["reps"] for r in rows if r["id"] == 1) >= 275 and max(r["reps"] for r in rows if r["id"] == 2) >= 960
+    if whole:  # all windows are there
+        assert [sum(r["n"] * r["reps"] for r in rows if r["id"] == i) for i in (1, 2)] == [551, 2971]
+
+
 def test_common_prefixes_equal_those_of_sorted_suffixes():
     rng = np.random.default_rng(5)
     bodies = [bytes(rng.choice(list(b"ab\0\xff"), rng.integers(20, 60)).tolist()) * 2 for _ in range(30)]
