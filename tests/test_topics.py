@@ -310,3 +310,67 @@ def test_weights_of_a_term_are_added_across_batches(size):
     assert dict(zip(out["term_id"].to_pylist(), out["weights"].to_pylist())) == want and out.num_rows == 4
     assert lda._unpacked(out["packed"], 2).tolist() == list(want.values())
     assert pa.Table.from_batches(list(lda._added(2, 0.5)(iter([])))).num_rows == 0
+
+
+def test_integers_come_back_from_their_bytes():
+    from evalspark.operators.packing import ints, joined, packed_ints, split
+
+    for x in ([], [5], [3, 1, 2], [2**40, -5], [2**31 - 1, -(2**31), 7]):
+        assert ints(packed_ints(np.array(x, np.int64))).tolist() == x == ints(packed_ints(np.array(x, np.int64), True)).tolist()
+    assert [bytes(x) for x in split(joined(b"a", b"", b"xyz"))] == [b"a", b"", b"xyz"]
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for x in blocks.getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from evalspark.session import discard, materialize
+
+    before = shuffle_files(spark)
+    table = materialize(spark.range(1000).repartition(4, "id").groupBy("id").count())
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and table.count() == 1000
+    discard(table, spark.range(1))
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table._scratch)
+
+
+@pytest.mark.parametrize("numbers", [lda.NUMBERS, 48])
+def test_a_pass_in_rounds_equals_one_round_and_leaves_one_table(spark, monkeypatch, numbers):
+    from evalspark import session
+
+    for name, value in (("BLOCK", 30), ("LEAST", 1), ("EXCHANGE", 0), ("GROUP", 30), ("PIECE", 1), ("NUMBERS", numbers)):
+        monkeypatch.setattr(lda, name, value)
+    bow, rows = toy(spark)
+    bow = lda.numbered(bow)
+    dealt = lda.deal(bow, 4)
+    assert dealt.rounds > 1 and all(r.n_terms * 4 <= numbers for r in dealt.blocks.collect())
+    before = [x for x in session._CREATED if x]
+    model = lda.fit(bow, spark.range(40).withColumnRenamed("id", "term_id"), 4, 2, 1, dealt)
+    assert len([x for x in session._CREATED if x]) == len(before) + 1
+    got = {r.term_id: r.weights for r in model.weights.collect()}
+    assert np.allclose(np.array([got[t] for t in range(40)]).T, dense_fit(rows, 40, 4, 2, 1), rtol=1e-8)
+    found = {r.doc_id: r for r in lda.transform(bow, model, mass="mass", dealt=dealt).collect()}
+    assert len(found) == 121 and all(round(found[d].mass) == sum(c) for d, _, c in rows)
+
+
+def test_documents_of_a_bag_of_words_are_packed_in_blocks(spark, monkeypatch):
+    from evalspark.operators import vocabulary
+
+    for name in ("BLOCK", "ROWS"):
+        monkeypatch.setattr(vocabulary, name, 7)
+    tokens = {k: [f"x{(k * j) % 11}" for j in range(k % 9)] for k in range(60)}
+    df = spark.createDataFrame(list(tokens.items()), "doc_id bigint, tokens array<string>").repartition(2)
+    blocks = vocabulary.packed_documents(df, "doc_id", "tokens", (), None, False)
+    assert blocks.columns == ["block", "terms", "n", "docs"] and blocks.count() > 5
+    bow, terms = bag_of_words(df, "tokens", min_df=1, max_df=100, stop_words=[])
+    names = {r.term_id: r.term for r in terms.collect()}
+    assert {r.doc_id: {names[t]: n for t, n in zip(r.terms, r.counts)} for r in bow.collect()} == {k: dict(Counter(t)) for k, t in tokens.items()}
+    assert {r.term: r.documents for r in terms.collect()} == dict(Counter(x for t in tokens.values() for x in set(t)))
